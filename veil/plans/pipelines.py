@@ -1,0 +1,35 @@
+"""Whole jobs, each one lazy plan."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from veil.operators.mask import protect
+
+
+def protect_report(texts: DataFrame, registry, min_confidence: float = 0.8, salt: str = "") -> DataFrame:
+    """Detect, plan and mask every text in one narrow pass; counts per type and strategy.
+
+    Each text contributes one row per type it holds plus one row with its mask counter, so a single
+    partial aggregation carries all numbers and only a few dozen counts are shuffled.
+    """
+    done = protect(texts, registry, min_confidence, salt)
+    per_text = done.select(
+        F.explode(
+            F.expr(
+                """concat(
+                transform(array_distinct(transform(plan, p -> struct(p.pii_type AS pii_type, p.strategy AS strategy))),
+                    k -> struct(k.pii_type AS pii_type, k.strategy AS strategy,
+                        CAST(size(filter(plan, p -> p.pii_type = k.pii_type)) AS BIGINT) AS n, 0L AS masked)),
+                array(struct(CAST(NULL AS STRING) AS pii_type, CAST(NULL AS STRING) AS strategy, 0L AS n, n_masked AS masked)))"""
+            )
+        ).alias("r")
+    )
+    counts = per_text.groupBy("r.pii_type", "r.strategy").agg(
+        F.sum("r.n").alias("n_items"), F.count("*").alias("n_docs"), F.sum("r.masked").alias("masked")
+    )
+    total = counts.groupBy().agg(F.sum("masked").alias("t"))
+    return counts.where(F.col("pii_type").isNotNull()).select(
+        "pii_type", "strategy", "n_items", "n_docs", total.scalar().alias("total_masked")
+    )
