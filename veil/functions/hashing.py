@@ -54,10 +54,15 @@ def hash_int(value: Column, salt: str = "", start: int = 1) -> Column:
     return F.conv(F.substring(digest(value, salt), start, 8), 16, 10).cast("bigint")
 
 
+def choose(pool: list[str], hashed: Column) -> Column:
+    """A pool entry by a hash already computed."""
+    entries = ", ".join(f"'{p}'" for p in pool)
+    return F.get(F.expr(f"array({entries})"), (hashed % len(pool)).cast("int"))
+
+
 def pick(pool: list[str], value: Column, salt: str = "", start: int = 1) -> Column:
     """A pool entry chosen by the value's hash."""
-    index = (hash_int(value, salt, start) % len(pool)).cast("int")
-    return F.get(F.expr("array(" + ", ".join(f"'{p}'" for p in pool) + ")"), index)
+    return choose(pool, hash_int(value, salt, start))
 
 
 def digit_stream(value: Column, salt: str = "") -> Column:

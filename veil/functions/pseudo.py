@@ -15,13 +15,13 @@ UNIT_WORDS = "apartment|apt|suite|floor"
 DIGIT_TYPES = ["PHONE", "CREDIT_CARD", "SSN", "BANK_ACCOUNT"]
 
 
-def place(text: Column, salt: str = "") -> Column:
+def place(text: Column, hashed: Column) -> Column:
     low = F.lower(text)
     return (
-        F.when(low.rlike(STREET_WORDS), H.pick(H.ADDRESSES, text, salt))
-        .when(low.rlike(CITY_WORDS), H.pick(H.CITIES, text, salt))
-        .when(low.rlike(UNIT_WORDS), H.pick(H.APT_TYPES, text, salt))
-        .otherwise(H.pick(H.LOCATIONS, text, salt))
+        F.when(low.rlike(STREET_WORDS), H.choose(H.ADDRESSES, hashed))
+        .when(low.rlike(CITY_WORDS), H.choose(H.CITIES, hashed))
+        .when(low.rlike(UNIT_WORDS), H.choose(H.APT_TYPES, hashed))
+        .otherwise(H.choose(H.LOCATIONS, hashed))
     )
 
 
@@ -31,24 +31,24 @@ def person(text: Column, salt: str = "") -> Column:
     The last of exactly two parts draws from the last names, every other part from the first names.
     """
     parts = F.split(collapse_space(text), " ")
-    return F.array_join(
-        F.transform(
-            parts,
-            lambda part, i: F.when(
-                (F.size(parts) == 2) & (i == 1), H.pick(H.LAST_NAMES, part, salt)
-            ).otherwise(H.pick(H.FIRST_NAMES, part, salt)),
-        ),
-        " ",
-    )
+
+    def stand_in(part: Column, i: Column) -> Column:
+        hashed = H.hash_int(part, salt)
+        return F.when((F.size(parts) == 2) & (i == 1), H.choose(H.LAST_NAMES, hashed)).otherwise(
+            H.choose(H.FIRST_NAMES, hashed)
+        )
+
+    return F.array_join(F.transform(parts, stand_in), " ")
 
 
 def pseudonym(pii_type: Column, text: Column, salt: str = "") -> Column:
+    hashed = H.hash_int(text, salt)
     return (
         F.when(pii_type == "PERSON", person(text, salt))
-        .when(pii_type.isin("LOC", "ADDRESS"), place(text, salt))
-        .when(pii_type == "ORG", H.pick(H.ORGANIZATIONS, text, salt))
+        .when(pii_type.isin("LOC", "ADDRESS"), place(text, hashed))
+        .when(pii_type == "ORG", H.choose(H.ORGANIZATIONS, hashed))
         .when(pii_type.isin(DIGIT_TYPES), H.replace_digits(text, salt))
-        .otherwise(H.pick(H.MISC_LABELS, text, salt))
+        .otherwise(H.choose(H.MISC_LABELS, hashed))
     )
 
 

@@ -26,51 +26,54 @@ def let(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
+# Two code points that Unicode reserves for internal use mark matches inside a scanned text.
+MARK, INNER, SPARE = "\ufdd0", "\ufdd1", "\ufffd"
+
+
 def match_spans(text: str, pattern: Pattern, rank: int = 0) -> str:
-    """All matches of one pattern, left to right.
+    """All matches of one pattern in a text free of the marks, left to right, in one regex pass.
 
-    The gaps between matches come from ``split`` and the matches from ``regexp_extract_all``;
-    running lengths give the offsets. Texts without a match stop at the prefilter.
+    ``regexp_replace`` sets marks around the matches, ``split`` then yields gap, match, gap, ...;
+    running lengths give the offsets.
     """
     regex = literal(java_regex(pattern.regex, pattern.any_digit))
-    full = f"regexp_extract_all({text}, {regex}, 0)"
-    value = f"regexp_extract_all({text}, {regex}, 1)" if pattern.group else full
-    pieces = f"""zip_with(
-        zip_with({full}, {value}, (m, v) -> struct(length(m) AS full, v AS value)),
-        split({text}, {regex}, -1),
-        (p, g) -> struct(length(g) AS gap, p.full AS full, p.value AS value))"""
-    found = f"""aggregate(
-        filter({pieces}, p -> p.value IS NOT NULL),
-        struct(0 AS at, {NO_SPANS} AS out),
-        (acc, p) -> struct(
-            acc.at + p.gap + p.full AS at,
-            concat(acc.out, array(struct(
+    marked = f"{MARK}$0{INNER}$1{MARK}" if pattern.group else f"{MARK}$0{MARK}"
+    full = f"length(substring_index(p, '{INNER}', 1))" if pattern.group else "length(p)"
+    value = f"substring_index(p, '{INNER}', -1)" if pattern.group else "p"
+    found = f"""aggregate(pieces, struct(0 AS at, false AS hit, {NO_SPANS} AS out),
+        (a, p) -> IF(a.hit,
+            struct(a.at + {full} AS at, false AS hit, concat(a.out, array(struct(
                 {rank} AS rank, '{pattern.kind}' AS kind,
-                acc.at + p.gap + p.full - length(p.value) AS start,
-                acc.at + p.gap + p.full AS end,
-                p.value AS text, {pattern.confidence}D AS confidence, '{pattern.source}' AS source))) AS out),
-        acc -> acc.out)"""
-    guard = f"rlike({text}, {regex})"
+                a.at + {full} - length({value}) AS start, a.at + {full} AS end,
+                {value} AS text, {pattern.confidence}D AS confidence, '{pattern.source}' AS source))) AS out),
+            struct(a.at + length(p) AS at, true AS hit, a.out AS out)),
+        a -> a.out)"""
+    pieces = f"split(regexp_replace({text}, {regex}, '{marked}'), '{MARK}', -1)"
+    out = let(pieces, "pieces", f"IF(size(pieces) = 1, {NO_SPANS}, {found})")
     if pattern.hints:
         hinted = " OR ".join(f"contains({text}, {literal(h)})" for h in pattern.hints)
-        guard = f"({hinted}) AND {guard}"
-    return f"CASE WHEN {guard} THEN {found} ELSE {NO_SPANS} END"
+        out = f"IF({hinted}, {out}, {NO_SPANS})"
+    return out
 
 
 def all_spans(text: str, patterns: list[Pattern]) -> str:
     """Spans of every pattern in (registry, position) order: one array per row, one read of the text.
 
-    Patterns that need digits share one cheap test, so texts without digits skip them all.
+    Patterns that need digits share one cheap test, so texts without digits skip them all. A text
+    that holds a mark itself is scanned with a neutral stand-in of the same length.
     """
     ranked = list(enumerate(patterns))
-    parts = [match_spans(text, p, i) for i, p in ranked if not p.digits]
-    digit = [match_spans(text, p, i) for i, p in ranked if p.digits]
+    parts = [match_spans("t", p, i) for i, p in ranked if not p.digits]
+    digit = [match_spans("t", p, i) for i, p in ranked if p.digits]
     if digit:
-        two = literal(java_regex(r"\d\d"))
-        parts.append(
-            f"CASE WHEN rlike({text}, {two}) THEN flatten(array({', '.join(digit)})) ELSE {NO_SPANS} END"
-        )
-    return f"array_sort(flatten(array({', '.join(parts)})))"
+        parts.append(f"IF(rlike(t, '[0-9][0-9]'), flatten(array({', '.join(digit)})), {NO_SPANS})")
+    found = f"array_sort(flatten(array({', '.join(parts)})))"
+    marked = f"contains({text}, '{MARK}') OR contains({text}, '{INNER}')"
+    clean = let(text, "t", found)
+    dirty = let(f"translate({text}, '{MARK}{INNER}', '{SPARE}{SPARE}')", "t", found)
+    restored = f"""transform({dirty}, s -> struct(s.rank AS rank, s.kind AS kind, s.start AS start, s.end AS end,
+        substr({text}, s.start + 1, s.end - s.start) AS text, s.confidence AS confidence, s.source AS source))"""
+    return f"IF({marked}, {restored}, {clean})"
 
 
 def keep_disjoint(spans: str) -> str:

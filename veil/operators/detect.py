@@ -24,10 +24,11 @@ def detect_patterns(pages: DataFrame, registry: list[Pattern] = REGISTRY) -> Dat
 
     Custom patterns are further ``Pattern`` rows of ``registry``.
     """
+    # The outer form keeps the optimizer from copying the scan into a size filter.
     spans = pages.select(
-        "doc_id", "page_num", F.expr(all_spans("text", registry)).alias("spans")
-    ).where(F.size("spans") > 0)
-    return spans.select("doc_id", "page_num", F.posexplode("spans").alias("ord", "s")).select(
+        "doc_id", "page_num", F.posexplode_outer(F.expr(all_spans("text", registry))).alias("ord", "s")
+    ).where(F.col("s").isNotNull())
+    return spans.select(
         "doc_id",
         "page_num",
         "ord",
@@ -192,9 +193,9 @@ def detect_items(blocks: DataFrame, patterns: list[Pattern], keep: str) -> DataF
     ``keep`` is a predicate over span ``s``; a span it rejects does not claim its place, so it is
     applied before overlap resolution. Each item gets the box that its characters cover.
     """
-    spans = blocks.withColumn("spans", F.expr(f"filter({all_spans('text', patterns)}, s -> {keep})"))
-    kept = spans.where(F.size("spans") > 0).select(
-        "*", F.posexplode(F.expr(let("spans", "a", keep_disjoint("a")))).alias("item_idx", "s")
+    kept_spans = let(f"filter({all_spans('text', patterns)}, s -> {keep})", "a", keep_disjoint("a"))
+    kept = blocks.select("*", F.posexplode_outer(F.expr(kept_spans)).alias("item_idx", "s")).where(
+        F.col("s").isNotNull()
     )
     width = (F.col("x1") - F.col("x0")) / F.length("text")
     return kept.select(
