@@ -37,6 +37,8 @@ def query(key: str, sql: str | None = None, inputs: tuple = ()):
 
 
 DERIVED: dict[str, str] = {}
+PLACEHOLDER = re.compile(r"\{(\w+)\}")
+QUOTED_NAME = re.compile(r'"(start|end|left)"(?!:)')
 
 
 def needs(name: str) -> list[str]:
@@ -56,7 +58,7 @@ def with_inputs(sql: str, inputs: tuple) -> str:
         for n in needs(name) + [name]:
             if n not in names:
                 names.append(n)
-    parts = [f"{n} AS ({re.sub(r'[{}]', '', DERIVED[n])})" for n in names]
+    parts = [f"{n} AS ({PLACEHOLDER.sub(r'\1', DERIVED[n])})" for n in names]
     sql = sql.strip()
     if sql.upper().startswith("WITH "):
         return "WITH " + ", ".join([*parts, sql[5:]]) if not sql.upper().startswith("WITH RECURSIVE") else (
@@ -66,12 +68,14 @@ def with_inputs(sql: str, inputs: tuple) -> str:
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = DERIVED[name].replace('"', "`")  # quoted column names
+    sql = QUOTED_NAME.sub(r"`\1`", DERIVED[name])
     frames = {
         n: derived(spark, sf_dir, n) if n in DERIVED else table(spark, sf_dir, n)
-        for n in set(re.findall(r"\{(\w+)\}", sql))
+        for n in set(PLACEHOLDER.findall(sql))
     }
-    return spark.sql(sql, **frames)
+    # braces of JSON texts are doubled, those of inputs stay
+    sql = PLACEHOLDER.sub("\x01\\1\x02", sql).replace("{", "{{").replace("}", "}}")
+    return spark.sql(sql.replace("\x01", "{").replace("\x02", "}"), **frames)
 
 
 def case(key: str, *values: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import checks.inputs  # noqa: F401 - defines the derived inputs
 from checks.base import derived, query, table
 from checks.sqltext import (
     DOCS,
@@ -68,5 +69,5 @@ def mask_text(spark, sf):
     ("pii_corpus",),
 )
 def detect_patterns(spark, sf):
-    both = docs(spark, sf).unionByName(derived(spark, sf, "pii_corpus"))
+    both = docs(spark, sf).unionByName(readers.spread(derived(spark, sf, "pii_corpus")))
     return detect.detect_patterns(both, CUSTOM)

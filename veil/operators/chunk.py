@@ -65,30 +65,40 @@ def chunk_overlap(pages: DataFrame, size: int = 2000, overlap: int = 150) -> Dat
 SEPARATORS = ["\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " "]
 
 
-def cut_text(text: str, size: int, overlap: int) -> list[str]:
-    """Windows that end behind the best separator of their second half, each starting ``overlap`` earlier."""
-    out, at = [], 0
-    while len(text) - at > size:
-        end = at + size
-        for sep in SEPARATORS:
-            found = text.rfind(sep, at + size // 2, end)
-            if found >= 0:
-                end = found + len(sep)
-                break
-        out.append(text[at:end])
-        at = end - overlap
-    return [*out, text[at:]]
+def cutter(size: int, overlap: int):
+    """A function that cuts a text into windows ending behind the best separator of their second half.
+
+    Each window starts ``overlap`` before the end of the last; together they cover the whole text.
+    """
+    separators = list(SEPARATORS)
+
+    def cut(text: str) -> list[str]:
+        out, at = [], 0
+        while len(text) - at > size:
+            end = at + size
+            for sep in separators:
+                found = text.rfind(sep, at + size // 2, end)
+                if found >= 0:
+                    end = found + len(sep)
+                    break
+            out.append(text[at:end])
+            at = end - overlap
+        return [*out, text[at:]]
+
+    return cut
 
 
 def chunk_at_separators(pages: DataFrame, size: int = 2000, overlap: int = 150) -> DataFrame:
     """Separator-aware chunks; the scan for a good end runs on Arrow batches."""
+    cut = cutter(size, overlap)
 
     def run(batches):
         for b in batches:
-            cut = b.text.map(lambda t: cut_text(t, size, overlap))
-            rows = pd.DataFrame({"doc_id": b.doc_id, "page_num": b.page_num, "chunk": cut}).explode("chunk")
-            rows["chunk_idx"] = rows.groupby(["doc_id", "page_num"]).cumcount().astype("int32")
-            yield rows[["doc_id", "page_num", "chunk_idx", "chunk"]]
+            rows = pd.DataFrame({"doc_id": b.doc_id, "page_num": b.page_num, "chunk": b.text.map(cut)})
+            rows["chunk_idx"] = rows.chunk.map(lambda c: list(range(len(c))))
+            yield rows.explode(["chunk", "chunk_idx"])[["doc_id", "page_num", "chunk_idx", "chunk"]].astype(
+                {"chunk_idx": "int32"}
+            )
 
     return pages.select("doc_id", "page_num", "text").mapInPandas(
         run, "doc_id bigint, page_num int, chunk_idx int, chunk string"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veil.functions.text import strip
+from veil.functions.text import SPACE, strip
 
 # --- fixed values: header of a written configuration ---
 HEADER = [
@@ -60,20 +60,25 @@ def config_parse(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("p", F.split("line", ":"))
     n = F.size("p")
     full = n >= 8
-    coords = [_number(f"get(p, size(p) - {4 - i})", NUMBER, "double") for i in range(4)]
-    page = _number("get(p, size(p) - 5)", INTEGER, "int")
-    out = rows.where(n >= 3).select(
+    # one test of the line's tail decides whether its five numbers are good
+    tail = f":{SPACE}*{INTEGER[1:-1]}{SPACE}*(:{SPACE}*{NUMBER[1:-1]}{SPACE}*){{4}}$"
+    rows = rows.where((n >= 3) & (~full | F.col("line").rlike(tail)))
+
+    def cell(back: int) -> F.Column:
+        return strip(F.expr(f"get(p, size(p) - {back})"))
+
+    return rows.select(
         "doc_id",
         F.concat(F.lit("pii_"), F.col("line_num").cast("string")).alias("pii_id"),
-        F.when(full, F.expr("array_join(slice(p, 1, greatest(size(p) - 7, 0)), ':')"))
-        .otherwise(F.expr("array_join(slice(p, 1, size(p) - 2), ':')"))
-        .alias("text"),
-        F.when(full, F.expr("get(p, size(p) - 7)")).otherwise(F.expr("get(p, size(p) - 2)")).alias("pii_type"),
-        F.when(full, F.expr("get(p, size(p) - 6)")).otherwise(F.expr("get(p, size(p) - 1)")).alias("strategy"),
-        F.when(full, page).otherwise(F.lit(0)).alias("page_num"),
-        *[F.when(full, c).otherwise(F.lit(0.0)).alias(name) for c, name in zip(coords, ("x0", "y0", "x1", "y1"))],
+        F.expr("array_join(slice(p, 1, size(p) - IF(size(p) >= 8, 7, 2)), ':')").alias("text"),
+        F.expr("get(p, size(p) - IF(size(p) >= 8, 7, 2))").alias("pii_type"),
+        F.expr("get(p, size(p) - IF(size(p) >= 8, 6, 1))").alias("strategy"),
+        F.when(full, cell(5).cast("int")).otherwise(F.lit(0)).alias("page_num"),
+        *[
+            F.when(full, cell(4 - i).cast("double")).otherwise(F.lit(0.0)).alias(name)
+            for i, name in enumerate(("x0", "y0", "x1", "y1"))
+        ],
     )
-    return out.dropna(subset=["page_num", "x0", "y0", "x1", "y1"])
 
 
 def config_parse_replacement(lines: DataFrame) -> DataFrame:
