@@ -125,7 +125,7 @@ def digits_query():
 def pseudo_digits(spark, sf):
     from veil.functions.hashing import replace_digits
 
-    return derived(spark, sf, "digit_texts").select("c_custkey", replace_digits(F.col("text")).alias("replaced"))
+    return derived(spark, sf, "digit_texts").select("c_custkey", F.expr(replace_digits("text")).alias("replaced"))
 
 
 # --- synthesis -----------------------------------------------------------------------------------

@@ -367,7 +367,7 @@ DERIVED["named"] = f"""SELECT {O} AS id, {case(O, "'PERSON'", "'LOC'", "'ADDRESS
     ("named",),
 )
 def pseudo_dispatch(spark, sf):
-    out = pseudo.replacement(F.col("strategy"), F.col("pii_type"), F.col("text"))
+    out = F.expr(pseudo.replacement("strategy", "pii_type", "text"))
     return derived(spark, sf, "named").select("id", "pii_type", "text", out.alias("replacement"))
 
 
@@ -382,5 +382,5 @@ def named_sql():
 
 @query("mask_named", named_sql(), ("named",))
 def mask_named(spark, sf):
-    out = pseudo.mask_named(F.col("text"), F.col("strategy"), F.col("pii_type"))
+    out = F.expr(pseudo.mask_named("text", "strategy", "pii_type"))
     return derived(spark, sf, "named").select("id", out.alias("masked"))

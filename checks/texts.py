@@ -130,9 +130,9 @@ def llm_json_parse(spark, sf):
 @query(
     "llm_entities",
     f"""SELECT doc_id, page_num, CAST(chunk_idx * 100000 + g - 1 AS INTEGER) AS ord, t AS text, items[g].pii_type AS pii_type,
-        CAST((CASE WHEN given THEN items[g].start ELSE at END) + chunk_offset AS INTEGER) AS start_pos,
-        CAST((CASE WHEN given THEN items[g].end ELSE at + length(t) END) + chunk_offset AS INTEGER) AS end_pos, coalesce(items[g].confidence, 0.8) AS confidence
-    FROM (SELECT *, items[g].text AS t, greatest(instr(chunk, items[g].text) - 1, 0) AS at, items[g].start IS NOT NULL AND items[g].end IS NOT NULL AS given FROM {ANSWERS})
+        CAST((CASE WHEN given THEN items[g].start ELSE loc END) + chunk_offset AS INTEGER) AS start_pos,
+        CAST((CASE WHEN given THEN items[g]."end" ELSE loc + length(t) END) + chunk_offset AS INTEGER) AS end_pos, coalesce(items[g].confidence, 0.8) AS confidence
+    FROM (SELECT *, items[g].text AS t, greatest(instr(chunk, items[g].text) - 1, 0) AS loc, items[g].start IS NOT NULL AND items[g]."end" IS NOT NULL AS given FROM {ANSWERS})
     WHERE t IS NOT NULL AND items[g].pii_type IS NOT NULL AND (contains(chunk, t) OR contains({squeeze_sql('chunk')}, {squeeze_sql('t')}))""",
     ("llm_raw",),
 )
@@ -345,7 +345,7 @@ def ocr_word_project(spark, sf):
 )
 def perturb_number(spark, sf):
     items = detect.detect_numeric(blocks(spark, sf)).groupBy("doc_id", "value").agg(F.count("*").alias("n"))
-    return items.select("doc_id", "value", "n", pseudo.perturb_number(F.col("value")).alias("replacement"))
+    return items.select("doc_id", "value", "n", F.expr(pseudo.perturb_number("value")).alias("replacement"))
 
 
 @query(
@@ -356,4 +356,4 @@ def perturb_number(spark, sf):
 )
 def replace_noun(spark, sf):
     items = detect.detect_nouns(blocks(spark, sf)).groupBy("item_type", "value").agg(F.count("*").alias("n"))
-    return items.select("item_type", "value", "n", pseudo.replace_noun(F.col("item_type"), F.col("value")).alias("replacement"))
+    return items.select("item_type", "value", "n", F.expr(pseudo.replace_noun("item_type", "value")).alias("replacement"))

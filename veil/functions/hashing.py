@@ -1,12 +1,12 @@
 """Keyed, repeatable choices: the same value always gets the same stand-in.
 
-SHA-256 keeps the choice independent of partitioning, retries and engine.
+SHA-256 keeps the choice independent of partitioning, retries and engine. The functions give SQL
+text over a column or lambda variable, so that they nest in array expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from veil.functions.spans import let
 
 # Our own pools; only their sizes and flavour follow the data model.
 FIRST_NAMES = (
@@ -45,42 +45,33 @@ MISC_LABELS = ["[Withheld]", "[Veiled]", "[Private]", "[Removed]", "[Sealed]", "
 WORDS = "amber basil cedar delta ember fable grove haven indigo jasper kelp linen".split()
 
 
-def digest(value: Column, salt: str = "") -> Column:
-    return F.sha2(F.concat(F.lit(salt), value), 256)
+def digest(value: str, salt: str = "") -> str:
+    return f"sha2(concat('{salt}', {value}), 256)"
 
 
-def hash_int(value: Column, salt: str = "", start: int = 1) -> Column:
+def hash_int(value: str, salt: str = "", start: int = 1) -> str:
     """32 bits of the digest, from hex digit ``start``, as BIGINT."""
-    return F.conv(F.substring(digest(value, salt), start, 8), 16, 10).cast("bigint")
+    return f"CAST(conv(substr({digest(value, salt)}, {start}, 8), 16, 10) AS BIGINT)"
 
 
-def choose(pool: list[str], hashed: Column) -> Column:
-    """A pool entry by a hash already computed."""
+def choose(pool: list[str], hashed: str) -> str:
+    """A pool entry by a hash or rank already computed."""
     entries = ", ".join(f"'{p}'" for p in pool)
-    return F.get(F.expr(f"array({entries})"), (hashed % len(pool)).cast("int"))
+    return f"get(array({entries}), CAST({hashed} % {len(pool)} AS INT))"
 
 
-def pick(pool: list[str], value: Column, salt: str = "", start: int = 1) -> Column:
+def pick(pool: list[str], value: str, salt: str = "", start: int = 1) -> str:
     """A pool entry chosen by the value's hash."""
     return choose(pool, hash_int(value, salt, start))
 
 
-def digit_stream(value: Column, salt: str = "") -> Column:
+def digit_stream(value: str, salt: str = "") -> str:
     """64 decimal digits that depend on the value only."""
-    return F.translate(digest(value, salt), "abcdef", "012345")
+    return f"translate({digest(value, salt)}, 'abcdef', '012345')"
 
 
-def replace_digits(text: Column, salt: str = "") -> Column:
+def replace_digits(text: str, salt: str = "") -> str:
     """Every digit replaced by position; punctuation, spacing and letters stay."""
-    from veil.functions.text import let
-
-    def swap(stream: Column) -> Column:
-        chars = F.split(text, "")
-        new = F.transform(
-            chars,
-            lambda ch, i: F.when(ch.between("0", "9"), F.substr(stream, i % 64 + 1, F.lit(1)))
-            .otherwise(ch),
-        )
-        return F.array_join(new, "")
-
-    return F.when(~text.rlike("[0-9]"), text).otherwise(let(digit_stream(text, salt), swap))
+    swapped = f"""array_join(transform(split({text}, ''), (ch, i) ->
+        IF(ch BETWEEN '0' AND '9', substr(stream, i % 64 + 1, 1), ch)), '')"""
+    return f"IF(rlike({text}, '[0-9]'), {let(digit_stream(text, salt), 'stream', swapped)}, {text})"

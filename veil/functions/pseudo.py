@@ -1,12 +1,10 @@
-"""Stand-ins for original values, as Column expressions."""
+"""Stand-ins for original values, as SQL text over columns or lambda variables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from veil.functions import hashing as H
-from veil.functions.text import collapse_space, stars
+from veil.functions.spans import let
+from veil.functions.text import SPACE
 
 # --- fixed values: words that tell what kind of place a text names ---
 STREET_WORDS = "street|road|lane|avenue|drive"
@@ -15,131 +13,102 @@ UNIT_WORDS = "apartment|apt|suite|floor"
 DIGIT_TYPES = ["PHONE", "CREDIT_CARD", "SSN", "BANK_ACCOUNT"]
 
 
-def place(text: Column, hashed: Column) -> Column:
-    low = F.lower(text)
-    return (
-        F.when(low.rlike(STREET_WORDS), H.choose(H.ADDRESSES, hashed))
-        .when(low.rlike(CITY_WORDS), H.choose(H.CITIES, hashed))
-        .when(low.rlike(UNIT_WORDS), H.choose(H.APT_TYPES, hashed))
-        .otherwise(H.choose(H.LOCATIONS, hashed))
-    )
+def squeezed(text: str) -> str:
+    """Trimmed, with single blanks between words."""
+    return f"regexp_replace(regexp_replace({text}, r'{SPACE}+', ' '), '^ | $', '')"
+
+
+def stars(text: str) -> str:
+    return f"repeat('*', length({text}))"
 
 
-def person(text: Column, salt: str = "") -> Column:
+def place(text: str, salt: str = "") -> str:
+    low = f"lower({text})"
+    return f"""CASE WHEN rlike({low}, '{STREET_WORDS}') THEN {H.pick(H.ADDRESSES, text, salt)}
+        WHEN rlike({low}, '{CITY_WORDS}') THEN {H.pick(H.CITIES, text, salt)}
+        WHEN rlike({low}, '{UNIT_WORDS}') THEN {H.pick(H.APT_TYPES, text, salt)}
+        ELSE {H.pick(H.LOCATIONS, text, salt)} END"""
+
+
+def person(text: str, salt: str = "") -> str:
     """Part by part: the same name part always becomes the same stand-in part.
 
     The last of exactly two parts draws from the last names, every other part from the first names.
     """
-    parts = F.split(collapse_space(text), " ")
-
-    def stand_in(part: Column, i: Column) -> Column:
-        hashed = H.hash_int(part, salt)
-        return F.when((F.size(parts) == 2) & (i == 1), H.choose(H.LAST_NAMES, hashed)).otherwise(
-            H.choose(H.FIRST_NAMES, hashed)
-        )
+    body = f"""array_join(transform(parts, (part, i) -> IF(size(parts) = 2 AND i = 1,
+        {H.pick(H.LAST_NAMES, 'part', salt)}, {H.pick(H.FIRST_NAMES, 'part', salt)})), ' ')"""
+    return let(f"split({squeezed(text)}, ' ')", "parts", body)
 
-    return F.array_join(F.transform(parts, stand_in), " ")
 
+def pseudonym(pii_type: str, text: str, salt: str = "") -> str:
+    digit_types = ", ".join(f"'{t}'" for t in DIGIT_TYPES)
+    return f"""CASE WHEN {pii_type} = 'PERSON' THEN {person(text, salt)}
+        WHEN {pii_type} IN ('LOC', 'ADDRESS') THEN {place(text, salt)}
+        WHEN {pii_type} = 'ORG' THEN {H.pick(H.ORGANIZATIONS, text, salt)}
+        WHEN {pii_type} IN ({digit_types}) THEN {H.replace_digits(text, salt)}
+        ELSE {H.pick(H.MISC_LABELS, text, salt)} END"""
 
-def pseudonym(pii_type: Column, text: Column, salt: str = "") -> Column:
-    hashed = H.hash_int(text, salt)
-    return (
-        F.when(pii_type == "PERSON", person(text, salt))
-        .when(pii_type.isin("LOC", "ADDRESS"), place(text, hashed))
-        .when(pii_type == "ORG", H.choose(H.ORGANIZATIONS, hashed))
-        .when(pii_type.isin(DIGIT_TYPES), H.replace_digits(text, salt))
-        .otherwise(H.choose(H.MISC_LABELS, hashed))
-    )
 
-
-def replacement(
-    strategy: Column, pii_type: Column, text: Column, given: Column | None = None, salt: str = "", custom: dict | None = None
-) -> Column:
+def replacement(strategy: str, pii_type: str, text: str, given: str | None = None, salt: str = "", custom: dict | None = None) -> str:
     """What a plan row puts in place of its text.
 
-    ``custom`` maps further strategy names to ``Column -> Column`` functions.
+    ``given`` names a column whose non-empty value wins for ``pseudo``. ``custom`` maps further
+    strategy names to functions from SQL text to SQL text.
     """
     drawn = pseudonym(pii_type, text, salt)
-    out = (
-        F.when(strategy == "redact", F.lit("[REDACTED]"))
-        .when(strategy == "mask", stars(text))
-        .when(strategy == "pseudo", drawn if given is None else F.coalesce(F.nullif(given, F.lit("")), drawn))
-    )
-    for name, fn in (custom or {}).items():
-        out = out.when(strategy == name, fn(text))
-    return out.otherwise(F.lit("[UNKNOWN_STRATEGY]"))
+    pseudo = f"coalesce(nullif({given}, ''), {drawn})" if given else drawn
+    more = " ".join(f"WHEN '{name}' THEN {fn(text)}" for name, fn in (custom or {}).items())
+    return f"""CASE {strategy} WHEN 'redact' THEN '[REDACTED]' WHEN 'mask' THEN {stars(text)}
+        WHEN 'pseudo' THEN {pseudo} {more} ELSE '[UNKNOWN_STRATEGY]' END"""
 
 
-def mask_named(text: Column, strategy: Column, pii_type: Column, salt: str = "") -> Column:
+def mask_named(text: str, strategy: str, pii_type: str, salt: str = "") -> str:
     """The direct-edit variant: names keep their word structure, an unknown strategy changes nothing."""
-    name = collapse_space(text)
-    spaced = (pii_type == "PERSON") & name.contains(" ")
-    low = F.lower(strategy)
-    return (
-        F.when((low == "mask") & spaced, F.regexp_replace(name, "[^ ]", "*"))
-        .when(low == "mask", stars(text))
-        .when(low == "redact", F.lit("[REDACTED]"))
-        .when(low == "pseudo", pseudonym(pii_type, text, salt))
-        .otherwise(text)
-    )
-
-
-def synth_by_subtype(subtype: Column, value: Column, unique: bool = False, salt: str = "") -> Column:
+    name = squeezed(text)
+    return f"""CASE lower({strategy})
+        WHEN 'mask' THEN IF({pii_type} = 'PERSON' AND contains({name}, ' '), regexp_replace({name}, '[^ ]', '*'), {stars(text)})
+        WHEN 'redact' THEN '[REDACTED]'
+        WHEN 'pseudo' THEN {pseudonym(pii_type, text, salt)}
+        ELSE {text} END"""
+
+
+def synth_by_subtype(subtype: str, value: str, unique: bool = False, salt: str = "") -> str:
     """A value of the column's subtype that depends on the original only.
 
     ``unique`` appends 96 more digest bits to id-like values, so that distinct keys of a large table
     stay distinct and joins keep their row counts.
     """
-    d = H.digest(value, salt)
-    digits = F.translate(d, "abcdef", "012345")
-    first, last = H.pick(H.FIRST_NAMES, value, salt), H.pick(H.LAST_NAMES, value, salt, 9)
-
-    def num(at: int, n: int) -> Column:
-        return F.substring(digits, at, n)
-
-    letters = F.upper(F.translate(F.substring(d, 17, 4), "0123456789", "ghjkmnpqrs"))
-    tail = F.concat(F.lit("-"), F.substring(d, 9, 24)) if unique else F.lit("")
-    days = (H.hash_int(value, salt) % 25000).cast("int")
-    return (
-        F.when(subtype == "name", F.concat_ws(" ", first, last))
-        .when(subtype == "email", F.concat(F.lower(first), F.lit("."), F.lower(last), num(17, 4), F.lit("@example.com")))
-        .when(subtype.isin("phone", "phone_number"), F.concat(F.lit("555-"), num(1, 3), F.lit("-"), num(4, 4)))
-        .when(
-            subtype.isin("ssn", "national_id"),
-            F.concat(num(1, 3), F.lit("-"), num(4, 2), F.lit("-"), num(6, 4), tail),
-        )
-        .when(
-            subtype == "address",
-            F.concat_ws(", ", H.pick(H.ADDRESSES, value, salt), H.pick(H.CITIES, value, salt, 9)),
-        )
-        .when(subtype.isin("date_of_birth", "date"), F.date_add(F.lit("1940-01-01").cast("date"), days).cast("string"))
-        .when(
-            subtype.isin("medical_record_number", "medical_condition"),
-            F.concat(F.lit("MRN-"), letters, F.lit("-"), num(1, 5), tail),
-        )
-        .when(subtype.isin("generic_id", "id", "account_number"), F.concat(F.lit("ACC-"), num(1, 8), tail))
-        .otherwise(F.concat(H.pick(H.WORDS, value, salt), F.lit("_anon")))
-    )
-
-
-def perturb_number(value: Column, salt: str = "") -> Column:
+    first, last = H.choose(H.FIRST_NAMES, "d.a"), H.choose(H.LAST_NAMES, "d.b")
+    tail = "concat('-', substr(d.hex, 9, 24))" if unique else "''"
+    letters = "upper(translate(substr(d.hex, 17, 4), '0123456789', 'ghjkmnpqrs'))"
+    body = f"""CASE WHEN {subtype} = 'name' THEN concat({first}, ' ', {last})
+        WHEN {subtype} = 'email' THEN concat(lower({first}), '.', lower({last}), substr(d.num, 17, 4), '@example.com')
+        WHEN {subtype} IN ('phone', 'phone_number') THEN concat('555-', substr(d.num, 1, 3), '-', substr(d.num, 4, 4))
+        WHEN {subtype} IN ('ssn', 'national_id') THEN concat(substr(d.num, 1, 3), '-', substr(d.num, 4, 2), '-', substr(d.num, 6, 4), {tail})
+        WHEN {subtype} = 'address' THEN concat({H.choose(H.ADDRESSES, 'd.a')}, ', ', {H.choose(H.CITIES, 'd.b')})
+        WHEN {subtype} IN ('date_of_birth', 'date') THEN CAST(date_add(DATE'1940-01-01', CAST(d.a % 25000 AS INT)) AS STRING)
+        WHEN {subtype} IN ('medical_record_number', 'medical_condition') THEN concat('MRN-', {letters}, '-', substr(d.num, 1, 5), {tail})
+        WHEN {subtype} IN ('generic_id', 'id', 'account_number') THEN concat('ACC-', substr(d.num, 1, 8), {tail})
+        ELSE concat({H.choose(H.WORDS, 'd.a')}, '_anon') END"""
+    facts = f"""struct({H.digest(value, salt)} AS hex, {H.digit_stream(value, salt)} AS num,
+        {H.hash_int(value, salt)} AS a, {H.hash_int(value, salt, 9)} AS b)"""
+    return f"IF({value} IS NULL, NULL, {let(facts, 'd', body)})"
+
+
+def perturb_number(value: str, salt: str = "") -> str:
     """Base times a factor in [0.8, 1.2) from the value's hash, in the original's format."""
-    factor = F.lit(0.8) + F.lit(0.4) * H.hash_int(value, salt) / F.lit(4294967296.0)
-    base = F.translate(value, "$,", "").try_cast("double")
-    moved = base * factor
-    shown = (
-        F.when(value.contains("$"), F.concat(F.lit("$"), F.format_number(moved, 2)))
-        .when(value.contains("."), F.format_string("%.2f", moved))
-        .otherwise(F.format_number(F.floor(moved), 0))
-    )
-    return F.when(base.isNull(), stars(value)).otherwise(shown)
-
-
-def replace_noun(item_type: Column, value: Column, salt: str = "") -> Column:
+    base = f"try_cast(translate({value}, '$,', '') AS DOUBLE)"
+    moved = f"{base} * (0.8D + 0.4D * {H.hash_int(value, salt)} / 4294967296.0D)"
+    body = f"""CASE WHEN m IS NULL THEN {stars(value)}
+        WHEN contains({value}, '$') THEN concat('$', format_number(m, 2))
+        WHEN contains({value}, '.') THEN format_string('%.2f', m)
+        ELSE format_number(floor(m), 0) END"""
+    return let(moved, "m", body)
+
+
+def replace_noun(item_type: str, value: str, salt: str = "") -> str:
     """Names and addresses get stand-ins, organizations are starred out."""
-    name = F.concat_ws(" ", H.pick(H.FIRST_NAMES, value, salt), H.pick(H.LAST_NAMES, value, salt, 9))
-    return (
-        F.when(item_type == "name", name)
-        .when(item_type == "address", H.pick(H.ADDRESSES, value, salt))
-        .otherwise(stars(value))
-    )
+    return f"""CASE {item_type}
+        WHEN 'name' THEN concat({H.pick(H.FIRST_NAMES, value, salt)}, ' ', {H.pick(H.LAST_NAMES, value, salt, 9)})
+        WHEN 'address' THEN {H.pick(H.ADDRESSES, value, salt)}
+        ELSE {stars(value)} END"""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions import dims
 from veil.functions.pseudo import replacement
 from veil.functions.spans import all_spans, let, splice
 from veil.functions.text import SPACE
+from veil.session import cut_lineage
 
 ITEM = "struct<len:int,ord:int,text:string,repl:string,strategy:string>"
 
@@ -35,15 +36,9 @@ def fold(text: str, items: str) -> str:
     return let(items, "items", body)
 
 
-def plan_item(ord_: Column, text: Column, repl: Column, strategy: Column) -> Column:
+def plan_item(ord_: str, text: str, repl: str, strategy: str) -> str:
     """A plan row as a fold item; struct order gives longest first, then plan order."""
-    return F.struct(
-        (-F.length(text)).alias("len"),
-        ord_.alias("ord"),
-        text.alias("text"),
-        repl.alias("repl"),
-        strategy.alias("strategy"),
-    )
+    return f"struct(-length({text}) AS len, {ord_} AS ord, {text} AS text, {repl} AS repl, {strategy} AS strategy)"
 
 
 def mask_text(texts: DataFrame, plan: DataFrame, salt: str = "", custom: dict | None = None) -> DataFrame:
@@ -53,10 +48,10 @@ def mask_text(texts: DataFrame, plan: DataFrame, salt: str = "", custom: dict |
     text and replacement collapse before the shuffle except for their count. Adds masked_text and
     counters; documents without plan rows come back unchanged.
     """
-    given = F.col("replacement") if "replacement" in plan.columns else None
-    repl = replacement(F.col("strategy"), F.col("pii_type"), F.col("text"), given, salt, custom)
+    given = "replacement" if "replacement" in plan.columns else None
+    repl = replacement("strategy", "pii_type", "text", given, salt, custom)
     items = (
-        plan.select("doc_id", plan_item(F.col("ord"), F.col("text"), repl, F.col("strategy")).alias("item"))
+        plan.select("doc_id", F.expr(plan_item("ord", "text", repl, "strategy")).alias("item"))
         .groupBy("doc_id")
         .agg(F.collect_list("item").alias("items"))
     )
@@ -79,7 +74,7 @@ def expand_fold(df: DataFrame) -> DataFrame:
     )
 
 
-def row_plan(registry, min_confidence: float = 0.8, salt: str = "", text: str = "text") -> str:
+def row_plan(registry, min_confidence: float = 0.8, text: str = "text") -> str:
     """The masking plan of one text from its own matches, as an array of fold items.
 
     The row-local form of detect -> filter -> best type per text -> strategy -> replacement.
@@ -102,13 +97,9 @@ def protect(texts: DataFrame, registry, min_confidence: float = 0.8, salt: str =
     No shuffle, no join, no state, so it serves batch and streaming alike. Adds plan (array),
     masked_text and the counters.
     """
-    planned = texts.withColumn("plan", F.expr(row_plan(registry, min_confidence, salt)))
-    items = F.transform(
-        "plan",
-        lambda p: plan_item(
-            p["ord"], p["text"], replacement(p["strategy"], p["pii_type"], p["text"], None, salt), p["strategy"]
-        ),
-    )
+    planned = texts.withColumn("plan", F.expr(row_plan(registry, min_confidence)))
+    repl = replacement("p.strategy", "p.pii_type", "p.text", None, salt)
+    items = F.expr(f"transform(plan, p -> {plan_item('p.ord', 'p.text', repl, 'p.strategy')})")
     return expand_fold(
         planned.withColumn("items", items).withColumn("f", F.expr(fold("text", "items")))
     ).drop("items")
@@ -119,7 +110,7 @@ def mask_spans(pages: DataFrame, entities: DataFrame, salt: str = "") -> DataFra
 
     Spans are grouped per page, so the page size bounds the group.
     """
-    repl = replacement(F.col("strategy"), F.col("pii_type"), F.col("text"), None, salt)
+    repl = F.expr(replacement("strategy", "pii_type", "text", None, salt))
     spans = entities.groupBy("doc_id", "page_num").agg(
         F.array_sort(
             F.collect_list(F.struct("ord", "start", "end", repl.alias("repl")))
@@ -200,14 +191,15 @@ def document_hits(pages: DataFrame, plan: DataFrame, hot_pairs: int = 1_000_000)
 def mask_document(pages: DataFrame, plan: DataFrame, salt: str = "", hot_pairs: int = 1_000_000) -> DataFrame:
     """Masked pages of multi-page documents: every plan text of a document is masked on all its pages."""
     given = F.col("replacement") if "replacement" in plan.columns else F.lit(None).cast("string")
-    one = plan.groupBy("doc_id", "text").agg(
-        F.min(F.struct(F.col("ord"), F.col("pii_type"), F.col("strategy"), given.alias("replacement"))).alias("p")
-    ).select("doc_id", "text", "p.*")
-    hits = document_hits(pages, one, hot_pairs)
-    repl = replacement(F.col("strategy"), F.col("pii_type"), F.col("text"), F.col("replacement"), salt)
-    items = hits.groupBy("doc_id", "page_num").agg(
-        F.collect_list(plan_item(F.col("ord"), F.col("text"), repl, F.col("strategy"))).alias("items")
+    # used several times below: kept as files, so that detection runs once
+    one = cut_lineage(
+        plan.groupBy("doc_id", "text")
+        .agg(F.min(F.struct(F.col("ord"), F.col("pii_type"), F.col("strategy"), given.alias("replacement"))).alias("p"))
+        .select("doc_id", "text", "p.*")
     )
+    hits = document_hits(pages, one, hot_pairs)
+    item = plan_item("ord", "text", replacement("strategy", "pii_type", "text", "replacement", salt), "strategy")
+    items = hits.groupBy("doc_id", "page_num").agg(F.collect_list(F.expr(item)).alias("items"))
     joined = pages.join(items, ["doc_id", "page_num"], "left")
     return expand_fold(
         joined.withColumn("f", F.expr(fold("text", f"coalesce(items, cast(array() AS array<{ITEM}>))")))

@@ -34,19 +34,11 @@ def pseudo_person(names: DataFrame, salt: str = "") -> DataFrame:
     """
     parts = name_parts(names)
     roles = first_role(parts)
-    hashed = H.digest(F.col("part"), salt)
     ranked = block_rank(
-        roles.withColumn("h", hashed), ["doc_id", "role"], F.col("h"), F.substring("h", 1, 2), "rank"
-    )
-    stand_in = (
-        ranked.withColumn(
-            "new_part",
-            F.when(F.col("role") == "last", H.choose(H.LAST_NAMES, F.col("rank"))).otherwise(
-                H.choose(H.FIRST_NAMES, F.col("rank"))
-            ),
-        )
-        .select("doc_id", "part", "new_part")
+        roles.withColumn("h", F.expr(H.digest("part", salt))), ["doc_id", "role"], F.col("h"), F.substring("h", 1, 2), "rank"
     )
+    name = f"IF(role = 'last', {H.choose(H.LAST_NAMES, 'rank')}, {H.choose(H.FIRST_NAMES, 'rank')})"
+    stand_in = ranked.select("doc_id", "part", F.expr(name).alias("new_part"))
     return (
         parts.join(stand_in, ["doc_id", "part"])
         .groupBy("doc_id", "ord", "text")

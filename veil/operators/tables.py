@@ -202,19 +202,19 @@ def column_classify(samples: DataFrame) -> DataFrame:
     )
 
 
-def synth_cell(column: Column, subtype: Column, null_policy: str = "keep", unique: bool = False, salt: str = "") -> Column:
+def synth_cell(column: str, subtype: str, null_policy: str = "keep", unique: bool = False, salt: str = "") -> Column:
     """Stand-in for one cell; nulls stay, or are drawn like the text ``__NULL__``."""
-    value = column.cast("string")
+    value = f"CAST(`{column}` AS STRING)"
     if null_policy == "synthesize":
-        value = F.coalesce(value, F.lit("__NULL__"))
-    return synth_by_subtype(subtype, value, unique, salt)
+        value = f"coalesce({value}, '__NULL__')"
+    return F.expr(synth_by_subtype(f"'{subtype}'", value, unique, salt))
 
 
 def anonymize_table(df: DataFrame, subtypes: dict[str, str], null_policy: str = "keep", unique: bool = True, salt: str = "") -> DataFrame:
     """Replace the given columns by stand-ins. A pure projection: equal values stay equal everywhere."""
     return df.select(
         *[
-            synth_cell(F.col(c), F.lit(subtypes[c]), null_policy, unique, salt).alias(c) if c in subtypes else F.col(c)
+            synth_cell(c, subtypes[c], null_policy, unique, salt).alias(c) if c in subtypes else F.col(c)
             for c in df.columns
         ]
     )
@@ -250,7 +250,7 @@ def extend_mapping(mapping: DataFrame, values: DataFrame, subtype: str, unique:
     """Mapping rows for values (group_key, original) that the stored mapping does not know yet."""
     unseen = values.distinct().join(mapping, ["group_key", "original"], "left_anti")
     return unseen.select(
-        "group_key", "original", synth_by_subtype(F.lit(subtype), F.col("original"), unique, salt).alias("synthetic")
+        "group_key", "original", F.expr(synth_by_subtype(f"'{subtype}'", "original", unique, salt)).alias("synthetic")
     )
 
 
