@@ -1,2 +1,2 @@
 from checks import inputs  # noqa: F401 - derived inputs come first
-from checks import detection, masking, scalars, texts  # noqa: F401, E402
+from checks import detection, masking, reports, scalars, tables, texts  # noqa: F401, E402

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veil.operators import tables as T
 from veil.operators.mask import protect
+from veil.operators.tables import anonymize_table
 
 
 def protect_report(texts: DataFrame, registry, min_confidence: float = 0.8, salt: str = "") -> DataFrame:
@@ -36,3 +40,44 @@ def protect_report(texts: DataFrame, registry, min_confidence: float = 0.8, salt
         .where(F.col("pii_type").isNotNull())
         .select("pii_type", "strategy", "n_items", "n_docs", "total_masked")
     )
+
+
+def anonymize_set(tables_by_name: dict[str, DataFrame], subtypes: dict[str, str], null_policy: str = "keep", salt: str = "") -> dict[str, DataFrame]:
+    """Anonymize the named columns wherever they occur in a set of tables.
+
+    ``subtypes`` maps column names to subtypes. Each table is one projection; equal values get equal
+    stand-ins in every table, so joins on them hold.
+    """
+    return {
+        name: anonymize_table(df, {c: subtypes[c] for c in df.columns if c in subtypes}, null_policy, True, salt)
+        for name, df in tables_by_name.items()
+    }
+
+
+def plan_set(tables_by_name: dict[str, DataFrame], order: dict[str, str], min_overlap: float = 0.2) -> DataFrame:
+    """Discovery over a set of tables: (node, group_key, subtype) of every sensitive column.
+
+    ``order`` names the column that orders each table's sample. The result has at most one row per
+    column of the set.
+    """
+    catalog = T.column_catalog(tables_by_name)
+    samples = reduce(
+        DataFrame.unionByName, [T.sample_cells(n, df, order[n]) for n, df in tables_by_name.items()]
+    )
+    same = catalog.join(T.same_name_links(catalog).select("column_name"), "column_name")
+    named = same.groupBy("column_name").agg(F.min("column_id").alias("a")).join(same, "column_name").select("a", F.col("column_id").alias("b"))
+    edges = T.column_pairs(tables_by_name, min_overlap).select("a", "b").unionByName(named)
+    labels = T.link_groups(catalog.select(F.col("column_id").alias("node")), edges)
+    return T.linked_subtypes(T.column_classify(samples), T.group_keys(labels))
+
+
+def replica(tables_by_name: dict[str, DataFrame], order: dict[str, str], min_overlap: float = 0.2, salt: str = "") -> dict[str, DataFrame]:
+    """A clean copy of a table set: discover, then anonymize. Only the column plan reaches the driver."""
+    found = plan_set(tables_by_name, order, min_overlap).collect()  # schema-sized: one row per column
+    by_table: dict[str, dict[str, str]] = {}
+    for row in found:
+        table, column = row["node"].split(".", 1)
+        by_table.setdefault(table, {})[column] = row["subtype"]
+    return {
+        name: anonymize_table(df, by_table.get(name, {}), "keep", True, salt) for name, df in tables_by_name.items()
+    }

@@ -51,7 +51,7 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
     )
 
 
-def run_updates(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Update-mode results as parquet: each batch is written under its number, so a replay overwrites itself."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
