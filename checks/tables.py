@@ -264,3 +264,34 @@ def processing_documents(spark, sf):
 )
 def processing_summary(spark, sf):
     return stages(spark, sf)[1]
+
+
+@query(
+    "replica",
+    """SELECT 'customer' AS table_name, count(*) AS n_rows, count(DISTINCT c_custkey) AS n_keys, (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey) AS order_links FROM customer
+    UNION ALL SELECT 'orders', count(*), count(DISTINCT o_custkey), (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey) FROM orders""",
+)
+def replica(spark, sf):
+    """A clean copy of a table set: discovered, anonymized, with rows, keys and links intact."""
+    copy = pipelines.replica(renamed(spark, sf), {"customer": "cust_id", "orders": "order_id", "supplier": "supp_id"})
+    links = tables.join_rows(copy["orders"], copy["customer"], "cust_id", "cust_id")
+    parts = [
+        copy[t].groupBy("cust_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_keys"))
+        .select(F.lit(t).alias("table_name"), "n_rows", "n_keys", links.scalar().alias("order_links"))
+        for t in ("customer", "orders")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query("synth_table")
+def synth_table(spark, sf):
+    """Customers and orders of the same shape, drawn by hash; orders point to existing customers.
+
+    Percentiles are approximate, so there is no SQL form; tests bound the drift and check the keys.
+    """
+    from veil.operators import mimic
+
+    customers, orders = table(spark, sf, "customer"), table(spark, sf, "orders")
+    shape = mimic.profile(orders, ["o_totalprice"], ["o_orderstatus", "o_orderpriority"])
+    parents = mimic.profile(customers, ["c_acctbal"], ["c_mktsegment"])["rows"]
+    return mimic.synth_table(spark, shape, shape["rows"], "o_orderkey", {"o_custkey": parents})
