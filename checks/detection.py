@@ -50,7 +50,7 @@ def plan_of(spark, sf):
 )
 def protect_documents(spark, sf):
     """Flagship: one narrow detect-and-mask pass, then counts."""
-    from veil.plans.pipelines import protect_report
+    from veil.plans.jobs import protect_report
 
     return protect_report(docs(spark, sf), CUSTOM)
 

@@ -211,7 +211,7 @@ def dataset_sink(spark, sf):
 
 # --- scans, running totals, audits ---------------------------------------------------------------
 
-SCAN_PAGES = f"(SELECT conv_id AS doc_id, turn AS page_num, CASE conv_id % 5 WHEN 0 THEN substr(text, 1, 20) WHEN 1 THEN ' ' WHEN 2 THEN substr(text, 1, 55) ELSE text END AS text, CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END AS n_images FROM conversations)"
+SCAN_PAGES = f"(SELECT conv_id AS doc_id, turn AS page_num, CASE conv_id % 5 WHEN 0 THEN role WHEN 1 THEN ' ' WHEN 2 THEN role || ' wrote ' || length(text) || ' characters on this page' ELSE text END AS text, CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END AS n_images FROM conversations)"
 ST = strip_sql("text")
 SCAN = f"""(SELECT doc_id, sum(length({ST})) AS c, sum(len(list_filter(regexp_split_to_array(text, '{SPACE}+'), lambda w: w <> ''))) AS w, count(*) AS p, 612.0 * 792.0 AS area, max(n_images) > 0 AS img FROM {SCAN_PAGES} GROUP BY doc_id)"""
 V = ["c < 50", "c / area < 0.1", "w / p < 10", "img AND c / p < 100"]
@@ -233,7 +233,11 @@ def scan_classify(spark, sf):
     pages = conv.select(
         F.col("conv_id").alias("doc_id"),
         F.col("turn").alias("page_num"),
-        F.when(kind == 0, F.substring(body, 1, 20)).when(kind == 1, " ").when(kind == 2, F.substring(body, 1, 55)).otherwise(body).alias("text"),
+        F.when(kind == 0, F.col("role"))
+        .when(kind == 1, " ")
+        .when(kind == 2, F.concat("role", F.lit(" wrote "), F.length(body).cast("string"), F.lit(" characters on this page")))
+        .otherwise(body)
+        .alias("text"),
         F.lit(612.0).alias("width"),
         F.lit(792.0).alias("height"),
         F.when(F.col("turn") % 3 == 0, 1).otherwise(0).alias("n_images"),

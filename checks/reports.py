@@ -52,7 +52,7 @@ def src_csv_dir(spark, sf):
 def sink_csv(spark, sf):
     """An anonymized table written as CSV: row counts and distinct stand-ins survive the round trip."""
     from checks.tables import renamed
-    from veil.plans.pipelines import anonymize_set
+    from veil.plans.jobs import anonymize_set
 
     path = shared_path(spark, "anonymized")
     out = anonymize_set({"orders.csv": renamed(spark, sf)["orders"]}, {"cust_id": "generic_id"})
@@ -130,22 +130,21 @@ def paginate(spark, sf):
     "status_of",
     """SELECT r.document_id, count(*) FILTER (status = 'uploaded') > 0 AS uploaded, max(c.document_id) IS NOT NULL AS config_generated, count(*) FILTER (status = 'masked') > 0 AS masking_completed,
     count(*) AS total_files, count(*) FILTER (status = 'uploaded') AS uploaded_count, count(*) FILTER (status = 'masked') AS masked_count
-    FROM registry r LEFT JOIN (SELECT DISTINCT document_id FROM registry WHERE row_id % 3 = 0) c ON r.document_id = c.document_id GROUP BY r.document_id""",
+    FROM registry r LEFT JOIN (SELECT DISTINCT document_id FROM registry WHERE file_type = '.pdf') c ON r.document_id = c.document_id GROUP BY r.document_id""",
     ("registry",),
 )
 def status_of(spark, sf):
     registry = derived(spark, sf, "registry")
-    return reg.status_of(registry, registry.where("row_id % 3 = 0"))
+    return reg.status_of(registry, registry.where("file_type = '.pdf'"))
 
 
 @query(
     "metadata_merge",
-    """SELECT row_id, CASE WHEN row_id % 4 = 0 THEN 'local_path=/p' || row_id || ';pages=' || row_id % 9
-        WHEN row_id % 4 = 1 THEN 'local_path=/p' || row_id || ';masked=yes;pages=new' ELSE 'local_path=/p' || row_id || ';pages=' || row_id % 9 END AS metadata FROM registry""",
+    """SELECT row_id, CASE WHEN status = 'masked' THEN 'local_path=/p' || row_id || ';masked=yes;pages=new' ELSE 'local_path=/p' || row_id || ';pages=' || row_id % 9 END AS metadata FROM registry""",
     ("registry",),
 )
 def metadata_merge(spark, sf):
-    """Updates for one row in four: one key replaced, one added."""
+    """Updates for masked rows: one key replaced, one added."""
     registry = derived(spark, sf, "registry").withColumn("document_id", F.col("row_id").cast("string"))
     old = registry.withColumn(
         "metadata",
@@ -154,14 +153,14 @@ def metadata_merge(spark, sf):
             F.lit("pages"), (F.col("row_id") % 9).cast("string"),
         ),
     )
-    new = registry.where("row_id % 4 = 1").select(
+    new = registry.where("status = 'masked'").select(
         "document_id", F.create_map(F.lit("pages"), F.lit("new"), F.lit("masked"), F.lit("yes")).alias("metadata")
     )
     flat = F.array_join(F.sort_array(F.transform(F.map_entries("metadata"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
     return reg.metadata_merge(old, new).select("row_id", flat.alias("metadata"))
 
 
-KEPT = """(SELECT * FROM registry WHERE NOT (status = 'uploaded' AND document_id IN (SELECT document_id FROM registry WHERE status = 'masked')) AND document_id NOT IN (SELECT document_id FROM registry WHERE row_id % 100 = 7))"""
+KEPT = """(SELECT * FROM registry WHERE NOT (status = 'uploaded' AND document_id IN (SELECT document_id FROM registry WHERE status = 'masked')) AND document_id NOT IN (SELECT document_id FROM registry WHERE file_size > 99000000))"""
 
 
 @query(
@@ -172,7 +171,7 @@ KEPT = """(SELECT * FROM registry WHERE NOT (status = 'uploaded' AND document_id
 )
 def retention(spark, sf):
     registry = derived(spark, sf, "registry")
-    forced = registry.where("row_id % 100 = 7").select("document_id").distinct()
+    forced = registry.where("file_size > 99000000").select("document_id").distinct()
     return reg.retention_counts(registry, forced)
 
 

@@ -81,10 +81,10 @@ def clean_text(spark, sf):
 @query(
     "partial_mask",
     """SELECT c_custkey, CASE WHEN length(v) <= 4 THEN repeat('*', length(v)) ELSE left(v, 2) || repeat('*', length(v) - 4) || right(v, 2) END AS masked
-    FROM (SELECT c_custkey, substr(c_name || c_mktsegment, 1, CAST(c_custkey % 30 AS INTEGER)) AS v FROM customer)""",
+    FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN c_mktsegment ELSE CAST(c_custkey AS VARCHAR) END AS v FROM customer)""",
 )
 def partial_mask(spark, sf):
-    v = F.expr("substr(c_name || c_mktsegment, 1, CAST(c_custkey % 30 AS INT))")
+    v = F.expr("CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN c_mktsegment ELSE CAST(c_custkey AS STRING) END")
     return table(spark, sf, "customer").select("c_custkey", text.partial_mask(v).alias("masked"))
 
 
@@ -234,7 +234,7 @@ def plan_order(spark, sf):
 
 
 DERIVED["reviews"] = f"""SELECT o_custkey AS doc_id, 'pii_' || CAST({O} AS STRING) AS pii_id,
-    {case(f'({O} * 7 % 13)', "'mask'", "'redact'", "'pseudo'", "CAST(NULL AS STRING)")} AS strategy, {O} % 2 = 0 AS selected FROM {{orders}} WHERE {O} % 3 <> 0"""
+    {case(f'({O} * 7 % 13)', "'mask'", "'redact'", "'pseudo'", "CAST(NULL AS STRING)")} AS strategy, o_orderstatus = 'F' AS selected FROM {{orders}} WHERE o_orderpriority <> '5-LOW'"""
 
 
 @query(

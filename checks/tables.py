@@ -12,7 +12,7 @@ from checks.inputs import O
 from checks.sqltext import category_sql, dedup_sql, hash_sql, pool_sql, quote, strategy_sql
 from veil.functions import dims, hashing, pseudo
 from veil.operators import mask, report, resolve, tables
-from veil.plans import pipelines
+from veil.plans import jobs
 from veil.sources import registry as reg
 from veil.streaming import streams
 
@@ -190,7 +190,7 @@ def synth_by_subtype(spark, sf):
 )
 def anonymize_tables(spark, sf):
     """One table of an anonymized set: the linked key becomes a stand-in, the rest stays."""
-    out = pipelines.anonymize_set(renamed(spark, sf), {"cust_id": "generic_id", "full_name": "name"})
+    out = jobs.anonymize_set(renamed(spark, sf), {"cust_id": "generic_id", "full_name": "name"})
     return out["orders"]
 
 
@@ -212,7 +212,7 @@ def fk_preserved(spark, sf):
     return checked[0].unionByName(checked[1])
 
 
-DERIVED["mapping"] = """SELECT 'group_0' AS group_key, CAST(c_custkey AS STRING) AS original, 'C-' || CAST(c_custkey * 7 + 11 AS STRING) AS synthetic FROM {customer} WHERE c_custkey % 3 <> 0"""
+DERIVED["mapping"] = """SELECT 'group_0' AS group_key, CAST(c_custkey AS STRING) AS original, 'C-' || CAST(c_custkey * 7 + 11 AS STRING) AS synthetic FROM {customer} WHERE c_mktsegment <> 'BUILDING'"""
 
 
 @query(
@@ -273,7 +273,7 @@ def processing_summary(spark, sf):
 )
 def replica(spark, sf):
     """A clean copy of a table set: discovered, anonymized, with rows, keys and links intact."""
-    copy = pipelines.replica(renamed(spark, sf), {"customer": "cust_id", "orders": "order_id", "supplier": "supp_id"})
+    copy = jobs.replica(renamed(spark, sf), {"customer": "cust_id", "orders": "order_id", "supplier": "supp_id"})
     links = tables.join_rows(copy["orders"], copy["customer"], "cust_id", "cust_id")
     parts = [
         copy[t].groupBy("cust_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_keys"))

@@ -78,21 +78,27 @@ def synth_by_subtype(subtype: str, value: str, unique: bool = False, salt: str =
     ``unique`` appends 96 more digest bits to id-like values, so that distinct keys of a large table
     stay distinct and joins keep their row counts.
     """
-    first, last = H.choose(H.FIRST_NAMES, "d.a"), H.choose(H.LAST_NAMES, "d.b")
-    tail = "concat('-', substr(d.hex, 9, 24))" if unique else "''"
-    letters = "upper(translate(substr(d.hex, 17, 4), '0123456789', 'ghjkmnpqrs'))"
+    num = "translate(h, 'abcdef', '012345')"
+
+    def part(start: int) -> str:
+        return f"CAST(conv(substr(h, {start}, 8), 16, 10) AS BIGINT)"
+
+    def digits(start: int, n: int) -> str:
+        return f"substr({num}, {start}, {n})"
+
+    first, last = H.choose(H.FIRST_NAMES, part(1)), H.choose(H.LAST_NAMES, part(9))
+    tail = "concat('-', substr(h, 9, 24))" if unique else "''"
+    letters = "upper(translate(substr(h, 17, 4), '0123456789', 'ghjkmnpqrs'))"
     body = f"""CASE WHEN {subtype} = 'name' THEN concat({first}, ' ', {last})
-        WHEN {subtype} = 'email' THEN concat(lower({first}), '.', lower({last}), substr(d.num, 17, 4), '@example.com')
-        WHEN {subtype} IN ('phone', 'phone_number') THEN concat('555-', substr(d.num, 1, 3), '-', substr(d.num, 4, 4))
-        WHEN {subtype} IN ('ssn', 'national_id') THEN concat(substr(d.num, 1, 3), '-', substr(d.num, 4, 2), '-', substr(d.num, 6, 4), {tail})
-        WHEN {subtype} = 'address' THEN concat({H.choose(H.ADDRESSES, 'd.a')}, ', ', {H.choose(H.CITIES, 'd.b')})
-        WHEN {subtype} IN ('date_of_birth', 'date') THEN CAST(date_add(DATE'1940-01-01', CAST(d.a % 25000 AS INT)) AS STRING)
-        WHEN {subtype} IN ('medical_record_number', 'medical_condition') THEN concat('MRN-', {letters}, '-', substr(d.num, 1, 5), {tail})
-        WHEN {subtype} IN ('generic_id', 'id', 'account_number') THEN concat('ACC-', substr(d.num, 1, 8), {tail})
-        ELSE concat({H.choose(H.WORDS, 'd.a')}, '_anon') END"""
-    facts = f"""struct({H.digest(value, salt)} AS hex, {H.digit_stream(value, salt)} AS num,
-        {H.hash_int(value, salt)} AS a, {H.hash_int(value, salt, 9)} AS b)"""
-    return f"IF({value} IS NULL, NULL, {let(facts, 'd', body)})"
+        WHEN {subtype} = 'email' THEN concat(lower({first}), '.', lower({last}), {digits(17, 4)}, '@example.com')
+        WHEN {subtype} IN ('phone', 'phone_number') THEN concat('555-', {digits(1, 3)}, '-', {digits(4, 4)})
+        WHEN {subtype} IN ('ssn', 'national_id') THEN concat({digits(1, 3)}, '-', {digits(4, 2)}, '-', {digits(6, 4)}, {tail})
+        WHEN {subtype} = 'address' THEN concat({H.choose(H.ADDRESSES, part(1))}, ', ', {H.choose(H.CITIES, part(9))})
+        WHEN {subtype} IN ('date_of_birth', 'date') THEN CAST(date_add(DATE'1940-01-01', CAST({part(1)} % 25000 AS INT)) AS STRING)
+        WHEN {subtype} IN ('medical_record_number', 'medical_condition') THEN concat('MRN-', {letters}, '-', {digits(1, 5)}, {tail})
+        WHEN {subtype} IN ('generic_id', 'id', 'account_number') THEN concat('ACC-', {digits(1, 8)}, {tail})
+        ELSE concat({H.choose(H.WORDS, part(1))}, '_anon') END"""
+    return f"IF({value} IS NULL, NULL, {let(H.digest(value, salt), 'h', body)})"
 
 
 def perturb_number(value: str, salt: str = "") -> str:

@@ -28,32 +28,43 @@ def let(value: str, name: str, body: str) -> str:
 
 # Two code points that Unicode reserves for internal use mark matches inside a scanned text.
 MARK, INNER, SPARE = "\ufdd0", "\ufdd1", "\ufffd"
+HIT = "struct<rank:int,kind:string,confidence:double,source:string,pieces:array<string>>"
+PAGE = 1024  # entries a growing array holds before it is set aside
 
 
-def match_spans(text: str, pattern: Pattern, rank: int = 0) -> str:
-    """All matches of one pattern in a text free of the marks, left to right, in one regex pass.
+def append(pages: str, page: str, entry: str) -> str:
+    """Fields ``pages`` and ``page`` of a fold that grows a list by one entry.
 
-    ``regexp_replace`` sets marks around the matches, ``split`` then yields gap, match, gap, ...;
-    running lengths give the offsets.
+    Appending copies the array, so a list grows in pages: copying stays near linear for long lists.
     """
+    full = f"size({page}) >= {PAGE}"
+    return f"IF({full}, concat({pages}, array({page})), {pages}) AS pages, IF({full}, array({entry}), concat({page}, array({entry}))) AS page"
+
+
+def marked_pieces(text: str, pattern: Pattern, rank: int) -> str:
+    """One regex pass: marks are set around the matches, then gap, match, gap, ... are split apart."""
     regex = literal(java_regex(pattern.regex, pattern.any_digit))
     marked = f"{MARK}$0{INNER}$1{MARK}" if pattern.group else f"{MARK}$0{MARK}"
-    full = f"length(substring_index(p, '{INNER}', 1))" if pattern.group else "length(p)"
-    value = f"substring_index(p, '{INNER}', -1)" if pattern.group else "p"
-    found = f"""aggregate(pieces, struct(0 AS at, false AS hit, {NO_SPANS} AS out),
-        (a, p) -> IF(a.hit,
-            struct(a.at + {full} AS at, false AS hit, concat(a.out, array(struct(
-                {rank} AS rank, '{pattern.kind}' AS kind,
-                a.at + {full} - length({value}) AS start, a.at + {full} AS end,
-                {value} AS text, {pattern.confidence}D AS confidence, '{pattern.source}' AS source))) AS out),
-            struct(a.at + length(p) AS at, true AS hit, a.out AS out)),
-        a -> a.out)"""
-    pieces = f"split(regexp_replace({text}, {regex}, '{marked}'), '{MARK}', -1)"
-    out = let(pieces, "pieces", f"IF(size(pieces) = 1, {NO_SPANS}, {found})")
+    hit = f"""struct({rank} AS rank, '{pattern.kind}' AS kind, {pattern.confidence}D AS confidence, '{pattern.source}' AS source,
+        split(regexp_replace({text}, {regex}, '{marked}'), '{MARK}', -1) AS pieces)"""
     if pattern.hints:
         hinted = " OR ".join(f"contains({text}, {literal(h)})" for h in pattern.hints)
-        out = f"IF({hinted}, {out}, {NO_SPANS})"
-    return out
+        hit = f"IF({hinted}, {hit}, NULL)"
+    return hit
+
+
+def hit_spans(hit: str) -> str:
+    """Spans of one pattern's pieces; running lengths give the offsets."""
+    full = f"length(substring_index(p, '{INNER}', 1))"
+    value = f"substring_index(p, '{INNER}', -1)"
+    span = f"""struct({hit}.rank AS rank, {hit}.kind AS kind, a.at + {full} - length({value}) AS start, a.at + {full} AS end,
+        {value} AS text, {hit}.confidence AS confidence, {hit}.source AS source)"""
+    return f"""aggregate({hit}.pieces,
+        struct(0 AS at, false AS matched, cast(array() AS array<array<{SPAN}>>) AS pages, {NO_SPANS} AS page),
+        (a, p) -> IF(a.matched,
+            struct(a.at + {full} AS at, false AS matched, {append('a.pages', 'a.page', span)}),
+            struct(a.at + length(p) AS at, true AS matched, a.pages AS pages, a.page AS page)),
+        a -> flatten(concat(a.pages, array(a.page))))"""
 
 
 def all_spans(text: str, patterns: list[Pattern]) -> str:
@@ -63,17 +74,22 @@ def all_spans(text: str, patterns: list[Pattern]) -> str:
     that holds a mark itself is scanned with a neutral stand-in of the same length.
     """
     ranked = list(enumerate(patterns))
-    parts = [match_spans("t", p, i) for i, p in ranked if not p.digits]
-    digit = [match_spans("t", p, i) for i, p in ranked if p.digits]
+    plain = [marked_pieces("t", p, i) for i, p in ranked if not p.digits]
+    digit = [marked_pieces("t", p, i) for i, p in ranked if p.digits]
+    none = f"cast(array() AS array<{HIT}>)"
+    groups = []
+    if plain:
+        groups.append(f"array({', '.join(plain)})")
     if digit:
-        parts.append(f"IF(rlike(t, '[0-9][0-9]'), flatten(array({', '.join(digit)})), {NO_SPANS})")
-    found = f"array_sort(flatten(array({', '.join(parts)})))"
-    marked = f"contains({text}, '{MARK}') OR contains({text}, '{INNER}')"
-    clean = let(text, "t", found)
-    dirty = let(f"translate({text}, '{MARK}{INNER}', '{SPARE}{SPARE}')", "t", found)
-    restored = f"""transform({dirty}, s -> struct(s.rank AS rank, s.kind AS kind, s.start AS start, s.end AS end,
-        substr({text}, s.start + 1, s.end - s.start) AS text, s.confidence AS confidence, s.source AS source))"""
-    return f"IF({marked}, {restored}, {clean})"
+        groups.append(f"IF(rlike(t, '[0-9][0-9]'), array({', '.join(digit)}), {none})")
+    hits = f"array_sort(filter(concat({', '.join(groups)}), h -> size(h.pieces) > 1))"
+    found = f"flatten(transform({hits}, h -> {hit_spans('h')}))"
+    dirty = f"contains({text}, '{MARK}') OR contains({text}, '{INNER}')"
+    clean = f"IF({dirty}, translate({text}, '{MARK}{INNER}', '{SPARE}{SPARE}'), {text})"
+    restored = f"""transform(spans, s -> IF(contains(s.text, '{SPARE}'),
+        struct(s.rank AS rank, s.kind AS kind, s.start AS start, s.end AS end,
+            substr({text}, s.start + 1, s.end - s.start) AS text, s.confidence AS confidence, s.source AS source), s))"""
+    return let(let(clean, "t", found), "spans", f"IF({dirty}, {restored}, spans)")
 
 
 def keep_disjoint(spans: str) -> str:
@@ -83,14 +99,31 @@ def keep_disjoint(spans: str) -> str:
              ELSE concat(kept, array(s)) END)"""
 
 
+def resolve_overlaps(spans: str) -> str:
+    """``keep_disjoint`` for long lists: spans that touch form clusters, each resolved by itself.
+
+    Spans of different clusters never overlap, so the result is that of the whole list, in
+    (rank, position) order.
+    """
+    cluster = f"array<{SPAN}>"
+    step = append("a.pages", "a.page", "a.cluster")
+    clusters = f"""aggregate({by_position(spans)},
+        struct(-1 AS reach, {NO_SPANS} AS cluster, cast(array() AS array<array<{cluster}>>) AS pages, cast(array() AS array<{cluster}>) AS page),
+        (a, s) -> IF(s.start < a.reach,
+            struct(greatest(a.reach, s.end) AS reach, concat(a.cluster, array(s)) AS cluster, a.pages AS pages, a.page AS page),
+            struct(s.end AS reach, array(s) AS cluster, {step})),
+        a -> concat(flatten(concat(a.pages, array(a.page))), array(a.cluster)))"""
+    kept = f"flatten(transform({clusters}, c -> IF(size(c) < 2, c, {keep_disjoint('array_sort(c)')})))"
+    return f"array_sort({kept})"
+
+
 def by_position(spans: str) -> str:
     return f"array_sort({spans}, (a, b) -> CASE WHEN a.start < b.start THEN -1 WHEN a.start > b.start THEN 1 ELSE 0 END)"
 
 
 def splice(text: str, spans: str, replacement: str) -> str:
     """Replace exactly the given disjoint spans; ``replacement`` is an expression over span ``s``."""
-    return f"""aggregate({by_position(spans)}, struct(1 AS at, '' AS out),
-        (acc, s) -> struct(
-            s.end + 1 AS at,
-            concat(acc.out, substr({text}, acc.at, s.start + 1 - acc.at), {replacement}) AS out),
-        acc -> concat(acc.out, substr({text}, acc.at)))"""
+    pieces = f"""transform(o, (s, i) -> concat(
+        substr({text}, coalesce(get(o, i - 1).end, 0) + 1, s.start - coalesce(get(o, i - 1).end, 0)), {replacement}))"""
+    tail = f"substr({text}, coalesce(get(o, size(o) - 1).end, 0) + 1)"
+    return let(by_position(spans), "o", f"concat(array_join({pieces}, ''), {tail})")

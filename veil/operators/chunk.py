@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veil.functions.spans import let
+from veil.functions.spans import append, let
 from veil.functions.text import SPACE
 
 
@@ -30,9 +30,12 @@ def word_chunks(text: str, limit: int = 4000) -> str:
 
 def with_offsets(chunks: str) -> str:
     """Chunks with running offsets, one character between neighbours: array<struct<chunk, chunk_offset>>."""
-    return f"""aggregate({chunks}, struct(0L AS at, cast(array() AS array<struct<chunk:string,chunk_offset:bigint>>) AS out),
-        (a, c) -> struct(a.at + length(c) + 1 AS at, concat(a.out, array(struct(c AS chunk, a.at AS chunk_offset))) AS out),
-        a -> a.out)"""
+    entry = "struct<chunk:string,chunk_offset:bigint>"
+    step = append("a.pages", "a.page", "struct(c AS chunk, a.at AS chunk_offset)")
+    return f"""aggregate({chunks},
+        struct(0L AS at, cast(array() AS array<array<{entry}>>) AS pages, cast(array() AS array<{entry}>) AS page),
+        (a, c) -> struct(a.at + length(c) + 1 AS at, {step}),
+        a -> flatten(concat(a.pages, array(a.page))))"""
 
 
 def chunk_words(pages: DataFrame, limit: int = 4000) -> DataFrame:

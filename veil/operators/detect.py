@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veil.functions import dims
 from veil.functions.patterns import REGISTRY, Pattern
-from veil.functions.spans import all_spans, keep_disjoint, let
+from veil.functions.spans import all_spans, let, resolve_overlaps
 from veil.functions.text import SPACE, json_bounds, llm_json_text, strip
 
 ENTITY = (
@@ -193,7 +193,7 @@ def detect_items(blocks: DataFrame, patterns: list[Pattern], keep: str) -> DataF
     ``keep`` is a predicate over span ``s``; a span it rejects does not claim its place, so it is
     applied before overlap resolution. Each item gets the box that its characters cover.
     """
-    kept_spans = let(f"filter({all_spans('text', patterns)}, s -> {keep})", "a", keep_disjoint("a"))
+    kept_spans = let(f"filter({all_spans('text', patterns)}, s -> {keep})", "found", resolve_overlaps("found"))
     kept = blocks.select("*", F.posexplode_outer(F.expr(kept_spans)).alias("item_idx", "s")).where(
         F.col("s").isNotNull()
     )

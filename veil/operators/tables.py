@@ -20,19 +20,35 @@ def cells(name: str, df: DataFrame) -> DataFrame:
     )
 
 
+BITS = 62  # columns per bit mask
+
+
 def column_signatures(tables: dict[str, DataFrame]) -> DataFrame:
     """Which set of columns shares how many distinct values: (columns array, n_values).
 
-    Values are grouped once, with map-side sets, so a value that fills a third of a table costs one
-    entry per map task. What follows works on column sets, whose number does not grow with rows.
+    A set of columns is a few bit masks, OR-ed per value with map-side combine, so a value that fills
+    a third of a table costs one entry per map task and no group is ever collected. What follows
+    works on column sets, whose number does not grow with rows.
     """
-    every = reduce(DataFrame.unionByName, [cells(n, d) for n, d in tables.items()])
-    return (
-        every.groupBy("value")
-        .agg(F.sort_array(F.collect_set("column_id")).alias("columns"))
-        .groupBy("columns")
-        .agg(F.count("*").alias("n_values"))
+    ids = [f"{t}.{c}" for t, d in tables.items() for c in d.columns]
+    masks = [f"m{i}" for i in range((len(ids) + BITS - 1) // BITS)]
+    place = {c: (masks[i // BITS], 1 << (i % BITS)) for i, c in enumerate(ids)}
+
+    def marked(name: str, df: DataFrame) -> DataFrame:
+        rows = ", ".join(
+            f"CAST(`{c}` AS STRING), " + ", ".join(f"{place[f'{name}.{c}'][1] if place[f'{name}.{c}'][0] == m else 0}L" for m in masks)
+            for c in df.columns
+        )
+        return df.select(F.expr(f"stack({len(df.columns)}, {rows}) AS (value, {', '.join(masks)})"))
+
+    every = reduce(DataFrame.unionByName, [marked(n, d) for n, d in tables.items()])
+    sets = (
+        every.where(F.col("value").isNotNull())
+        .groupBy("value").agg(*[F.bit_or(m).alias(m) for m in masks])
+        .groupBy(*masks).agg(F.count("*").alias("n_values"))
     )
+    named = ", ".join(f"IF({place[c][0]} & {place[c][1]}L <> 0, '{c}', NULL)" for c in sorted(ids))
+    return sets.select(F.expr(f"array_compact(array({named}))").alias("columns"), "n_values")
 
 
 def column_pairs(tables: dict[str, DataFrame], min_overlap: float = 0.2, min_distinct: int = 1) -> DataFrame:
