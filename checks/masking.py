@@ -224,7 +224,7 @@ AGAINST = " + ".join(f"CASE WHEN {v} THEN 0 ELSE {w[1]} END" for v, w in zip(V,
     "scan_classify",
     f"""SELECT doc_id, ({YES}) >= 2 AS is_scanned, round(CAST(CASE WHEN ({YES}) >= 2 THEN ({FOR}) / ({YES}) ELSE ({AGAINST}) / greatest(4 - ({YES}), 1) END AS DOUBLE), 3) AS confidence,
     CAST(c AS BIGINT) AS total_chars, p AS total_pages, round(CAST(c AS DOUBLE) / p, 1) AS avg_chars_per_page, round(CAST(w AS DOUBLE) / p, 1) AS avg_words_per_page, round(CAST(c AS DOUBLE) / 484704.0::DOUBLE, 6) AS text_density, img AS has_images,
-    CASE WHEN ({YES}) >= 2 THEN 'Process with OCR before detection' ELSE 'Process directly' END AS action FROM {SCAN}""",
+    CASE WHEN ({YES}) >= 2 THEN '{scan.NEEDS_OCR}' ELSE '{scan.DIRECT}' END AS action FROM {SCAN}""",
 )
 def scan_classify(spark, sf):
     body = F.col("text")

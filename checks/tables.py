@@ -204,12 +204,14 @@ def fk_preserved(spark, sf):
     checked = []
     for left, right, lk, rk in (("orders", "customer", "o_custkey", "c_custkey"), ("lineitem", "orders", "l_orderkey", "o_orderkey")):
         a, b = table(spark, sf, left).select(lk), table(spark, sf, right).select(rk)
-        before = tables.join_rows(a, b, lk, rk).select(F.lit(f"{left}-{right}").alias("link"), F.col("n_rows").alias("rows_before"))
+        link = F.lit(f"{left}-{right}").alias("link")
+        before = tables.join_rows(a, b, lk, rk)
         after = tables.join_rows(
             tables.anonymize_table(a, {lk: "generic_id"}), tables.anonymize_table(b, {rk: "generic_id"}), lk, rk
-        ).select(F.lit(f"{left}-{right}").alias("link"), F.col("n_rows").alias("rows_after"))
-        checked.append(before.join(after, "link").withColumn("preserved", F.col("rows_before") == F.col("rows_after")))
-    return checked[0].unionByName(checked[1])
+        )
+        checked.append(before.select(link, F.col("n_rows").alias("rows_before"), after.scalar().alias("rows_after")))
+    both = checked[0].unionByName(checked[1])
+    return both.withColumn("preserved", F.col("rows_before") == F.col("rows_after"))
 
 
 DERIVED["mapping"] = """SELECT 'group_0' AS group_key, CAST(c_custkey AS STRING) AS original, 'C-' || CAST(c_custkey * 7 + 11 AS STRING) AS synthetic FROM {customer} WHERE c_mktsegment <> 'BUILDING'"""

@@ -34,6 +34,12 @@ def test_unknown_strategy_and_given_replacement(spark):
     assert mask.mask_text(docs, plan).first().masked_text == "[UNKNOWN_STRATEGY] cc"
 
 
+def test_fitted_replacement(spark):
+    docs = spark.createDataFrame([(1, "abcd efghij")], "doc_id long, text string")
+    plan = spark.createDataFrame([(1, 0, "URL", "abcd", "redact"), (1, 1, "URL", "efghij", "redact")], PLAN)
+    assert mask.mask_text(docs, plan, fit=True).first().masked_text == "[*] [RED]"
+
+
 def test_custom_strategy(spark):
     docs = spark.createDataFrame([(1, "id 42")], "doc_id long, text string")
     plan = spark.createDataFrame([(1, 0, "URL", "42", "upper")], PLAN)

@@ -78,17 +78,19 @@ def synth_by_subtype(subtype: str, value: str, unique: bool = False, salt: str =
     ``unique`` appends 96 more digest bits to id-like values, so that distinct keys of a large table
     stay distinct and joins keep their row counts.
     """
-    num = "translate(h, 'abcdef', '012345')"
+    # written out rather than bound: outside lambdas the generated code computes the digest once
+    h = H.digest(value, salt)
+    num = f"translate({h}, 'abcdef', '012345')"
 
     def part(start: int) -> str:
-        return f"CAST(conv(substr(h, {start}, 8), 16, 10) AS BIGINT)"
+        return f"CAST(conv(substr({h}, {start}, 8), 16, 10) AS BIGINT)"
 
     def digits(start: int, n: int) -> str:
         return f"substr({num}, {start}, {n})"
 
     first, last = H.choose(H.FIRST_NAMES, part(1)), H.choose(H.LAST_NAMES, part(9))
-    tail = "concat('-', substr(h, 9, 24))" if unique else "''"
-    letters = "upper(translate(substr(h, 17, 4), '0123456789', 'ghjkmnpqrs'))"
+    tail = f"concat('-', substr({h}, 9, 24))" if unique else "''"
+    letters = f"upper(translate(substr({h}, 17, 4), '0123456789', 'ghjkmnpqrs'))"
     body = f"""CASE WHEN {subtype} = 'name' THEN concat({first}, ' ', {last})
         WHEN {subtype} = 'email' THEN concat(lower({first}), '.', lower({last}), {digits(17, 4)}, '@example.com')
         WHEN {subtype} IN ('phone', 'phone_number') THEN concat('555-', {digits(1, 3)}, '-', {digits(4, 4)})
@@ -98,7 +100,7 @@ def synth_by_subtype(subtype: str, value: str, unique: bool = False, salt: str =
         WHEN {subtype} IN ('medical_record_number', 'medical_condition') THEN concat('MRN-', {letters}, '-', {digits(1, 5)}, {tail})
         WHEN {subtype} IN ('generic_id', 'id', 'account_number') THEN concat('ACC-', {digits(1, 8)}, {tail})
         ELSE concat({H.choose(H.WORDS, part(1))}, '_anon') END"""
-    return f"IF({value} IS NULL, NULL, {let(H.digest(value, salt), 'h', body)})"
+    return f"IF({value} IS NULL, NULL, {body})"
 
 
 def perturb_number(value: str, salt: str = "") -> str:

@@ -136,7 +136,7 @@ def llm_entities(responses: DataFrame) -> DataFrame:
         "doc_id",
         "page_num",
         (F.col("chunk_idx") * 100000 + F.col("item_idx")).cast("int").alias("ord"),
-        F.col("item.pii_type").alias("pii_type"),
+        dims.normalize_type(F.col("item.pii_type")).alias("pii_type"),
         item.alias("text"),
         start.cast("int").alias("start"),
         end.cast("int").alias("end"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veil.functions import dims
 from veil.functions.pseudo import replacement
 from veil.functions.spans import all_spans, let, splice
-from veil.functions.text import SPACE
+from veil.functions.text import SPACE, fit_replacement
 from veil.session import cut_lineage
 
 ITEM = "struct<len:int,ord:int,text:string,repl:string,strategy:string>"
@@ -41,15 +41,21 @@ def plan_item(ord_: str, text: str, repl: str, strategy: str) -> str:
     return f"struct(-length({text}) AS len, {ord_} AS ord, {text} AS text, {repl} AS repl, {strategy} AS strategy)"
 
 
-def mask_text(texts: DataFrame, plan: DataFrame, salt: str = "", custom: dict | None = None) -> DataFrame:
+def mask_text(
+    texts: DataFrame, plan: DataFrame, salt: str = "", custom: dict | None = None, fit: bool = False
+) -> DataFrame:
     """Whole-text masking of one-row documents by a plan (doc_id, ord, pii_type, text, strategy[, replacement]).
 
     A document's plan is bounded by its text, which the upload limit bounds; plan rows with the same
-    text and replacement collapse before the shuffle except for their count. Adds masked_text and
-    counters; documents without plan rows come back unchanged.
+    text stay separate rows, since the second of them counts as failed. ``fit`` shortens replacements
+    to the room of the original. Adds masked_text and counters; documents without plan rows come back
+    unchanged.
     """
     given = "replacement" if "replacement" in plan.columns else None
     repl = replacement("strategy", "pii_type", "text", given, salt, custom)
+    if fit:
+        plan = plan.withColumn("_fitted", fit_replacement(F.col("text"), F.expr(repl)))
+        repl = "_fitted"
     items = (
         plan.select("doc_id", F.expr(plan_item("ord", "text", repl, "strategy")).alias("item"))
         .groupBy("doc_id")

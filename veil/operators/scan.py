@@ -10,6 +10,8 @@ from veil.functions.text import strip, words
 # --- fixed values: thresholds and the weight of each vote for and against ---
 MIN_CHARS, MIN_DENSITY, MIN_WORDS, IMAGE_CHARS = 50, 0.1, 10, 100
 WEIGHTS = [(0.8, 0.2), (0.7, 0.1), (0.6, 0.1), (0.5, 0.1)]
+# --- fixed values: recommended action ---
+NEEDS_OCR, DIRECT = "Process with OCR before PII detection", "Process directly for PII detection"
 
 
 def scan_classify(pages: DataFrame) -> DataFrame:
@@ -48,5 +50,5 @@ def scan_classify(pages: DataFrame) -> DataFrame:
         F.round(words_per_page, 1).alias("avg_words_per_page"),
         F.round(density, 6).alias("text_density"),
         "has_images",
-        F.when(scanned, "Process with OCR before detection").otherwise("Process directly").alias("action"),
+        F.when(scanned, NEEDS_OCR).otherwise(DIRECT).alias("action"),
     )

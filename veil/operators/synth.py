@@ -13,7 +13,11 @@ from veil.functions.spans import let, literal
 from veil.functions.text import SPACE, strip
 from veil.operators.chunk import stride_chunks
 
-EMPTY_RESULT = "Synthetic copy is empty. Check the original document and try again."
+# --- fixed value: what an empty result says ---
+EMPTY_RESULT = (
+    "Synthetic data generation completed, but content appears to be empty. "
+    "Please check the original document and try again."
+)
 
 
 def fallback_sql(text: str) -> str:

@@ -271,7 +271,14 @@ def extend_mapping(mapping: DataFrame, values: DataFrame, subtype: str, unique:
 
 
 def join_rows(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Row count of an inner join from per-key counts: no joined rows are ever produced."""
-    l = left.groupBy(F.col(left_key).alias("k")).agg(F.count("*").alias("nl"))
-    r = right.groupBy(F.col(right_key).alias("k")).agg(F.count("*").alias("nr"))
-    return l.join(r, "k").agg(F.coalesce(F.sum(F.col("nl") * F.col("nr")), F.lit(0)).alias("n_rows"))
+    """Row count of an inner join from per-key counts of both sides: one shuffle of counts, no join.
+
+    A key that holds a third of the rows is one count per map task.
+    """
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    both = left.select(F.col(left_key).alias("k"), one.alias("l"), zero.alias("r")).unionByName(
+        right.select(F.col(right_key).alias("k"), zero.alias("l"), one.alias("r"))
+    )
+    per_key = both.groupBy("k").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    matched = F.when(F.col("k").isNotNull(), F.col("l") * F.col("r"))
+    return per_key.agg(F.coalesce(F.sum(matched), F.lit(0)).alias("n_rows"))
