@@ -13,6 +13,8 @@ from checks.sqltext import (
     dedup_sql,
     entities_sql,
     fold_sql,
+    hash_sql,
+    pick_sql,
     quote,
     re2,
     replacement_sql,
@@ -20,7 +22,7 @@ from checks.sqltext import (
     strategy_sql,
     strip_sql,
 )
-from checks.texts import STRIDES, disjoint_sql
+from checks.texts import BLOCKS, NOUN_ITEMS, NUM_ITEMS, STRIDES, blocks, disjoint_sql
 from veil.functions import dims
 from veil.functions.patterns import FALLBACK
 from veil.functions.text import SPACE
@@ -57,6 +59,17 @@ def mask_spans(spark, sf):
     return out.select("doc_id", F.sha2("masked_text", 256).alias("masked_sha"), "n_spans")
 
 
+@query(
+    "mask_spans_local",
+    f"""SELECT d.doc_id, sha256(CASE WHEN s.doc_id IS NULL THEN d.text ELSE s.f.t || substr(d.text, s.f.e + 1) END) AS masked_sha, CAST(coalesce(s.n_spans, 0) AS INTEGER) AS n_spans
+    FROM {DOCS} d LEFT JOIN {SPLICED} s ON d.doc_id = s.doc_id""",
+)
+def mask_spans_local(spark, sf):
+    """The same result without any shuffle."""
+    out = mask.protect_spans(docs(spark, sf), CUSTOM, min_confidence=0.6)
+    return out.select("doc_id", F.sha2("masked_text", 256).alias("masked_sha"), "n_spans")
+
+
 CORPUS = "(SELECT doc_id, page_num, text FROM pii_corpus)"
 CORPUS_PLAN = f"(SELECT *, {strategy_sql('pii_type')} AS strategy FROM {dedup_sql(entities_sql(CORPUS, CUSTOM))} WHERE confidence >= 0.6)"
 ONE = f"(SELECT doc_id, text, min({{'o': ord, 't': pii_type, 's': strategy}}) AS p FROM {CORPUS_PLAN} GROUP BY doc_id, text)"
@@ -78,6 +91,28 @@ def mask_document(spark, sf):
     return out.select("doc_id", "page_num", F.sha2("masked_text", 256).alias("masked_sha"), "n_masked")
 
 
+def blocks_query() -> str:
+    from veil.functions import hashing as H
+
+    moved = f"(try_cast(replace(replace(v, '$', ''), ',', '') AS DOUBLE) * (0.8::DOUBLE + 0.4::DOUBLE * {hash_sql('v')} / 4294967296.0::DOUBLE))"
+    repl = f"""CASE kind WHEN 'numerical' THEN CASE WHEN {moved} IS NULL THEN repeat('*', length(v)) WHEN contains(v, '$') THEN '$' || format('{{:,.2f}}', {moved})
+        WHEN contains(v, '.') THEN printf('%.2f', {moved}) ELSE format('{{:,}}', CAST(floor({moved}) AS BIGINT)) END
+        WHEN 'name' THEN {pick_sql(H.FIRST_NAMES, 'v')} || ' ' || {pick_sql(H.LAST_NAMES, 'v', '', 9)} WHEN 'address' THEN {pick_sql(H.ADDRESSES, 'v')} ELSE repeat('*', length(v)) END"""
+    items = f"""SELECT doc_id, page_num, block_id, start_pos AS s, end_pos AS e, value AS v, item_type AS kind, 0 AS side FROM {NUM_ITEMS}
+        UNION ALL SELECT doc_id, page_num, block_id, start_pos, end_pos, value, item_type, 1 FROM {NOUN_ITEMS}"""
+    listed = f"""SELECT doc_id, page_num, block_id, {disjoint_sql('l')} AS k FROM (SELECT doc_id, page_num, block_id, list({{'s': s, 'e': e, 'r': {repl}}} ORDER BY s, side) AS l FROM ({items}) GROUP BY 1, 2, 3)"""
+    folded = """list_reduce(list_transform(k, lambda x: {'t': x.r, 's': x.s, 'e': x.e}), lambda a, x: {'t': a.t || substr(text, a.e + 1, x.s - a.e) || x.t, 's': 0, 'e': x.e}, {'t': '', 's': 0, 'e': 0})"""
+    return f"""SELECT b.doc_id, b.page_num, b.block_id, CASE WHEN k IS NULL THEN text ELSE f.t || substr(text, f.e + 1) END AS anonymized, CAST(coalesce(len(k), 0) AS INTEGER) AS n_items
+        FROM (SELECT b.doc_id, b.page_num, b.block_id, b.text, i.k, {folded.replace('text', 'b.text').replace('list_transform(k', 'list_transform(i.k')} AS f FROM {BLOCKS} b LEFT JOIN ({listed}) i ON b.doc_id = i.doc_id AND b.page_num = i.page_num AND b.block_id = i.block_id) b"""
+
+
+@query("anonymize_blocks", blocks_query(), ("pii_corpus",))
+def anonymize_blocks(spark, sf):
+    """Numbers and proper nouns of text blocks replaced in place."""
+    out = mask.anonymize_blocks(blocks(spark, sf))
+    return out.select("doc_id", "page_num", "block_id", "anonymized", "n_items")
+
+
 # --- names ---------------------------------------------------------------------------------------
 
 DERIVED["names"] = """SELECT CAST(floor(c_custkey / 20) AS BIGINT) AS doc_id, CAST(c_custkey % 20 AS INT) AS ord,

@@ -118,6 +118,7 @@ def resolve_overlaps(spans: str) -> str:
 
 
 def by_position(spans: str) -> str:
+    """Spans in reading order; the sort is stable, so equal starts keep their order."""
     return f"array_sort({spans}, (a, b) -> CASE WHEN a.start < b.start THEN -1 WHEN a.start > b.start THEN 1 ELSE 0 END)"
 
 

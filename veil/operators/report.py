@@ -68,7 +68,7 @@ def monthly_trend(items: DataFrame) -> DataFrame:
 
     Counted per (month, document) first, so that distinct documents need no second pass over rows.
     """
-    per_doc = items.groupBy(F.date_trunc("month", "ts").alias("month"), "doc_id").agg(
+    per_doc = items.groupBy(F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month"), "doc_id").agg(
         F.count("*").alias("n"), F.count_if("masked").alias("m")
     )
     return per_doc.groupBy("month").agg(

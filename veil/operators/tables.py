@@ -175,9 +175,16 @@ SUBTYPE_ORDER = [
 NAME_CONFIDENCE = 0.7
 
 
-def sample_cells(name: str, df: DataFrame, order: str, rows: int = 20) -> DataFrame:
-    """Cells of the first ``rows`` rows by ``order``, which a top-k finds without a full sort."""
-    return cells(name, df.orderBy(order).limit(rows)).select(
+def sample_cells(name: str, df: DataFrame, order: str | None = None, rows: int = 20) -> DataFrame:
+    """Cells of ``rows`` sampled rows: the first the scan meets, or reproducibly the first by ``order``.
+
+    With an order, a scan of that column alone finds the last value that counts; the other columns
+    are then read behind a filter that the file statistics can answer.
+    """
+    if order is not None:
+        last = df.select(order).orderBy(order).limit(rows).agg(F.max(order)).first()[0]
+        df = df.where(F.col(order) <= F.lit(last)).orderBy(order)
+    return cells(name, df.limit(rows)).select(
         F.substring_index("column_id", ".", -1).alias("column_name"), "value"
     )
 

@@ -54,15 +54,15 @@ def anonymize_set(tables_by_name: dict[str, DataFrame], subtypes: dict[str, str]
     }
 
 
-def plan_set(tables_by_name: dict[str, DataFrame], order: dict[str, str], min_overlap: float = 0.2) -> DataFrame:
+def plan_set(tables_by_name: dict[str, DataFrame], order: dict[str, str] | None = None, min_overlap: float = 0.2) -> DataFrame:
     """Discovery over a set of tables: (node, group_key, subtype) of every sensitive column.
 
-    ``order`` names the column that orders each table's sample. The result has at most one row per
+    ``order`` names a column per table that makes its sample reproducible. The result has at most one row per
     column of the set.
     """
     catalog = T.column_catalog(tables_by_name)
     samples = reduce(
-        DataFrame.unionByName, [T.sample_cells(n, df, order[n]) for n, df in tables_by_name.items()]
+        DataFrame.unionByName, [T.sample_cells(n, df, (order or {}).get(n)) for n, df in tables_by_name.items()]
     )
     same = catalog.join(T.same_name_links(catalog).select("column_name"), "column_name")
     named = same.groupBy("column_name").agg(F.min("column_id").alias("a")).join(same, "column_name").select("a", F.col("column_id").alias("b"))
@@ -71,7 +71,7 @@ def plan_set(tables_by_name: dict[str, DataFrame], order: dict[str, str], min_ov
     return T.linked_subtypes(T.column_classify(samples), T.group_keys(labels))
 
 
-def replica(tables_by_name: dict[str, DataFrame], order: dict[str, str], min_overlap: float = 0.2, salt: str = "") -> dict[str, DataFrame]:
+def replica(tables_by_name: dict[str, DataFrame], order: dict[str, str] | None = None, min_overlap: float = 0.2, salt: str = "") -> dict[str, DataFrame]:
     """A clean copy of a table set: discover, then anonymize. Only the column plan reaches the driver."""
     found = plan_set(tables_by_name, order, min_overlap).collect()  # schema-sized: one row per column
     by_table: dict[str, dict[str, str]] = {}

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from veil.operators.mask import protect
 
 DOCUMENT_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-EVENT_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
 def read_folder(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000, glob: str = "*.parquet") -> DataFrame:
@@ -35,10 +35,11 @@ def progress_stream(pages: DataFrame) -> DataFrame:
 def window_stream(events: DataFrame, late: str = "2 hours", width: str = "1 hour") -> DataFrame:
     """Events per type per tumbling window; rows later than the watermark are dropped with their state."""
     return (
-        events.withWatermark("ts", late)
+        events.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", late)
         .groupBy(F.window("ts", width).alias("w"), "event_type")
         .agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
-        .select(F.col("w.start").alias("window_start"), "event_type", "n", "cents")
+        .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "cents")
     )
 
 
