@@ -178,55 +178,47 @@ def masking_stats(masked: DataFrame) -> DataFrame:
 GRAM = 4
 
 
-def document_hits(pages: DataFrame, plan: DataFrame, hot_pairs: int = 1_000_000) -> DataFrame:
-    """Which plan texts of a document occur on which of its pages: (doc_id, page_num, item).
-
-    A plan row found on one page masks every page of its document. Ordinary documents test their
-    few texts against their few pages directly. A document with more than ``hot_pairs`` (page, text)
-    pairs instead joins through rare 4-grams: each text is looked up under its gram that is rarest
-    among the document's texts, so the work spreads over grams and stays near the true hits.
-    Both ways are exact.
+def document_hits(pages: DataFrame, plan: DataFrame) -> DataFrame:
+    """Which plan texts of a document occur on which of its pages, for documents of any size.
+
+    Each text is looked up under its 4-gram that is rarest among the document's texts, so the work
+    spreads over grams and stays near the true hits. Texts shorter than a gram, of which a document
+    can hold only few, are tested directly.
     """
-    sizes = (
-        pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
-        .join(plan.groupBy("doc_id").agg(F.count("*").alias("n_texts")), "doc_id")
-        .select("doc_id", (F.col("n_pages") * F.col("n_texts") > hot_pairs).alias("hot"))
-    )
-    texts = plan.join(sizes, "doc_id")
-    sheets = pages.join(sizes, "doc_id").select("doc_id", "page_num", F.col("text").alias("page_text"), "hot")
     short = F.length("text") < GRAM
     found = F.contains(F.col("page_text"), F.col("text"))
-    out = ["doc_id", "page_num", *[c for c in plan.columns if c not in ("doc_id", "page_num")]]
-
-    direct = (
-        texts.where(~F.col("hot") | short).drop("page_num")
-        .join(sheets.drop("hot"), "doc_id").where(found).select(*out)
-    )
-    grams = "transform(sequence(1, length({t}) - 3), i -> substr({t}, i, 4))"
-    hot_texts = texts.where(F.col("hot") & ~short).drop("page_num")
-    exploded = hot_texts.withColumn("gram", F.explode(F.expr(f"array_distinct({grams.format(t='text')})")))
+    sheets = pages.select("doc_id", "page_num", F.col("text").alias("page_text"))
+    texts = plan.drop("page_num")
+    out = ["doc_id", "page_num", *[c for c in texts.columns if c != "doc_id"]]
+    direct = texts.where(short).join(sheets, "doc_id").where(found).select(*out)
+
+    grams = "array_distinct(transform(sequence(1, length({t}) - 3), i -> substr({t}, i, 4)))"
+    long_texts = texts.where(~short)
+    exploded = long_texts.withColumn("gram", F.explode(F.expr(grams.format(t="text"))))
     frequency = exploded.groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
     keyed = (
         exploded.join(frequency, ["doc_id", "gram"])
         .groupBy("doc_id", "text")
-        .agg(F.min(F.struct("n", "gram")).alias("rare"), F.first(F.struct(*hot_texts.columns)).alias("row"))
+        .agg(F.min(F.struct("n", "gram")).alias("rare"), F.first(F.struct(*long_texts.columns)).alias("row"))
         .select("row.*", F.col("rare.gram").alias("gram"))
     )
-    wanted = keyed.select("doc_id", "gram").distinct()
     sheet_grams = (
-        sheets.where(F.col("hot") & (F.length("page_text") >= GRAM))
-        .select("doc_id", "page_num", F.explode(F.expr(f"array_distinct({grams.format(t='page_text')})")).alias("gram"))
-        .join(wanted, ["doc_id", "gram"], "left_semi")
-    )
-    candidates = sheet_grams.join(keyed.drop("page_num"), ["doc_id", "gram"]).drop("gram")
-    rare = (
-        candidates.join(sheets.where("hot").drop("hot"), ["doc_id", "page_num"]).where(found).select(*out)
+        sheets.where(F.length("page_text") >= GRAM)
+        .select("doc_id", "page_num", F.explode(F.expr(grams.format(t="page_text"))).alias("gram"))
+        .join(keyed.select("doc_id", "gram").distinct(), ["doc_id", "gram"], "left_semi")
     )
+    candidates = sheet_grams.join(keyed, ["doc_id", "gram"]).drop("gram")
+    rare = candidates.join(sheets, ["doc_id", "page_num"]).where(found).select(*out)
     return direct.unionByName(rare)
 
 
 def mask_document(pages: DataFrame, plan: DataFrame, salt: str = "", hot_pairs: int = 1_000_000) -> DataFrame:
-    """Masked pages of multi-page documents: every plan text of a document is masked on all its pages."""
+    """Masked pages of multi-page documents: every plan text of a document is masked on all its pages.
+
+    A document's texts are gathered beside its pages only while pages x texts stays within
+    ``hot_pairs``, which bounds the gathered list; each page then keeps the texts it holds.
+    Documents beyond that take the gram lookup of ``document_hits``. Both ways are exact.
+    """
     given = F.col("replacement") if "replacement" in plan.columns else F.lit(None).cast("string")
     # used several times below: kept as files, so that detection runs once
     one = cut_lineage(
@@ -234,10 +226,25 @@ def mask_document(pages: DataFrame, plan: DataFrame, salt: str = "", hot_pairs:
         .agg(F.min(F.struct(F.col("ord"), F.col("pii_type"), F.col("strategy"), given.alias("replacement"))).alias("p"))
         .select("doc_id", "text", "p.*")
     )
-    hits = document_hits(pages, one, hot_pairs)
-    item = plan_item("ord", "text", replacement("strategy", "pii_type", "text", "replacement", salt), "strategy")
-    items = hits.groupBy("doc_id", "page_num").agg(F.collect_list(F.expr(item)).alias("items"))
-    joined = pages.join(items, ["doc_id", "page_num"], "left")
-    return expand_fold(
-        joined.withColumn("f", F.expr(fold("text", f"coalesce(items, cast(array() AS array<{ITEM}>))")))
-    ).drop("items")
+    item = F.expr(plan_item("ord", "text", replacement("strategy", "pii_type", "text", "replacement", salt), "strategy"))
+    n_pages = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
+    n_texts = one.groupBy("doc_id").agg(F.count("*").alias("n_texts"))
+    hot = cut_lineage(
+        n_pages.join(n_texts, "doc_id").where(F.col("n_pages") * F.col("n_texts") > hot_pairs).select("doc_id")
+    )
+    any_hot = not hot.isEmpty()
+
+    def folded(joined: DataFrame) -> DataFrame:
+        held = f"filter(coalesce(items, cast(array() AS array<{ITEM}>)), i -> contains(text, i.text))"
+        return expand_fold(joined.withColumn("f", F.expr(fold("text", held)))).drop("items")
+
+    cold_pages = pages.join(hot, "doc_id", "left_anti") if any_hot else pages
+    cold_plan = one.join(hot, "doc_id", "left_anti") if any_hot else one
+    per_document = cold_plan.groupBy("doc_id").agg(F.collect_list(item).alias("items"))
+    out = folded(cold_pages.join(per_document, "doc_id", "left"))
+    if not any_hot:
+        return out
+    hot_pages = pages.join(hot, "doc_id", "left_semi")
+    hits = document_hits(hot_pages, one.join(hot, "doc_id", "left_semi"))
+    per_page = hits.groupBy("doc_id", "page_num").agg(F.collect_list(item).alias("items"))
+    return out.unionByName(folded(hot_pages.join(per_page, ["doc_id", "page_num"], "left")))
