@@ -82,8 +82,3 @@ def case(key: str, *values: str) -> str:
     """``CASE key % n WHEN i THEN value`` in both dialects."""
     arms = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values))
     return f"(CASE {key} % {len(values)} {arms} END)"
-
-
-def case_of(column: str, values: dict, default: str) -> str:
-    arms = " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in values.items())
-    return f"(CASE {column} {arms} ELSE {default} END)"

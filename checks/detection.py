@@ -6,18 +6,7 @@ from pyspark.sql import functions as F
 
 import checks.inputs  # noqa: F401 - defines the derived inputs
 from checks.base import derived, query, table
-from checks.sqltext import (
-    DOCS,
-    TURNS,
-    dedup_sql,
-    entities_sql,
-    fold_sql,
-    masked_sql,
-    quote,
-    spans_sql,
-    strategy_sql,
-)
-from veil.functions import dims
+from checks.sqltext import DOCS, dedup_sql, entities_sql, masked_sql, strategy_sql
 from veil.functions.patterns import REGISTRY, SECRET
 from veil.operators import detect, mask, resolve
 from veil.sources import readers

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import DERIVED, derived, query, table
-from checks.detection import CUSTOM, MASKED, PLAN, SURE, docs, plan_of, turns
+from checks.detection import CUSTOM, MASKED, PLAN, SURE, docs
 from checks.sqltext import (
     DOCS,
-    PLAIN,
-    TURNS,
     dedup_sql,
     entities_sql,
     fold_sql,
@@ -18,7 +16,6 @@ from checks.sqltext import (
     quote,
     re2,
     replacement_sql,
-    spans_sql,
     strategy_sql,
     strip_sql,
 )
@@ -29,7 +26,6 @@ from veil.functions.text import SPACE
 from veil.operators import audit, chunk, detect, mask, people, report, resolve, scan, synth
 from veil.sources import readers
 
-ANON = [p for p in CUSTOM if p.confidence >= 0.6]
 
 
 @query(
@@ -214,7 +210,6 @@ def assemble(spark, sf):
     return synth.assemble(chunks, ["doc_id"]).select("doc_id", F.sha2("content", 256).alias("content_sha"))
 
 
-COPY = f"(SELECT doc_id, page_num, {strip_sql(fallback_text(strip_sql('text')))} AS content FROM {CORPUS})"
 
 
 @query(

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import DERIVED, case, derived, query, table
-from checks.detection import CUSTOM, MASKED, docs
+from checks.detection import CUSTOM, MASKED
 from checks.inputs import ALL_TYPES, O
 from checks.sqltext import category_sql, quote, strategy_sql
 from veil.functions import dims
-from veil.operators import mask, privacy, report
+from veil.operators import privacy, report
 from veil.session import shared_path
 from veil.sources import readers
 from veil.sources import registry as reg
@@ -256,6 +256,16 @@ def k_anonymity(spark, sf):
     return privacy.k_anonymity(table(spark, sf, "customer"), ["c_nationkey", "c_mktsegment"], 10)
 
 
+@query(
+    "k_anonymity_summary",
+    """SELECT count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_rows, CAST(coalesce(sum(n) FILTER (n < 10), 0) AS BIGINT) AS rows_at_risk, min(n) AS smallest_group
+    FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment)""",
+)
+def k_anonymity_summary(spark, sf):
+    groups = privacy.k_anonymity(table(spark, sf, "customer"), ["c_nationkey", "c_mktsegment"], 10)
+    return privacy.k_anonymity_summary(groups)
+
+
 # --- streams -------------------------------------------------------------------------------------
 
 

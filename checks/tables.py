@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
 from checks.base import DERIVED, case, derived, query, table
-from checks.detection import CUSTOM, DOCS, PLAN, docs, plan_of
 from checks.inputs import O
-from checks.sqltext import category_sql, dedup_sql, hash_sql, pool_sql, quote, strategy_sql
+from checks.sqltext import hash_sql, pool_sql, quote
 from veil.functions import dims, hashing, pseudo
-from veil.operators import mask, report, resolve, tables
+from veil.operators import report, tables
 from veil.plans import jobs
-from veil.sources import registry as reg
-from veil.streaming import streams
 
 TABLES = {
     "region": ["r_regionkey", "r_name"],

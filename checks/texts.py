@@ -4,32 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import DERIVED, case, derived, query, table
-from checks.detection import CUSTOM, MASKED, PLAN, SURE, docs, plan_of, turns
+from checks.base import DERIVED, case, derived, query
+from checks.detection import docs, turns
 from checks.inputs import EMAIL, K, SSN
 from checks.sqltext import (
     DOCS,
-    PLAIN,
     TURNS,
-    dedup_sql,
     entities_sql,
-    fold_sql,
     hash_sql,
-    items_sql,
-    masked_sql,
     pick_sql,
     quote,
-    re2,
-    replacement_sql,
     spans_sql,
     squeeze_sql,
-    strategy_sql,
     strip_sql,
 )
-from veil.functions import dims, hashing, pseudo, text
-from veil.functions.patterns import FALLBACK, NOUNS, NUMERIC, REGISTRY
+from veil.functions import dims, hashing, pseudo
+from veil.functions.patterns import NOUNS, NUMERIC, REGISTRY
 from veil.functions.text import SPACE
-from veil.operators import audit, chunk, detect, layout, mask, resolve, scan, synth
+from veil.operators import chunk, detect, layout
 from veil.sources import readers
 
 SPACES = quote(f"{SPACE}+")

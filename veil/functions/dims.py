@@ -58,7 +58,6 @@ STRATEGY = {
     "DATE_OF_BIRTH": "mask",
     "DATE": "mask",
 }
-STRATEGIES = ["redact", "mask", "pseudo"]
 
 # --- fixed values: severity, exact-type rule and name-fragment rule ---
 HIGH_TYPES = ["SSN", "CREDIT_CARD", "BANK_ACCOUNT", "AADHAAR", "PASSPORT"]

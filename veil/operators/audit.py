@@ -10,9 +10,6 @@ from veil.functions.spans import all_spans
 from veil.operators.mask import protect
 from veil.session import cut_lineage
 
-ISSUE = "array<struct<issue_type:string,pii_type:string,text:string>>"
-
-
 def luhn(text: str) -> str:
     """Whether the digits of a card number pass the check sum, as SQL text."""
     digits = f"reverse(regexp_replace({text}, '[^0-9]', ''))"

@@ -13,11 +13,6 @@ from veil.functions.patterns import REGISTRY, Pattern
 from veil.functions.spans import all_spans, let, resolve_overlaps
 from veil.functions.text import SPACE, json_bounds, llm_json_text, strip
 
-ENTITY = (
-    "doc_id bigint, page_num int, ord int, pii_type string, text string, start int, end int, "
-    "confidence double, source string"
-)
-
 
 def detect_patterns(pages: DataFrame, registry: list[Pattern] = REGISTRY) -> DataFrame:
     """Entities of every registry pattern. Narrow: one scan, no shuffle.
