@@ -1,3 +1,5 @@
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
@@ -40,6 +42,56 @@ def test_fitted_replacement(spark):
     assert mask.mask_text(docs, plan, fit=True).first().masked_text == "[*] [RED]"
 
 
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.lists(
+        st.tuples(
+            st.text(alphabet="abRED *[]", max_size=40),
+            st.lists(st.tuples(st.text(alphabet="abRED ", min_size=1, max_size=4), st.sampled_from(["redact", "mask"])), max_size=6),
+        ),
+        min_size=10,
+        max_size=10,
+    )
+)
+def test_fold_matches_sequential_replacement(spark, cases):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    rows = [(i, j, "URL", x, s) for i, (_, plan) in enumerate(cases) for j, (x, s) in enumerate(plan)]
+    got = {r.doc_id: r for r in mask.mask_text(docs, spark.createDataFrame(rows, PLAN)).collect()}
+    for i, (text, plan) in enumerate(cases):
+        masked = failed = 0
+        for x, s in sorted(plan, key=lambda p: -len(p[0])):
+            if x in text:
+                masked += text.count(x)
+                text = text.replace(x, "[REDACTED]" if s == "redact" else "*" * len(x))
+            else:
+                failed += 1
+        assert (got[i].masked_text, got[i].n_masked, got[i].n_failed) == (text, masked, failed)
+
+
+def test_one_document_with_most_names(spark):
+    names = [(0, i, f"First{i % 40} Last{i % 37}") for i in range(400)] + [(d, 0, f"First{d} Last{d}") for d in range(1, 20)]
+    df = spark.createDataFrame(names, "doc_id long, ord int, text string")
+    got = {(r.doc_id, r.ord): r for r in people.pseudo_person(df).collect()}
+    assert len(got) == len(names)
+    stand_ins = {}
+    for doc, i, text in names:
+        for part, new in zip(text.split(), got[(doc, i)].pseudonym.split()):
+            assert stand_ins.setdefault((doc, part), new) == new
+    hot = [new for (doc, part), new in stand_ins.items() if doc == 0 and part.startswith("First")]
+    assert max(hot.count(n) for n in hot) == 2  # 40 names share a pool of 32
+
+
+def test_text_keyed_documents(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("call 415-555-0199, Ann Lee")
+    pages = readers.read_text(spark, str(tmp_path))
+    assert [r.pii_type for r in detect.detect_patterns(pages).collect()] == ["PHONE", "PERSON"]
+
+    def scorer():
+        return lambda text: [{"entity_group": "PER", "word": "Ann Lee", "score": 0.99, "start": 19, "end": 26}]
+
+    assert detect.detect_model(pages, scorer).first().doc_id.endswith("a.txt")
+
+
 def test_custom_strategy(spark):
     docs = spark.createDataFrame([(1, "id 42")], "doc_id long, text string")
     plan = spark.createDataFrame([(1, 0, "URL", "42", "upper")], PLAN)

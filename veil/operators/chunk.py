@@ -103,6 +103,7 @@ def chunk_at_separators(pages: DataFrame, size: int = 2000, overlap: int = 150)
                 {"chunk_idx": "int32"}
             )
 
+    doc_type = pages.schema["doc_id"].dataType.simpleString()
     return pages.select("doc_id", "page_num", "text").mapInPandas(
-        run, "doc_id bigint, page_num int, chunk_idx int, chunk string"
+        run, f"doc_id {doc_type}, page_num int, chunk_idx int, chunk string"
     )

@@ -45,7 +45,8 @@ def detect_model(
     ``scorer()`` builds the recognizer once per Python worker task; it maps a text to dicts with
     entity_group, word, score, start, end. No scorer: no rows. A text that fails gives no rows.
     """
-    schema = "doc_id bigint, page_num int, ord int, entity_group string, word string, score double, start int, end int"
+    doc_type = pages.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {doc_type}, page_num int, ord int, entity_group string, word string, score double, start int, end int"
     spark = pages.sparkSession
     if scorer is None:
         return ner_entities(spark.createDataFrame([], schema))
