@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veil.functions import dims, pseudo, text
-from veil.operators import chunk, mimic, report, running, scan, synth, tables
+from veil.operators import chunk, mimic, report, running, scan, skew, synth, tables
 from veil.sources import config_lines, mapping_store, readers, registry
 
 
@@ -197,6 +197,17 @@ def test_mapping_is_reused(spark, tmp_path):
     assert {k: again[k] for k in first} == first and set(again) == {"x", "y", "z"}
 
 
+def test_hot_keys_are_looked_up_apart(spark):
+    left = spark.range(5000).selectExpr("IF(id % 3 = 0, 'hot', IF(id % 50 = 1, NULL, CAST(id AS STRING))) AS k", "id")
+    right = spark.range(4000).selectExpr("CAST(id AS STRING) AS k", "id * 2 AS v").unionByName(
+        spark.createDataFrame([("hot", -1)], "k string, v long")
+    )
+    got, want = skew.lookup(left, right, ["k"]), left.join(right, "k", "left")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    nothing_hot = skew.lookup(left.where("k <> 'hot'"), right, ["k"])
+    assert nothing_hot.count() == left.where("k <> 'hot'").count()
+
+
 def test_ids_stay_distinct(spark):
     df = spark.range(200000).select(F.expr(pseudo.synth_by_subtype("'generic_id'", "CAST(id AS STRING)", True)).alias("v"))
     assert df.distinct().count() == 200000

@@ -11,6 +11,7 @@ from veil.functions.pseudo import perturb_number, replace_noun, replacement
 from veil.functions.spans import all_spans, by_position, keep_disjoint, let, resolve_overlaps, splice
 from veil.functions.text import SPACE, fit_replacement
 from veil.operators.detect import KEEP_NUMBER, keep_noun
+from veil.operators.skew import lookup
 from veil.session import cut_lineage
 
 ITEM = "struct<len:int,ord:int,text:string,repl:string,strategy:string>"
@@ -197,7 +198,7 @@ def document_hits(pages: DataFrame, plan: DataFrame) -> DataFrame:
     exploded = long_texts.withColumn("gram", F.explode(F.expr(grams.format(t="text"))))
     frequency = exploded.groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
     keyed = (
-        exploded.join(frequency, ["doc_id", "gram"])
+        lookup(exploded, frequency, ["doc_id", "gram"])
         .groupBy("doc_id", "text")
         .agg(F.min(F.struct("n", "gram")).alias("rare"), F.first(F.struct(*long_texts.columns)).alias("row"))
         .select("row.*", F.col("rare.gram").alias("gram"))

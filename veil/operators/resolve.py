@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veil.functions import dims
 from veil.functions.text import strip
+from veil.operators.skew import lookup
 
 
 def dedup_best_type(entities: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -78,7 +79,7 @@ def toggle_category(plan: DataFrame, category: str) -> DataFrame:
     inside = dims.category(F.col("pii_type")) == category
     state = plan.where(inside).groupBy("doc_id").agg(F.bool_and("selected").alias("all_on"))
     return (
-        plan.join(state, "doc_id", "left")
+        lookup(plan, state, ["doc_id"])
         .withColumn("selected", F.when(inside, ~F.col("all_on")).otherwise(F.col("selected")))
         .drop("all_on")
     )

@@ -1,0 +1,28 @@
+"""Lookups that stay balanced when a few keys hold most rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from veil.session import cut_lineage
+
+SHARES = 1000
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], shares: int = SHARES) -> DataFrame:
+    """Left join to a table that is unique in ``keys``, with hot keys taken out of the shuffle.
+
+    A key is hot when it holds more than 1/``shares`` of the rows, so there are fewer than ``shares``
+    hot keys whatever the data: their matches are broadcast within that bound. All other rows join
+    by shuffle, where no key is large.
+    """
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = left.groupBy().agg(F.count("*").alias("_t")).scalar()
+    hot = cut_lineage(counts.where(F.col("_n") * shares > total).dropna(subset=keys).select(*keys))
+    if hot.isEmpty():
+        return left.join(right, keys, "left")
+    names = F.broadcast(hot)
+    matches = F.broadcast(right.join(names, keys, "left_semi"))
+    often = left.join(names, keys, "left_semi").join(matches, keys, "left")
+    return often.unionByName(left.join(names, keys, "left_anti").join(right, keys, "left"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from veil.functions.pseudo import synth_by_subtype
+from veil.operators.skew import lookup
 from veil.session import cut_lineage
 
 
@@ -258,15 +259,14 @@ def linked_subtypes(info: DataFrame, keys: DataFrame) -> DataFrame:
 def apply_mapping(df: DataFrame, column: str, mapping: DataFrame, group_key: str) -> DataFrame:
     """Replace a column through a persisted mapping (group_key, original, synthetic); unknown values stay.
 
-    The mapping grows with the data, so Spark chooses the join from its size; nothing is forced.
+    The mapping grows with the data, so it is never broadcast whole; values that hold much of the
+    table are looked up apart.
     """
     m = mapping.where(F.col("group_key") == group_key).select(
         F.col("original").alias("_o"), F.col("synthetic").alias("_s")
     )
-    key = F.col(column).cast("string")
-    return df.join(m, key == F.col("_o"), "left").select(
-        *[F.coalesce("_s", key).alias(c) if c == column else F.col(c) for c in df.columns]
-    )
+    joined = lookup(df.withColumn("_o", F.col(column).cast("string")), m, ["_o"])
+    return joined.select(*[F.coalesce("_s", "_o").alias(c) if c == column else F.col(c) for c in df.columns])
 
 
 def extend_mapping(mapping: DataFrame, values: DataFrame, subtype: str, unique: bool = True, salt: str = "") -> DataFrame:
