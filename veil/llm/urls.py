@@ -46,18 +46,19 @@ def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str
     """Host, path, the longest fitting rule and its verdict for each page.
 
     A rule's path may end anywhere, so a path is cut at every length that some rule has: at most as many
-    prefixes as there are different rule lengths. The list of lengths is one row of distinct small numbers.
+    prefixes as there are different rule lengths; these few numbers are all that the driver sees of the rules.
     The largest of the fitting rules is the longest; among equals that with the longer host, then block.
     """
     host, path = host_and_path(pages[url].cast("string"))
     named = pages.select(pages[page_id].alias("page_id"), host.alias("host"), path.alias("path"))
     places = named.where("host != ''").select("host", "path").distinct()
     table = rule_table(rules)
-    lengths = table.agg(F.collect_set(F.length("rule_path")).alias("lengths"))
+    lengths = [r[0] for r in table.select(F.length("rule_path")).distinct().collect()]
+    cuts = F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>")
     cut = F.transform(
-        F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)
+        F.filter(cuts, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)
     )
-    parts = places.join(F.broadcast(lengths)).select(
+    parts = places.select(
         "host", "path", F.explode(host_suffixes(F.col("host"))).alias("suffix"), cut.alias("prefixes")
     )
     parts = parts.select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
