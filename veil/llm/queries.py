@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm import urls, warc
+from veil.llm import bpe, tokens, urls, warc
 from veil.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +59,22 @@ SELECT c.page_id, host, path, best.r AS rule, coalesce(best.v, 'allow') AS verdi
 def op2(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op4_token_counts")
+def op4(spark, sf_dir):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    counts = tokens.token_counts(table(spark, sf_dir, "documents"), path)
+    return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@query("op7_byte_bpe")
+def op7(spark, sf_dir):
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
