@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm import bpe, tokens, urls, warc
+from veil.llm import bpe, quality, tokens, urls, warc
 from veil.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,15 @@ def op2(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), rules)
 
 
+@query("op3_quality_rules")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 @query("op4_token_counts")
 def op4(spark, sf_dir):
     path = public_tokenizers.path("piece_bpe_32k.model")
