@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from veil.session import shared_path
@@ -58,7 +59,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
 
 
 def byte_lengths(texts: pa.Array) -> np.ndarray:
-    lengths = pa.compute.binary_length(texts)
+    lengths = pc.binary_length(texts)
     return np.asarray(lengths.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
 
 
