@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm import bpe, quality, tokens, urls, warc
+from veil.llm import bpe, quality, secrets, tokens, urls, warc
 from veil.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,45 @@ def op4(spark, sf_dir):
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def secret_sql() -> str:
+    """Spans by the same patterns: the texts between matches give the places."""
+    parts, columns = [], []
+    for number, kind in enumerate(secrets.KINDS):
+        pattern = "'" + kind.pattern.replace("'", "''") + "'"
+        parts.append(f"""SELECT doc_id, source, {number} AS k, '{kind.name}' AS kind, i,
+  CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS s,
+  length(m[i]) AS size, v[i] AS v FROM (SELECT doc_id, source, m, v, g, unnest(range(1, len(m) + 1)) AS i FROM (
+  SELECT doc_id, source, regexp_extract_all(text, {pattern}) AS m, regexp_extract_all(text, {pattern}, {kind.value}) AS v,
+  string_split_regex(text, {pattern}) AS g FROM d)) WHERE length(v[i]) >= {kind.least}""")
+    for kind in secrets.BASE:
+        columns.append(f"count(*) FILTER (kind = '{kind.name}') AS n_{kind.name}")
+    return f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+s AS ({' UNION ALL '.join(parts)}),
+o AS (SELECT v, count(DISTINCT source) AS owners FROM s GROUP BY v),
+t AS (SELECT s.*, owners <= {secrets.FEW_OWNERS} AS live FROM s JOIN o USING (v)),
+r AS (SELECT doc_id, {', '.join(columns)},
+  string_agg(kind || ':' || s || ':' || (s + size), ',' ORDER BY s, k) FILTER (k < {len(secrets.BASE)}) AS base,
+  string_agg(kind || ':' || s || ':' || (s + size), ',' ORDER BY s, k) AS spans,
+  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM t GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{k.name}, 0) AS n_{k.name}' for k in secrets.BASE)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+  coalesce(n_example, 0) AS n_example FROM d LEFT JOIN r USING (doc_id)"""
+
+
+@query("op6_secret_scans", secret_sql())
+def op6(spark, sf_dir):
+    rows = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s.kind < len(secrets.BASE))
+    counts = [
+        F.size(F.array_remove(F.transform("spans.kind", lambda k: k == number), False)).cast("bigint").alias(f"n_{kind.name}")
+        for number, kind in enumerate(secrets.BASE)
+    ]
+    return rows.select(
+        "doc_id", *counts, F.sha2(secrets.named(base), 256).alias("base_sha256"),
+        secrets.named(F.col("spans")).alias("spans"), "n_live", "n_example",
+    )
+
+
 @query("op7_byte_bpe")
 def op7(spark, sf_dir):
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
