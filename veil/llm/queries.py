@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm import bpe, quality, secrets, tokens, urls, warc
+from veil.llm import bpe, minhash, quality, secrets, tokens, urls, warc
 from veil.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,21 @@ def op7(spark, sf_dir):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op10_minhash_dedup", r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+  ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM t),
+k AS (SELECT md5(CAST(list_sort(g) AS VARCHAR)) AS c, min(doc_id) AS rep, len(any_value(g)) AS n, any_value(list_sort(g)) AS h
+  FROM s WHERE len(g) > 0 GROUP BY c),
+p AS (SELECT rep, n, unnest(h) AS x FROM k),
+e AS (SELECT a.rep AS u, b.rep AS v FROM p a JOIN p b ON a.x = b.x AND a.rep <> b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r(u, v) AS (SELECT rep, rep FROM k UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
+m AS (SELECT u AS rep, min(v) AS component_id FROM r GROUP BY u)
+SELECT doc_id, len(s.g) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM s LEFT JOIN k ON md5(CAST(list_sort(s.g) AS VARCHAR)) = k.c AND len(s.g) > 0 LEFT JOIN m USING (rep)""")
+def op10(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
