@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm import bpe, minhash, quality, secrets, tokens, urls, warc
+from veil.llm import bpe, minhash, quality, repeats, secrets, tokens, urls, warc
 from veil.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +128,19 @@ def op7(spark, sf_dir):
     )
 
 
+@query("op8_substring_dedup", r"""
+WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i:i+12], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM t)),
+m AS (SELECT h, min(doc_id) AS low FROM g GROUP BY h),
+c AS (SELECT doc_id, list(i) AS hits FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM g JOIN m USING (h) WHERE low < doc_id) GROUP BY doc_id),
+k AS (SELECT doc_id, len(w) AS n, CASE WHEN hits IS NULL THEN w ELSE list_filter(w, lambda x, j: NOT list_contains(hits, j)) END AS left_
+  FROM t LEFT JOIN c USING (doc_id))
+SELECT doc_id, n AS n_words, n - len(left_) AS n_removed, sha256(array_to_string(left_, ' ')) AS kept_sha256 FROM k""")
+def op8(spark, sf_dir):
+    rows = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op10_minhash_dedup", r"""
 WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
