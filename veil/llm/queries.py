@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm import bpe, minhash, quality, repeats, secrets, tokens, urls, warc
+from veil.llm import bpe, minhash, ngrams, quality, repeats, secrets, tokens, urls, warc
 from veil.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,15 @@ def op4(spark, sf_dir):
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+@query("op5_lm_scoring")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = ngrams.train(docs.where(~ngrams.held_out(docs.doc_id)))
+    rows = ngrams.score(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("bigint"))
+    out = rows.withColumn("held_out", ngrams.held_out(F.col("doc_id")))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def secret_sql() -> str:
     """Spans by the same patterns: the texts between matches give the places."""
     parts, columns = [], []
