@@ -12,8 +12,8 @@ from veil.operators import detect, mask, resolve
 from veil.sources import readers
 
 CUSTOM = [*REGISTRY, SECRET]
-SURE = f"(SELECT * FROM {entities_sql(DOCS, CUSTOM)} WHERE confidence >= 0.8)"
-PLAN = f"(SELECT *, {strategy_sql('pii_type')} AS strategy FROM {dedup_sql(SURE)})"
+FOUND = entities_sql(DOCS, CUSTOM)
+PLAN = f"(SELECT *, {strategy_sql('pii_type')} AS strategy FROM {dedup_sql(FOUND)})"
 MASKED = masked_sql(DOCS, PLAN)
 
 
@@ -26,8 +26,7 @@ def turns(spark, sf):
 
 
 def plan_of(spark, sf):
-    found = detect.request_filter(detect.detect_patterns(docs(spark, sf), CUSTOM))
-    return resolve.mask_plan(found)
+    return resolve.mask_plan(detect.detect_patterns(docs(spark, sf), CUSTOM))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import DERIVED, derived, query, table
-from checks.detection import CUSTOM, MASKED, PLAN, SURE, docs
+from checks.detection import CUSTOM, FOUND, MASKED, PLAN, docs
 from checks.sqltext import (
     DOCS,
     dedup_sql,
@@ -68,7 +68,7 @@ def mask_spans_local(spark, sf):
 
 CORPUS = "(SELECT doc_id, page_num, text FROM pii_corpus)"
 CORPUS_PLAN = f"(SELECT *, {strategy_sql('pii_type')} AS strategy FROM {dedup_sql(entities_sql(CORPUS, CUSTOM))} WHERE confidence >= 0.6)"
-ONE = f"(SELECT doc_id, text, min({{'o': ord, 't': pii_type, 's': strategy}}) AS p FROM {CORPUS_PLAN} GROUP BY doc_id, text)"
+ONE = f"(SELECT doc_id, text, min({{'g': page_num, 'o': ord, 't': pii_type, 's': strategy}}) AS p FROM {CORPUS_PLAN} GROUP BY doc_id, text)"
 PAGE_ITEMS = f"""(SELECT c.doc_id, c.page_num, list({{'t': p.text, 'r': p.repl, 's': p.strategy}} ORDER BY length(p.text) DESC, p.ord) AS items FROM {CORPUS} c
     JOIN (SELECT doc_id, text, p.o AS ord, p.s AS strategy, {replacement_sql('p.s', 'p.t', 'text')} AS repl FROM {ONE}) p ON c.doc_id = p.doc_id AND contains(c.text, p.text) GROUP BY 1, 2)"""
 
@@ -310,7 +310,7 @@ AFTER = "(SELECT doc_id, 0 AS page_num, masked_text AS text FROM weak)"
 
 @query(
     "qa_audit",
-    f"""WITH found AS MATERIALIZED {SURE.replace('confidence >= 0.8', 'confidence >= 0.95')}, plan AS MATERIALIZED (SELECT *, {strategy_sql('pii_type')} AS strategy FROM {dedup_sql('found')}),
+    f"""WITH found AS MATERIALIZED (SELECT * FROM {FOUND} WHERE confidence >= 0.95), plan AS MATERIALIZED (SELECT *, {strategy_sql('pii_type')} AS strategy FROM {dedup_sql('found')}),
     weak AS MATERIALIZED (SELECT doc_id, text, masked_text FROM {MASKED.replace(PLAN, 'plan')}),
     missed AS (SELECT e.doc_id, 'missed_pii' AS issue_type, e.pii_type, e.text FROM {entities_sql(AFTER, CUSTOM)} e JOIN weak w ON e.doc_id = w.doc_id WHERE e.confidence >= 0.8 AND contains(w.text, e.text)),
     partly AS (SELECT p.doc_id, 'masking_error' AS issue_type, p.pii_type, p.text FROM plan p JOIN weak w ON p.doc_id = w.doc_id WHERE contains(w.masked_text, p.text)),

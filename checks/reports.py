@@ -191,11 +191,11 @@ def detection_stats(spark, sf):
 
 @query(
     "category_counts",
-    f"SELECT c.category, coalesce(n, 0) AS n_items FROM (SELECT unnest({dims.CATEGORIES}) AS category) c LEFT JOIN (SELECT {category_sql('pii_type')} AS category, count(*) AS n FROM entities WHERE pii_type NOT IN ('PERSON') GROUP BY 1) e ON c.category = e.category",
+    f"SELECT c.category, coalesce(n, 0) AS n_items FROM (SELECT unnest({dims.CATEGORIES}) AS category) c LEFT JOIN (SELECT {category_sql('pii_type')} AS category, count(*) AS n FROM entities GROUP BY 1) e ON c.category = e.category",
     ("entities",),
 )
 def category_counts(spark, sf):
-    return report.category_counts(derived(spark, sf, "entities").where("pii_type <> 'PERSON'"))
+    return report.category_counts(derived(spark, sf, "entities"))
 
 
 @query(
@@ -239,8 +239,8 @@ FRAMEWORKS = " UNION ALL ".join(f"SELECT '{f}' AS framework, unnest({ts}) AS pii
 
 @query(
     "compliance_report",
-    f"""SELECT *, CASE WHEN score >= 85 THEN 'compliant' WHEN score >= 60 THEN 'at-risk' ELSE 'non-compliant' END AS status FROM
-    (SELECT f.framework, count(i.pii_type) AS relevant_items, count(*) FILTER (i.masked) AS masked_items, count(DISTINCT i.pii_type) AS types_found, round(count(*) FILTER (i.masked) * 100.0::DOUBLE / count(i.pii_type), 2) AS score
+    f"""SELECT *, CASE WHEN score IS NULL THEN 'no findings' WHEN score >= 85 THEN 'compliant' WHEN score >= 60 THEN 'at-risk' ELSE 'non-compliant' END AS status FROM
+    (SELECT f.framework, count(i.pii_type) AS relevant_items, count(*) FILTER (i.masked) AS masked_items, count(DISTINCT i.pii_type) AS types_found, CASE WHEN count(i.pii_type) > 0 THEN round(count(*) FILTER (i.masked) * 100.0::DOUBLE / count(i.pii_type), 2) END AS score
     FROM ({FRAMEWORKS}) f LEFT JOIN dated_items i ON f.pii_type = i.pii_type GROUP BY f.framework)""",
     ("dated_items",),
 )

@@ -11,6 +11,8 @@ from checks.sqltext import hash_sql, pool_sql, quote
 from veil.functions import dims, hashing, pseudo
 from veil.operators import report, tables
 from veil.plans import jobs
+from veil.session import cut_lineage, shared_path
+from veil.sources import mapping_store
 
 TABLES = {
     "region": ["r_regionkey", "r_name"],
@@ -54,30 +56,73 @@ def column_pairs(spark, sf):
     return tables.column_pairs(table_set(spark, sf))
 
 
+def synth_sql(subtype: str, value: str, unique: bool = False) -> str:
+    H = hashing
+    sha, num = f"sha256({value})", f"translate(sha256({value}), 'abcdef', '012345')"
+    a, b = hash_sql(value), hash_sql(value, "", 9)
+
+    def pool(names, h):
+        return f"{pool_sql(names)}[{h} % {len(names)} + 1]"
+
+    tail = f" || '-' || substr({sha}, 9, 24)" if unique else ""
+    mail = f" || '.' || substr({sha}, 9, 24)" if unique else ""
+    call = f" || ' x' || substr({num}, 9, 32)" if unique else ""
+    return f"""CASE WHEN {subtype} = 'name' THEN {pool(H.FIRST_NAMES, a)} || ' ' || {pool(H.LAST_NAMES, b)}{tail}
+        WHEN {subtype} = 'email' THEN lower({pool(H.FIRST_NAMES, a)}) || '.' || lower({pool(H.LAST_NAMES, b)}) || substr({num}, 17, 4){mail} || '@example.com'
+        WHEN {subtype} IN ('phone', 'phone_number') THEN '555-' || substr({num}, 1, 3) || '-' || substr({num}, 4, 4){call}
+        WHEN {subtype} IN ('ssn', 'national_id') THEN substr({num}, 1, 3) || '-' || substr({num}, 4, 2) || '-' || substr({num}, 6, 4){tail}
+        WHEN {subtype} = 'address' THEN {pool(H.ADDRESSES, a)} || ', ' || {pool(H.CITIES, b)}{tail}
+        WHEN {subtype} IN ('date_of_birth', 'date') THEN CAST(DATE '1940-01-01' + CAST({a} % 25000 AS INTEGER) AS VARCHAR){tail}
+        WHEN {subtype} IN ('medical_record_number', 'medical_condition') THEN 'MRN-' || upper(translate(substr({sha}, 17, 4), '0123456789', 'ghjkmnpqrs')) || '-' || substr({num}, 1, 5){tail}
+        WHEN {subtype} IN ('generic_id', 'id', 'account_number') THEN 'ACC-' || substr({num}, 1, 8){tail}
+        ELSE {pool(H.WORDS, a)} || '_anon'{tail} END"""
+
+
+# plain column names, so that names repeat across tables: name, source column
 NAMED = {
-    "customer": ["cust_id", "full_name", "nation_id", "segment"],
-    "orders": ["order_id", "cust_id", "status"],
-    "supplier": ["supp_id", "full_name", "nation_id"],
+    "customer": {"cust_id": "c_custkey", "full_name": "c_name", "nation_id": "c_nationkey", "balance": "c_acctbal", "segment": "c_mktsegment"},
+    "orders": {"order_id": "o_orderkey", "cust_id": "o_custkey", "status": "o_orderstatus", "total": "o_totalprice", "placed_on": "o_orderdate", "priority": "o_orderpriority"},
+    "supplier": {"supp_id": "s_suppkey", "full_name": "s_name", "nation_id": "s_nationkey", "balance": "s_acctbal"},
 }
 
 
 def renamed(spark, sf):
-    """The given tables under plain column names, so that names repeat across tables."""
-    c, o, s = (table(spark, sf, t) for t in ("customer", "orders", "supplier"))
-    return {
-        "customer": c.select(F.col("c_custkey").alias("cust_id"), F.col("c_name").alias("full_name"), F.col("c_nationkey").alias("nation_id"), F.col("c_mktsegment").alias("segment")),
-        "orders": o.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("cust_id"), F.col("o_orderstatus").alias("status")),
-        "supplier": s.select(F.col("s_suppkey").alias("supp_id"), F.col("s_name").alias("full_name"), F.col("s_nationkey").alias("nation_id")),
-    }
-
-
-SOURCE = {
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus"],
-    "supplier": ["s_suppkey", "s_name", "s_nationkey"],
-}
+    """Three of the given tables, whole, under plain column names."""
+    return {t: table(spark, sf, t).select(*[F.col(c).alias(n) for n, c in names.items()]) for t, names in NAMED.items()}
+
+
+AMOUNTS = ("balance", "total")
+
+
+def listed(tables_by_name):
+    """All rows of a table set as (table_name, cells); amounts in cents."""
+    parts = [
+        df.select(F.lit(t).alias("table_name"), F.concat_ws("|", *[
+            F.coalesce((F.round(F.col(c) * 100).cast("bigint") if c in AMOUNTS else F.col(c)).cast("string"), F.lit("-")) for c in df.columns
+        ]).alias("cells"))
+        for t, df in tables_by_name.items()
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def listed_sql(subtypes: dict[str, str]) -> str:
+    """The same rows with stand-ins computed in SQL."""
+
+    def cell(name, column):
+        if name in subtypes:
+            return synth_sql(quote(subtypes[name]), f"CAST({column} AS VARCHAR)", True)
+        return f"CAST(CAST(round({column} * 100) AS BIGINT) AS VARCHAR)" if name in AMOUNTS else f"CAST({column} AS VARCHAR)"
+
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, concat_ws('|', {', '.join(f"coalesce({cell(n, c)}, '-')" for n, c in names.items())}) AS cells FROM {t}" for t, names in NAMED.items()
+    )
+
+
 COUNTED = " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, '{n}' AS column_name, count(DISTINCT {c}) AS n_values FROM {t}" for t in NAMED for n, c in zip(NAMED[t], SOURCE[t])
+    f"SELECT '{t}' AS table_name, '{n}' AS column_name, count(DISTINCT {c}) AS n_values FROM {t}" for t, names in NAMED.items() for n, c in names.items()
 )
 
 
@@ -120,7 +165,7 @@ DERIVED["people"] = """SELECT c_custkey AS cust_id, CASE c_custkey % 3 WHEN 0 TH
     CASE WHEN c_custkey % 10 = 0 THEN CAST(NULL AS STRING) ELSE '1980-0' || CAST(c_custkey % 9 + 1 AS STRING) || '-1' || CAST(c_custkey % 9 AS STRING) END AS dob,
     c_mktsegment AS segment, 'Note ' || c_name AS notes FROM {customer}"""
 SAMPLE = " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM (SELECT * FROM people ORDER BY cust_id LIMIT 20) WHERE {c} IS NOT NULL" for c in PEOPLE_COLUMNS
+    f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM people WHERE {c} IS NOT NULL" for c in PEOPLE_COLUMNS
 )
 
 
@@ -138,32 +183,12 @@ def classify_sql() -> str:
 @query("column_classify", classify_sql(), ("people",))
 def column_classify(spark, sf):
     people = derived(spark, sf, "people")
-    return tables.column_classify(tables.sample_cells("people", people.select(*PEOPLE_COLUMNS), "cust_id"))
+    return tables.column_classify(tables.column_values({"people": people.select(*PEOPLE_COLUMNS)}))
 
 
 # --- stand-ins -----------------------------------------------------------------------------------
 
 
-def synth_sql(subtype: str, value: str, unique: bool = False) -> str:
-    H = hashing
-    sha, num = f"sha256({value})", f"translate(sha256({value}), 'abcdef', '012345')"
-    a, b = hash_sql(value), hash_sql(value, "", 9)
-
-    def pool(names, h):
-        return f"{pool_sql(names)}[{h} % {len(names)} + 1]"
-
-    tail = f" || '-' || substr({sha}, 9, 24)" if unique else ""
-    return f"""CASE WHEN {subtype} = 'name' THEN {pool(H.FIRST_NAMES, a)} || ' ' || {pool(H.LAST_NAMES, b)}
-        WHEN {subtype} = 'email' THEN lower({pool(H.FIRST_NAMES, a)}) || '.' || lower({pool(H.LAST_NAMES, b)}) || substr({num}, 17, 4) || '@example.com'
-        WHEN {subtype} IN ('phone', 'phone_number') THEN '555-' || substr({num}, 1, 3) || '-' || substr({num}, 4, 4)
-        WHEN {subtype} IN ('ssn', 'national_id') THEN substr({num}, 1, 3) || '-' || substr({num}, 4, 2) || '-' || substr({num}, 6, 4){tail}
-        WHEN {subtype} = 'address' THEN {pool(H.ADDRESSES, a)} || ', ' || {pool(H.CITIES, b)}
-        WHEN {subtype} IN ('date_of_birth', 'date') THEN CAST(DATE '1940-01-01' + CAST({a} % 25000 AS INTEGER) AS VARCHAR)
-        WHEN {subtype} IN ('medical_record_number', 'medical_condition') THEN 'MRN-' || upper(translate(substr({sha}, 17, 4), '0123456789', 'ghjkmnpqrs')) || '-' || substr({num}, 1, 5){tail}
-        WHEN {subtype} IN ('generic_id', 'id', 'account_number') THEN 'ACC-' || substr({num}, 1, 8){tail}
-        ELSE {pool(H.WORDS, a)} || '_anon' END"""
-
-
 DERIVED["subtyped"] = f"""SELECT {O} AS id, {case(O, *[f"'{s}'" for s in dims.COLUMN_SUBTYPES])} AS subtype, CASE WHEN {O} % 7 = 0 THEN CAST(NULL AS STRING) ELSE 'v' || CAST(o_custkey AS STRING) END AS value FROM {{orders}}"""
 
 
@@ -180,34 +205,44 @@ def synth_by_subtype(spark, sf):
     )
 
 
-@query(
-    "anonymize_tables",
-    f"""SELECT o_orderkey AS order_id, {synth_sql("'generic_id'", 'CAST(o_custkey AS VARCHAR)', True)} AS cust_id, o_orderstatus AS status FROM orders""",
-)
+@query("anonymize_tables", listed_sql({"cust_id": "generic_id", "full_name": "name"}))
 def anonymize_tables(spark, sf):
-    """One table of an anonymized set: the linked key becomes a stand-in, the rest stays."""
-    out = jobs.anonymize_set(renamed(spark, sf), {"cust_id": "generic_id", "full_name": "name"})
-    return out["orders"]
+    """A table set with named columns anonymized, all rows and columns: linked keys stay linked."""
+    return listed(jobs.anonymize_set(renamed(spark, sf), {"cust_id": "generic_id", "full_name": "name"}))
 
 
-@query(
-    "fk_preserved",
-    """SELECT 'orders-customer' AS link, (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey) AS rows_before, (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey) AS rows_after, true AS preserved
-    UNION ALL SELECT 'lineitem-orders', (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey), (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey), true""",
-)
+KEY_SUBTYPES = ("generic_id", "name", "email", "phone")
+LINKED = (("orders", "customer", "o_custkey", "c_custkey"), ("lineitem", "orders", "l_orderkey", "o_orderkey"))
+
+
+def preserved_sql() -> str:
+    parts = []
+    for left, right, lk, rk in LINKED:
+        for s in KEY_SUBTYPES:
+            a, b = (synth_sql(quote(s), f"CAST({k} AS VARCHAR)", True) for k in (lk, rk))
+            parts.append(f"""SELECT '{left}-{right}' AS link, '{s}' AS subtype, n AS rows_before, m AS rows_after, n = m AS preserved, least_key FROM
+                (SELECT count(*) AS n FROM {left} JOIN {right} ON {lk} = {rk}),
+                (SELECT sum(x.n * y.n)::BIGINT AS m FROM (SELECT {a} AS k, n FROM (SELECT {lk}, count(*) AS n FROM {left} GROUP BY 1)) x JOIN (SELECT {b} AS k, n FROM (SELECT {rk}, count(*) AS n FROM {right} GROUP BY 1)) y USING (k)),
+                (SELECT min({b}) AS least_key FROM {right})""")
+    return " UNION ALL ".join(parts)
+
+
+@query("fk_preserved", preserved_sql())
 def fk_preserved(spark, sf):
-    """Join row counts before and after anonymizing both sides of a link."""
-    checked = []
-    for left, right, lk, rk in (("orders", "customer", "o_custkey", "c_custkey"), ("lineitem", "orders", "l_orderkey", "o_orderkey")):
-        a, b = table(spark, sf, left).select(lk), table(spark, sf, right).select(rk)
-        link = F.lit(f"{left}-{right}").alias("link")
-        before = tables.join_rows(a, b, lk, rk)
-        after = tables.join_rows(
-            tables.anonymize_table(a, {lk: "generic_id"}), tables.anonymize_table(b, {rk: "generic_id"}), lk, rk
-        )
-        checked.append(before.select(link, F.col("n_rows").alias("rows_before"), after.scalar().alias("rows_after")))
-    both = checked[0].unionByName(checked[1])
-    return both.withColumn("preserved", F.col("rows_before") == F.col("rows_after"))
+    """Join row counts before and after anonymizing both sides of a link, whatever the key is taken for."""
+    out = None
+    for left, right, lk, rk in LINKED:
+        per_key = cut_lineage(tables.key_counts(table(spark, sf, left), table(spark, sf, right), lk, rk))
+        before = tables.joined_rows(per_key).scalar()
+        for s in KEY_SUBTYPES:
+            after = tables.anonymized_keys(per_key, s)
+            least = after.where("r > 0").agg(F.min("k"))
+            row = tables.joined_rows(after).select(
+                F.lit(f"{left}-{right}").alias("link"), F.lit(s).alias("subtype"), before.alias("rows_before"), F.col("n_rows").alias("rows_after"),
+                (before == F.col("n_rows")).alias("preserved"), least.scalar().alias("least_key"),
+            )
+            out = row if out is None else out.unionByName(row)
+    return out
 
 
 DERIVED["mapping"] = """SELECT 'group_0' AS group_key, CAST(c_custkey AS STRING) AS original, 'C-' || CAST(c_custkey * 7 + 11 AS STRING) AS synthetic FROM {customer} WHERE c_mktsegment <> 'BUILDING'"""
@@ -230,10 +265,13 @@ def apply_mapping(spark, sf):
     ("mapping",),
 )
 def mapping_io(spark, sf):
-    """The stored mapping plus rows for values it does not know yet."""
-    stored = derived(spark, sf, "mapping")
+    """A stored mapping is loaded, extended by values it does not know, appended to and loaded again."""
+    path = shared_path(spark, "mapping")
+    mapping_store.append_mapping(derived(spark, sf, "mapping"), path)
+    stored = mapping_store.load_mapping(spark, path)
     values = table(spark, sf, "orders").select(F.lit("group_0").alias("group_key"), F.col("o_custkey").cast("string").alias("original"))
-    return stored.unionByName(tables.extend_mapping(stored, values, "account_number"))
+    mapping_store.append_mapping(cut_lineage(tables.extend_mapping(stored, values, "account_number")), path)
+    return mapping_store.load_mapping(spark, path).select("group_key", "original", "synthetic")
 
 
 DERIVED["uploads"] = "SELECT DISTINCT document_id, 'f_' || document_id AS filename, CAST(length(document_id) * 1000 AS BIGINT) AS file_size, length(document_id) <> 5 AS ok FROM {registry}"
@@ -264,21 +302,13 @@ def processing_summary(spark, sf):
     return stages(spark, sf)[1]
 
 
-@query(
-    "replica",
-    """SELECT 'customer' AS table_name, count(*) AS n_rows, count(DISTINCT c_custkey) AS n_keys, (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey) AS order_links FROM customer
-    UNION ALL SELECT 'orders', count(*), count(DISTINCT o_custkey), (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey) FROM orders""",
-)
+REPLICATED = {"cust_id": "generic_id", "order_id": "generic_id", "supp_id": "generic_id", "nation_id": "generic_id", "full_name": "name"}
+
+
+@query("replica", listed_sql(REPLICATED))
 def replica(spark, sf):
-    """A clean copy of a table set: discovered, anonymized, with rows, keys and links intact."""
-    copy = jobs.replica(renamed(spark, sf), {"customer": "cust_id", "orders": "order_id", "supplier": "supp_id"})
-    links = tables.join_rows(copy["orders"], copy["customer"], "cust_id", "cust_id")
-    parts = [
-        copy[t].groupBy("cust_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_keys"))
-        .select(F.lit(t).alias("table_name"), "n_rows", "n_keys", links.scalar().alias("order_links"))
-        for t in ("customer", "orders")
-    ]
-    return parts[0].unionByName(parts[1])
+    """A clean copy of a table set: discovered by all values and links, then anonymized."""
+    return listed(jobs.replica(renamed(spark, sf)))
 
 
 @query("synth_table")

@@ -121,7 +121,7 @@ def llm_json_parse(spark, sf):
 
 @query(
     "llm_entities",
-    f"""SELECT doc_id, page_num, CAST(chunk_idx * 100000 + g - 1 AS INTEGER) AS ord, t AS text, items[g].pii_type AS pii_type,
+    f"""SELECT doc_id, page_num, CAST(chunk_idx AS BIGINT) * 4294967296 + g - 1 AS ord, t AS text, items[g].pii_type AS pii_type,
         CAST((CASE WHEN given THEN items[g].start ELSE loc END) + chunk_offset AS INTEGER) AS start_pos,
         CAST((CASE WHEN given THEN items[g]."end" ELSE loc + length(t) END) + chunk_offset AS INTEGER) AS end_pos, coalesce(items[g].confidence, 0.8) AS confidence
     FROM (SELECT *, items[g].text AS t, greatest(instr(chunk, items[g].text) - 1, 0) AS loc, items[g].start IS NOT NULL AND items[g]."end" IS NOT NULL AS given FROM {ANSWERS})

@@ -148,25 +148,31 @@ def pages_and_plan(spark):
     )
 
 
-def test_hot_documents_take_another_way_to_the_same_result(spark):
+def test_documents_are_masked_on_all_pages(spark):
     pages, plan = pages_and_plan(spark)
-    direct = mask.mask_document(pages, plan, hot_pairs=10**9)
-    grams = mask.mask_document(pages, plan, hot_pairs=0)
-    mixed = mask.mask_document(pages.where("doc_id < 2 OR page_num = 0"), plan, hot_pairs=10)
-    assert mixed.exceptAll(direct).isEmpty() and mixed.count() == 11
-    assert direct.exceptAll(grams).isEmpty() and grams.exceptAll(direct).isEmpty()
-    text = direct.where("doc_id = 1 AND page_num = 0").first().masked_text
+    out = mask.mask_document(pages, plan)
+    assert out.count() == 15 and out.columns[:3] == pages.columns
+    text = out.where("doc_id = 1 AND page_num = 0").first().masked_text
     assert text == "page 0 of 1: [REDACTED] seen with [REDACTED] ***"
+    alone = mask.mask_document(pages.where("doc_id < 2 OR page_num = 0"), plan)
+    assert alone.exceptAll(out).isEmpty() and alone.count() == 11
 
 
-def test_hits_match_brute_force(spark):
-    pages, plan = pages_and_plan(spark)
-    want = {
-        (p.doc_id, p.page_num, q.text)
-        for p in pages.collect() for q in plan.collect() if p.doc_id == q.doc_id and q.text in p.text
-    }
-    got = mask.document_hits(pages, plan).select("doc_id", "page_num", "text").collect()
-    assert len(got) == len(want) and set(map(tuple, got)) == want
+def test_the_first_page_decides_what_a_text_is(spark):
+    pages = spark.createDataFrame([(1, 0, "no 12 12"), (1, 1, "at 12 12")], "doc_id long, page_num int, text string")
+    plan = spark.createDataFrame(
+        [(1, 1, 0, "12 12", "ADDRESS", "pseudo"), (1, 0, 5, "12 12", "SSN", "redact")],
+        "doc_id long, page_num int, ord int, text string, pii_type string, strategy string",
+    )
+    assert {r.masked_text for r in mask.mask_document(pages, plan).collect()} == {"no [REDACTED]", "at [REDACTED]"}
+
+
+def test_names_are_masked_by_default(spark):
+    from veil.functions.patterns import REGISTRY
+
+    docs = spark.createDataFrame([(1, "we met Maria Novak of Acme Trading Inc, Springfield, IL 62704")], "doc_id long, text string")
+    text = mask.protect(docs, REGISTRY).first().masked_text
+    assert "Novak" not in text and "Acme" not in text and "62704" not in text
 
 
 def test_span_masking_leaves_other_occurrences(spark):

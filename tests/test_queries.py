@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+import checks.catalog  # noqa: F401 - registers the queries
+from checks import base
 from checks.compare import compare, duck
 from tests.conftest import SMALL
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = base.QUERIES, base.SQL
 
 
 @pytest.fixture(scope="module")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veil.functions import dims, pseudo, text
-from veil.operators import chunk, mimic, report, running, scan, skew, synth, tables
+from veil.operators import chunk, mimic, report, resolve, running, scan, synth, tables
 from veil.sources import config_lines, mapping_store, readers, registry
 
 
@@ -78,8 +78,12 @@ def test_config_round_trip(spark, tmp_path):
         "doc_id long, page_num int, text string, pii_type string, strategy string, x0 double, y0 double, x1 double, y1 double",
     )
     config_lines.save_config(plan, str(tmp_path / "c"))
-    back = spark.read.option("basePath", str(tmp_path / "c")).text(str(tmp_path / "c")).withColumn("line_num", F.lit(1))
-    parsed = config_lines.config_parse(back.withColumnRenamed("value", "line"))
+    back = spark.read.text(str(tmp_path / "c")).select(
+        F.split_part("value", F.lit("\t"), F.lit(1)).cast("long").alias("doc_id"), F.lit(1).alias("line_num"),
+        F.split_part("value", F.lit("\t"), F.lit(2)).alias("line"),
+    )
+    assert back.where("line LIKE '#%'").count() == 3
+    parsed = config_lines.config_parse(back)
     assert {(r.doc_id, r.text, r.page_num, r.y1) for r in parsed.collect()} == {(1, "a:b", 0, 4.5), (1, "c", 1, 0.0)}
 
 
@@ -197,20 +201,60 @@ def test_mapping_is_reused(spark, tmp_path):
     assert {k: again[k] for k in first} == first and set(again) == {"x", "y", "z"}
 
 
-def test_hot_keys_are_looked_up_apart(spark):
-    left = spark.range(5000).selectExpr("IF(id % 3 = 0, 'hot', IF(id % 50 = 1, NULL, CAST(id AS STRING))) AS k", "id")
-    right = spark.range(4000).selectExpr("CAST(id AS STRING) AS k", "id * 2 AS v").unionByName(
-        spark.createDataFrame([("hot", -1)], "k string, v long")
-    )
-    got, want = skew.lookup(left, right, ["k"]), left.join(right, "k", "left")
-    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
-    nothing_hot = skew.lookup(left.where("k <> 'hot'"), right, ["k"])
-    assert nothing_hot.count() == left.where("k <> 'hot'").count()
+@pytest.mark.parametrize("subtype", ["generic_id", "name", "email", "phone", "address", "date_of_birth", "other"])
+def test_linked_values_stay_distinct(spark, subtype):
+    df = spark.range(50000).select(F.expr(pseudo.synth_by_subtype(f"'{subtype}'", "CAST(id AS STRING)", True)).alias("v"))
+    assert df.distinct().count() == 50000
+
+
+def test_columns_linked_to_a_sensitive_one_are_replaced(spark):
+    info = spark.createDataFrame([("cust_id", "PII", "generic_id", 0.7), ("buyer", "NONE", "other", 0.0), ("note", "NONE", "other", 0.0)],
+                                 "column_name string, label string, subtype string, confidence double")
+    keys = spark.createDataFrame([("c.cust_id", "group_0"), ("o.buyer", "group_0"), ("o.note", "col::note")], "node string, group_key string")
+    got = {(r.node, r.subtype) for r in tables.linked_subtypes(info, keys).collect()}
+    assert got == {("c.cust_id", "generic_id"), ("o.buyer", "generic_id")}
+
+
+def test_long_chains_of_links_settle(spark):
+    nodes = spark.range(200).selectExpr("lpad(CAST(id AS STRING), 3, '0') AS node")
+    edges = spark.range(199).selectExpr("lpad(CAST(id AS STRING), 3, '0') AS a", "lpad(CAST(id + 1 AS STRING), 3, '0') AS b")
+    assert tables.link_groups(nodes, edges).select("component").distinct().collect() == [("000",)]
+
+
+def test_all_values_decide_what_a_column_is(spark):
+    rows = [(k, None if k < 40 else f"user{k}@example.org") for k in range(100)]
+    values = tables.column_values({"t": spark.createDataFrame(rows, "n long, contact string")})
+    assert {r.column_name: r.subtype for r in tables.column_classify(values).collect()} == {"n": "other", "contact": "email"}
+
+
+def test_bad_numbers_drop_the_row(spark):
+    lines = spark.createDataFrame([(1, 1, "a:SSN:mask:99999999999:1:2:3:4"), (1, 2, "b:SSN:mask:2:1:2:3:4")], "doc_id long, line_num int, line string")
+    assert [r.text for r in config_lines.config_parse(lines).collect()] == ["b"]
+
+
+def test_rows_without_status_are_kept(spark):
+    from veil.sources.registry import retention
+
+    rows = spark.createDataFrame([("d", None), ("d", "masked"), ("d", "uploaded")], "document_id string, status string")
+    assert {r.status for r in retention(rows).collect()} == {None, "masked"}
+
+
+def test_an_unreadable_mapping_is_an_error(spark, tmp_path):
+    from pyspark.sql.utils import AnalysisException
+
+    assert mapping_store.load_mapping(spark, str(tmp_path / "none")).isEmpty()
+    (tmp_path / "store").mkdir()
+    (tmp_path / "store" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception) as error:
+        mapping_store.load_mapping(spark, str(tmp_path / "store")).collect()
+    assert not isinstance(error.value, AnalysisException) or error.value.getCondition() != "PATH_NOT_FOUND"
 
 
-def test_ids_stay_distinct(spark):
-    df = spark.range(200000).select(F.expr(pseudo.synth_by_subtype("'generic_id'", "CAST(id AS STRING)", True)).alias("v"))
-    assert df.distinct().count() == 200000
+def test_toggles(spark):
+    plan = spark.createDataFrame([(1, "a", True), (1, "b", False), (2, "c", True)], "doc_id long, pii_id string, selected boolean")
+    one = resolve.toggle_item(plan, spark.createDataFrame([(1, "a")], "doc_id long, pii_id string"))
+    assert {(r.pii_id, r.selected) for r in one.collect()} == {("a", False), ("b", False), ("c", True)}
+    assert {(r.pii_id, r.selected) for r in resolve.toggle_all(plan).collect()} == {("a", True), ("b", True), ("c", False)}
 
 
 def test_perturbed_numbers_keep_format(spark):

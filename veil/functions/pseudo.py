@@ -75,8 +75,8 @@ def mask_named(text: str, strategy: str, pii_type: str, salt: str = "") -> str:
 def synth_by_subtype(subtype: str, value: str, unique: bool = False, salt: str = "") -> str:
     """A value of the column's subtype that depends on the original only.
 
-    ``unique`` appends 96 more digest bits to id-like values, so that distinct keys of a large table
-    stay distinct and joins keep their row counts.
+    ``unique`` carries 96 more digest bits in every subtype, so that distinct keys of a large table stay
+    distinct and joins on any of them keep their row counts.
     """
     # written out rather than bound: outside lambdas the generated code computes the digest once
     h = H.digest(value, salt)
@@ -90,16 +90,18 @@ def synth_by_subtype(subtype: str, value: str, unique: bool = False, salt: str =
 
     first, last = H.choose(H.FIRST_NAMES, part(1)), H.choose(H.LAST_NAMES, part(9))
     tail = f"concat('-', substr({h}, 9, 24))" if unique else "''"
+    mail = f"concat('.', substr({h}, 9, 24))" if unique else "''"
+    call = f"concat(' x', substr({num}, 9, 32))" if unique else "''"
     letters = f"upper(translate(substr({h}, 17, 4), '0123456789', 'ghjkmnpqrs'))"
-    body = f"""CASE WHEN {subtype} = 'name' THEN concat({first}, ' ', {last})
-        WHEN {subtype} = 'email' THEN concat(lower({first}), '.', lower({last}), {digits(17, 4)}, '@example.com')
-        WHEN {subtype} IN ('phone', 'phone_number') THEN concat('555-', {digits(1, 3)}, '-', {digits(4, 4)})
+    body = f"""CASE WHEN {subtype} = 'name' THEN concat({first}, ' ', {last}, {tail})
+        WHEN {subtype} = 'email' THEN concat(lower({first}), '.', lower({last}), {digits(17, 4)}, {mail}, '@example.com')
+        WHEN {subtype} IN ('phone', 'phone_number') THEN concat('555-', {digits(1, 3)}, '-', {digits(4, 4)}, {call})
         WHEN {subtype} IN ('ssn', 'national_id') THEN concat({digits(1, 3)}, '-', {digits(4, 2)}, '-', {digits(6, 4)}, {tail})
-        WHEN {subtype} = 'address' THEN concat({H.choose(H.ADDRESSES, part(1))}, ', ', {H.choose(H.CITIES, part(9))})
-        WHEN {subtype} IN ('date_of_birth', 'date') THEN CAST(date_add(DATE'1940-01-01', CAST({part(1)} % 25000 AS INT)) AS STRING)
+        WHEN {subtype} = 'address' THEN concat({H.choose(H.ADDRESSES, part(1))}, ', ', {H.choose(H.CITIES, part(9))}, {tail})
+        WHEN {subtype} IN ('date_of_birth', 'date') THEN concat(CAST(date_add(DATE'1940-01-01', CAST({part(1)} % 25000 AS INT)) AS STRING), {tail})
         WHEN {subtype} IN ('medical_record_number', 'medical_condition') THEN concat('MRN-', {letters}, '-', {digits(1, 5)}, {tail})
         WHEN {subtype} IN ('generic_id', 'id', 'account_number') THEN concat('ACC-', {digits(1, 8)}, {tail})
-        ELSE concat({H.choose(H.WORDS, part(1))}, '_anon') END"""
+        ELSE concat({H.choose(H.WORDS, part(1))}, '_anon', {tail}) END"""
     return f"IF({value} IS NULL, NULL, {body})"
 
 

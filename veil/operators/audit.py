@@ -26,7 +26,7 @@ def invalid(kind: str, text: str) -> str:
         ELSE false END"""
 
 
-def issues(masked: DataFrame, registry, min_confidence: float = 0.8) -> DataFrame:
+def issues(masked: DataFrame, registry, min_confidence: float = 0.0) -> DataFrame:
     """Issues of masked one-row documents (doc_id, text, plan, masked_text), one row each, row-local.
 
     missed_pii: a pattern still matches a text of the original. masking_error: a plan text is still
@@ -52,7 +52,7 @@ def issues(masked: DataFrame, registry, min_confidence: float = 0.8) -> DataFram
     )
 
 
-def qa_loop(texts: DataFrame, registry, min_confidence: float = 0.8, max_rounds: int = 3, salt: str = "") -> tuple[DataFrame, int]:
+def qa_loop(texts: DataFrame, registry, min_confidence: float = 0.0, max_rounds: int = 3, salt: str = "") -> tuple[DataFrame, int]:
     """Mask, audit, mask what is left, until nothing is missed or ``max_rounds`` is reached.
 
     Each round starts from a checkpoint, so lineage does not grow. Returns (doc_id, text,

@@ -131,7 +131,7 @@ def llm_entities(responses: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id",
         "page_num",
-        (F.col("chunk_idx") * 100000 + F.col("item_idx")).cast("int").alias("ord"),
+        F.shiftleft(F.col("chunk_idx").cast("bigint"), 32).bitwiseOR(F.col("item_idx").cast("bigint")).alias("ord"),
         dims.normalize_type(F.col("item.pii_type")).alias("pii_type"),
         item.alias("text"),
         start.cast("int").alias("start"),
@@ -177,8 +177,8 @@ def entities_union(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def request_filter(entities: DataFrame, types: list[str] | None = None, min_confidence: float = 0.8) -> DataFrame:
-    """Only the requested types at or above the confidence threshold."""
+def request_filter(entities: DataFrame, types: list[str] | None = None, min_confidence: float = 0.0) -> DataFrame:
+    """Only the requested types at or above the confidence threshold; by default everything."""
     out = entities.where(F.col("confidence") >= min_confidence)
     return out.where(F.col("pii_type").isin(types)) if types else out
 

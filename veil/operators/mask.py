@@ -11,8 +11,6 @@ from veil.functions.pseudo import perturb_number, replace_noun, replacement
 from veil.functions.spans import all_spans, by_position, keep_disjoint, let, resolve_overlaps, splice
 from veil.functions.text import SPACE, fit_replacement
 from veil.operators.detect import KEEP_NUMBER, keep_noun
-from veil.operators.skew import lookup
-from veil.session import cut_lineage
 
 ITEM = "struct<len:int,ord:int,text:string,repl:string,strategy:string>"
 
@@ -21,21 +19,19 @@ def fold(text: str, items: str) -> str:
     """Apply plan items to a text, longest first, every occurrence, each on the result of the last.
 
     An item whose text is absent at its turn counts as failed. Result:
-    struct(text, masked, failed, redact, mask, pseudo, other, hits array of item texts found).
+    struct(text, masked, failed, redact, mask, pseudo).
     """
     body = f"""aggregate(
         array_sort(items),
-        struct({text} AS text, 0L AS masked, 0L AS failed, 0L AS redact, 0L AS mask, 0L AS pseudo,
-               cast(array() AS array<string>) AS hits),
+        struct({text} AS text, 0L AS masked, 0L AS failed, 0L AS redact, 0L AS mask, 0L AS pseudo),
         (a, i) -> CASE WHEN i.text = '' OR NOT contains(a.text, i.text)
             THEN struct(a.text AS text, a.masked AS masked, a.failed + 1 AS failed, a.redact AS redact,
-                        a.mask AS mask, a.pseudo AS pseudo, a.hits AS hits)
+                        a.mask AS mask, a.pseudo AS pseudo)
             ELSE {let("CAST((length(a.text) - length(replace(a.text, i.text, ''))) / length(i.text) AS BIGINT)", "n", '''
                 struct(replace(a.text, i.text, i.repl) AS text, a.masked + n AS masked, a.failed AS failed,
                        a.redact + IF(i.strategy = 'redact', n, 0L) AS redact,
                        a.mask + IF(i.strategy = 'mask', n, 0L) AS mask,
-                       a.pseudo + IF(i.strategy = 'pseudo', n, 0L) AS pseudo,
-                       concat(a.hits, array(i.text)) AS hits)''')} END)"""
+                       a.pseudo + IF(i.strategy = 'pseudo', n, 0L) AS pseudo)''')} END)"""
     return let(items, "items", body)
 
 
@@ -83,7 +79,7 @@ def expand_fold(df: DataFrame) -> DataFrame:
     )
 
 
-def row_plan(registry, min_confidence: float = 0.8, text: str = "text") -> str:
+def row_plan(registry, min_confidence: float = 0.0, text: str = "text") -> str:
     """The masking plan of one text from its own matches, as an array of fold items.
 
     The row-local form of detect -> filter -> best type per text -> strategy -> replacement.
@@ -100,7 +96,7 @@ def row_plan(registry, min_confidence: float = 0.8, text: str = "text") -> str:
     return let(ranked, "r", "filter(r, (s, i) -> i = 0 OR s.key <> get(r, i - 1).key)")
 
 
-def protect(texts: DataFrame, registry, min_confidence: float = 0.8, salt: str = "") -> DataFrame:
+def protect(texts: DataFrame, registry, min_confidence: float = 0.0, salt: str = "") -> DataFrame:
     """Detect and mask in one narrow pass: each row's plan comes from its own text.
 
     No shuffle, no join, no state, so it serves batch and streaming alike. Adds plan (array),
@@ -138,7 +134,7 @@ def mask_spans(pages: DataFrame, entities: DataFrame, salt: str = "") -> DataFra
     )
 
 
-def protect_spans(texts: DataFrame, registry, min_confidence: float = 0.8, salt: str = "") -> DataFrame:
+def protect_spans(texts: DataFrame, registry, min_confidence: float = 0.0, salt: str = "") -> DataFrame:
     """Detect and mask exact occurrences in one narrow pass: the row-local form of ``mask_spans``."""
     strategy = ", ".join(f"'{k}', '{v}'" for k, v in dims.STRATEGY.items())
     chosen = f"coalesce(try_element_at(map({strategy}), s.kind), 'redact')"
@@ -176,76 +172,29 @@ def masking_stats(masked: DataFrame) -> DataFrame:
     )
 
 
-GRAM = 4
+SALTS = 16
 
 
-def document_hits(pages: DataFrame, plan: DataFrame) -> DataFrame:
-    """Which plan texts of a document occur on which of its pages, for documents of any size.
-
-    Each text is looked up under its 4-gram that is rarest among the document's texts, so the work
-    spreads over grams and stays near the true hits. Texts shorter than a gram, of which a document
-    can hold only few, are tested directly.
-    """
-    short = F.length("text") < GRAM
-    found = F.contains(F.col("page_text"), F.col("text"))
-    sheets = pages.select("doc_id", "page_num", F.col("text").alias("page_text"))
-    texts = plan.drop("page_num")
-    out = ["doc_id", "page_num", *[c for c in texts.columns if c != "doc_id"]]
-    direct = texts.where(short).join(sheets, "doc_id").where(found).select(*out)
-
-    grams = "array_distinct(transform(sequence(1, length({t}) - 3), i -> substr({t}, i, 4)))"
-    long_texts = texts.where(~short)
-    exploded = long_texts.withColumn("gram", F.explode(F.expr(grams.format(t="text"))))
-    frequency = exploded.groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
-    keyed = (
-        lookup(exploded, frequency, ["doc_id", "gram"])
-        .groupBy("doc_id", "text")
-        .agg(F.min(F.struct("n", "gram")).alias("rare"), F.first(F.struct(*long_texts.columns)).alias("row"))
-        .select("row.*", F.col("rare.gram").alias("gram"))
-    )
-    sheet_grams = (
-        sheets.where(F.length("page_text") >= GRAM)
-        .select("doc_id", "page_num", F.explode(F.expr(grams.format(t="page_text"))).alias("gram"))
-        .join(keyed.select("doc_id", "gram").distinct(), ["doc_id", "gram"], "left_semi")
-    )
-    candidates = sheet_grams.join(keyed, ["doc_id", "gram"]).drop("gram")
-    rare = candidates.join(sheets, ["doc_id", "page_num"]).where(found).select(*out)
-    return direct.unionByName(rare)
-
-
-def mask_document(pages: DataFrame, plan: DataFrame, salt: str = "", hot_pairs: int = 1_000_000) -> DataFrame:
+def mask_document(pages: DataFrame, plan: DataFrame, salt: str = "") -> DataFrame:
     """Masked pages of multi-page documents: every plan text of a document is masked on all its pages.
 
-    A document's texts are gathered beside its pages only while pages x texts stays within
-    ``hot_pairs``, which bounds the gathered list; each page then keeps the texts it holds.
-    Documents beyond that take the gram lookup of ``document_hits``. Both ways are exact.
+    Of plan rows with the same text the first counts, by page, then by order on the page. Pages meet the
+    texts of their document one by one and keep those they hold, so nothing but a page's own hits is
+    gathered. Pages of one document are dealt over ``SALTS`` parts of the join, and its texts are given
+    to each part, so a document with most of all pages is no single task.
     """
     given = F.col("replacement") if "replacement" in plan.columns else F.lit(None).cast("string")
-    # used several times below: kept as files, so that detection runs once
-    one = cut_lineage(
-        plan.groupBy("doc_id", "text")
-        .agg(F.min(F.struct(F.col("ord"), F.col("pii_type"), F.col("strategy"), given.alias("replacement"))).alias("p"))
-        .select("doc_id", "text", "p.*")
-    )
+    page = F.col("page_num") if "page_num" in plan.columns else F.lit(0)
+    first = F.min(F.struct(page.alias("page"), "ord", "pii_type", "strategy", given.alias("replacement")))
+    one = plan.where("text <> ''").groupBy("doc_id", "text").agg(first.alias("p")).select("doc_id", "text", "p.*")
     item = F.expr(plan_item("ord", "text", replacement("strategy", "pii_type", "text", "replacement", salt), "strategy"))
-    n_pages = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
-    n_texts = one.groupBy("doc_id").agg(F.count("*").alias("n_texts"))
-    hot = cut_lineage(
-        n_pages.join(n_texts, "doc_id").where(F.col("n_pages") * F.col("n_texts") > hot_pairs).select("doc_id")
+    texts = one.select(
+        F.col("doc_id").alias("_doc"), F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("_part"), F.col("text").alias("_text"), item.alias("item")
+    )
+    dealt = pages.select("*", F.pmod(F.xxhash64("page_num"), F.lit(SALTS)).cast("int").alias("_salt"))
+    holds = (dealt.doc_id == texts._doc) & (F.col("_salt") == F.col("_part")) & F.contains(F.col("text"), F.col("_text"))
+    rest = [F.first(c).alias(c) for c in pages.columns if c not in ("doc_id", "page_num")]
+    gathered = dealt.join(texts, holds, "left").groupBy("doc_id", "_salt", "page_num").agg(*rest, F.collect_list("item").alias("items"))
+    return expand_fold(gathered.withColumn("f", F.expr(fold("text", "items")))).drop("items", "_salt").select(
+        *pages.columns, "masked_text", "n_masked", "n_failed", "n_redact", "n_mask", "n_pseudo"
     )
-    any_hot = not hot.isEmpty()
-
-    def folded(joined: DataFrame) -> DataFrame:
-        held = f"filter(coalesce(items, cast(array() AS array<{ITEM}>)), i -> contains(text, i.text))"
-        return expand_fold(joined.withColumn("f", F.expr(fold("text", held)))).drop("items")
-
-    cold_pages = pages.join(hot, "doc_id", "left_anti") if any_hot else pages
-    cold_plan = one.join(hot, "doc_id", "left_anti") if any_hot else one
-    per_document = cold_plan.groupBy("doc_id").agg(F.collect_list(item).alias("items"))
-    out = folded(cold_pages.join(per_document, "doc_id", "left"))
-    if not any_hot:
-        return out
-    hot_pages = pages.join(hot, "doc_id", "left_semi")
-    hits = document_hits(hot_pages, one.join(hot, "doc_id", "left_semi"))
-    per_page = hits.groupBy("doc_id", "page_num").agg(F.collect_list(item).alias("items"))
-    return out.unionByName(folded(hot_pages.join(per_page, ["doc_id", "page_num"], "left")))

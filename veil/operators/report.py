@@ -81,18 +81,18 @@ COMPLIANT, AT_RISK = 85.0, 60.0
 
 
 def score_status(score: Column) -> Column:
-    return F.when(score >= COMPLIANT, "compliant").when(score >= AT_RISK, "at-risk").otherwise("non-compliant")
+    return F.when(score.isNull(), "no findings").when(score >= COMPLIANT, "compliant").when(score >= AT_RISK, "at-risk").otherwise("non-compliant")
 
 
 def compliance_report(items: DataFrame) -> DataFrame:
-    """Per framework: relevant items, masked share as score, status. Needs pii_type, masked.
+    """Per framework: relevant items, masked share as score, status; no score without items. Needs pii_type, masked.
 
     Items are counted per type before the framework rows are joined, so the join sees one row per type.
     """
     per_type = items.groupBy("pii_type").agg(F.count("*").alias("n"), F.count_if("masked").alias("m"))
     joined = dims.framework_rows(items.sparkSession).join(per_type, "pii_type", "left")
     n, m = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))
-    score = F.when(n == 0, F.lit(100.0)).otherwise(F.round(m * 100.0 / n, 2))
+    score = F.when(n > 0, F.round(m * 100.0 / n, 2))
     return joined.groupBy("framework").agg(
         n.alias("relevant_items"),
         m.alias("masked_items"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from veil.functions import dims
 from veil.functions.text import strip
-from veil.operators.skew import lookup
 
 
 def dedup_best_type(entities: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -79,12 +78,28 @@ def toggle_category(plan: DataFrame, category: str) -> DataFrame:
     inside = dims.category(F.col("pii_type")) == category
     state = plan.where(inside).groupBy("doc_id").agg(F.bool_and("selected").alias("all_on"))
     return (
-        lookup(plan, state, ["doc_id"])
+        plan.join(state, "doc_id", "left")
         .withColumn("selected", F.when(inside, ~F.col("all_on")).otherwise(F.col("selected")))
         .drop("all_on")
     )
 
 
+def toggle_item(plan: DataFrame, items: DataFrame) -> DataFrame:
+    """Toggle single items; ``items`` holds (doc_id, pii_id)."""
+    hit = items.select("doc_id", "pii_id").distinct().withColumn("_hit", F.lit(True))
+    return (
+        plan.join(hit, ["doc_id", "pii_id"], "left")
+        .withColumn("selected", F.when(F.col("_hit"), ~F.col("selected")).otherwise(F.col("selected")))
+        .drop("_hit")
+    )
+
+
+def toggle_all(plan: DataFrame) -> DataFrame:
+    """Per document: everything selected becomes nothing selected, anything else becomes everything."""
+    state = plan.groupBy("doc_id").agg(F.bool_and("selected").alias("_all"))
+    return plan.join(state, "doc_id", "left").withColumn("selected", ~F.col("_all")).drop("_all")
+
+
 def selection_state(plan: DataFrame) -> DataFrame:
     """Per document and category: none, all or partial."""
     on, n = F.count_if("selected"), F.count("*")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from veil.functions.pseudo import synth_by_subtype
-from veil.operators.skew import lookup
 from veil.session import cut_lineage
 
 
@@ -103,32 +102,36 @@ def same_name_links(catalog: DataFrame) -> DataFrame:
     )
 
 
-def link_groups(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def link_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components of (node) under (a, b) edges: (node, component), the least node names it.
 
-    Least labels travel along edges until nothing changes; each round starts from files.
+    A label takes the least label next to it and then the label that this one has itself, so chains
+    halve and rounds grow with the logarithm of the longest. Each round starts from files.
     """
     both = cut_lineage(
         edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     )
     labels = cut_lineage(nodes.select("node", F.col("node").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         offered = (
             both.join(labels, both["a"] == labels["node"])
             .groupBy(F.col("b").alias("node"))
             .agg(F.min("component").alias("offer"))
         )
+        lower = labels.join(offered, "node", "left").select(
+            "node", "component", F.least("component", F.coalesce("offer", "component")).alias("low")
+        )
+        own = labels.select(F.col("node").alias("low"), F.col("component").alias("next"))
         moved = cut_lineage(
-            labels.join(offered, "node", "left").select(
+            lower.join(own, "low").select(
                 "node",
-                F.least("component", F.coalesce("offer", "component")).alias("component"),
-                (F.col("offer") < F.col("component")).alias("changed"),
+                F.least("low", "next").alias("component"),
+                (F.least("low", "next") < F.col("component")).alias("changed"),
             )
         )
         labels = moved.select("node", "component")
         if moved.where("changed").isEmpty():
             return labels
-    raise RuntimeError("link groups did not settle; raise max_rounds")
 
 
 def group_keys(labels: DataFrame) -> DataFrame:
@@ -176,34 +179,30 @@ SUBTYPE_ORDER = [
 NAME_CONFIDENCE = 0.7
 
 
-def sample_cells(name: str, df: DataFrame, order: str | None = None, rows: int = 20) -> DataFrame:
-    """Cells of ``rows`` sampled rows: the first the scan meets, or reproducibly the first by ``order``.
+def column_values(tables: dict[str, DataFrame]) -> DataFrame:
+    """Every non-null cell of a table set as (column_name, value)."""
+    every = reduce(DataFrame.unionByName, [cells(n, d) for n, d in tables.items()])
+    return every.select(F.substring_index("column_id", ".", -1).alias("column_name"), "value")
 
-    With an order, a scan of that column alone finds the last value that counts; the other columns
-    are then read behind a filter that the file statistics can answer.
-    """
-    if order is not None:
-        last = df.select(order).orderBy(order).limit(rows).agg(F.max(order)).first()[0]
-        df = df.where(F.col(order) <= F.lit(last)).orderBy(order)
-    return cells(name, df.limit(rows)).select(
-        F.substring_index("column_id", ".", -1).alias("column_name"), "value"
-    )
+
+EXAMPLES = 5
 
 
 def column_classify(samples: DataFrame) -> DataFrame:
-    """Label and subtype per distinct column name from sampled cells (column_name, value).
+    """Label and subtype per distinct column name from all its cells (column_name, value).
 
-    Score of a subtype = share of sampled values that fit its value pattern, or a fixed confidence
+    Cells are counted per value first; examples are the least values, ranked with a limit before the
+    shuffle. Score of a subtype = share of cells that fit its value pattern, or a fixed confidence
     where the column's name fits; best score wins, then the listed order.
     """
-    hits = [
-        F.avg(F.col("value").rlike(VALUE_RULES[s]).cast("double")) if s in VALUE_RULES else F.lit(0.0)
-        for s in SUBTYPE_ORDER
-    ]
-    stats = samples.groupBy("column_name").agg(
-        *[F.round(h, 6).alias(f"v_{s}") if s in VALUE_RULES else F.max(F.lit(0.0)).alias(f"v_{s}") for h, s in zip(hits, SUBTYPE_ORDER)],
-        F.array_join(F.slice(F.sort_array(F.collect_set("value")), 1, 5), "|").alias("examples"),
+    counted = samples.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    fits = lambda s: F.sum(F.when(F.col("value").rlike(VALUE_RULES[s]), F.col("n")).otherwise(0)) / F.sum("n")
+    shares = counted.groupBy("column_name").agg(
+        *[(F.round(fits(s), 6) if s in VALUE_RULES else F.max(F.lit(0.0))).alias(f"v_{s}") for s in SUBTYPE_ORDER]
     )
+    ranked = counted.withColumn("i", F.row_number().over(Window.partitionBy("column_name").orderBy("value"))).where(F.col("i") <= EXAMPLES)
+    examples = ranked.groupBy("column_name").agg(F.array_join(F.sort_array(F.collect_list("value")), "|").alias("examples"))
+    stats = shares.join(examples, "column_name")
     lower = F.lower("column_name")
     scored = F.array(
         *[
@@ -245,13 +244,13 @@ def anonymize_table(df: DataFrame, subtypes: dict[str, str], null_policy: str =
 
 
 def linked_subtypes(info: DataFrame, keys: DataFrame) -> DataFrame:
-    """Subtype per column: sensitive columns, and every column of a group takes its surest member's."""
+    """Subtype per column: sensitive columns, and every column linked to one takes the surest member's."""
     joined = keys.withColumn("column_name", F.substring_index("node", ".", -1)).join(info, "column_name", "left")
     member = F.when(
         F.col("label").isin("PII", "PHI"), F.struct("confidence", "subtype")
     )
     best = joined.groupBy("group_key").agg(F.max(member).alias("best"))
-    return joined.join(best, "group_key").where("best IS NOT NULL AND label IN ('PII', 'PHI')").select(
+    return joined.join(best, "group_key").where("best IS NOT NULL").select(
         "node", "group_key", F.col("best.subtype").alias("subtype")
     )
 
@@ -259,13 +258,13 @@ def linked_subtypes(info: DataFrame, keys: DataFrame) -> DataFrame:
 def apply_mapping(df: DataFrame, column: str, mapping: DataFrame, group_key: str) -> DataFrame:
     """Replace a column through a persisted mapping (group_key, original, synthetic); unknown values stay.
 
-    The mapping grows with the data, so it is never broadcast whole; values that hold much of the
-    table are looked up apart.
+    The mapping grows with the data, so no broadcast is asked for; values that hold much of the table
+    are split by the adaptive join.
     """
     m = mapping.where(F.col("group_key") == group_key).select(
         F.col("original").alias("_o"), F.col("synthetic").alias("_s")
     )
-    joined = lookup(df.withColumn("_o", F.col(column).cast("string")), m, ["_o"])
+    joined = df.withColumn("_o", F.col(column).cast("string")).join(m, "_o", "left")
     return joined.select(*[F.coalesce("_s", "_o").alias(c) if c == column else F.col(c) for c in df.columns])
 
 
@@ -277,8 +276,8 @@ def extend_mapping(mapping: DataFrame, values: DataFrame, subtype: str, unique:
     )
 
 
-def join_rows(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Row count of an inner join from per-key counts of both sides: one shuffle of counts, no join.
+def key_counts(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Rows of both sides per key (k, l, r): one shuffle of counts.
 
     A key that holds a third of the rows is one count per map task.
     """
@@ -286,6 +285,16 @@ def join_rows(left: DataFrame, right: DataFrame, left_key: str, right_key: str)
     both = left.select(F.col(left_key).alias("k"), one.alias("l"), zero.alias("r")).unionByName(
         right.select(F.col(right_key).alias("k"), zero.alias("l"), one.alias("r"))
     )
-    per_key = both.groupBy("k").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    return both.groupBy("k").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+
+
+def joined_rows(per_key: DataFrame) -> DataFrame:
+    """Row count of the inner join whose ``key_counts`` are given: no join."""
     matched = F.when(F.col("k").isNotNull(), F.col("l") * F.col("r"))
     return per_key.agg(F.coalesce(F.sum(matched), F.lit(0)).alias("n_rows"))
+
+
+def anonymized_keys(per_key: DataFrame, subtype: str, salt: str = "") -> DataFrame:
+    """``key_counts`` after both sides are anonymized: each key is mapped once, keys that meet add up."""
+    named = per_key.select(F.expr(synth_by_subtype(f"'{subtype}'", "CAST(k AS STRING)", True, salt)).alias("k"), "l", "r")
+    return named.groupBy("k").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))

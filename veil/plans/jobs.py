@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,14 +10,15 @@ from veil.operators.mask import protect
 from veil.operators.tables import anonymize_table
 
 
-def protect_report(texts: DataFrame, registry, min_confidence: float = 0.8, salt: str = "") -> DataFrame:
+def protect_report(texts: DataFrame, registry, min_confidence: float = 0.0, salt: str = "") -> DataFrame:
     """Detect, plan and mask every text in one narrow pass; counts per type and strategy.
 
-    Each text contributes one row per type it holds plus one row with its mask counter, so a single
-    partial aggregation carries all numbers and only a few dozen counts are shuffled.
+    Each text contributes one row per type it holds plus one row with its mask counter; a document of
+    several texts counts once per type.
     """
     done = protect(texts, registry, min_confidence, salt)
     per_text = done.select(
+        "doc_id",
         F.explode(
             F.expr(
                 """concat(
@@ -30,8 +29,9 @@ def protect_report(texts: DataFrame, registry, min_confidence: float = 0.8, salt
             )
         ).alias("r")
     )
-    counts = per_text.groupBy("r.pii_type", "r.strategy").agg(
-        F.sum("r.n").alias("n_items"), F.count("*").alias("n_docs"), F.sum("r.masked").alias("masked")
+    per_doc = per_text.groupBy("r.pii_type", "r.strategy", "doc_id").agg(F.sum("r.n").alias("n"), F.sum("r.masked").alias("masked"))
+    counts = per_doc.groupBy("pii_type", "strategy").agg(
+        F.sum("n").alias("n_items"), F.count("*").alias("n_docs"), F.sum("masked").alias("masked")
     )
     # a window over the few dozen counted rows, never over data rows
     total = F.sum("masked").over(Window.partitionBy(F.lit(1)))
@@ -54,30 +54,29 @@ def anonymize_set(tables_by_name: dict[str, DataFrame], subtypes: dict[str, str]
     }
 
 
-def plan_set(tables_by_name: dict[str, DataFrame], order: dict[str, str] | None = None, min_overlap: float = 0.2) -> DataFrame:
+def plan_set(tables_by_name: dict[str, DataFrame], min_overlap: float = 0.2) -> DataFrame:
     """Discovery over a set of tables: (node, group_key, subtype) of every sensitive column.
 
-    ``order`` names a column per table that makes its sample reproducible. The result has at most one row per
-    column of the set.
+    Columns are judged by all their values. The result has at most one row per column of the set.
     """
     catalog = T.column_catalog(tables_by_name)
-    samples = reduce(
-        DataFrame.unionByName, [T.sample_cells(n, df, (order or {}).get(n)) for n, df in tables_by_name.items()]
-    )
+    values = T.column_values(tables_by_name)
     same = catalog.join(T.same_name_links(catalog).select("column_name"), "column_name")
     named = same.groupBy("column_name").agg(F.min("column_id").alias("a")).join(same, "column_name").select("a", F.col("column_id").alias("b"))
     edges = T.column_pairs(tables_by_name, min_overlap).select("a", "b").unionByName(named)
     labels = T.link_groups(catalog.select(F.col("column_id").alias("node")), edges)
-    return T.linked_subtypes(T.column_classify(samples), T.group_keys(labels))
+    return T.linked_subtypes(T.column_classify(values), T.group_keys(labels))
 
 
-def replica(tables_by_name: dict[str, DataFrame], order: dict[str, str] | None = None, min_overlap: float = 0.2, salt: str = "") -> dict[str, DataFrame]:
+def replica(
+    tables_by_name: dict[str, DataFrame], min_overlap: float = 0.2, salt: str = "", null_policy: str = "keep"
+) -> dict[str, DataFrame]:
     """A clean copy of a table set: discover, then anonymize. Only the column plan reaches the driver."""
-    found = plan_set(tables_by_name, order, min_overlap).collect()  # schema-sized: one row per column
+    found = plan_set(tables_by_name, min_overlap).collect()  # schema-sized: one row per column
     by_table: dict[str, dict[str, str]] = {}
     for row in found:
         table, column = row["node"].split(".", 1)
         by_table.setdefault(table, {})[column] = row["subtype"]
     return {
-        name: anonymize_table(df, by_table.get(name, {}), "keep", True, salt) for name, df in tables_by_name.items()
+        name: anonymize_table(df, by_table.get(name, {}), null_policy, True, salt) for name, df in tables_by_name.items()
     }

@@ -26,19 +26,21 @@ def config_write(plan: DataFrame) -> DataFrame:
 
 
 def save_config(plan: DataFrame, path: str) -> None:
-    """One folder of text per document, header first, lines in plan order."""
+    """Text files of lines, each behind its document and a tab: header first, lines in plan order.
+
+    Files hold ranges of documents, so their number follows the data and not the number of documents.
+    """
     body = config_write(plan).select("doc_id", F.lit(1).alias("part"), "page_num", "y0", "x0", "line")
     head = plan.select("doc_id").distinct().select(
         "doc_id", F.lit(0).alias("part"), F.lit(0).alias("page_num"),
-        F.lit(0.0).alias("y0"), F.lit(0.0).alias("x0"), F.lit("\n".join(HEADER)).alias("line"),
+        F.lit(0.0).alias("y0"), F.lit(0.0).alias("x0"), F.explode(F.array(*map(F.lit, HEADER))).alias("line"),
     )
     (
         head.unionByName(body)
         .repartitionByRange("doc_id", "part", "page_num", "y0", "x0")
         .sortWithinPartitions("doc_id", "part", "page_num", "y0", "x0")
-        .select("doc_id", "line")
+        .select(F.concat_ws("\t", F.col("doc_id").cast("string"), "line"))
         .write.mode("overwrite")
-        .partitionBy("doc_id")
         .text(path)
     )
 
@@ -67,15 +69,16 @@ def config_parse(lines: DataFrame) -> DataFrame:
     def cell(back: int) -> F.Column:
         return strip(F.expr(f"get(p, size(p) - {back})"))
 
+    rows = rows.withColumn("page", cell(5).try_cast("int")).where(~full | F.col("page").isNotNull())
     return rows.select(
         "doc_id",
         F.concat(F.lit("pii_"), F.col("line_num").cast("string")).alias("pii_id"),
         F.expr("array_join(slice(p, 1, size(p) - IF(size(p) >= 8, 7, 2)), ':')").alias("text"),
         F.expr("get(p, size(p) - IF(size(p) >= 8, 7, 2))").alias("pii_type"),
         F.expr("get(p, size(p) - IF(size(p) >= 8, 6, 1))").alias("strategy"),
-        F.when(full, cell(5).cast("int")).otherwise(F.lit(0)).alias("page_num"),
+        F.when(full, F.col("page")).otherwise(F.lit(0)).alias("page_num"),
         *[
-            F.when(full, cell(4 - i).cast("double")).otherwise(F.lit(0.0)).alias(name)
+            F.when(full, cell(4 - i).try_cast("double")).otherwise(F.lit(0.0)).alias(name)
             for i, name in enumerate(("x0", "y0", "x1", "y1"))
         ],
     )

@@ -9,10 +9,12 @@ SCHEMA = "group_key string, original string, synthetic string"
 
 
 def load_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """The stored mapping, or an empty one."""
+    """The stored mapping, or an empty one where there is none; a store that cannot be read is an error."""
     try:
         return spark.read.schema(SCHEMA).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], SCHEMA)
 
 

@@ -49,24 +49,31 @@ def full_text(page_table: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a CPU-bound text scan at least one partition per core.
+    """Redistribute a scan where the session asks for it by ``veil.scan.partitions``.
 
-    Large inputs have far more splits than cores and pass through untouched; only an input smaller
-    than the cluster (a file of one row group, say) is redistributed.
+    Off by default: files are split as they are. For files of one row group, which are one task.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.conf.get("veil.scan.partitions", None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
-def read_csv_dir(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
-    """Every ``*.csv`` of a directory as ``{file name: DataFrame}``, in name order."""
+def read_csv_dir(
+    spark: SparkSession, directory: str, schemas: dict[str, str] | None = None, multi_line: bool = False
+) -> dict[str, DataFrame]:
+    """Every ``*.csv`` of a directory as ``{file name: DataFrame}``, in name order.
+
+    A schema given by file name spares the pass that infers one. Quoted line ends need ``multi_line``,
+    which makes each file one task; without it files are split.
+    """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     pattern = hadoop.Path(directory.rstrip("/") + "/*.csv")
     fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     paths = sorted(str(st.getPath().toString()) for st in (fs.globStatus(pattern) or []))
     return {
-        p.rsplit("/", 1)[1]: spark.read.csv(p, header=True, inferSchema=True, multiLine=True, escape='"')
-        for p in paths
+        name: spark.read.csv(
+            p, schema=(schemas or {}).get(name), header=True, inferSchema=name not in (schemas or {}), multiLine=multi_line, escape='"'
+        )
+        for p, name in ((p, p.rsplit("/", 1)[1]) for p in paths)
     }
 
 

@@ -102,7 +102,7 @@ def retention(registry: DataFrame, forced: DataFrame | None = None) -> DataFrame
     """What stays: after masking a document loses its uploaded rows; forced documents lose all."""
     masked = registry.where(F.col("status") == "masked").select("document_id").distinct()
     uploaded = registry.where(F.col("status") == "uploaded").join(masked, "document_id", "left_anti")
-    kept = registry.where(F.col("status") != "uploaded").unionByName(uploaded)
+    kept = registry.where(~F.col("status").eqNullSafe("uploaded")).unionByName(uploaded)
     return kept if forced is None else kept.join(forced.select("document_id"), "document_id", "left_anti")
 
 
