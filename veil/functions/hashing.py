@@ -46,7 +46,8 @@ WORDS = "amber basil cedar delta ember fable grove haven indigo jasper kelp line
 
 
 def digest(value: str, salt: str = "") -> str:
-    return f"sha2(concat('{salt}', {value}), 256)"
+    text = salt.replace("\\", "\\\\").replace("'", "\\'")
+    return f"sha2(concat('{text}', {value}), 256)"
 
 
 def hash_int(value: str, salt: str = "", start: int = 1) -> str:

@@ -1,8 +1,7 @@
 r"""Pattern registry: what a typed value looks like in text.
 
 Patterns are written once in a common notation: ``\b`` is a word boundary, ``\d`` a decimal digit,
-``\s`` whitespace, all in the Unicode sense. Where a pattern has a group, the group is the value
-and ends the pattern. ``java_regex`` spells the notation out with explicit classes, because what
+``\s`` whitespace, all in the Unicode sense. Where a pattern has a group, the group is the value. ``java_regex`` spells the notation out with explicit classes, because what
 ``\b`` means to Java depends on the JDK.
 """
 

@@ -7,6 +7,8 @@ expressions are SQL text over a named column, which keeps plan building cheap fo
 
 from __future__ import annotations
 
+import re
+
 from veil.functions.patterns import Pattern, java_regex
 
 SPAN = "struct<rank:int,kind:string,start:int,end:int,text:string,confidence:double,source:string>"
@@ -29,24 +31,75 @@ def let(value: str, name: str, body: str) -> str:
 # Two code points that Unicode reserves for internal use mark matches inside a scanned text.
 MARK, INNER, SPARE = "\ufdd0", "\ufdd1", "\ufffd"
 HIT = "struct<rank:int,kind:string,confidence:double,source:string,pieces:array<string>>"
-PAGE = 1024  # entries a growing array holds before it is set aside
+PAGE = 128  # entries a growing array holds before it is set aside
 
 
 def append(pages: str, page: str, entry: str) -> str:
     """Fields ``pages`` and ``page`` of a fold that grows a list by one entry.
 
-    Appending copies the array, so a list grows in pages: copying stays near linear for long lists.
+    Appending copies the array, so a list grows in pages. Long lists should hold numbers: what they
+    point to is then taken by one ``transform``.
     """
     full = f"size({page}) >= {PAGE}"
     return f"IF({full}, concat({pages}, array({page})), {pages}) AS pages, IF({full}, array({entry}), concat({page}, array({entry}))) AS page"
 
 
+NO_PAGES = "cast(array() AS array<array<int>>) AS pages, cast(array() AS array<int>) AS page"
+
+
+def starts(lengths: str) -> str:
+    """Where each of consecutive pieces begins, from their lengths."""
+    return f"""aggregate({lengths}, struct(0 AS at, {NO_PAGES}),
+        (a, n) -> struct(a.at + n AS at, {append('a.pages', 'a.page', 'a.at')}),
+        a -> flatten(concat(a.pages, array(a.page))))"""
+
+
+def split_group(regex: str) -> tuple[str, str, str]:
+    """A Java regex as what stands before, inside and after its first capturing group."""
+    depth, open_at, end_at, k, in_class = 0, None, None, 0, False
+    while k < len(regex):
+        c = regex[k]
+        if c == "\\":
+            k += 2
+            continue
+        if in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c == "(":
+            if open_at is None and regex[k + 1 : k + 2] != "?":
+                if depth:
+                    raise ValueError(f"the group of {regex!r} stands inside another one")
+                open_at = k
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if open_at is not None and end_at is None and depth == 0:
+                end_at = k
+        elif c == "|" and depth == 0:
+            raise ValueError(f"alternatives of {regex!r} need a group (?:...) of their own")
+        k += 1
+    return regex[:open_at], regex[open_at + 1 : end_at], regex[end_at + 1 :]
+
+
+def quoted(text: str) -> str:
+    """A SQL string literal of any text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def marked_pieces(text: str, pattern: Pattern, rank: int) -> str:
-    """One regex pass: marks are set around the matches, then gap, match, gap, ... are split apart."""
-    regex = literal(java_regex(pattern.regex, pattern.any_digit))
-    marked = f"{MARK}$0{INNER}$1{MARK}" if pattern.group else f"{MARK}$0{MARK}"
-    hit = f"""struct({rank} AS rank, '{pattern.kind}' AS kind, {pattern.confidence}D AS confidence, '{pattern.source}' AS source,
-        split(regexp_replace({text}, {regex}, '{marked}'), '{MARK}', -1) AS pieces)"""
+    """One regex pass: marks are set around the matches, then gap, match, gap, ... are split apart.
+
+    A match is marked as what stands before the value, the value, and what stands after it.
+    """
+    regex = java_regex(pattern.regex, pattern.any_digit)
+    marked = f"{MARK}{INNER}$0{INNER}{MARK}"
+    if pattern.group:
+        before, value, after = split_group(regex)
+        more = len(re.findall(r"(?<!\\)\((?!\?)", value))
+        regex, marked = f"({before})({value})({after})", f"{MARK}$1{INNER}$2{INNER}${3 + more}{MARK}"
+    hit = f"""struct({rank} AS rank, {quoted(pattern.kind)} AS kind, {pattern.confidence}D AS confidence, {quoted(pattern.source)} AS source,
+        split(regexp_replace({text}, {literal(regex)}, '{marked}'), '{MARK}', -1) AS pieces)"""
     if pattern.hints:
         hinted = " OR ".join(f"contains({text}, {literal(h)})" for h in pattern.hints)
         hit = f"IF({hinted}, {hit}, NULL)"
@@ -54,17 +107,14 @@ def marked_pieces(text: str, pattern: Pattern, rank: int) -> str:
 
 
 def hit_spans(hit: str) -> str:
-    """Spans of one pattern's pieces; running lengths give the offsets."""
-    full = f"length(substring_index(p, '{INNER}', 1))"
-    value = f"substring_index(p, '{INNER}', -1)"
-    span = f"""struct({hit}.rank AS rank, {hit}.kind AS kind, a.at + {full} - length({value}) AS start, a.at + {full} AS end,
+    """Spans of one pattern's pieces, of which every second is a match."""
+    lengths = f"transform({hit}.pieces, (p, i) -> IF(i % 2 = 1, length(p) - 2, length(p)))"
+    value = f"substring_index(substring_index(p, '{INNER}', 2), '{INNER}', -1)"
+    begin = f"get(at, i) + length(substring_index(p, '{INNER}', 1))"
+    span = f"""struct({hit}.rank AS rank, {hit}.kind AS kind, {begin} AS start, {begin} + length({value}) AS end,
         {value} AS text, {hit}.confidence AS confidence, {hit}.source AS source)"""
-    return f"""aggregate({hit}.pieces,
-        struct(0 AS at, false AS matched, cast(array() AS array<array<{SPAN}>>) AS pages, {NO_SPANS} AS page),
-        (a, p) -> IF(a.matched,
-            struct(a.at + {full} AS at, false AS matched, {append('a.pages', 'a.page', span)}),
-            struct(a.at + length(p) AS at, true AS matched, a.pages AS pages, a.page AS page)),
-        a -> flatten(concat(a.pages, array(a.page))))"""
+    every = f"transform(sequence(1, size({hit}.pieces) - 1, 2), i -> {let(f'get({hit}.pieces, i)', 'p', span)})"
+    return let(starts(lengths), "at", every)
 
 
 def all_spans(text: str, patterns: list[Pattern]) -> str:
@@ -105,16 +155,15 @@ def resolve_overlaps(spans: str) -> str:
     Spans of different clusters never overlap, so the result is that of the whole list, in
     (rank, position) order.
     """
-    cluster = f"array<{SPAN}>"
-    step = append("a.pages", "a.page", "a.cluster")
-    clusters = f"""aggregate({by_position(spans)},
-        struct(-1 AS reach, {NO_SPANS} AS cluster, cast(array() AS array<array<{cluster}>>) AS pages, cast(array() AS array<{cluster}>) AS page),
+    cuts = f"""aggregate(o, struct(-1 AS reach, 0 AS i, {NO_PAGES}),
         (a, s) -> IF(s.start < a.reach,
-            struct(greatest(a.reach, s.end) AS reach, concat(a.cluster, array(s)) AS cluster, a.pages AS pages, a.page AS page),
-            struct(s.end AS reach, array(s) AS cluster, {step})),
-        a -> concat(flatten(concat(a.pages, array(a.page))), array(a.cluster)))"""
-    kept = f"flatten(transform({clusters}, c -> IF(size(c) < 2, c, {keep_disjoint('array_sort(c)')})))"
-    return f"array_sort({kept})"
+            struct(greatest(a.reach, s.end) AS reach, a.i + 1 AS i, a.pages AS pages, a.page AS page),
+            struct(s.end AS reach, a.i + 1 AS i, {append('a.pages', 'a.page', 'a.i')})),
+        a -> concat(flatten(concat(a.pages, array(a.page))), array(a.i)))"""
+    cluster = "slice(o, c + 1, get(cuts, i + 1) - c)"
+    kept = f"""flatten(transform(slice(cuts, 1, size(cuts) - 1), (c, i) -> IF(get(cuts, i + 1) - c < 2, {cluster},
+        {let(cluster, 'k', keep_disjoint('array_sort(k)'))})))"""
+    return let(by_position(spans), "o", f"array_sort({let(cuts, 'cuts', kept)})")
 
 
 def by_position(spans: str) -> str:
@@ -122,9 +171,19 @@ def by_position(spans: str) -> str:
     return f"array_sort({spans}, (a, b) -> CASE WHEN a.start < b.start THEN -1 WHEN a.start > b.start THEN 1 ELSE 0 END)"
 
 
+BLOCK = 2048
+
+
+def between(blocks: str, start: str, end: str) -> str:
+    """Characters from ``start`` to ``end`` of a text cut into blocks: only the blocks that hold them are read."""
+    return f"""IF({end} <= {start}, '', substr(array_join(slice({blocks}, {start} div {BLOCK} + 1,
+        ({end} - 1) div {BLOCK} - {start} div {BLOCK} + 1), ''), {start} % {BLOCK} + 1, {end} - {start}))"""
+
+
 def splice(text: str, spans: str, replacement: str) -> str:
     """Replace exactly the given disjoint spans; ``replacement`` is an expression over span ``s``."""
-    pieces = f"""transform(o, (s, i) -> concat(
-        substr({text}, coalesce(get(o, i - 1).end, 0) + 1, s.start - coalesce(get(o, i - 1).end, 0)), {replacement}))"""
-    tail = f"substr({text}, coalesce(get(o, size(o) - 1).end, 0) + 1)"
-    return let(by_position(spans), "o", f"concat(array_join({pieces}, ''), {tail})")
+    last = "coalesce(get(o, i - 1).end, 0)"
+    pieces = f"transform(o, (s, i) -> concat({between('blocks', last, 's.start')}, {replacement}))"
+    tail = between("blocks", "coalesce(get(o, size(o) - 1).end, 0)", f"length({text})")
+    body = let(f"regexp_extract_all({text}, r'(?s).{{1,{BLOCK}}}', 0)", "blocks", f"concat(array_join({pieces}, ''), {tail})")
+    return let(by_position(spans), "o", f"IF(size(o) = 0, {text}, {body})")
