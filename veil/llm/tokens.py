@@ -38,11 +38,15 @@ class Vocabulary(dict):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         own = [i for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i))]
         self.scores = {model.id_to_piece(i): model.get_score(i) for i in own}
-        self.longest = max(map(len, self.scores))
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.totals = Totals(self)
         if any(BLANK in p.lstrip(BLANK) for p in self.scores):
             raise ValueError("pieces with inner blanks: texts can't be cut at blanks")
+        self.longest = max(map(len, self.scores))
+        self.pieces = list(self.scores)
+        # the number of each piece; -1 for what only begins a piece
+        self.numbers = {p[:k]: -1 for p in self.pieces for k in range(1, len(p))} | {p: n for n, p in enumerate(self.pieces)}
+        self.neighbours: list[dict[int, bool]] = [{} for _ in self.pieces]
+        self.n_pairs = 0
+        self.totals = Totals(self)
 
     def merged(self, text: str) -> list[str]:
         """What the merges make of a short text, best score first, leftmost among equals."""
@@ -55,34 +59,46 @@ class Vocabulary(dict):
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def neighbours(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > 4 * CACHED_UNITS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == [left, right]
-        return known
+    def stay(self, left: int, right: int) -> bool:
+        """Whether two pieces next to each other stay as they are."""
+        if self.n_pairs >= 8 * CACHED_UNITS:
+            for known in self.neighbours:
+                known.clear()
+            self.n_pairs = 0
+        a, b = self.pieces[left], self.pieces[right]
+        found = self.neighbours[left][right] = self.merged(a + b) == [a, b]
+        self.n_pairs += 1
+        return found
 
-    def prefixes(self, unit: str) -> np.ndarray:
-        """Number of tokens of ``unit[:1]``, ``unit[:2]`` and so on."""
-        last, counts = [""], [0]
-        for end in range(1, len(unit) + 1):
-            for size in range(min(self.longest, end), 0, -1):
-                piece = unit[end - size : end]
-                if piece not in self.scores:
-                    if size > 1:
-                        continue
-                    last.append("")  # an unknown character: its bytes, and nothing merges across it
-                    counts.append(counts[-1] + len(piece.encode("utf-8", "surrogatepass")))
-                    break
-                before = last[end - size]
-                if not before or self.neighbours(before, piece):
-                    last.append(piece)
-                    counts.append(counts[end - size] + 1)
+    def counts(self, unit: str) -> list[int]:
+        """Number of tokens of ``unit[:1]``, ``unit[:2]`` and so on.
+
+        Every prefix has one last piece. A prefix that is known offers each piece that begins after it to the
+        prefix where that piece ends; the piece that stays next to the known last piece is the one.
+        """
+        n, number, longest = len(unit), self.numbers.get, self.longest
+        counts, last = [0] * (n + 1), [-1] * (n + 1)
+        for begin in range(n):
+            count = counts[begin] + 1
+            before = last[begin]
+            known = self.neighbours[before] if before >= 0 else None
+            for end in range(begin + 1, min(n, begin + longest) + 1):
+                piece = number(unit[begin:end])
+                if piece is None:
                     break
-            else:
-                raise ValueError(f"no piece ends at {end}")
-        return np.asarray(counts[1:], np.int32)
+                if piece >= 0 and not counts[end]:
+                    fits = True if known is None else known.get(piece)
+                    if fits is None:
+                        fits = self.stay(before, piece)
+                    if fits:
+                        counts[end], last[end] = count, piece
+            if not counts[begin + 1]:  # an unknown character: its bytes, and nothing merges across it
+                counts[begin + 1] = counts[begin] + len(unit[begin].encode("utf-8", "surrogatepass"))
+        del counts[0]
+        return counts
+
+    def prefixes(self, unit: str) -> np.ndarray:
+        return np.asarray(self.counts(unit), np.int32)
 
     def __missing__(self, unit: str) -> np.ndarray:
         found = self.prefixes(unit)
@@ -100,9 +116,9 @@ class Totals(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, unit: str) -> int:
-        total = int(self.vocabulary.prefixes(unit)[-1])
+        total = self.vocabulary.counts(unit)[-1]
         if len(unit) <= CACHED_CHARS:
-            if len(self) >= 2 * CACHED_UNITS:
+            if len(self) >= 5 * CACHED_UNITS:
                 self.clear()
             self[unit] = total
         return total
