@@ -26,9 +26,10 @@ from veil.llm.common import hash_words, keep, mapped, text_bytes
 
 BLOCK_ITEMS = 2000
 PASSAGE = 64  # words of a passage in the statistics
-DIMENSIONS, SPARE = 64, 8
-MAX_SHARE = 0.1  # words in more than this share of passages have no weight
-COSINE = 0.35
+DIMENSIONS, SPARE = 128, 8
+MAX_SHARE = 0.003  # words in more than this share of passages have no weight,
+LEAST_WEIGHTED = 8  # except the rarest words of each item
+COSINE = 0.5
 ORDERED = 0.6
 ANSWER_WORDS, ANSWERED = 8, 0.5
 LEAST_WORDS = 8  # shorter items must be there whole
@@ -49,16 +50,16 @@ class Items:
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Items]:
-    """Items in order of their ids, at most ``BLOCK_ITEMS`` at a time."""
-    rows = benchmark.select(benchmark[item_id].alias("item_id"), benchmark[text].cast("string").alias("text")).distinct()
-    last = None
+    """Items in a fixed order, at most ``BLOCK_ITEMS`` at a time; those without a text match nothing."""
+    named = benchmark.select(benchmark[item_id].alias("item_id"), benchmark[text].cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    number = F.coalesce(F.col("item_id").cast("string"), F.lit(""))
+    rows = named.withColumn("key", F.concat(F.col("item_id").isNotNull().cast("string"), number, F.lit("\x00"), "text"))
+    last = ""
     while True:
-        more = rows if last is None else rows.where(F.struct(F.col("item_id").isNotNull(), "item_id", "text") > last)
-        part = more.orderBy(F.struct(F.col("item_id").isNotNull(), "item_id", "text")).limit(BLOCK_ITEMS).toArrow()
+        part = rows.where(F.col("key") > F.lit(last)).orderBy("key").limit(BLOCK_ITEMS).toArrow()
         if not part.num_rows:
             return
-        end = part.slice(part.num_rows - 1).to_pylist()[0]
-        last = F.struct(F.lit(end["item_id"] is not None), F.lit(end["item_id"]), F.lit(end["text"]))
+        last = part.column("key")[-1].as_py()
         data, bounds = text_bytes(part.column("text").combine_chunks())
         hashes, _, _, first = hash_words(data, bounds, lower=True)
         vocabulary, numbers = np.unique(hashes, return_inverse=True)
@@ -149,7 +150,10 @@ def by_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def idf(found: DataFrame, items: Items) -> np.ndarray:
-    """Weights from the share of passages of all documents that hold each word; 0 for words that are everywhere."""
+    """Weights from the share of passages of all documents that hold each word.
+
+    Words in many passages have none, so that the latent space tells items apart; each item keeps its rarest.
+    """
     kind = items.kind
 
     def run(batches):
@@ -163,8 +167,11 @@ def idf(found: DataFrame, items: Items) -> np.ndarray:
     total = sums[keys == -1].sum()
     df = np.zeros(len(items.vocabulary))
     df[keys[keys >= 0]] = sums[keys >= 0, 0]
-    weight = np.log((total + 1) / (df + 1))
-    return np.where(df > MAX_SHARE * total, 0.0, weight) if total else np.ones(len(df))
+    heavy = df <= MAX_SHARE * total
+    for words in items.words:
+        own = np.unique(words)
+        heavy[own[np.argsort(df[own], kind="stable")[:LEAST_WEIGHTED]]] = True
+    return np.where(heavy, np.log((total + 2) / (df + 1)), 0.0)
 
 
 def passages(row, position, word, sizes, weight):
@@ -177,7 +184,11 @@ def passages(row, position, word, sizes, weight):
 
 
 def basis(found: DataFrame, items: Items, weight: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Right singular vectors of the passages' TF-IDF matrix A: Y = A'AX for random X, then the SVD of AQ."""
+    """Right singular vectors of the passages' TF-IDF matrix A: Y = A'AX for random X, then the SVD of AQ.
+
+    The items are passages of A, too, and together weigh as much as those of all documents: else the few
+    directions that are kept would tell frequent words apart and not items.
+    """
     kind, terms = items.kind, len(items.vocabulary)
     width = min(DIMENSIONS + SPARE, terms)
     context = found.sparkSession.sparkContext
@@ -200,16 +211,28 @@ def basis(found: DataFrame, items: Items, weight: np.ndarray, seed: int = 7) ->
     keys, sums = summed(found.mapInArrow(lambda b: product(b, x.value, True), "key bigint, v array<double>"), "key", width)
     y = np.zeros((terms, width))
     y[keys] = sums
+    own = np.zeros((len(items.words), terms), np.float32)
+    for k, words in enumerate(items.words):
+        np.add.at(own[k], words, weight[words])
+    own = unit(own)
+    y += own.T @ (own @ x.value) * share(y, own.T @ (own @ x.value))
     q, _ = np.linalg.qr(y)
     shared = context.broadcast(q.astype(np.float32))
     keys, sums = summed(found.mapInArrow(lambda b: product(b, shared.value, False), "key bigint, v array<double>"), "key", width)
     gram = np.zeros((width, width))
     gram[keys] = sums
+    image = own @ q
+    gram += image.T @ image * share(gram, image.T @ image)
     values, vectors_ = np.linalg.eigh(gram)
     best = np.argsort(values)[::-1][: min(DIMENSIONS, width)]
     return (q @ vectors_[:, best]).astype(np.float32)
 
 
+def share(whole: np.ndarray, part: np.ndarray) -> float:
+    """The factor that makes ``part`` weigh as much as ``whole``."""
+    return max(1.0, float(np.linalg.norm(whole) / max(np.linalg.norm(part), 1e-9)))
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.sqrt((rows**2).sum(axis=1, keepdims=True)), 1e-9)
 
@@ -229,7 +252,7 @@ class Judge:
     """Decides candidates of a block of items."""
 
     def __init__(self, items: Items, weight: np.ndarray, vectors_: np.ndarray):
-        self.items, self.embed = items, (weight[:, None] * vectors_).astype(np.float32)
+        self.items, self.weight, self.embed = items, weight, (weight[:, None] * vectors_).astype(np.float32)
         self.latent = unit(np.stack([self.embed[w].sum(axis=0) for w in items.words]))
         self.full = [(1 << len(w)) - 1 for w in items.words]
         self.masks, self.answers = [], []
@@ -251,50 +274,38 @@ class Judge:
         return share if share >= needed and len(answer.intersection(words)) >= ANSWERED * len(answer) else 0.0
 
     def run(self, batches, cosine: float = COSINE) -> Iterator[pa.RecordBatch]:
+        """Leaks of documents: for each size of items, windows of two neighbouring cells that hold a weighted word."""
         for ids, row, position, word, sizes in chunks(batches, self.items.kind):
-            cell, first = cells_of(row, position, sizes, CELL)
-            own, sums = by_key(cell, self.embed[word])
-            count, owner = int(first[-1]), np.repeat(np.arange(len(ids)), np.diff(first))
-            level = np.zeros((count + 1, self.embed.shape[1]), np.float32)
-            level[own] = sums
-            level, starts, width = level[:-1], first, CELL
+            heavy = self.weight[word] > 0
+            some, vectors_ = np.flatnonzero(heavy), self.embed[word[heavy]]
             out = []
-            for scale in range(int(self.scale.max()) + 1):
-                if scale:
-                    level, starts, owner = halved(level, starts)
-                    width *= 2
-                mine = np.flatnonzero(self.scale == scale)
-                if not len(mine):
+            for scale in np.unique(self.scale):
+                mine, width = np.flatnonzero(self.scale == scale), CELL << int(scale)
+                cell, first = cells_of(row, position, sizes, width)
+                own, sums = by_key(cell[some], vectors_)
+                if not len(own):
                     continue
-                window = level.copy()
-                inside = owner[1:] == owner[:-1]
-                window[:-1][inside] += level[1:][inside]
-                near = unit(window) @ self.latent[mine].T
+                window = np.unique(np.concatenate([own, own - 1]))
+                window = window[window >= 0]
+                doc = np.searchsorted(first, window, "right") - 1
+                both = np.zeros((len(window), sums.shape[1]), np.float32)
+                for shift in (0, 1):  # the cell after the last of a document is another document's first
+                    place = np.minimum(np.searchsorted(own, window + shift), len(own) - 1)
+                    found = (own[place] == window + shift) & (window + shift < first[doc + 1])
+                    both[found] += sums[place[found]]
+                near = unit(both) @ self.latent[mine].T
                 for w, k in zip(*np.nonzero(near >= cosine)):
-                    doc = int(owner[w])
-                    begin = (w - starts[doc]) * width
-                    a, b = np.searchsorted(row, [doc, doc + 1])
+                    d = int(doc[w])
+                    begin = (window[w] - first[d]) * width
+                    a, b = np.searchsorted(row, [d, d + 1])
                     lo, hi = a + np.searchsorted(position[a:b], [begin, begin + 2 * width])
                     share = self.leak(int(mine[k]), word[lo:hi].tolist())
                     if share:
-                        out.append((ids[doc], int(mine[k]), share))
+                        out.append((ids[d], int(mine[k]), share))
             yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
                                    pa.array([o[2] for o in out], pa.float64())], ["doc_id", "item", "share"])
 
 
-def halved(level: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells of twice the width: neighbours of one document added up."""
-    count = np.diff(starts)
-    half = (count + 1) // 2
-    new = np.concatenate([[0], np.cumsum(half)])
-    owner = np.repeat(np.arange(len(half)), half)
-    left = starts[:-1][owner] + 2 * (np.arange(new[-1]) - new[:-1][owner])
-    right = left + 1 < starts[1:][owner]
-    out = level[left]
-    out[right] += level[left[right] + 1]
-    return out, new, owner
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
           item_text: str = "text") -> DataFrame:
     """Pairs (``doc_id``, ``item_id``) with the share of the item's words that the document holds in order."""
