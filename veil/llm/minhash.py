@@ -5,9 +5,12 @@ groups of copies cost one row each. Every class has ``BANDS * ROWS`` minima: ban
 candidates, and of every minimum the low ``BITS`` bits are packed into a signature. Two signatures agree by
 chance once in ``2^BITS``; the estimate takes that out before a pair is compared in full.
 
-Members of a band's bucket are not compared with one another: each meets a hub. Hubs that fail are followed
-by other hubs and at last, for members still in different components, by every member left whose estimate
-allows a link. So no link between candidates is lost, and no group emits all its pairs.
+Members of a band's bucket are not compared with one another: each meets a hub, and those that do not link
+with it another hub. What then is still in different components meets in blocks: the smaller components of a
+bucket are held, a block at a time, and all members stream past them. Signatures first join components that
+could link to families; in a family, full sets are compared the same way, through an inverted index of the
+block. Only what joins components is emitted, so results are linear in the members although no pair that
+could link is skipped, and blocks and streams are dealt out, so no group is one task.
 
 A pair at the threshold of 0.8 misses all bands with a probability of (1 - 0.8^5)^36 < 10^-6.
 
@@ -208,11 +211,6 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     rows = roles.join(sets, "cid").repartition("hub", "share").sortWithinPartitions("hub", "share", "role")
 
-    def unpack(raw) -> np.ndarray:
-        wide = np.zeros((len(raw) // 5, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-        return wide.view(np.uint64).ravel()
-
     def run(batches):
         hub, mine = None, None
         for batch in batches:
@@ -249,8 +247,139 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 SLACK = 0.15  # below the threshold by almost five standard deviations of the estimate
+HELD, STREAMED = 512, 20_000
+LINKS = "a bigint, b bigint"
+
+
+def in_blocks(rows: DataFrame, payload: str) -> DataFrame:
+    """Rows (key, cid, comp, payload) of keys with several components, dealt into blocks.
+
+    In a block stand rows of the smaller components (role 0) and then rows of all (role 1); every row of a
+    smaller component meets every other row in some block.
+    """
+    per = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    keys = per.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1")
+    plan = keys.select(
+        "key", F.col("major.comp").alias("major"), F.ceil((F.col("n") - F.col("major.n")) / HELD).alias("blocks"),
+        F.ceil(F.col("n") / STREAMED).alias("streams"),
+    )
+    met = rows.join(plan, "key")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    held = met.where(F.col("comp") != F.col("major")).select(
+        "key", F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("block"), upto("streams").alias("stream"), F.lit(0).alias("role"), "cid", "comp", payload
+    )
+    streamed = met.select(
+        "key", upto("blocks").alias("block"), F.pmod(F.xxhash64("cid", F.lit(1)), F.col("streams")).alias("stream"), F.lit(1).alias("role"), "cid", "comp", payload
+    )
+    order = ["key", "block", "stream"]
+    return held.unionByName(streamed).repartition(*order).sortWithinPartitions(*order, "role")
+
+
+class Joined:
+    """Components that one block has joined so far."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+    def add(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def links_of(batches, payload: str, load, compare):
+    """Links (a, b) that join components. ``load`` makes an index of the held payloads of a block, ``compare``
+    says which of them each streamed payload matches."""
+    now, held, index, joined = None, [], None, Joined()
+    for batch in batches:
+        marks = list(zip(*[batch.column(k).to_pylist() for k in ("key", "block", "stream", "role")]))
+        cids, comps, values = (batch.column(k) for k in ("cid", "comp", payload))
+        out, at = [], 0
+        while at < len(marks):
+            end = at + 1
+            while end < len(marks) and marks[end] == marks[at]:
+                end += 1
+            group, role = marks[at][:3], marks[at][3]
+            if group != now:
+                now, held, index, joined = group, [], None, Joined()
+            part = (cids.slice(at, end - at).to_numpy(), comps.slice(at, end - at).to_numpy(), values.slice(at, end - at))
+            if role == 0:
+                held.append(part)
+            elif held:
+                if index is None:
+                    own, comp = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+                    index = (own, comp, load(pa.concat_arrays([h[2] for h in held])))
+                own, comp, data = index
+                for row, matches in compare(data, part[2]):
+                    for m in matches[comp[matches] != part[1][row]].tolist():
+                        if joined.add(int(comp[m]), int(part[1][row])):
+                            out.append((int(part[0][row]), int(own[m])))
+            at = end
+        yield pa.record_batch([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def signature_matrix(sigs: pa.Array) -> np.ndarray:
+    return sigs.flatten().to_numpy().view(np.uint64).reshape(len(sigs), LONGS)
+
+
+def alike(least: float):
+    """Comparison of signatures: those whose estimate is at least ``least``."""
+    chance = 2.0**-BITS
+    most = MINIMA * (1 - (least * (1 - chance) + chance))
+    ones = np.uint64(int("1" * PER_LONG, 16))
+
+    def compare(held: np.ndarray, streamed: pa.Array):
+        for row, sig in enumerate(signature_matrix(streamed)):
+            z = held ^ sig
+            z = (z | z >> np.uint64(1) | z >> np.uint64(2) | z >> np.uint64(3)) & ones
+            yield row, np.flatnonzero(np.bitwise_count(z).sum(axis=1) <= most)
+
+    return compare
+
+
+def unpack(raw) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return wide.view(np.uint64).ravel()
+
+
+def inverted(sets: pa.Array) -> tuple[np.ndarray, ...]:
+    """Shingles of a block's sets in order, whose they are, and how many each has."""
+    lists_ = [unpack(s.as_buffer()) for s in sets]
+    sizes = np.array([len(x) for x in lists_])
+    values = np.concatenate(lists_)
+    order = np.argsort(values, kind="stable")
+    return values[order], np.repeat(np.arange(len(sizes)), sizes)[order], sizes
+
+
+def overlapping(percent: int):
+    """Comparison of full sets by the index of a block."""
+
+    def compare(held, streamed: pa.Array):
+        values, owner, sizes = held
+        for row, raw in enumerate(streamed):
+            own = unpack(raw.as_buffer())
+            lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            n = hi - lo
+            hits = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            both = np.bincount(owner[hits], minlength=len(sizes))
+            yield row, np.flatnonzero(100 * both >= percent * (sizes + len(own) - both))
+
+    return compare
+
+
+def labelled(sigs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The component of every class that has candidates, by the links found so far."""
+    found = components(edges, "minhash")
+    return keep(sigs.select("cid").join(found, "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp")), "minhash-comps")
 
 
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -267,35 +396,29 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, doc_id: s
     sets = keep(packed_sets(docs, size, sigs, doc_id, text), "minhash-sets")
     least = percent / 100 - SLACK
 
-    labels = sigs.select("cid", F.col("cid").alias("comp"))
-    tested: list[DataFrame] = []
-    for number in range(HUB_ROUNDS + 1):
-        where = keep(members.join(labels, "cid"), "minhash-where")
-        mixed = where.groupBy("key").agg(
-            F.min("comp").alias("low"), F.max("comp").alias("high"),
-            F.min_by(F.struct("cid", "comp"), F.xxhash64("cid", F.lit(number))).alias("hub"),
-        ).where("low < high")
-        if number < HUB_ROUNDS:
-            met = where.join(mixed, "key").where(F.col("comp") != F.col("hub.comp"))
-            pairs = met.select(F.col("hub.cid").alias("a"), F.col("cid").alias("b")).distinct()
-            left, right = (sigs.select(F.col("cid").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-            pairs = pairs.join(left, "a").join(right, "b").where(estimate(F.col("sig_a"), F.col("sig_b")) >= least).select("a", "b")
-        else:  # all that is left, each pair in the buckets where it still lies in two components
-            open_ = where.join(mixed.select("key"), "key").join(sigs.select("cid", "sig"), "cid")
-            left, right = (open_.select("key", *[F.col(x).alias(f"{x}_{c}") for x in ("cid", "comp", "sig")]) for c in "ab")
-            apart = (F.col("cid_a") < F.col("cid_b")) & (F.col("comp_a") != F.col("comp_b"))
-            pairs = left.join(right, (left.key == right.key) & apart & (estimate(F.col("sig_a"), F.col("sig_b")) >= least))
-            pairs = pairs.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
-        for done in tested:
-            both = done.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-            met = (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi"))
-            pairs = pairs.join(both, met, "left_anti")
-        tested.append(keep(confirm(keep(pairs, "minhash-pairs"), sets, percent), "minhash-links"))
-        edges = tested[0]
-        for more in tested[1:]:
-            edges = edges.unionByName(more)
-        found = components(edges.where("linked"), "minhash")
-        labels = keep(sigs.select("cid").join(found, "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp")), "minhash-comps")
+    labels, edges = sigs.select("cid", F.col("cid").alias("comp")), None
+    for number in range(HUB_ROUNDS):
+        where = members.join(labels, "cid")
+        hubs = where.groupBy("key").agg(
+            F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct("cid", "comp"), F.xxhash64("cid", F.lit(number))).alias("hub")
+        ).where("low < high")
+        met = where.join(hubs, "key").where(F.col("comp") != F.col("hub.comp"))
+        pairs = met.select(F.col("hub.cid").alias("a"), F.col("cid").alias("b")).distinct()
+        left, right = (sigs.select(F.col("cid").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
+        pairs = pairs.join(left, "a").join(right, "b").where(estimate(F.col("sig_a"), F.col("sig_b")) >= least).select("a", "b")
+        found = keep(confirm(keep(pairs, "minhash-pairs"), sets, percent).where("linked").select("a", "b"), "minhash-links")
+        edges = found if edges is None else edges.unionByName(found)
+        labels = labelled(sigs, edges)
+
+    # smaller components of a bucket against all its members: first what could link, then what does
+    where = members.join(labels, "cid").join(sigs.select("cid", "sig"), "cid")
+    near = in_blocks(where, "sig").mapInArrow(lambda b: links_of(b, "sig", signature_matrix, alike(least)), LINKS)
+    families = components(near.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")),
+                          "minhash-near")
+    family = families.select(F.col("cid").alias("comp"), F.col("comp").alias("key"))
+    full = labels.join(family, "comp").join(sets, "cid")
+    last = in_blocks(full, "set").mapInArrow(lambda b: links_of(b, "set", inverted, overlapping(percent)), LINKS)
+    labels = labelled(sigs, edges.unionByName(keep(last, "minhash-links")))
     least_id = classes.select("cid", "rep").join(labels, "cid").groupBy("comp").agg(F.min("rep").alias("component_id"))
     ids = labels.join(least_id, "comp").select("cid", "component_id")
     every = keep(classes.select("cid", "rep").join(ids, "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id")),
