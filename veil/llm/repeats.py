@@ -6,7 +6,7 @@ its share of all suffixes, so there are few at each length whatever the data, an
 memory. A subtree need not be deeper than the window: a suffix is cut after ``size`` words and carried as the
 64-bit hash of these words, in the order of the text. Below one internal node of full depth hang the suffixes
 with equal hashes: a repeat. The subtree answers with one bit a suffix, whether its node also holds a text
-with a smaller id. Texts stay where they are until the bits come back; runs of marked windows are the maximal
+with a smaller id. Texts wait in buckets until the bits come back; runs of marked windows are the maximal
 repeats. A window so frequent that it would fill a group by itself never becomes one: its least id is
 aggregated where the texts are, and the few that there can be are known to all tasks.
 
@@ -30,7 +30,8 @@ from veil.llm.common import hash_words, keep, mapped, mix, slices, text_bytes, w
 PREFIX_WORDS = (1, 2, 4)  # tried in this order before the whole window
 GROUP_WORDS = 4_000_000
 BYTES_A_WORD = 6
-NO_ID = np.iinfo(np.int64).max
+NO_ID = 1 << 62
+BUCKET_BYTES = 8 << 20  # of texts that are finished together
 COLUMNS = {"doc_id": "doc_id", "tag": "tag", "text": "text"}
 
 
@@ -40,6 +41,7 @@ class Plan:
 
     size: int
     groups: int
+    buckets: int
     frequent: tuple[np.ndarray, ...]  # prefixes by length, sorted, fewer than twice ``share`` of each
     windows: np.ndarray  # frequent whole windows, sorted
     least: np.ndarray  # and the least id of each
@@ -69,13 +71,13 @@ class Plan:
 
 
 def named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Id, text and a tag that tells rows with one id apart."""
+    """Id (``NO_ID`` for null), text, and a tag that tells rows with one id apart."""
     tag = F.xxhash64(docs[text]).bitwiseAND(0x7FFFFFFF).cast("int")
-    return docs.select(docs[doc_id].cast("bigint").alias("doc_id"), tag.alias("tag"), docs[text].cast("string").alias("text"))
+    return docs.select(F.coalesce(docs[doc_id].cast("bigint"), F.lit(NO_ID)).alias("doc_id"), tag.alias("tag"), docs[text].cast("string").alias("text"))
 
 
 def ids_of(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.fill_null(NO_ID).to_numpy(zero_copy_only=False), np.int64)
+    return np.asarray(column.to_numpy(zero_copy_only=False), np.int64)
 
 
 def plan(rows: DataFrame, size: int) -> Plan:
@@ -86,6 +88,7 @@ def plan(rows: DataFrame, size: int) -> Plan:
     """
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     groups = max(4, -(-n_bytes // (BYTES_A_WORD * GROUP_WORDS)))
+    buckets = max(16, -(-n_bytes // BUCKET_BYTES))
     share = min(max(1024, 4 * groups), 1 << 20)
 
     def often(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -104,7 +107,7 @@ def plan(rows: DataFrame, size: int) -> Plan:
     whole = np.sort(prefixes[lengths == size])
     empty = np.zeros(0, np.int64)
     if not len(whole):
-        return Plan(size, groups, frequent, whole, empty)
+        return Plan(size, groups, buckets, frequent, whole, empty)
 
     def smallest(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, bounds = text_bytes(batch.column("text"))
@@ -119,7 +122,7 @@ def plan(rows: DataFrame, size: int) -> Plan:
     least = mapped(rows, COLUMNS, "prefix bigint, doc_id bigint", smallest).groupBy("prefix").agg(F.min("doc_id").alias("doc_id")).toArrow()
     keys = least.column("prefix").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return Plan(size, groups, frequent, keys[order], least.column("doc_id").to_numpy()[order])
+    return Plan(size, groups, buckets, frequent, keys[order], least.column("doc_id").to_numpy()[order])
 
 
 def suffixes(rows: DataFrame, deal) -> DataFrame:
@@ -147,8 +150,11 @@ def suffixes(rows: DataFrame, deal) -> DataFrame:
     return mapped(rows, COLUMNS, "group bigint, ids binary, tags binary, counts binary, hashes binary", work)
 
 
-def subtree(table: pa.Table) -> pa.Table:
-    """One group: which of its suffixes end at a node that a text with a smaller id reaches, too."""
+def subtree(table: pa.Table, buckets: int) -> pa.Table:
+    """One group: which of its suffixes end at a node that a text with a smaller id reaches, too.
+
+    Answers are packed by buckets of texts: a bit for each suffix of the texts that have such ones.
+    """
 
     def whole(name, kind):
         return np.concatenate([np.frombuffer(b.as_buffer(), kind) for c in table.column(name).chunks for b in c])
@@ -164,56 +170,82 @@ def subtree(table: pa.Table) -> pa.Table:
     repeat[order] = owner[order] > least[np.cumsum(node, dtype=np.int32) - 1]
     cuts = np.concatenate([[0], np.cumsum(counts)])
     marked = np.flatnonzero(np.add.reduceat(repeat.astype(np.int32), cuts[:-1]))
-    bits = [np.packbits(repeat[cuts[k] : cuts[k + 1]]).tobytes() for k in marked]
-    group = np.full(len(marked), table.column("group")[0].as_py(), np.int64)
-    return pa.table({"doc_id": ids[marked], "tag": tags[marked], "group": group, "bits": pa.array(bits, pa.binary())})
-
-
-def repeated(own: Plan, batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """Per text of a batch: its row, its bytes, and which of its words lie in a marked window."""
+    bucket = bucket_of(ids[marked], tags[marked], buckets)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    rows = []
+    for k in np.flatnonzero(np.diff(edges)):
+        mine = marked[order[edges[k] : edges[k + 1]]]
+        bits = b"".join(np.packbits(repeat[cuts[m] : cuts[m + 1]]).tobytes() for m in mine)
+        rows.append((int(k), ids[mine].tobytes(), tags[mine].tobytes(), counts[mine].tobytes(), bits))
+    names, types = ["bucket", "ids", "tags", "counts", "bits"], [pa.int64(), *[pa.binary()] * 4]
+    columns = {n: pa.array([r[j] for r in rows], t) for j, (n, t) in enumerate(zip(names, types))}
+    group = pa.array([table.column("group")[0].as_py()] * len(rows), pa.int64())
+    return pa.table({"bucket": columns.pop("bucket"), "group": group, **columns})
+
+
+MARKS = "bucket bigint, group bigint, ids binary, tags binary, counts binary, bits binary"
+
+
+def bucket_of(ids: np.ndarray, tags: np.ndarray, buckets: int) -> np.ndarray:
+    return np.mod(ids + tags, buckets)
+
+
+def marks_of(table: pa.Table) -> dict[tuple[int, int], list[tuple[int, np.ndarray]]]:
+    """Per text of a bucket: its groups, and a bit for each suffix it has there."""
+    found: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+    for row in table.to_pylist():
+        ids, tags, counts = (np.frombuffer(row[k], t) for k, t in (("ids", np.int64), ("tags", np.int32), ("counts", np.int32)))
+        bits, at = np.frombuffer(row["bits"], np.uint8), 0
+        for doc, tag, n in zip(ids.tolist(), tags.tolist(), counts.tolist()):
+            size = -(-n // 8)
+            found.setdefault((doc, tag), []).append((row["group"], np.unpackbits(bits[at : at + size])[:n].astype(bool)))
+            at += size
+    return found
+
+
+def repeated(own: Plan, batch: pa.RecordBatch, marks: dict) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Per text of a batch: its bytes, and which of its words lie in a marked window."""
     data, bounds = text_bytes(batch.column("text"))
     hashes, begin, end, first = hash_words(data, bounds)
     found, starts, text = windows(hashes, first, own.size)
-    ids, marks = ids_of(batch.column("doc_id")), batch.column("marks")
+    ids, tags = ids_of(batch.column("doc_id")), batch.column("tag").to_pylist()
     group = own.deal(hashes, first, starts, found)
     _, repeat = own.own(found, ids[text])
     group[own.own(found, ids[text])[0]] = own.groups
     edges = np.searchsorted(text, np.arange(batch.num_rows + 1))
     for row in range(batch.num_rows):
         a, b = edges[row], edges[row + 1]
-        for mark in marks[row].as_py() or []:
-            mine = a + np.flatnonzero(group[a:b] == mark["group"])
-            repeat[mine] |= np.unpackbits(np.frombuffer(mark["bits"], np.uint8))[: len(mine)].astype(bool)
+        for number, bits in marks.get((int(ids[row]), tags[row]), ()):
+            repeat[a + np.flatnonzero(group[a:b] == number)] |= bits
         n = int(first[row + 1] - first[row])
         step = np.zeros(n + 1, np.int64)
         hit = starts[a:b][repeat[a:b]] - first[row]
         step[hit] += 1
         step[hit + own.size] -= 1
-        yield row, data[bounds[row] : bounds[row + 1]].tobytes(), np.cumsum(step)[:n] > 0
+        yield data[bounds[row] : bounds[row + 1]].tobytes(), np.cumsum(step)[:n] > 0
 
 
 def without_repeats(docs: DataFrame, size: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``n_words``, ``n_removed`` and ``kept``, the words left, joined by one space."""
     rows = named(docs, doc_id, text)
-    deal = docs.sparkSession.sparkContext.broadcast(plan(rows, size))
-    bits = "doc_id bigint, tag int, group bigint, bits binary"
-    marks = suffixes(rows, deal).groupBy("group").applyInArrow(subtree, bits).groupBy("doc_id", "tag").agg(
-        F.collect_set(F.struct("group", "bits")).alias("marks")  # one for each group that a text has suffixes in
-    )
+    own = plan(rows, size)
+    deal = docs.sparkSession.sparkContext.broadcast(own)
+    marks = suffixes(rows, deal).groupBy("group").applyInArrow(lambda t: subtree(t, deal.value.buckets), MARKS)
     marks = keep(marks, "repeats-marks")
-    known = F.coalesce(rows.doc_id, F.lit(NO_ID)) == marks.doc_id
-    joined = rows.join(marks, known & (rows.tag == marks.tag), "left").select(rows.doc_id, "text", "marks")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        found, out = marks_of(answers), []
+        for batch in texts.select(["doc_id", "tag", "text"]).combine_chunks().to_batches():
             for at, end in slices(batch, "text"):
-                part = batch.slice(at, end - at)
-                out = []
-                for _, raw, gone in repeated(deal.value, part):
+                for raw, gone in repeated(deal.value, batch.slice(at, end - at), found):
                     words = raw.split()
                     left = words if not gone.any() else [words[k] for k in np.flatnonzero(~gone)]
                     out.append((len(words), len(words) - len(left), b" ".join(left).decode()))
-                yield pa.record_batch([part.column("doc_id"), *[pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))]],
-                                      ["doc_id", "n_words", "n_removed", "kept"])
+        ids = [None if i == NO_ID else i for i in texts.column("doc_id").to_pylist()]
+        columns = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
+        return pa.table([pa.array(ids, pa.int64()), *columns], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return joined.mapInArrow(work, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    bucket = F.pmod(F.col("doc_id") + F.col("tag"), F.lit(own.buckets))
+    dealt = rows.withColumn("bucket", bucket).groupBy("bucket").cogroup(marks.groupBy("bucket"))
+    return dealt.applyInArrow(finish, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
