@@ -36,7 +36,7 @@ ODD = np.uint64(0xD6E8FEB86659FD93)
 SHARD_TOKENS = 3_000_000
 BYTES_A_TOKEN = 6
 FREQUENT = 1024  # a context with more than one in so many tokens is dealt to all shards
-SLICE = 8 << 20
+SLICE = 4 << 20
 ADD = 0.1
 WORD_BITS = 40  # of a word's hash, inside pairs
 BLOCKS = "kind string, shard bigint, block binary"
