@@ -1,7 +1,7 @@
 """Byte-level BPE: encoding by a rank queue over a hierarchical bitmap, and decoding.
 
 A pre-token of n bytes starts as a linked list of its bytes. Every pair of neighbours that has a rank waits
-in the bucket of that rank; the bitmap finds the lowest rank that has a bucket by three find-first-set
+in the bucket of that rank; the bitmap finds the lowest rank that has a bucket by two find-first-set
 steps. A merge changes two pairs at most, which get new entries; their old entries are stale and skipped.
 So a pre-token costs about n log n, however long it is.
 
@@ -23,49 +23,45 @@ from pyspark.sql import DataFrame
 
 from veil.llm.common import mapped
 
-CACHED_TOKENS = 300_000
+CACHED_TOKENS = 1_000_000
 CACHED_CHARS = 64
 
 
+BITS = [1 << k for k in range(256)]
+
+
 class RankQueue:
-    """Positions by rank: a bucket for each rank, and three levels of 64-bit words over the ranks."""
+    """Positions by rank: a bucket for each rank, and two levels of 256-bit words over the ranks."""
 
     def __init__(self, n_ranks: int):
-        sizes = [n_ranks]
-        for _ in range(3):
-            sizes.append((sizes[-1] + 63) >> 6)
-        if sizes[3] > 1:
-            raise ValueError("more than 2^18 ranks")
-        self.low, self.mid, self.top = [0] * sizes[1], [0] * sizes[2], 0
+        if n_ranks > 1 << 16:
+            raise ValueError("more than 2^16 ranks")
+        self.low, self.top = [0] * 256, 0
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket:
+        if bucket is not None:
             heappush(bucket, position)
             return
         self.buckets[rank] = [position]
-        self.low[rank >> 6] |= 1 << (rank & 63)
-        self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-        self.top |= 1 << (rank >> 12)
-
-    def pop(self) -> tuple[int, int] | None:
-        """The lowest rank that waits, and its leftmost position."""
-        if not self.top:
-            return None
-        a = (self.top & -self.top).bit_length() - 1
-        b = (a << 6) + (self.mid[a] & -self.mid[a]).bit_length() - 1
-        rank = (b << 6) + (self.low[b] & -self.low[b]).bit_length() - 1
+        self.low[rank >> 8] |= BITS[rank & 255]
+        self.top |= BITS[rank >> 8]
+
+    def pop(self) -> tuple[int, int]:
+        """The lowest rank that waits, and its leftmost position; only while ``top`` is not 0."""
+        high = (self.top & -self.top).bit_length() - 1
+        word = self.low[high]
+        lowest = word & -word
+        rank = (high << 8) + lowest.bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[b] &= ~(1 << (rank & 63))
-            if not self.low[b]:
-                self.mid[a] &= ~(1 << (b & 63))
-                if not self.mid[a]:
-                    self.top &= ~(1 << a)
-        return rank, position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        del self.buckets[rank]
+        self.low[high] = word = word ^ lowest
+        if not word:
+            self.top ^= BITS[high]
+        return rank, bucket[0]
 
 
 class Encoder(dict):
@@ -75,44 +71,52 @@ class Encoder(dict):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
         self.words = {rank: token for token, rank in self.ranks.items()}
-        self.longest = max(map(len, self.ranks))
         self.queue = RankQueue(max(self.words) + 1)
         self.split = regex.compile(pattern).findall
 
     def ids(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks, queue, n = self.ranks, self.queue, len(piece)
+        ranks, n = self.ranks, len(piece)
         if piece in ranks:
             return [ranks[piece]]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        get, push, pop, queue = ranks.get, self.queue.push, self.queue.pop, self.queue
+        after, before = list(range(1, n + 2)), list(range(-1, n))
         waiting = [-1] * (n + 1)  # the rank of the pair that begins here; other entries are stale
-
-        def offer(at: int) -> None:
-            mid = after[at]
-            end = after[mid] if mid < n else n + 1
-            rank = ranks.get(piece[at:end], -1) if end <= n and end - at <= self.longest else -1
-            waiting[at] = rank
-            if rank >= 0:
-                queue.push(rank, at)
-
         for at in range(n - 1):
-            offer(at)
-        while (found := queue.pop()) is not None:
-            rank, at = found
+            rank = get(piece[at : at + 2])
+            if rank is not None:
+                waiting[at] = rank
+                push(rank, at)
+        while queue.top:
+            rank, at = pop()
             if waiting[at] != rank:
                 continue
             gone = after[at]
             waiting[gone] = -1
-            after[at] = after[gone]
-            if after[at] < n:
-                before[after[at]] = at
-            offer(at)
-            if before[at] >= 0:
-                offer(before[at])
+            after[at] = end = after[gone]
+            if end < n:
+                before[end] = at
+                rank = get(piece[at : after[end]])
+                if rank is None:
+                    waiting[at] = -1
+                else:
+                    waiting[at] = rank
+                    push(rank, at)
+            else:
+                waiting[at] = -1
+            left = before[at]
+            if left >= 0:
+                rank = get(piece[left:end])
+                if rank is None:
+                    waiting[left] = -1
+                else:
+                    waiting[left] = rank
+                    push(rank, left)
         out, at = [], 0
         while at < n:
-            out.append(ranks[piece[at : after[at]]])
-            at = after[at]
+            end = after[at]
+            out.append(ranks[piece[at:end]])
+            at = end
         return out
 
     def __missing__(self, token: str) -> bytes:
