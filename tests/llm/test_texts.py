@@ -101,7 +101,7 @@ def test_rank_queue_pops_in_order():
     while waiting:
         waiting.sort()
         assert queue.pop() == waiting.pop(0)
-    assert queue.pop() is None
+    assert not queue.top
 
 
 def plain_stats(text):
