@@ -12,6 +12,7 @@ from checks.sqltext import (
     entities_sql,
     fold_sql,
     hash_sql,
+    masked_sql,
     pick_sql,
     quote,
     re2,
@@ -323,8 +324,48 @@ def qa_audit(spark, sf):
     return audit.issues(mask.protect(docs(spark, sf), CUSTOM, min_confidence=0.95), CUSTOM, 0.8)
 
 
-@query("qa_loop")
+def rounds_sql() -> str:
+    """Three rounds of plan, mask and audit; the first without anything missed is the last that counts."""
+    parts, texts = [], DOCS
+    for k in (1, 2, 3):
+        parts.append(f"""p{k} AS MATERIALIZED (SELECT *, {strategy_sql('pii_type')} AS strategy FROM {dedup_sql(entities_sql(texts, CUSTOM))}),
+        c{k} AS MATERIALIZED (SELECT * FROM {masked_sql(texts, f'p{k}')}),
+        t{k} AS MATERIALIZED (SELECT doc_id, 0 AS page_num, masked_text AS text FROM c{k}),
+        m{k} AS MATERIALIZED (SELECT e.doc_id, count(DISTINCT (e.pii_type, e.text)) AS n FROM {entities_sql(f't{k}', CUSTOM)} e JOIN {DOCS} d ON e.doc_id = d.doc_id WHERE contains(d.text, e.text) GROUP BY 1)""")
+        texts = f"t{k}"
+    used = "CASE WHEN (SELECT count(*) FROM m1) = 0 THEN 1 WHEN (SELECT count(*) FROM m2) = 0 THEN 2 ELSE 3 END"
+    rows = " UNION ALL ".join(
+        f"SELECT c{k}.doc_id, c{k}.masked_text, {' + '.join(f'c{j}.n_masked' for j in range(1, k + 1))} AS n_masked, coalesce(m{k}.n, 0) AS n_left, {k} AS rounds FROM c{k} "
+        + " ".join(f"JOIN c{j} ON c{j}.doc_id = c{k}.doc_id" for j in range(1, k)) + f" LEFT JOIN m{k} ON m{k}.doc_id = c{k}.doc_id"
+        for k in (1, 2, 3)
+    )
+    return f"""WITH {', '.join(parts)} SELECT doc_id, sha256(masked_text) AS masked_sha, CAST(n_masked AS BIGINT) AS n_masked, n_left, n_left = 0 AS approved, rounds
+        FROM ({rows}) WHERE rounds = {used}"""
+
+
+@query("qa_loop", rounds_sql())
 def qa_loop(spark, sf):
-    """Iterates on files; tests check that no issue is left."""
+    """Mask, audit and mask again until nothing is missed, three rounds at most; what is left is counted."""
     out, rounds = audit.qa_loop(docs(spark, sf).select("doc_id", "text"), CUSTOM)
-    return out.select("doc_id", F.sha2("masked_text", 256).alias("masked_sha"), "n_masked", F.lit(rounds).alias("rounds"))
+    return out.select("doc_id", F.sha2("masked_text", 256).alias("masked_sha"), "n_masked", "n_left", "approved", F.lit(rounds).alias("rounds"))
+
+
+WORD = "regexp_extract(text, '[A-Za-z]+', 0)"
+DERIVED["doc_answers"] = f"""SELECT doc_id, CAST(0 AS INT) AS page_num, CAST(0 AS INT) AS chunk_idx, CAST(0 AS BIGINT) AS chunk_offset, text AS chunk,
+    '[{{"text": "' || {WORD} || '", "pii_type": "PERSON", "confidence": 0.9, "suggested_strategy": "mask"}}, {{"text": "' || {WORD} || '", "pii_type": "ORG"}}]' AS response
+    FROM {{documents}} WHERE {WORD} <> ''"""
+
+
+@query(
+    "protect_all_sources",
+    f"""WITH e AS MATERIALIZED (SELECT doc_id, page_num, CAST(ord AS BIGINT) AS ord, pii_type, text, confidence, CAST(NULL AS VARCHAR) AS strategy FROM {FOUND}
+        UNION ALL SELECT doc_id, 0, 4503599627370496 + i, t, {WORD}, c, s FROM {DOCS}, (VALUES (0, 'PERSON', 0.9, 'mask'), (1, 'ORG', 0.8, NULL)) v(i, t, c, s) WHERE {WORD} <> ''),
+    plan AS MATERIALIZED (SELECT doc_id, page_num, ord, pii_type, text, coalesce(strategy, {strategy_sql('pii_type')}) AS strategy FROM {dedup_sql('e')})
+    SELECT doc_id, sha256(masked_text) AS masked_sha, n_masked FROM {masked_sql(DOCS, 'plan')}""",
+)
+def protect_all_sources(spark, sf):
+    """Patterns and model answers in one plan; a suggested strategy wins over the rule."""
+    from veil.plans.jobs import protect_all
+
+    out = protect_all(docs(spark, sf), CUSTOM, responses=derived(spark, sf, "doc_answers"))
+    return out.select("doc_id", F.sha2("masked_text", 256).alias("masked_sha"), "n_masked")

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
-from veil.functions.patterns import FALLBACK, NOUNS, NUMERIC, REGISTRY, SECRET
+from veil.functions.patterns import FALLBACK, NOUNS, NUMERIC, REGISTRY, SECRET, Pattern
 from veil.functions.spans import INNER, MARK, all_spans
 from veil.operators.synth import anonymize_fallback
 
@@ -60,3 +60,23 @@ def test_fallback_substitutions(spark):
         for regex, constant in FALLBACK:
             want = re.sub(regex, constant, want)
         assert result == want
+
+
+INNER_GROUPS = [
+    Pattern('K"EY', r'key="([a-z0-9]+)"'), Pattern("IT'S", r"\b[A-Z]{2} (\d{2}(?:-\d)?) [a-z]+\b"), Pattern("LAST", r"no (\d+)"), Pattern("FIRST", r"([a-z]+)@"),
+]
+
+
+def test_values_inside_patterns_are_placed(spark):
+    texts = ['a key="abc123" and key="z" é key=""', "XY 12-3 ab, ZZ 44 q no 7 no 8x", "é日 bob@x ann@y@", ""]
+    got = found(spark, texts, INNER_GROUPS)
+    assert [got[i] for i in range(4)] == [model(t, INNER_GROUPS) for t in texts]
+    with pytest.raises(ValueError):
+        all_spans("text", [Pattern("BAD", r"a|b(c)")])
+
+
+def test_salts_may_hold_quotes(spark):
+    from veil.operators import mask
+
+    df = spark.createDataFrame([(1, "mail a.b@example.org now")], "doc_id long, text string")
+    assert "a.b@" not in mask.protect(df, REGISTRY, salt="it's \\ one").first().masked_text

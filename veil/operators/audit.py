@@ -56,7 +56,8 @@ def qa_loop(texts: DataFrame, registry, min_confidence: float = 0.0, max_rounds:
     """Mask, audit, mask what is left, until nothing is missed or ``max_rounds`` is reached.
 
     Each round starts from a checkpoint, so lineage does not grow. Returns (doc_id, text,
-    masked_text, n_masked) and the rounds used.
+    masked_text, n_masked, n_left, approved) and the rounds used: what a document still misses after
+    the last round is counted, and it is approved only without.
     """
     current = texts.select("doc_id", "text", F.col("text").alias("masked_text"), F.lit(0).cast("bigint").alias("n_masked"))
     rounds = 0
@@ -77,6 +78,10 @@ def qa_loop(texts: DataFrame, registry, min_confidence: float = 0.0, max_rounds:
                 "plan",
             )
         )
-        if issues(current, registry, min_confidence).where("issue_type = 'missed_pii'").isEmpty():
+        missed = issues(current, registry, min_confidence).where("issue_type = 'missed_pii'")
+        left = cut_lineage(missed.groupBy("doc_id").agg(F.count("*").alias("n_left")))
+        if left.isEmpty():
             break
-    return current.drop("plan"), rounds
+    n_left = F.coalesce("n_left", F.lit(0))
+    out = current.drop("plan").join(left, "doc_id", "left").withColumn("n_left", n_left)
+    return out.withColumn("approved", F.col("n_left") == 0), rounds

@@ -101,7 +101,7 @@ def ner_entities(raw: DataFrame) -> DataFrame:
     )
 
 
-RESPONSE = "array<struct<text:string,pii_type:string,start:int,end:int,confidence:double,context_info:string>>"
+RESPONSE = "array<struct<text:string,pii_type:string,start:int,end:int,confidence:double,context_info:string,suggested_strategy:string>>"
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
@@ -138,6 +138,7 @@ def llm_entities(responses: DataFrame) -> DataFrame:
         end.cast("int").alias("end"),
         F.coalesce(F.col("item.confidence"), F.lit(0.8)).alias("confidence"),
         F.lit("LLM").alias("source"),
+        F.col("item.suggested_strategy").alias("strategy"),
     )
 
 

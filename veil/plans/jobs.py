@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veil.functions import dims
+from veil.operators import detect, resolve
 from veil.operators import tables as T
-from veil.operators.mask import protect
+from veil.operators.mask import mask_document, protect
 from veil.operators.tables import anonymize_table
 
 
@@ -42,6 +44,32 @@ def protect_report(texts: DataFrame, registry, min_confidence: float = 0.0, salt
     )
 
 
+def plan_all(pages: DataFrame, registry, scorer=None, responses: DataFrame | None = None) -> DataFrame:
+    """One plan from all detectors: patterns, a pluggable recognizer and model answers.
+
+    The best type of a text wins over all sources, on ties the source listed first. A strategy that an
+    answer suggests wins over the rule for its type.
+    """
+    parts = [detect.detect_patterns(pages, registry)]
+    if scorer is not None:
+        parts.append(detect.detect_model(pages, scorer))
+    if responses is not None:
+        parts.append(detect.llm_entities(responses))
+    ranked = [
+        p.withColumn("ord", F.shiftleft(F.lit(rank).cast("bigint"), 52).bitwiseOR(F.col("ord").cast("bigint"))) for rank, p in enumerate(parts)
+    ]
+    found = detect.entities_union(*ranked)
+    if "strategy" not in found.columns:
+        found = found.withColumn("strategy", F.lit(None).cast("string"))
+    best = resolve.dedup_best_type(found, ["strategy"])
+    return best.withColumn("strategy", F.coalesce("strategy", dims.suggest_strategy(F.col("pii_type"))))
+
+
+def protect_all(pages: DataFrame, registry, scorer=None, responses: DataFrame | None = None, salt: str = "") -> DataFrame:
+    """Pages masked by the plan of all detectors: what any of them finds on a page is masked on all of its document."""
+    return mask_document(pages, plan_all(pages, registry, scorer, responses), salt)
+
+
 def anonymize_set(tables_by_name: dict[str, DataFrame], subtypes: dict[str, str], null_policy: str = "keep", salt: str = "") -> dict[str, DataFrame]:
     """Anonymize the named columns wherever they occur in a set of tables.
 
