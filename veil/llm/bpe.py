@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from veil.llm.common import mapped
 
-CACHED_TOKENS = 1_000_000
+CACHED_TOKENS = 400_000
 CACHED_CHARS = 64
 
 

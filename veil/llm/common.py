@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veil.session import shared_path
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 SPACES = b" \t\n\v\f\r"
 UPPER = bytes(range(65, 91))
 LOWER_TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
