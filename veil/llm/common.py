@@ -14,14 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veil.session import shared_path
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+BATCH_ROWS = 1000  # texts are long rows: the default of 10000 takes ten times the memory on both sides
 SPACES = b" \t\n\v\f\r"
 UPPER = bytes(range(65, 91))
 LOWER_TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package's code to the Python workers, once per Spark context."""
+    """Give this package's code to the Python workers, once per Spark context; keep Arrow batches of texts small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     context = spark.sparkContext
     if any(f.endswith("veil-code.zip") for f in getattr(context, "_python_includes", [])):
         return
