@@ -211,6 +211,43 @@ def test_leaks_are_found_whole_and_reworded(spark):
     assert got == expected
 
 
+def test_leaks_among_other_items_and_repeated_words(spark):
+    items = [(k, item(k, n)) for k, n in enumerate([16, 17, 24, 30, 33, 40, 45, 50, 58, 64] * 6)]
+    rng = random.Random(8)
+    rows, expected = [], set()
+    for k in range(20):  # lists of items in a row
+        chosen = rng.sample(range(len(items)), 12)
+        rows.append((k, " ".join(items[c][1] for c in chosen)))
+        expected |= {(k, c) for c in chosen}
+    for k, text in items:  # an item beside a rare word of another, repeated
+        rare = items[(k + 7) % len(items)][1].split(" ")[3]
+        rows.append((100 + k, f"{words(k, 50)} {' '.join([rare] * 40)} {text} {' '.join([rare] * 40)}"))
+        expected.add((100 + k, k))
+    rows += [(1000 + k, words(k, 200)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {(r.doc_id, r.item_id) for r in leaks.leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == expected
+
+
+def test_windows_and_items_in_parts_are_those_of_the_whole(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 60, n) for n in (9, 12, 14, 16, 6)]
+    judge = leaks.Judge(leaks.Items(list(range(5)), np.arange(60, dtype=np.uint64), sets), rng.random(60) + 0.1, rng.standard_normal((60, 8)))
+    sizes = np.array([100, 3, 70])
+    row, position = np.repeat(np.arange(3), sizes), np.concatenate([np.arange(n) for n in sizes])
+    cell, first = leaks.cells_of(row, position, sizes, 16)
+    word = rng.integers(0, 60, len(row))
+    plain = set()
+    for w in range(first[-1]):
+        d = np.searchsorted(first, w, "right") - 1
+        held = set(word[(cell >= w) & (cell < w + 2) & (row == d)].tolist())
+        plain |= {(w, k) for k in range(5) if len(judge.answers[k] & held) >= leaks.ANSWERED * len(judge.answers[k])}
+    for limit in (1, 7, 50, leaks.FANNED):
+        monkeypatch.setattr(leaks, "FANNED", limit)
+        got = [p for ws, ks in judge.answering(np.arange(5), cell, word, first) for p in zip(ws.tolist(), ks.tolist())]
+        assert len(got) == len(set(got)) and set(got) == plain
+
+
 def test_leaks_of_blocks_and_awkward_rows(spark, awkward, nothing, monkeypatch):
     monkeypatch.setattr(leaks, "BLOCK_ITEMS", 3)
     bench = spark.createDataFrame([(k, t) for k, t in enumerate([words(1, 300), item(1, 20), words(3, 80), None, item(2, 9), words(1, 300), "", item(9, 30)])],

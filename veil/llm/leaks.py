@@ -3,10 +3,14 @@
 Documents are reduced once to the places of benchmark words: what other words stand between them matters to
 none of the steps. From these come document frequencies over all passages, a randomised SVD of the TF-IDF
 passages (one power iteration, sums in Spark, small factors on the driver), and latent vectors of windows.
-Windows of twice an item's size, half overlapping, hold any copy of it whole. Those whose cosine with the item
-is high enough are candidates; a candidate is a leak if most of the item's words stand in it in their order
-and most of its answer, its rarest words, stands in it at all. So small changes of wording do not hide a
-copy. Items are the query set: they are taken in blocks of ``BLOCK_ITEMS``, each against all documents.
+Windows of two to four times an item's size, half overlapping, hold any copy of it whole. A window is compared
+with an item by what it holds of that item's words, each as often as the item has it at most: neighbours, be
+they other items or a word repeated often, change nothing, and a whole copy has a cosine of one. Windows whose
+cosine is high enough are candidates; a candidate is a leak if most of the item's words stand in it in their
+order and half of its answer, its rarest words, stands in it at all. So small changes of wording do not hide
+a copy. Windows without half of the answer, or with too few of the item's words in any order, cannot be leaks
+and are left out before. Items are the query set: they are taken in blocks of ``BLOCK_ITEMS``, each against
+all documents.
 
 Defined cases: null and empty texts and items have no words and match nothing; items that are equal match
 alike; repeated rows give equal rows once; a null id is reported as null.
@@ -29,11 +33,12 @@ PASSAGE = 64  # words of a passage in the statistics
 DIMENSIONS, SPARE = 128, 8
 MAX_SHARE = 0.003  # words in more than this share of passages have no weight,
 LEAST_WEIGHTED = 8  # except the rarest words of each item
-COSINE = 0.5
+COSINE = 0.35
 ORDERED = 0.6
 ANSWER_WORDS, ANSWERED = 8, 0.5
 LEAST_WORDS = 8  # shorter items must be there whole
 CELL = 8
+FANNED = 2_000_000  # pairs of windows and items looked at together
 
 
 @dataclass(frozen=True)
@@ -252,56 +257,79 @@ class Judge:
     """Decides candidates of a block of items."""
 
     def __init__(self, items: Items, weight: np.ndarray, vectors_: np.ndarray):
-        self.items, self.weight, self.embed = items, weight, (weight[:, None] * vectors_).astype(np.float32)
+        self.items, self.embed = items, (weight[:, None] * vectors_).astype(np.float32)
         self.latent = unit(np.stack([self.embed[w].sum(axis=0) for w in items.words]))
         self.full = [(1 << len(w)) - 1 for w in items.words]
-        self.masks, self.answers = [], []
+        self.masks, self.answers, self.own = [], [], []
         for words in items.words:
             own: dict[int, int] = {}
             for k, word in enumerate(words.tolist()):
                 own[word] = own.get(word, 0) | 1 << k
             self.masks.append(own)
             self.answers.append(set(sorted(own, key=lambda w: (-weight[w], w))[:ANSWER_WORDS]))
+            self.own.append(np.unique(words, return_counts=True))
         sizes = np.array([len(w) for w in items.words])
         self.scale = np.maximum(np.ceil(np.log2(sizes / CELL)), 0).astype(int)
+        self.answered = np.array([ANSWERED * len(a) for a in self.answers])
+        self.needed = np.where(sizes < LEAST_WORDS, 1.0, ORDERED) * sizes
 
     def leak(self, item: int, words: list[int]) -> float:
         """Share of the item's words found in order, if that and the answer make it a leak; else 0."""
-        size = len(self.items.words[item])
-        share = common_subsequence(self.masks[item], self.full[item], words) / size
-        answer = self.answers[item]
-        needed = 1.0 if size < LEAST_WORDS else ORDERED
-        return share if share >= needed and len(answer.intersection(words)) >= ANSWERED * len(answer) else 0.0
+        length = common_subsequence(self.masks[item], self.full[item], words)
+        if length < self.needed[item] or len(self.answers[item].intersection(words)) < self.answered[item]:
+            return 0.0
+        return length / len(self.items.words[item])
+
+    def near(self, item: int, words: np.ndarray, cosine: float) -> bool:
+        """Whether what ``words`` hold of the item is enough of its words, and near to it in the latent space."""
+        own, most = self.own[item]
+        place = np.minimum(np.searchsorted(own, words), len(own) - 1)
+        held = np.minimum(np.bincount(place[own[place] == words], minlength=len(own)), most)
+        if held.sum() < self.needed[item]:
+            return False
+        covered = held.astype(np.float32) @ self.embed[own]
+        return float(covered @ self.latent[item]) >= cosine * float(np.linalg.norm(covered))
+
+    def answering(self, mine: np.ndarray, cell: np.ndarray, word: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
+        """Windows of two neighbouring cells and items of ``mine`` such that the window holds half of the answer."""
+        terms, count = len(self.items.vocabulary), len(self.items.words)
+        pairs = np.array(sorted((w, k) for k in mine.tolist() for w in self.answers[k]), np.int64)
+        fan = np.bincount(pairs[:, 0], minlength=terms)
+        begin = np.concatenate([[0], np.cumsum(fan)])
+        some = fan[word] > 0
+        held = np.unique(cell[some] * terms + word[some])
+        later = held[~np.isin(held // terms, first)]  # the cell before the first of a document is another document's
+        held = np.unique(np.concatenate([held, later - terms]))
+        window, word = held // terms, held % terms
+        size = np.concatenate([[0], np.cumsum(fan[word])])
+        at = 0
+        while at < len(held):
+            end = max(at + 1, int(np.searchsorted(size, size[at] + FANNED, "right")) - 1)
+            if end < len(held):  # a window stays whole
+                cut = int(np.searchsorted(window, window[end]))
+                end = cut if cut > at else int(np.searchsorted(window, window[end], "right"))
+            n = fan[word[at:end]]
+            inner = np.arange(n.sum()) - np.repeat(size[at:end] - size[at], n)
+            item = pairs[np.repeat(begin[word[at:end]], n) + inner, 1]
+            code, hits = np.unique(np.repeat(window[at:end], n) * count + item, return_counts=True)
+            enough = code[hits >= self.answered[code % count]]
+            yield enough // count, enough % count
+            at = end
 
     def run(self, batches, cosine: float = COSINE) -> Iterator[pa.RecordBatch]:
-        """Leaks of documents: for each size of items, windows of two neighbouring cells that hold a weighted word."""
+        """Leaks of documents: for each size of items, windows of two neighbouring cells that hold enough of one."""
         for ids, row, position, word, sizes in chunks(batches, self.items.kind):
-            heavy = self.weight[word] > 0
-            some, vectors_ = np.flatnonzero(heavy), self.embed[word[heavy]]
             out = []
+            edges = np.searchsorted(row, np.arange(len(ids) + 1))
             for scale in np.unique(self.scale):
                 mine, width = np.flatnonzero(self.scale == scale), CELL << int(scale)
                 cell, first = cells_of(row, position, sizes, width)
-                own, sums = by_key(cell[some], vectors_)
-                if not len(own):
-                    continue
-                window = np.unique(np.concatenate([own, own - 1]))
-                window = window[window >= 0]
-                doc = np.searchsorted(first, window, "right") - 1
-                both = np.zeros((len(window), sums.shape[1]), np.float32)
-                for shift in (0, 1):  # the cell after the last of a document is another document's first
-                    place = np.minimum(np.searchsorted(own, window + shift), len(own) - 1)
-                    found = (own[place] == window + shift) & (window + shift < first[doc + 1])
-                    both[found] += sums[place[found]]
-                near = unit(both) @ self.latent[mine].T
-                for w, k in zip(*np.nonzero(near >= cosine)):
-                    d = int(doc[w])
-                    begin = (window[w] - first[d]) * width
-                    a, b = np.searchsorted(row, [d, d + 1])
-                    lo, hi = a + np.searchsorted(position[a:b], [begin, begin + 2 * width])
-                    share = self.leak(int(mine[k]), word[lo:hi].tolist())
-                    if share:
-                        out.append((ids[d], int(mine[k]), share))
+                for windows, found in self.answering(mine, cell, word, first):
+                    docs = np.searchsorted(first, windows, "right") - 1
+                    for w, d, k in zip(windows.tolist(), docs.tolist(), found.tolist()):
+                        lo, hi = np.searchsorted(cell[edges[d] : edges[d + 1]], [w, w + 2]) + edges[d]
+                        if self.near(k, word[lo:hi], cosine) and (share := self.leak(k, word[lo:hi].tolist())):
+                            out.append((ids[d], k, share))
             yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
                                    pa.array([o[2] for o in out], pa.float64())], ["doc_id", "item", "share"])
 
