@@ -202,6 +202,22 @@ def test_examples_are_what_many_owners_hold(spark):
     assert texts[9] == "[SECRET] token=examplevalue" and texts[0] == "key: token=examplevalue"
 
 
+def test_examples_are_what_many_repositories_of_one_owner_hold(spark):
+    rows = [(k, f"file {k}: token=examplevalue", "big") for k in range(40)]  # different texts of one owner
+    rows += [(100 + k, "the same: token=mirrored99", "big") for k in range(40)]  # exact copies count once
+    rows += [(200 + k, f"file {k}: token=usedoften1", "big") for k in range(secrets.FEW_REPOSITORIES)]
+    rows += [(300, "token=examplevalue token=onlymine99", "small"), (None, "token=nameless99", None), (None, "x token=nameless99", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    scanned = secrets.scan(docs).where("doc_id IS NOT NULL").collect()
+    got = {r.doc_id: (r.n_live, r.n_example) for r in scanned}
+    assert got == {**{k: (0, 1) for k in range(40)}, **{k: (1, 0) for k in got if 100 <= k < 300}, 300: (1, 1)}
+    counts = {(j.n_repositories, j.n_owners, j.live) for r in scanned for j in r.judged}
+    assert counts == {(41, 2, False), (1, 1, True), (secrets.FEW_REPOSITORIES, 1, True)}
+    texts = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert texts[0] == "file 0: token=examplevalue" and texts[300] == "token=examplevalue [SECRET]"
+    assert texts[100] == "the same: [SECRET]" and texts[205] == "file 5: [SECRET]"
+
+
 def test_scans_of_awkward_rows(awkward, nothing):
     assert secrets.scan(awkward).count() == awkward.count() and secrets.scan(nothing).count() == 0
     clean = secrets.redacted(awkward)

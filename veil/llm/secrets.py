@@ -1,11 +1,13 @@
 """Secret scans: typed spans in texts, and what the whole corpus says about who owns each candidate.
 
-A candidate that more than ``FEW_OWNERS`` owners hold is a widely copied example; one that stays with few
-owners is taken for a live credential. Only hashes of candidates are counted and joined.
+A candidate that more than ``FEW_OWNERS`` owners or more than ``FEW_REPOSITORIES`` repositories hold is a widely
+copied example, so one spread over many documents of a single large owner is, too; one that stays with few of
+both is taken for a live credential. Only hashes of candidates and texts are counted and joined.
 
 Defined cases: null and empty texts have no spans; a null owner or repository counts as one of its own;
-repeated rows are scanned each on its own but count once towards owners and repositories; spans of different
-kinds may overlap, those of one kind never do.
+repeated rows are scanned each on its own but count once towards owners and repositories; repositories that
+hold a candidate in equal texts only are copies of one another and count as one; spans of different kinds may
+overlap, those of one kind never do.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ MORE = [
     Kind("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 ]
 KINDS = [*BASE, *MORE]
-FEW_OWNERS = 2
+FEW_OWNERS, FEW_REPOSITORIES = 2, 10
 BLOCK = 64
 SPAN = "array<struct<start:int,kind:int,end:int,candidate:string>>"
 
@@ -105,43 +107,52 @@ def named(found: Column, kinds: list[Kind] = KINDS) -> Column:
     return F.array_join(parts, ",")
 
 
-def ownership(hits: DataFrame, few: int = FEW_OWNERS) -> DataFrame:
-    """Per candidate: how many repositories and owners hold it, and whether it is an example or live."""
+def ownership(hits: DataFrame, few: int = FEW_OWNERS, few_repositories: int = FEW_REPOSITORIES) -> DataFrame:
+    """Per candidate: how many repositories and owners hold it, and whether it is an example or live.
+
+    A text that several repositories hold counts for the first of them.
+    """
     blank = F.lit("\x00")
-    names = [F.coalesce(F.col(c).cast("string"), blank).alias(c) for c in ("owner", "repository")]
-    once = hits.select("candidate", *names).distinct()
-    per_owner = once.groupBy("candidate", "owner").agg(F.count("*").alias("n"))
-    counted = per_owner.groupBy("candidate").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
-    return counted.withColumn("live", F.col("n_owners") <= few)
+    owner, repository = (F.coalesce(F.col(c).cast("string"), blank).alias("name") for c in ("owner", "repository"))
+    owners = hits.select("candidate", F.lit(True).alias("owns"), owner).distinct()
+    texts = hits.groupBy("candidate", "text").agg(F.min(repository).alias("name"))
+    repositories = texts.select("candidate", F.lit(False).alias("owns"), "name").distinct()
+    counted = owners.unionByName(repositories).groupBy("candidate").agg(
+        F.count_if(~F.col("owns")).alias("n_repositories"), F.count_if("owns").alias("n_owners")
+    )
+    return counted.withColumn("live", (F.col("n_owners") <= few) & (F.col("n_repositories") <= few_repositories))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id",
-         few: int = FEW_OWNERS) -> DataFrame:
-    """Per row: its spans, and how many of them are live credentials or copied examples by the whole corpus."""
+         few: int = FEW_OWNERS, few_repositories: int = FEW_REPOSITORIES) -> DataFrame:
+    """Per row: its spans, how many of them are live credentials or copied examples by the whole corpus, and in
+    ``judged`` each candidate with its repositories and owners."""
     rows = keep(
         docs.select(
             docs[doc_id].alias("doc_id"), docs[owner].alias("owner"), docs[repository].alias("repository"),
-            spans(docs[text]).alias("spans"), F.monotonically_increasing_id().alias("row"),
+            F.xxhash64(docs[text]).alias("text"), spans(docs[text]).alias("spans"), F.monotonically_increasing_id().alias("row"),
         ), "secret-spans",
     )
-    hits = rows.where(F.size("spans") > 0).select("row", "owner", "repository", F.explode("spans.candidate").alias("candidate"))
-    judged = hits.join(ownership(hits, few), "candidate", "left").groupBy("row").agg(
-        F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example")
+    hits = rows.where(F.size("spans") > 0).select("row", "owner", "repository", "text", F.explode("spans.candidate").alias("candidate"))
+    known = F.struct("candidate", "n_repositories", "n_owners", "live")
+    judged = hits.join(ownership(hits, few, few_repositories), "candidate", "left").groupBy("row").agg(
+        F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"), F.array_sort(F.collect_set(known)).alias("judged")
     )
     counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_live", "n_example")]
-    return rows.join(judged, "row", "left").select("doc_id", "spans", *counts)
+    return rows.join(judged, "row", "left").select("doc_id", "spans", *counts, F.coalesce("judged", F.array()).alias("judged"))
 
 
 def redacted(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", mark: str = "[SECRET]",
-             few: int = FEW_OWNERS) -> DataFrame:
+             few: int = FEW_OWNERS, few_repositories: int = FEW_REPOSITORIES) -> DataFrame:
     """``docs`` with live credentials replaced by ``mark``; copied examples stay. Columns are those of ``docs``."""
     key = F.xxhash64(docs[text], docs[repository], docs[owner])
     found = docs.select(
-        key.alias("row"), docs[owner].alias("owner"), docs[repository].alias("repository"), spans(docs[text]).alias("spans")
-    ).where(F.size("spans") > 0)
-    hits = keep(found.select("row", "owner", "repository", F.explode("spans").alias("span")), "secret-hits")
-    candidates = hits.select("owner", "repository", F.col("span.candidate").alias("candidate"))
-    live = hits.join(ownership(candidates, few).where("live"), F.col("span.candidate") == F.col("candidate"), "left_semi")
+        key.alias("row"), docs[owner].alias("owner"), docs[repository].alias("repository"), F.xxhash64(docs[text]).alias("text"),
+        spans(docs[text]).alias("spans"),
+    ).where(F.size("spans") > 0)
+    hits = keep(found.select("row", "owner", "repository", "text", F.explode("spans").alias("span")), "secret-hits")
+    candidates = hits.select("owner", "repository", "text", F.col("span.candidate").alias("candidate"))
+    live = hits.join(ownership(candidates, few, few_repositories).where("live"), F.col("span.candidate") == F.col("candidate"), "left_semi")
     marked = live.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("span.start", "span.end"))).alias("marked"))
     rows = docs.select(key.alias("row"), F.struct("*").alias("doc")).join(marked, "row", "left")
     new = F.when(F.col("marked").isNull(), F.col(f"doc.{text}")).otherwise(without(F.col(f"doc.{text}"), F.col("marked"), mark))
