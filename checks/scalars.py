@@ -171,7 +171,8 @@ by_type(
     ("entities",),
 )
 def request_filter(spark, sf):
-    kept = detect.request_filter(derived(spark, sf, "entities"), ["SSN", "EMAIL", "PHONE", "PERSON", "PASSPORT"])
+    types = ["SSN", "EMAIL", "PHONE", "PERSON", "PASSPORT"]
+    kept = detect.request_filter(derived(spark, sf, "entities"), types, min_confidence=0.8)
     high = dims.severity_single(F.col("pii_type")) == "high"
     return kept.groupBy("doc_id").agg(F.count("*").alias("total_items"), F.count_if(high).alias("high_severity_count"))
 
