@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import awkward_rows, words
 from veil.llm import leaks, minhash, ngrams, repeats
@@ -157,7 +158,7 @@ def plain_model(rows):
 
 def model_rows(docs):
     model = ngrams.train(docs.where(~ngrams.held_out(docs.doc_id)))
-    rows = ngrams.score(docs, model).withColumn("held", ngrams.held_out(docs.doc_id)).collect()
+    rows = ngrams.score(docs, model).withColumn("held", ngrams.held_out(F.col("doc_id"))).collect()
     return sorted(((r.doc_id or 0, r.held, r.n_tokens, r.n_known, model.tokens, r.base_score, r.score) for r in rows), key=lambda r: (r[0], r[2]))
 
 
