@@ -138,14 +138,16 @@ def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((sums[ends] - sums[starts]) * DOWN.upto(len(values) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
-def hash_words(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> tuple[np.ndarray, ...]:
+def hash_words(
+    data: np.ndarray, bounds: np.ndarray, lower: bool = False, gaps: np.ndarray = IS_SPACE
+) -> tuple[np.ndarray, ...]:
     """Hash, first byte and end of each word, and for each text the number of its first word.
 
-    Words are runs without ASCII white space; they never cross the ``bounds`` of texts. Long texts are
+    Words are runs without ``gaps`` (a flag per byte; ASCII white space unless given); they never cross the ``bounds`` of texts. Long texts are
     hashed in pieces cut at white space, so that memory does not grow with them.
     """
     n = len(data)
-    gap = IS_SPACE[data] if n else np.zeros(0, bool)
+    gap = gaps[data] if n else np.zeros(0, bool)
     inner = bounds[(bounds > 0) & (bounds < n)]
     begins, stops = ~gap, ~gap
     if n:

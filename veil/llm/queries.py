@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm import bpe, leaks, minhash, ngrams, quality, repeats, secrets, tokens, urls, warc
+from veil.llm import bpe, leaks, minhash, ngrams, quality, repeats, search, secrets, tokens, urls, warc
 from veil.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,23 @@ SELECT doc_id, len(s.g) AS n_shingles, coalesce(component_id, doc_id) AS compone
 FROM s LEFT JOIN k ON md5(CAST(list_sort(s.g) AS VARCHAR)) = k.c AND len(s.g) > 0 LEFT JOIN m USING (rep)""")
 def op10(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op12_ranked_search", r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+n AS (SELECT r, doc_id, len(w) AS n, w FROM d WHERE len(w) > 0),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM n) GROUP BY r, t),
+q AS (SELECT item_id, text, t, count(*) AS times FROM (SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(text,
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t,
+  unnest(range(length(text))) AS i FROM benchmark) WHERE t IS NOT NULL GROUP BY item_id, text, t),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+v AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM f, c),
+m AS (SELECT r, doc_id, 75 + (25 * n * docs) // terms AS m FROM n, c),
+s AS (SELECT item_id, q.text, m.r, any_value(doc_id) AS doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN v USING (t) JOIN p USING (t) JOIN m ON m.r = p.r GROUP BY item_id, q.text, m.r),
+k AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS FIRST) AS INT) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20""")
+def op12(spark, sf_dir):
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
