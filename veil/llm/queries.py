@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm import bpe, leaks, minhash, ngrams, quality, repeats, search, secrets, tokens, urls, warc
+from veil.llm import bpe, chat, leaks, minhash, ngrams, quality, repeats, search, secrets, tokens, urls, warc
 from veil.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,20 @@ k AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_i
 SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20""")
 def op12(spark, sf_dir):
     return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_chat_formatting", r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+  VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || chr(10) || text)) AS k FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(12 + length(role) + len(regexp_extract_all(role, '[\\\n<\[]')) + 1 + length(text)
+   + len(regexp_extract_all(text, '<\\*\|im_(?:start|end)\|>|<\\*/?s>|\[\\*/?INST\]')) + 11)::BIGINT AS formatted_chars
+FROM o GROUP BY conv_id""")
+def op13(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    text = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.digests(chat.formatted(turns.unionByName(own)))
