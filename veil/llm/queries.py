@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm import bpe, chat, leaks, minhash, ngrams, quality, repeats, search, secrets, tokens, urls, warc
+from veil.llm import bpe, chat, leaks, minhash, ngrams, quality, repair, repeats, search, secrets, tokens, urls, warc
 from veil.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,6 +173,58 @@ def op10(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+CRC_OF_KEYS = """crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(list_prepend(4294967295,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) % 20 AS fate FROM conversations, crc)"""
+
+
+@query("op11_conversation_repair", f"""
+WITH RECURSIVE {CRC_OF_KEYS},
+i AS (SELECT conv_id, row_number() OVER () AS g FROM (SELECT DISTINCT conv_id FROM conversations)),
+d AS (SELECT g, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+  CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy FROM h JOIN i ON h.conv_id IS NOT DISTINCT FROM i.conv_id WHERE fate <> 0),
+k AS MATERIALIZED (SELECT g, turn, role, text, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS bare,
+  row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, md5(role || chr(10) || text)) AS k FROM d),
+f AS MATERIALIZED (SELECT *, substr(role, 1, 1) AS r, lag(role) OVER (PARTITION BY g ORDER BY k) AS before, CASE WHEN bare = '' THEN 'blank'
+  WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY k) > 1 THEN 'duplicate'
+  WHEN suffix(bare, '.') OR suffix(bare, '!') OR suffix(bare, '?') THEN '' ELSE 'truncated' END AS fault FROM k),
+ins(s, c, e, t) AS (VALUES (0, 0, '', 0), (0, 5, 'I', 2), (0, 10, 'II', 3), (1, 0, '', 1), (1, 5, 'I', 2), (1, 10, 'II', 3),
+  (2, 0, '', 2), (2, 5, 'I', 3), (3, 0, '', 3), (3, 5, 'I', 2)),
+act(s, r, c, e, t) AS (VALUES (0, 's', 0, 'K', 1), (0, 'u', 0, 'K', 2), (1, 'u', 0, 'K', 2), (3, 'u', 0, 'K', 2), (2, 'a', 0, 'K', 3),
+  (0, NULL, 1, 'R', 2), (1, NULL, 1, 'R', 2), (2, NULL, 1, 'R', 3), (3, NULL, 1, 'R', 2),
+  (0, NULL, 2, 'D', 0), (1, NULL, 2, 'D', 1), (2, NULL, 2, 'D', 2), (3, NULL, 2, 'D', 3)),
+w(g, k, s, best) AS (SELECT DISTINCT g, 0::BIGINT, 0, struct_pack(c := 0, e := '') FROM f UNION ALL
+  SELECT w.g, f.k, act.t, min(struct_pack(c := w.best.c + ins.c + act.c + CASE WHEN fault = 'truncated' AND act.e <> 'D' THEN 5 ELSE 0 END,
+    e := w.best.e || ins.e || act.e)) FROM w JOIN ins ON ins.s = w.s JOIN f ON f.g = w.g AND f.k = w.k + 1
+  JOIN act ON act.s = ins.t AND (act.r IS NULL OR act.r = f.r) AND (act.e = 'D' OR fault NOT IN ('blank', 'duplicate')) GROUP BY w.g, f.k, act.t),
+n AS (SELECT g, max(k) AS n FROM f GROUP BY g),
+e AS (SELECT w.g, min(struct_pack(c := best.c + CASE w.s WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END,
+  e := best.e || CASE w.s WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END)) AS best FROM w JOIN n ON n.g = w.g AND n.n = w.k GROUP BY w.g),
+p AS (SELECT g, substr(a, j, 1) AS x, length(replace(substr(a, 1, j), 'I', '')) AS at, length(replace(substr(a, 1, j), 'D', '')) AS p
+  FROM (SELECT g, best.e AS a, unnest(range(1, length(best.e) + 1)) AS j FROM e)),
+q AS (SELECT p.g, p, x, role, CASE WHEN x = 'I' THEN '' ELSE text END AS text, max(CASE WHEN p = 1 AND x = 'K' AND r = 's' THEN 1 ELSE 0 END)
+  OVER (PARTITION BY p.g) AS led FROM p LEFT JOIN f ON f.g = p.g AND f.k = p.at WHERE x <> 'D'),
+o AS (SELECT g, string_agg(CASE WHEN x = 'K' THEN role WHEN (p - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS body
+  FROM q GROUP BY g),
+c AS (SELECT g, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (before IS NOT NULL AND substr(before, 1, 1) || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY g)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.e, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM i LEFT JOIN c USING (g) LEFT JOIN e USING (g) LEFT JOIN o USING (g)""")
+def op11(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    found = repair.digests(repair.repaired(repair.damaged(rows))).withColumnRenamed("conv_id", "found_id")
+    ids = rows.select("conv_id").distinct()
+    zero = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    return ids.join(found, ids.conv_id.eqNullSafe(found.found_id), "left").select(
+        "conv_id", *[F.coalesce(c, zero.get(c, F.lit(0))).alias(c) for c in (*repair.COUNTS, "audit", "repaired_sha256")]
+    )
+
+
 @query("op12_ranked_search", r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),

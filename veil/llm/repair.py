@@ -7,10 +7,10 @@ inserted anywhere (5); a truncated row that stays adds 5. Of equally cheap repai
 written as D, I, K and R in order, are least.
 
 ``cheapest`` searches depth first with an explicit stack. A node is a row number and what the roles so far
-allow next. The suffix bound of a node adds up what each row to come costs at least, and what the end still
-needs; a node whose cost and bound exceed the incumbent's is cut, as is one that reaches a row in the same
-state as an earlier prefix that was cheaper, or as cheap with smaller edits. The search ends when the stack is
-empty: the incumbent is proved best.
+allow next. The suffix bound of a node is what the rows from there on cost at least from its state, whatever
+the edits are; a node is cut if its cost and bound exceed the incumbent (cost, edits), or if its edits are
+greater at equal cost, or if an earlier prefix reached the same row and state no dearer and with no greater
+edits. The search ends when the stack is empty: the incumbent is proved best.
 
 Conversations mostly lie whole in one task. Those at the edges of partitions, or longer than a part, are
 solved in parts: first occurrences of equal rows are found by an aggregation, each part is solved for every
@@ -28,7 +28,6 @@ import hashlib
 import os
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +42,6 @@ STATES = range(4)
 ENDS = (START, ASSISTANT)
 AFTER = {(START, "s"): SYSTEM, (START, "u"): USER, (SYSTEM, "u"): USER, (ASSISTANT, "u"): USER, (USER, "a"): ASSISTANT}
 NEEDED = (USER, USER, ASSISTANT, USER)  # what a reroled or inserted row becomes
-TO_END = {ENDS: (0, 2 * INSERT, INSERT, 0)}
-SOUND, TRUNCATED, LOST = "sound", "truncated", "lost"
 LEGAL = {"su", "ua", "au"}
 CACHED = 50_000
 UNREACHED = 1 << 60
@@ -68,60 +65,64 @@ def symbols(roles: list[str], found: list[str]) -> str:
     return "".join(out)
 
 
-def least_of(symbol: str) -> int:
-    """What a row costs at least, whatever stands around it."""
-    return {"x": DELETE, "o": min(REROLE, DELETE)}.get(symbol, KEEP if symbol.islower() else min(DELETE, STAYS_TRUNCATED))
+def moves_of(row: str, state: int) -> list[tuple[int, str, int]]:
+    """What may be done with a row in a state: price, edit and the state after it."""
+    moves = [(DELETE, "D", state)]
+    if row != "x":
+        more = STAYS_TRUNCATED if row.isupper() else 0
+        kept = AFTER.get((state, row.lower()))
+        if kept is not None:
+            moves.append((KEEP + more, "K", kept))
+        moves.append((REROLE + more, "R", NEEDED[state]))
+    return moves
 
 
-def to_end(ends: tuple[int, ...]) -> list[int]:
-    """What insertions alone cost from each state to one of ``ends``."""
-    cost = [0 if s in ends else UNREACHED for s in STATES]
-    for _ in STATES:
+MOVES = {(row, state): moves_of(row, state) for row in "xsuaoSUAO" for state in STATES}
+
+
+def with_insertions(cost: list[int]) -> list[int]:
+    """Costs to go from each state, if rows may be inserted first; after two insertions states come again."""
+    for _ in range(2):
         cost = [min(cost[s], INSERT + cost[NEEDED[s]]) for s in STATES]
     return cost
 
 
+def suffix_bounds(rows: str, ends: tuple[int, ...]) -> list[list[int]]:
+    """For each row and state a cost that no repair of the rows from there on can fall below; edits are ignored."""
+    bounds = [with_insertions([0 if s in ends else UNREACHED for s in STATES])]
+    for row in reversed(rows):
+        after = bounds[-1]
+        bounds.append(with_insertions([min(price + after[then] for price, _, then in MOVES[row, s]) for s in STATES]))
+    return bounds[::-1]
+
+
 def cheapest(rows: str, start: int = START, ends: tuple[int, ...] = ENDS) -> tuple[int, str] | None:
-    """Least (cost, edits) that lead from ``start`` over all rows to one of ``ends``."""
-    n, last = len(rows), to_end(ends)
-    bound = [0] * (n + 1)
-    for k in range(n - 1, -1, -1):
-        bound[k] = bound[k + 1] + least_of(rows[k])
-    best: tuple[int, str] = (UNREACHED, "")
-    reached: list[list[tuple[int, str] | None]] = [[None] * 4 for _ in range(n + 1)]
+    """Least (cost, edits) that lead from ``start`` over all rows to one of ``ends``; None where nothing does."""
+    n, bound = len(rows), suffix_bounds(rows, ends)
+    best: tuple[int, str] | None = None
+    reached: dict[tuple[int, int], tuple[int, str]] = {}
     stack = [(0, start, 0, "")]
     while stack:
         at, state, cost, edits = stack.pop()
-        if cost + bound[at] > best[0] or (cost + bound[at] == best[0] and edits > best[1]):
+        least = cost + bound[at][state]
+        if least >= UNREACHED or (best is not None and (least > best[0] or (least == best[0] and edits > best[1]))):
             continue
-        known = reached[at][state]
+        known = reached.get((at, state))
         if known is not None and known <= (cost, edits):
             continue
-        reached[at][state] = (cost, edits)
-        needed = NEEDED[state]
-        if at == n:
-            if state in ends:
-                best = min(best, (cost, edits))
-            else:
-                if cost + last[state] <= best[0]:
-                    stack.append((at, needed, cost + INSERT, edits + "I"))
-                continue
-        moves = []
+        reached[at, state] = (cost, edits)
+        if at == n and state in ends:
+            best = (cost, edits)  # what is worse was cut above
+            continue
+        moves = [(INSERT, "I", NEEDED[state], at)]
         if at < n:
-            row = rows[at]
-            moves.append((DELETE, "D", at + 1, state))
-            if row != "x":
-                more = STAYS_TRUNCATED if row.isupper() else 0
-                kept = AFTER.get((state, row.lower()))
-                if kept is not None:
-                    moves.append((KEEP + more, "K", at + 1, kept))
-                moves.append((REROLE + more, "R", at + 1, needed))
-        moves.append((INSERT, "I", at, needed))
+            moves += [(price, edit, then, at + 1) for price, edit, then in MOVES[rows[at], state]]
         # the most promising is searched first: it lies on top of the stack
-        moves.sort(key=lambda m: (m[0] + bound[m[2]], m[1]), reverse=True)
-        for price, edit, to, then in moves:
-            stack.append((to, then, cost + price, edits + edit))
-    return best if best[0] < UNREACHED else None
+        moves.sort(key=lambda m: (m[0] + bound[m[3]][m[2]], m[1]), reverse=True)
+        for price, edit, then, to in moves:
+            if best is None or cost + price + bound[to][then] <= best[0]:
+                stack.append((to, then, cost + price, edits + edit))
+    return best
 
 
 class Solver:
@@ -303,6 +304,18 @@ def chained(pieces: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, CHOSEN)
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """``rows`` with one in twenty each dropped, emptied, stripped of sentence ends, repeated, or given to the user."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    text, role = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("text", "role"))
+    fated = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(key.cast("binary")) % 20).alias("fate"))
+    text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    return fated.where("fate <> 0").select(
+        "conv_id", "turn", F.when(F.col("fate") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        F.explode(F.array_repeat(F.lit(1), F.when(F.col("fate") == 3, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+
+
 REPAIRED = PART.replace(", turns array<bigint>", "")
 
 

@@ -2,7 +2,7 @@
 
 Rows are dealt by ranges of (conversation, turn, text digest) and sorted inside a partition, so a conversation
 with a third of all rows lies in many partitions. ``gathered`` hands a task's rows out by conversations; one
-that may go on in another partition, or is larger than ``PART_BYTES``, comes in parts that are not ``whole``.
+that may go on in another partition, or reaches ``PART_BYTES`` or ``PART_ROWS``, comes in parts that are not ``whole``.
 
 Rows of one turn go by the MD5 of role, newline and text: equal rows are neighbours. Null turns come first.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from veil.llm.common import slices
 
-PART_BYTES = 1 << 20
+PART_BYTES, PART_ROWS = 1 << 20, 1 << 10
 NEVER = object()
 
 
@@ -73,7 +73,7 @@ def gathered(batches: Iterator[pa.RecordBatch], limit: int = PART_BYTES) -> Iter
                 yield part(held.slice(0, edges[-2]), edges[:-1], False)
                 count += len(edges) - 2
                 held, cut = held.slice(edges[-2]), NEVER if held.column("conv_id")[int(edges[-2])].as_py() != cut else cut
-            if held.num_rows and (pc.sum(pc.binary_length(held.column("text"))).as_py() or 0) >= limit:
+            if held.num_rows >= PART_ROWS or (pc.sum(pc.binary_length(held.column("text"))).as_py() or 0) >= limit:
                 yield part(held, np.array([0, held.num_rows]), True)
                 count, cut, held = count + 1, held.column("conv_id")[0].as_py(), None
     if held is not None and held.num_rows:
