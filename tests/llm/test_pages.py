@@ -56,6 +56,27 @@ def test_both_versions_by_their_declared_lengths():
             assert second["truncated"]
 
 
+def test_malformed_archives_lose_only_what_is_broken(spark):
+    good = b"http://h/p 1.2.3.4 20010203040506 text/html 2\nhi\n"
+    starts = [b"filedesc://x\n", b"filedesc://x 0 0 text/plain 3\nx y\n", b"filedesc://x 0 0 text/plain 2\n3 \n", b"filedesc://x 0 0 t \xb2\n", b"\n\n",
+              b"http://h/q 1.2.3.4 2001 text/html \xb2\n", b"filedesc://x 0 0 text/plain 999999999999999999999\n"]
+    for start in starts:
+        assert [r["payload"] for r in warc.arc_rows("a", start + good)] == [b"hi"], start
+    short = b"http://h/p 1.2.3.4 20010203040506 text/html 12\nHTTP/1.1\r\n\r\n\n"
+    assert [r["status"] for r in warc.arc_rows("a", short + good)] == [None, None]
+    packed = gzip.compress(good)
+    assert len(list(warc.arc_rows("a", packed + packed[:10] + b"\xff" * 20))) == 1 and list(warc.arc_rows("a", b"")) == []
+    whole = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Date: x\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    lacking = [whole.replace(line, b"") for line in (b"WARC-Type: resource\r\n", b"WARC-Record-ID: <urn:uuid:1>\r\n", b"Content-Length: 2\r\n", b"WARC-Date: x\r\n")]
+    odd = whole.replace(b"WARC-Date", b"X-Page-Id: y\r\nWARC-Date")
+    for content in (b"".join([*lacking, odd]), gzip.compress(b"".join([*lacking, odd]))):
+        (row,) = warc.warc_rows(content, True)
+        assert (row["payload"], row["page_id"]) == (b"hi", None)
+    assert len(list(warc.warc_rows(gzip.compress(whole) + gzip.compress(whole)[:30], True))) == 1
+    bad = spark.createDataFrame([("a", bytearray(s + good)) for s in starts], warc.ARCHIVES)
+    assert warc.parse_arc(bad).count() == len(starts)
+
+
 def test_short_and_broken_dates():
     assert warc.w3c("199901") == "1999-01-01T00:00:00Z" and warc.w3c("x") == "1970-01-01T00:00:00Z"
 

@@ -8,7 +8,10 @@ commit the files, so a lost executor leaves no half archive behind.
 Defined cases: a null payload is empty; a null url becomes ``urn:page:<id>``; white space inside a url is
 percent-encoded; a null id stays null and ranks below all others; rows repeated with the same id and payload
 are all ``response``; a record shorter than declared is kept and marked ``truncated``; a line that is no
-header is skipped up to the next line.
+header is skipped up to the next line, and so is a version block without a length; one that names no known
+version leaves the version as it was; a WARC record without length, type, identifier or date is skipped;
+numbers that can't be read are null; of a damaged gzip file, what comes before the damage (in ARC, before the
+damaged member) is read.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import hashlib
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,6 +40,9 @@ V1_FIELDS = ["URL", "IP-address", "Archive-date", "Content-type", "Archive-lengt
 V2_FIELDS = [*V1_FIELDS[:4], "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"]
 FIELDS = {1: V1_FIELDS, 2: V2_FIELDS}
 
+REQUIRED = {"warc-type", "warc-record-id", "warc-date"}
+SIGNED = r"-?[0-9]{1,18}"
+
 ARCHIVES = "path string, content binary"
 ARC_RECORDS = pa.schema([
     ("archive", pa.string()), ("version", pa.int32()), ("offset", pa.int64()), ("url", pa.string()),
@@ -118,34 +125,56 @@ def http_parts(block: bytes) -> tuple[bytes, bytes, dict[str, str]]:
     return head + b"\r\n\r\n", payload, {k.strip().lower(): v.strip() for k, _, v in pairs}
 
 
+def number_of(text: str | bytes | None, pattern: str = r"[0-9]{1,18}") -> int | None:
+    text = text.decode("latin-1") if isinstance(text, bytes) else text
+    return int(text) if text is not None and re.fullmatch(pattern, text) else None
+
+
+def unpacked(content: bytes) -> bytes:
+    """The bytes of all gzip members, up to the first one that is damaged; other content as it is."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    parts = []
+    while content[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            parts.append(member.decompress(content))
+        except zlib.error:
+            break
+        content = member.unused_data
+    return b"".join(parts)
+
+
 def arc_rows(archive: str, content: bytes) -> Iterator[dict]:
     """Records of one archive; the version block at its start says how many fields a header line has."""
-    data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+    data = unpacked(content)
     version, at = 1, 0
     while at < len(data):
         stop = data.find(b"\n", at)
         stop = len(data) if stop < 0 else stop
         line, begin = data[at:stop], stop + 1
         if line.startswith(b"filedesc://"):
-            length = int(line.rsplit(b" ", 1)[1])
-            version = int(data[begin : begin + length].split(b" ", 1)[0])
-            at = begin + length
+            length = number_of(line.rstrip(b"\r").rsplit(b" ", 1)[-1])
+            if length is not None:
+                named = number_of(data[begin : begin + length].split(b" ", 1)[0])
+                version = named if named in FIELDS else version
+            at = begin + (length or 0)
             continue
         cells = line.decode("utf-8", "replace").rsplit(" ", len(FIELDS[version]) - 1)
-        if len(cells) != len(FIELDS[version]) or not cells[-1].isdigit():
+        length = number_of(cells[-1])
+        if len(cells) != len(FIELDS[version]) or length is None:
             at = begin
             continue
         field = dict(zip(FIELDS[version], cells))
-        length = int(field["Archive-length"])
         block = data[begin : begin + length]
         head, payload, http = http_parts(block)
         own = digest(payload)
-        number = http.get("x-page-id", "")
+        number, status = http.get("x-page-id", ""), head.split(b"\r\n", 1)[0].split(b" ")[1:2]
         yield {
             "archive": archive, "version": version, "offset": at, "url": field["URL"], "ip": field["IP-address"],
             "date": w3c(field["Archive-date"]), "mime": field["Content-type"],
-            "status": field.get("Result-code") or (head.split(b" ", 2)[1].decode() if head else None),
-            "truncated": len(block) < length, "page_id": int(number) if re.fullmatch(r"-?\d+", number) else None,
+            "status": field.get("Result-code") or (status[0].decode("utf-8", "replace") if status else None),
+            "truncated": len(block) < length, "page_id": number_of(number, SIGNED),
             "record_id": str(uuid.uuid5(uuid.NAMESPACE_URL, f"{field['URL']} {field['Archive-date']} {number} {own}")),
             "http_head": head, "payload_digest": own, "payload_bytes": len(payload), "payload": payload,
         }
@@ -155,7 +184,7 @@ def arc_rows(archive: str, content: bytes) -> Iterator[dict]:
 def w3c(date: str) -> str:
     """``YYYYMMDDhhmmss``, or a beginning of it, as a W3C timestamp; anything else as the epoch."""
     whole = date + "00000101000000"[len(date) :]
-    if not re.fullmatch(r"\d{14}", whole) or len(date) < 4:
+    if not re.fullmatch(r"[0-9]{14}", whole) or len(date) < 4:
         return "1970-01-01T00:00:00Z"
     return f"{whole[:4]}-{whole[4:6]}-{whole[6:8]}T{whole[8:10]}:{whole[10:12]}:{whole[12:]}Z"
 
@@ -251,8 +280,15 @@ def write_warc(records: DataFrame, path: str) -> None:
 
 
 def warc_rows(content: bytes, payloads: bool) -> Iterator[dict]:
-    raw = io.BytesIO(content)
-    source = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2] == b"\x1f\x8b" else raw
+    packed = content[:2] == b"\x1f\x8b"
+    source = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content))) if packed else io.BytesIO(content)
+    try:
+        yield from records_of(source, payloads)
+    except (EOFError, gzip.BadGzipFile, zlib.error):
+        return  # what comes before the damage is read
+
+
+def records_of(source: io.BufferedIOBase, payloads: bool) -> Iterator[dict]:
     while line := source.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -260,16 +296,21 @@ def warc_rows(content: bytes, payloads: bool) -> Iterator[dict]:
         while (line := source.readline().rstrip(b"\r\n")):
             name, _, value = line.decode("utf-8", "replace").partition(":")
             named[name.lower()] = value.strip()
-        _, payload, http = http_parts(source.read(int(named["content-length"])))
-        number = {k: int(named[k]) if k in named else None for k in ("x-page-id", "x-refers-to-page-id")}
+        length = number_of(named.get("content-length"))
+        if length is None:
+            continue
+        _, payload, http = http_parts(source.read(length))
+        if not REQUIRED <= named.keys():
+            continue
+        number = {k: number_of(named.get(k), SIGNED) for k in ("x-page-id", "x-refers-to-page-id")}
         declared = named.get("warc-payload-digest", "").removeprefix("sha1:")
-        again = named["warc-type"] == "revisit"
+        again, size = named["warc-type"] == "revisit", number_of(http.get("content-length"))
         yield {
             "record_id": named["warc-record-id"][10:-1], "record_type": named["warc-type"],
             "url": named.get("warc-target-uri"), "date": named["warc-date"], "page_id": number["x-page-id"],
             "refers_to": number["x-refers-to-page-id"], "declared_digest": declared,
             "payload_digest": declared if again else digest(payload),
-            "payload_bytes": int(http["content-length"]) if again and "content-length" in http else len(payload),
+            "payload_bytes": len(payload) if not again or size is None else size,
             "payload": payload if payloads else None,
         }
 
