@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from veil.llm.common import SPACES
+from veil.llm.common import SPACES, keep
 
 LABELLED_ROWS = 5000  # rules are fitted on this many labelled rows at most, drawn by hash
 STATS = (
@@ -168,7 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, doc_id: s
     named = labels.where(labels[label].isNotNull() & labels["doc_id"].isNotNull())
     drawn = named.groupBy("doc_id").agg(F.min(label).alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
-    joined = texts.join(F.broadcast(drawn), "doc_id")  # at most ``rows`` pairs of numbers
+    # at most ``rows`` pairs of numbers; written, so that no filter on statistics moves below the join
+    joined = keep(texts.join(F.broadcast(drawn), "doc_id"), "labelled-texts")
     counted = joined.select("doc_id", "good", stats("text").alias("s")).where(~base_failed(F.col("s")))
     seen = counted.select("doc_id", "good", *[c.alias(n) for n, c in features(F.col("s")).items()])
     table = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toPandas()
