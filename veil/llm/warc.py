@@ -281,7 +281,7 @@ def write_warc(records: DataFrame, path: str) -> None:
 
 def warc_rows(content: bytes, payloads: bool) -> Iterator[dict]:
     packed = content[:2] == b"\x1f\x8b"
-    source = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content))) if packed else io.BytesIO(content)
+    source = gzip.GzipFile(fileobj=io.BytesIO(content)) if packed else io.BytesIO(content)
     try:
         yield from records_of(source, payloads)
     except (EOFError, gzip.BadGzipFile, zlib.error):
