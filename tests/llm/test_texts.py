@@ -202,6 +202,17 @@ def test_examples_are_what_many_owners_hold(spark):
     assert texts[9] == "[SECRET] token=examplevalue" and texts[0] == "key: token=examplevalue"
 
 
+def test_private_keys_are_masked_whole_and_told_apart_by_their_bodies(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{}\n-----END RSA PRIVATE KEY-----"
+    rows = [(k, f"a {key.format('MIIB' + 'GHIJ'[k] * 900)} z", f"o{k}") for k in range(4)]
+    rows += [(10 + k, f"{k} {key.format('MIIBshared')}", f"o{k}") for k in range(4)] + [(20, "-----BEGIN PRIVATE KEY-----\n" * 300, "o9")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: (r.n_live, r.n_example) for r in secrets.scan(docs).collect()}
+    assert got == {**{k: (1, 0) for k in range(4)}, **{10 + k: (0, 1) for k in range(4)}, 20: (300, 0)}
+    texts = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert all(texts[k] == "a [SECRET] z" and texts[10 + k] == rows[4 + k][1] for k in range(4))
+
+
 def test_examples_are_what_many_repositories_of_one_owner_hold(spark):
     rows = [(k, f"file {k}: token=examplevalue", "big") for k in range(40)]  # different texts of one owner
     rows += [(100 + k, "the same: token=mirrored99", "big") for k in range(40)]  # exact copies count once

@@ -91,24 +91,29 @@ def secret_sql() -> str:
     parts, columns = [], []
     for number, kind in enumerate(secrets.KINDS):
         pattern = "'" + kind.pattern.replace("'", "''") + "'"
-        parts.append(f"""SELECT doc_id, source, {number} AS k, '{kind.name}' AS kind, i,
+        parts.append(f"""SELECT doc_id, source, text, {number} AS k, '{kind.name}' AS kind, i,
   CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS s,
-  length(m[i]) AS size, v[i] AS v FROM (SELECT doc_id, source, m, v, g, unnest(range(1, len(m) + 1)) AS i FROM (
-  SELECT doc_id, source, regexp_extract_all(text, {pattern}) AS m, regexp_extract_all(text, {pattern}, {kind.value}) AS v,
+  length(m[i]) AS size, v[i] AS v FROM (SELECT doc_id, source, text, m, v, g, unnest(range(1, len(m) + 1)) AS i FROM (
+  SELECT doc_id, source, text, regexp_extract_all(text, {pattern}) AS m, regexp_extract_all(text, {pattern}, {kind.value}) AS v,
   string_split_regex(text, {pattern}) AS g FROM d)) WHERE length(v[i]) >= {kind.least}""")
     for kind in secrets.BASE:
         columns.append(f"count(*) FILTER (kind = '{kind.name}') AS n_{kind.name}")
     return f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 s AS ({' UNION ALL '.join(parts)}),
-o AS (SELECT v, count(DISTINCT source) AS owners FROM s GROUP BY v),
-t AS (SELECT s.*, owners <= {secrets.FEW_OWNERS} AS live FROM s JOIN o USING (v)),
+u AS (SELECT v, md5(text) AS copy, min(doc_id::VARCHAR) AS repository FROM s GROUP BY v, copy),
+n AS (SELECT v, count(DISTINCT repository) AS repositories FROM u GROUP BY v),
+o AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS owners FROM s GROUP BY v),
+t AS (SELECT s.*, owners, repositories, owners <= {secrets.FEW_OWNERS} AND repositories <= {secrets.FEW_REPOSITORIES} AS live
+  FROM s JOIN o USING (v) JOIN n USING (v)),
 r AS (SELECT doc_id, {', '.join(columns)},
   string_agg(kind || ':' || s || ':' || (s + size), ',' ORDER BY s, k) FILTER (k < {len(secrets.BASE)}) AS base,
   string_agg(kind || ':' || s || ':' || (s + size), ',' ORDER BY s, k) AS spans,
-  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM t GROUP BY doc_id)
+  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example, max(owners) AS owners, max(repositories) AS repositories
+  FROM t GROUP BY doc_id)
 SELECT d.doc_id, {', '.join(f'coalesce(n_{k.name}, 0) AS n_{k.name}' for k in secrets.BASE)},
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
-  coalesce(n_example, 0) AS n_example FROM d LEFT JOIN r USING (doc_id)"""
+  coalesce(n_example, 0) AS n_example, coalesce(owners, 0) AS n_owners, coalesce(repositories, 0) AS n_repositories
+  FROM d LEFT JOIN r USING (doc_id)"""
 
 
 @query("op6_secret_scans", secret_sql())
@@ -122,6 +127,7 @@ def op6(spark, sf_dir):
     return rows.select(
         "doc_id", *counts, F.sha2(secrets.named(base), 256).alias("base_sha256"),
         secrets.named(F.col("spans")).alias("spans"), "n_live", "n_example",
+        *[F.coalesce(F.array_max(F.col(f"judged.{n}")), F.lit(0)).cast("bigint").alias(n) for n in ("n_owners", "n_repositories")],
     )
 
 

@@ -45,7 +45,8 @@ MORE = [
     Kind("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Kind("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Kind("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
-    Kind("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # up to the end line, whose absence leaves the first line alone; single dashes may stand in the header fields
+    Kind("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,9}-----END [A-Z ]*PRIVATE KEY-----)?"),
 ]
 KINDS = [*BASE, *MORE]
 FEW_OWNERS, FEW_REPOSITORIES = 2, 10
