@@ -311,15 +311,70 @@ def replica(spark, sf):
     return listed(jobs.replica(renamed(spark, sf)))
 
 
-@query("synth_table")
-def synth_table(spark, sf):
-    """Customers and orders of the same shape, drawn by hash; orders point to existing customers.
+SHAPE_OF = {
+    "customer": ("c_custkey", ["c_acctbal"], ["c_name", "c_mktsegment"]),
+    "orders": ("o_orderkey", ["o_totalprice"], ["o_orderstatus", "o_orderpriority"]),
+}
+UNIT = "1099511627776"  # 2^40
+
+
+def bits_sql(row: str, column: str, start: int = 1) -> str:
+    return f"CAST('0x' || substr(sha256('twin' || {quote(column + ':')} || CAST({row} AS VARCHAR)), {start}, 10) AS BIGINT)"
+
+
+def shares_sql(source: str, column: str) -> str:
+    counts = f"SELECT v, n, sum(n) OVER (ORDER BY sha256(coalesce('=' || CAST(v AS VARCHAR), ''))) AS until, sum(n) OVER () AS total FROM (SELECT {column} AS v, count(*) AS n FROM {source} GROUP BY 1)"
+    end = f"CAST(floor(CAST({{}} AS DOUBLE) / CAST(total AS DOUBLE) * {UNIT}) AS BIGINT)"
+    return f"(SELECT v, {end.format('(until - n)')} AS lo, {end.format('until')} AS hi FROM ({counts}))"
+
+
+def cuts_sql(source: str, column: str) -> str:
+    ranks = f"SELECT {column} AS v, row_number() OVER (ORDER BY {column}) - 1 AS r, count(*) OVER () AS n FROM {source} WHERE {column} IS NOT NULL"
+    points = f"SELECT i, v FROM ({ranks}) q, generate_series(0, 100) u(i) WHERE r = (i * (n - 1)) // 100"
+    return f"(SELECT i AS slot, v AS low, lead(v) OVER (ORDER BY i) AS high FROM ({points}))"
+
 
-    Percentiles are approximate, so there is no SQL form; tests bound the drift and check the keys.
-    """
+def drawn_sql(rows: str, key: str, parent: str, source: str) -> str:
+    """Rows with the columns of the table drawn; every draw meets its interval."""
+    _, numbers, categories = SHAPE_OF[source]
+    joins, shown = [], []
+    for c in numbers:
+        x = f"{bits_sql(key, c)} * 100"
+        joins.append(f"LEFT JOIN {cuts_sql(source, c)} AS t_{c} ON t_{c}.slot = ({x}) >> 40")
+        shown.append(f"t_{c}.low + (t_{c}.high - t_{c}.low) * (CAST(({x}) & ({UNIT} - 1) AS DOUBLE) / {UNIT}) AS amount")
+    for i, c in enumerate(categories):
+        joins.append(f"LEFT JOIN {shares_sql(source, c)} AS t_{c} ON x_{c} >= t_{c}.lo AND x_{c} < t_{c}.hi")
+        shown.append(f"t_{c}.v AS category{i + 1}")
+    draws = ", ".join(f"{bits_sql(key, c)} AS x_{c}" for c in categories)
+    return f"SELECT '{source}' AS tab, {key} AS row_key, {parent} AS parent_key, {', '.join(shown)} FROM (SELECT *, {draws} FROM {rows}) AS r {' '.join(joins)}"
+
+
+FANS = "(SELECT CAST(count(o_orderkey) AS BIGINT) AS fan_out FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey)"
+
+
+@query(
+    "synth_table",
+    f"""WITH people AS (SELECT CAST(i AS BIGINT) AS c_custkey, {bits_sql('i', 'fan_out')} AS x FROM range((SELECT count(*) FROM customer)) u(i)),
+    counted AS (SELECT c_custkey, f.v AS n, CAST(sum(f.v) OVER (ORDER BY c_custkey) AS BIGINT) AS until FROM people JOIN {shares_sql(FANS, 'fan_out')} f ON x >= f.lo AND x < f.hi),
+    bought AS (SELECT CAST(k AS BIGINT) AS o_orderkey, c_custkey AS o_custkey FROM counted, unnest(range(until - n, until)) u(k))
+    {drawn_sql('people', 'c_custkey', 'CAST(NULL AS BIGINT)', 'customer')} UNION ALL
+    {drawn_sql('bought', 'o_orderkey', 'o_custkey', 'orders')}""",
+)
+def synth_table(spark, sf):
+    """As many customers as given, and orders for them as the given ones have: shares, cut points and fan-out kept."""
     from veil.operators import mimic
 
-    customers, orders = table(spark, sf, "customer"), table(spark, sf, "orders")
-    shape = mimic.profile(orders, ["o_totalprice"], ["o_orderstatus", "o_orderpriority"])
-    parents = mimic.profile(customers, ["c_acctbal"], ["c_mktsegment"])["rows"]
-    return mimic.synth_table(spark, shape, shape["rows"], "o_orderkey", {"o_custkey": parents})
+    given = {t: table(spark, sf, t) for t in SHAPE_OF}
+    fan = mimic.fan_out(given["customer"], "c_custkey", given["orders"], "o_custkey")
+    people = spark.range(given["customer"].count()).withColumnRenamed("id", "c_custkey")
+    bought = mimic.synth_children(people, "c_custkey", fan, "o_orderkey", "o_custkey", "twin")
+    out = None
+    for (name, (key, numbers, categories)), rows in zip(SHAPE_OF.items(), (people, bought)):
+        made = mimic.synth_table(rows, key, mimic.profile(given[name], numbers, categories), "twin")
+        parent = F.col("o_custkey") if name == "orders" else F.lit(None).cast("bigint")
+        shown = made.select(
+            F.lit(name).alias("tab"), F.col(key).alias("row_key"), parent.alias("parent_key"), F.col(numbers[0]).alias("amount"),
+            *[F.col(c).alias(f"category{i + 1}") for i, c in enumerate(categories)],
+        )
+        out = shown if out is None else out.unionByName(shown)
+    return out

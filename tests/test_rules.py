@@ -269,11 +269,54 @@ def test_perturbed_numbers_keep_format(spark):
 
 
 def test_synthetic_table_shape(spark):
-    df = spark.range(5000).selectExpr("id", "CAST(id AS DOUBLE) AS x", "IF(id % 4 = 0, 'it''s', 'b') AS c")
-    shape = mimic.profile(df, ["x"], ["c"])
-    out = mimic.synth_table(spark, shape, 5000, "k", {"parent": 10})
-    row = out.selectExpr("avg(x) m", "avg(IF(c = 'it''s', 1, 0)) s", "min(parent) lo", "max(parent) hi", "count(DISTINCT k) n").first()
-    assert abs(row.m - 2500) < 100 and abs(row.s - 0.25) < 0.03 and row.lo == 0 and row.hi == 9 and row.n == 5000
+    df = spark.range(5000).selectExpr(
+        "id", "IF(id % 5 = 0, NULL, CAST(id AS DOUBLE)) AS x", "IF(id % 4 = 0, 'it''s', 'b') AS c", "id AS many", "IF(id % 2 = 0, NULL, DATE'2020-01-01') AS d"
+    )
+    shape = mimic.profile(df, ["x"], ["c", "many", "d"])
+    out = mimic.synth_table(spark.range(5000), "id", shape)
+    assert dict(out.dtypes) == {"id": "bigint", "x": "double", "c": "string", "many": "bigint", "d": "date"}
+    row = out.selectExpr(
+        "count(*) n", "avg(x) m", "count(x) known", "avg(IF(c = 'it''s', 1, 0)) s", "count(DISTINCT many) v", "count(many) all", "count(d) dated"
+    ).first()
+    assert row.n == row.all == 5000 and abs(row.m - 2500) < 100 and abs(row.s - 0.25) < 0.03
+    assert abs(row.known - 4000) < 150 and abs(row.dated - 2500) < 150
+    assert 3000 < row.v < 3320  # distinct values of 5000 even draws out of 5000: 63.2 %
+
+
+def test_interval_shares_tile_the_range(spark):
+    """Every draw has one interval, also where one value has most rows and 3000 have one each."""
+    df = spark.range(30000).selectExpr("IF(id < 27000, 'hot', CAST(id AS STRING)) AS c")
+    shares, shifts = mimic.interval_shares(df, ["c"])
+    rows = sorted({(r.lo, r.hi) for r in shares.collect()})
+    assert rows[0][0] == 0 and rows[-1][1] == 1 << 40 and all(a[1] == b[0] for a, b in zip(rows, rows[1:]))
+    blocks = 1 << (40 - shifts["c"])
+    assert 3001 <= blocks <= 2 * 3001 and shares.count() <= 3001 + blocks
+
+
+def test_children_keep_the_fan_out(spark):
+    parents = spark.range(1000).withColumnRenamed("id", "p")
+    kids = spark.range(20000).selectExpr("IF(id < 15000, 7, id % 500) AS q")  # one parent has three in four
+    fan = mimic.fan_out(parents, "p", kids, "q")
+    made = mimic.synth_children(parents, "p", fan, "k", "q").cache()
+    keys = [r.k for r in made.orderBy("k").collect()]
+    assert keys == list(range(len(keys)))
+    sizes = {r["count"] for r in made.groupBy("q").count().collect()}
+    assert sizes <= {10, 15010} and made.join(parents, made.q == parents.p, "left_anti").isEmpty()
+
+
+def test_long_ranges_are_dealt(spark):
+    df = spark.createDataFrame([("a", 3, 40), ("b", 5, 4), ("c", 1, 1)], "v string, f bigint, l bigint")
+    got = sorted((r.v, r.k) for r in mimic.spread(df, "f", "l", "k", step=7).collect())
+    assert got == [("a", k) for k in range(3, 41)] + [("c", 1)]
+
+
+def test_shape_of_nothing(spark):
+    empty = spark.range(0).selectExpr("CAST(id AS DOUBLE) AS x", "CAST(id AS STRING) AS c")
+    out = mimic.synth_table(spark.range(3), "id", mimic.profile(empty, ["x"], ["c"]))
+    assert sorted(map(tuple, out.collect())) == [(0, None, None), (1, None, None), (2, None, None)]
+    one = spark.createDataFrame([(2.5, None)], "x double, c string")
+    out = mimic.synth_table(spark.range(3), "id", mimic.profile(one, ["x"], ["c"]))
+    assert sorted(map(tuple, out.collect())) == [(0, 2.5, None), (1, 2.5, None), (2, 2.5, None)]
 
 
 def test_unknown_user_gets_zeros(spark):
