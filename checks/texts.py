@@ -74,9 +74,21 @@ def chunk_overlap(spark, sf):
     return c.select("doc_id", "chunk_idx", F.sha2("chunk", 256).alias("chunk_sha"))
 
 
-@query("chunk_separators")
+# the cut behind the last separator of a window's second half, by a greedy match
+LAST_CUT = "coalesce(" + ", ".join(
+    f"nullif(length(regexp_extract(w, '(?s)^.*{sep}', 0)), 0)" for sep in (r"\n\n", r"\n", r"\. ", "! ", r"\? ", "; ", ", ", " ")
+) + ", 1000)"
+WINDOWS = f"""WITH RECURSIVE cuts AS (
+    SELECT doc_id, 0 AS chunk_idx, 0::BIGINT AS pos, text, length(text) AS len, substr(text, 1001, 1000) AS w FROM {DOCS}
+    UNION ALL
+    SELECT doc_id, chunk_idx + 1, nxt, text, len, substr(text, nxt + 1001, 1000)
+    FROM (SELECT *, pos + 1000 + {LAST_CUT} - 150 AS nxt FROM cuts WHERE len - pos > 2000))
+SELECT doc_id, CAST(chunk_idx AS INTEGER) AS chunk_idx, CAST(length(chunk) AS INTEGER) AS n, sha256(chunk) AS chunk_sha
+FROM (SELECT doc_id, chunk_idx, substr(text, pos + 1, CASE WHEN len - pos > 2000 THEN 1000 + {LAST_CUT} ELSE len END) AS chunk FROM cuts)"""
+
+
+@query("chunk_separators", WINDOWS)
 def chunk_separators(spark, sf):
-    """Separator-aware chunks: no SQL form; tests compare with a model on a fixture."""
     c = chunk.chunk_at_separators(docs(spark, sf))
     return c.select("doc_id", "chunk_idx", F.length("chunk").alias("n"), F.sha2("chunk", 256).alias("chunk_sha"))
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,15 +123,39 @@ def test_chunks_match_a_model(spark):
     assert 4 not in got
 
 
+def separator_model(text, size, overlap):
+    out, at = [], 0
+    while len(text) - at > size:
+        end = at + size
+        for sep in chunk.SEPARATORS:
+            found = text.rfind(sep, at + size // 2, end)
+            if found >= 0:
+                end = found + len(sep)
+                break
+        out.append(text[at:end])
+        at = end - overlap
+    return [*out, text[at:]]
+
+
 def test_separator_chunks_cover_the_text(spark):
-    body = "One sentence. " * 30 + "\n\n" + "word " * 60
-    cut = chunk.cutter(100, 10)
-    parts = cut(body)
-    assert all(len(p) <= 100 for p in parts)
-    assert parts[0] + "".join(p[10:] for p in parts[1:]) == body
-    df = spark.createDataFrame([(1, 0, body)], "doc_id long, page_num int, text string")
-    got = [r.chunk for r in chunk.chunk_at_separators(df, 100, 10).orderBy("chunk_idx").collect()]
-    assert got == parts
+    draw = random.Random(5)
+    pieces = ["a", "é", "\U0001F600", "word", " ", ", ", ". ", "\n", "\n\n", "? ", "; ", "! ", ".", "e\u0301"]
+    texts = ["One sentence. " * 30 + "\n\n" + "word " * 60, "", "short", "x" * 1000, "\n" * 350, "\U0001F600 " * 200]
+    texts += ["".join(draw.choices(pieces, k=draw.randrange(600))) for _ in range(60)]
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate([*texts, None])], "doc_id long, page_num int, text string")
+    for size, overlap in ((100, 10), (33, 16), (7, 0)):
+        got = {}
+        for r in chunk.chunk_at_separators(df, size, overlap).orderBy("doc_id", "chunk_idx").collect():
+            got.setdefault(r.doc_id, []).append(r.chunk)
+        assert [got.get(i) for i in range(len(texts) + 1)] == [separator_model(t, size, overlap) for t in texts] + [None]
+    with pytest.raises(ValueError):
+        chunk.separator_chunks("text", 10, 6)
+
+
+def test_separator_chunks_of_a_long_text(spark):
+    df = spark.createDataFrame([(1, 0, "some words, more words. " * 200_000)], "doc_id long, page_num int, text string")
+    row = chunk.chunk_at_separators(df).selectExpr("count(*) n", "sum(length(chunk)) - 150 * (count(*) - 1) total").first()
+    assert row.total == 24 * 200_000 and row.n > 2500
 
 
 def test_assembly(spark):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,42 +67,50 @@ def chunk_overlap(pages: DataFrame, size: int = 2000, overlap: int = 150) -> Dat
 SEPARATORS = ["\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " "]
 
 
-def cutter(size: int, overlap: int):
-    """A function that cuts a text into windows ending behind the best separator of their second half.
+def quoted(text: str) -> str:
+    return "'" + text.replace("\n", "\\n") + "'"
 
-    Each window starts ``overlap`` before the end of the last; together they cover the whole text.
-    """
-    separators = list(SEPARATORS)
 
-    def cut(text: str) -> list[str]:
-        out, at = [], 0
-        while len(text) - at > size:
-            end = at + size
-            for sep in separators:
-                found = text.rfind(sep, at + size // 2, end)
-                if found >= 0:
-                    end = found + len(sep)
-                    break
-            out.append(text[at:end])
-            at = end - overlap
-        return [*out, text[at:]]
+def separator_cuts(size: int, overlap: int) -> str:
+    """Begin and end of every window over ``blocks`` (a text in pieces of ``size``) and its length ``n``.
 
-    return cut
+    The fold holds positions only. What it searches is cut from two neighbouring blocks, so a step costs a window
+    and not the text before it. A separator is found from behind in the reversed second half of the window.
+    """
+    head = size // 2
+    half = f"reverse(substr(concat(get(blocks, CAST((a.at + {head}) div {size} AS INT)), coalesce(get(blocks, CAST((a.at + {head}) div {size} AS INT) + 1), '')), (a.at + {head}) % {size} + 1, {size - head}))"
+    found = ", ".join(f"nullif(locate({quoted(sep[::-1])}, w), 0)" for sep in SEPARATORS)
+    end = let(half, "w", f"a.at + {size} + 1 - coalesce({found}, 1)")
+    page = append("a.pages", "a.page", "struct(a.at AS at, e AS e)")
+    entry = "struct<at:int,e:int>"
+    state = f"struct<at:int,pages:array<array<{entry}>>,page:array<{entry}>>"
+    step = let(end, "e", f"CAST(struct(e - {overlap} AS at, {page}) AS {state})")
+    last = "array(struct(a.at AS at, n AS e))"
+    return f"""aggregate(sequence(0, n div {head + 1 - overlap}),
+        CAST(struct(0 AS at, array() AS pages, array() AS page) AS {state}),
+        (a, i) -> IF(n - a.at > {size}, {step}, a),
+        a -> concat(flatten(concat(a.pages, array(a.page))), {last}))"""
+
+
+def separator_chunks(text: str, size: int = 2000, overlap: int = 150) -> str:
+    """Array of windows, each ending behind the best separator of its second half.
+
+    Each window starts ``overlap`` before the end of the last; together they cover the whole text. A short text,
+    an empty one too, is one chunk; null has none. Work is linear in the text.
+    """
+    if overlap > size // 2:
+        raise ValueError("overlap must not be longer than half a chunk")
+    block = f"c.at div {size}"
+    piece = f"""substr(concat(get(blocks, CAST({block} AS INT)), coalesce(get(blocks, CAST({block} AS INT) + 1), '')),
+        c.at % {size} + 1, c.e - c.at)"""
+    taken = f"transform(cuts, c -> {piece})"
+    blocks = f"regexp_extract_all({text}, r'(?s).{{1,{size}}}', 0)"
+    long = let(blocks, "blocks", let(f"length({text})", "n", let(separator_cuts(size, overlap), "cuts", taken)))
+    return f"IF(length({text}) <= {size}, array({text}), {long})"
 
 
 def chunk_at_separators(pages: DataFrame, size: int = 2000, overlap: int = 150) -> DataFrame:
-    """Separator-aware chunks; the scan for a good end runs on Arrow batches."""
-    cut = cutter(size, overlap)
-
-    def run(batches):
-        for b in batches:
-            rows = pd.DataFrame({"doc_id": b.doc_id, "page_num": b.page_num, "chunk": b.text.map(cut)})
-            rows["chunk_idx"] = rows.chunk.map(lambda c: list(range(len(c))))
-            yield rows.explode(["chunk", "chunk_idx"])[["doc_id", "page_num", "chunk_idx", "chunk"]].astype(
-                {"chunk_idx": "int32"}
-            )
-
-    doc_type = pages.schema["doc_id"].dataType.simpleString()
-    return pages.select("doc_id", "page_num", "text").mapInPandas(
-        run, f"doc_id {doc_type}, page_num int, chunk_idx int, chunk string"
+    """Separator-aware chunks, row-local and without Python."""
+    return pages.where(F.col("text").isNotNull()).select(
+        "doc_id", "page_num", F.posexplode(F.expr(separator_chunks("text", size, overlap))).alias("chunk_idx", "chunk")
     )
