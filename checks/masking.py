@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import DERIVED, derived, query, table
+from checks.base import DERIVED, case, derived, query, table
 from checks.detection import CUSTOM, FOUND, MASKED, PLAN, docs
+from checks.inputs import CARD, EMAIL, PHONE, SSN, K
 from checks.sqltext import (
     DOCS,
     dedup_sql,
@@ -14,6 +15,7 @@ from checks.sqltext import (
     hash_sql,
     masked_sql,
     pick_sql,
+    pool_sql,
     quote,
     re2,
     replacement_sql,
@@ -21,7 +23,7 @@ from checks.sqltext import (
     strip_sql,
 )
 from checks.texts import BLOCKS, NOUN_ITEMS, NUM_ITEMS, STRIDES, blocks, disjoint_sql
-from veil.functions import dims
+from veil.functions import dims, hashing, permute
 from veil.functions.patterns import FALLBACK
 from veil.functions.text import SPACE
 from veil.operators import audit, chunk, detect, mask, people, report, resolve, scan, synth
@@ -160,6 +162,44 @@ def pseudo_digits(spark, sf):
     return derived(spark, sf, "digit_texts").select("c_custkey", F.expr(replace_digits("text")).alias("replaced"))
 
 
+def feistel_sql(source: str, left: str, right: str, a: str, b: str, domain: str, salt: str) -> str:
+    """All columns of the source with the permuted pair as ``l`` and ``r``; ``left`` and the rest may name its columns."""
+    out = f"SELECT *, CAST({left} AS BIGINT) AS l, CAST({right} AS BIGINT) AS r, CAST({a} AS BIGINT) AS a, CAST({b} AS BIGINT) AS b FROM {source}"
+    for i in range(1, permute.ROUNDS + 1):
+        this, other, base = ("l", "r", "a") if i % 2 else ("r", "l", "b")
+        h = f"CAST('0x' || substr(sha256({quote(salt)} || {domain} || ':{i}:' || {other}), 1, 15) AS BIGINT)"
+        out = f"SELECT * REPLACE (({this} + {h} % {base}) % {base} AS {this}) FROM ({out})"
+    return f"({out})"
+
+
+def permuted_sql(source: str, salt: str) -> str:
+    """(c_custkey, permuted) of texts with 1 to 36 digits."""
+    digits = f"(SELECT *, length(v) // 2 AS nl, length(v) - length(v) // 2 AS nr FROM (SELECT *, regexp_replace(text, '[^0-9]', '', 'g') AS v FROM {source}))"
+    pairs = feistel_sql(digits, "substr(v, 1, nl)", "substr(v, nl + 1)", "rpad('1', CAST(nl + 1 AS INTEGER), '0')", "rpad('1', CAST(nr + 1 AS INTEGER), '0')", "(nl + nr)", salt)
+    return f"""(SELECT c_custkey, array_to_string(list_transform(range(1, length(text) + 1), lambda i: CASE WHEN substr(text, i, 1) BETWEEN '0' AND '9'
+        THEN substr(z, length(regexp_replace(substr(text, 1, i), '[^0-9]', '', 'g')), 1) ELSE substr(text, i, 1) END), '') AS permuted
+        FROM (SELECT *, lpad(CAST(l AS VARCHAR), CAST(nl AS INTEGER), '0') || lpad(CAST(r AS VARCHAR), CAST(nr AS INTEGER), '0') AS z FROM {pairs}))"""
+
+
+DERIVED["keyed_texts"] = f"SELECT {K} AS c_custkey, {case(K, CARD, PHONE, SSN, EMAIL)} || ' / ' || CAST({K} AS STRING) AS text FROM {{customer}}"
+
+
+@query("permute_digits", permuted_sql("keyed_texts", "fp"), ("keyed_texts",))
+def permute_digits(spark, sf):
+    """Cards, phones, numbers and e-mails with their digits permuted: as many results as originals."""
+    return derived(spark, sf, "keyed_texts").select("c_custkey", F.expr(permute.permute_digits("text", "fp")).alias("permuted"))
+
+
+@query(
+    "permute_person",
+    f"""SELECT o_orderkey, {pool_sql(hashing.FIRST_NAMES)}[l + 1] || ' ' || {pool_sql(hashing.LAST_NAMES)}[r % 32 + 1] || CASE WHEN r < 32 THEN '' ELSE ' ' || (r // 32) END AS pseudonym
+    FROM {feistel_sql('orders', 'o_orderkey % 32', 'o_orderkey // 32', '32', '32000000', "'person32000000'", 'fp')}""",
+)
+def permute_person(spark, sf):
+    """A name per order that no other order has."""
+    return table(spark, sf, "orders").select("o_orderkey", F.expr(permute.permute_person("o_orderkey", "fp")).alias("pseudonym"))
+
+
 # --- synthesis -----------------------------------------------------------------------------------
 
 
@@ -242,7 +282,7 @@ def dataset_sink(spark, sf):
 
 # --- scans, running totals, audits ---------------------------------------------------------------
 
-SCAN_PAGES = f"(SELECT conv_id AS doc_id, turn AS page_num, CASE conv_id % 5 WHEN 0 THEN role WHEN 1 THEN ' ' WHEN 2 THEN role || ' wrote ' || length(text) || ' characters on this page' ELSE text END AS text, CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END AS n_images FROM conversations)"
+SCAN_PAGES = f"(SELECT conv_id AS doc_id, turn AS page_num, text, CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END AS n_images FROM conversations)"
 ST = strip_sql("text")
 SCAN = f"""(SELECT doc_id, sum(length({ST})) AS c, sum(len(list_filter(regexp_split_to_array(text, '{SPACE}+'), lambda w: w <> ''))) AS w, count(*) AS p, 612.0 * 792.0 AS area, max(n_images) > 0 AS img FROM {SCAN_PAGES} GROUP BY doc_id)"""
 V = ["c < 50", "c / area < 0.1", "w / p < 10", "img AND c / p < 100"]
@@ -258,17 +298,11 @@ AGAINST = " + ".join(f"CASE WHEN {v} THEN 0 ELSE {w[1]} END" for v, w in zip(V,
     CASE WHEN ({YES}) >= 2 THEN '{scan.NEEDS_OCR}' ELSE '{scan.DIRECT}' END AS action FROM {SCAN}""",
 )
 def scan_classify(spark, sf):
-    body = F.col("text")
-    conv = table(spark, sf, "conversations")
-    kind = F.col("conv_id") % 5
-    pages = conv.select(
+    """Conversations as documents, turns as letter-sized pages, an image on every third."""
+    pages = table(spark, sf, "conversations").select(
         F.col("conv_id").alias("doc_id"),
         F.col("turn").alias("page_num"),
-        F.when(kind == 0, F.col("role"))
-        .when(kind == 1, " ")
-        .when(kind == 2, F.concat("role", F.lit(" wrote "), F.length(body).cast("string"), F.lit(" characters on this page")))
-        .otherwise(body)
-        .alias("text"),
+        "text",
         F.lit(612.0).alias("width"),
         F.lit(792.0).alias("height"),
         F.when(F.col("turn") % 3 == 0, 1).otherwise(0).alias("n_images"),

@@ -23,8 +23,8 @@ from veil.sources import config_lines
 
 # --- text and file rules -------------------------------------------------------------------------
 
-DERIVED["upload_names"] = """SELECT page_id, CASE page_id % 9 WHEN 0 THEN url WHEN 1 THEN 'report.pdf' WHEN 2 THEN 'Letter.DOCX'
-    WHEN 3 THEN 'archive.tar.gz' WHEN 4 THEN 'noextension' WHEN 5 THEN '' WHEN 6 THEN 'data.v2.csv' WHEN 7 THEN 'a.xml' ELSE CAST(NULL AS STRING) END AS name,
+DERIVED["upload_names"] = """SELECT page_id, CASE page_id % 9 WHEN 0 THEN url WHEN 1 THEN url || '.pdf' WHEN 2 THEN url || '.DOCX'
+    WHEN 3 THEN url || '.tar.gz' WHEN 4 THEN replace(url, '.', '') WHEN 5 THEN replace(url, url, '') WHEN 6 THEN url || '.v2.csv' WHEN 7 THEN url || '.xml' ELSE url || '.txt' END AS name,
     CAST(page_id * 1234567 % 90000000 AS BIGINT) AS file_size, html FROM {pages}"""
 EXT = "CASE WHEN contains(name, '.') THEN lower(split_part(name, '.', -1)) END"
 
@@ -225,12 +225,13 @@ def entities_union(spark, sf):
     ("mask_plan",),
 )
 def plan_order(spark, sf):
-    """Positions in plan order per document."""
+    """Where each item of a document stands in the sorted plan."""
     from veil.operators.running import block_rank
+    from veil.session import cut_lineage
 
     plan = resolve.plan_order(derived(spark, sf, "mask_plan"))
-    order = F.struct("page_num", "y0", "x0", "ord")
-    ranked = block_rank(plan, ["doc_id"], order, F.col("page_num"), "pos")
+    placed = cut_lineage(plan.withColumn("at", F.monotonically_increasing_id()))  # follows the sorted output
+    ranked = block_rank(placed, ["doc_id"], F.col("at"), F.shiftright("at", 33), "pos")
     return ranked.select("doc_id", "ord", (F.col("pos") + 1).alias("pos"))
 
 
