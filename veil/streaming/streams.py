@@ -20,6 +20,23 @@ def read_folder(spark: SparkSession, path: str, schema: str, files_per_batch: in
     )
 
 
+def arrivals(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000, glob: str = "*.parquet") -> DataFrame:
+    """Like ``read_folder``, with ``arrived``: when the row's file was last written."""
+    rows = read_folder(spark, path, schema, files_per_batch, glob)
+    return rows.select("*", F.col("_metadata.file_modification_time").alias("arrived"))
+
+
+def once(arriving: DataFrame, within: str = "1 day") -> DataFrame:
+    """A row per content: what is delivered again less than ``within`` after it is dropped, over restarts, too.
+
+    The state is one digest per row for that time; the digest covers every column but ``arrived``, and nulls count
+    as values. A row that arrives later than that counts as new.
+    """
+    content = F.sha2(F.to_json(F.struct(*[c for c in arriving.columns if c != "arrived"])), 256)
+    watched = arriving.withColumn("_content", content).withWatermark("arrived", within)
+    return watched.dropDuplicatesWithinWatermark(["_content"]).drop("_content", "arrived")
+
+
 def mask_stream(documents: DataFrame, registry, min_confidence: float = 0.0, salt: str = "") -> DataFrame:
     """Each arriving document is masked from its own matches: stateless, so it scales out and restarts freely."""
     return protect(documents, registry, min_confidence, salt).drop("plan")
