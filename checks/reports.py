@@ -272,7 +272,7 @@ def k_anonymity_summary(spark, sf):
 @query("stream_mask", f"SELECT doc_id, sha256(masked_text) AS masked_sha, n_masked FROM {MASKED}")
 def stream_mask(spark, sf):
     """Documents arriving in a folder, masked once; equals the batch result."""
-    stream = streams.read_folder(spark, sf, streams.DOCUMENT_SCHEMA, glob="documents.parquet")
+    stream = streams.read_table(spark, f"{sf}/documents.parquet", streams.DOCUMENT_SCHEMA)
     out, mark = shared_path(spark, "masked"), shared_path(spark, "offsets")
     streams.run_available(streams.mask_stream(stream, CUSTOM), out, mark).awaitTermination()
     back = spark.read.parquet(out)
@@ -285,7 +285,7 @@ def stream_mask(spark, sf):
 )
 def stream_progress(spark, sf):
     schema = "conv_id bigint, turn bigint, role string, text string"
-    stream = streams.read_folder(spark, sf, schema, glob="conversations.parquet")
+    stream = streams.read_table(spark, f"{sf}/conversations.parquet", schema)
     pages = stream.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_num"), "text")
     out, mark = shared_path(spark, "progress"), shared_path(spark, "offsets")
     streams.run_updates(streams.progress_stream(pages), out, mark).awaitTermination()
@@ -297,7 +297,7 @@ def stream_progress(spark, sf):
     "SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2",
 )
 def stream_window(spark, sf):
-    stream = streams.read_folder(spark, sf, streams.EVENT_SCHEMA, glob="events.parquet")
+    stream = streams.read_table(spark, f"{sf}/events.parquet", streams.EVENT_SCHEMA)
     out, mark = shared_path(spark, "windows"), shared_path(spark, "offsets")
     streams.run_updates(streams.window_stream(stream), out, mark).awaitTermination()
     return streams.latest(spark, out, ["window_start", "event_type"])

@@ -6,6 +6,9 @@ import shutil
 
 import pytest
 
+import checks.catalog  # noqa: F401 - registers the queries
+from checks import base
+from tests.conftest import SMALL
 from veil.functions.patterns import REGISTRY
 from veil.streaming import streams
 
@@ -53,3 +56,13 @@ def test_windows_over_several_files_with_a_late_row(spark, tmp_path, late, count
         streams.run_updates(stream, out, mark).awaitTermination()
     got = {r.window_start.hour: (r.n, r.cents) for r in streams.latest(spark, out, ["window_start", "event_type"]).collect()}
     assert got == {1: (2, 500) if counted else (1, 100), 8: (1, 200), 9: (1, 200)}
+
+
+@pytest.mark.parametrize("key", ["stream_mask", "stream_progress", "stream_window"])
+def test_tables_of_one_file_and_of_many_give_the_same(spark, tmp_path, key):
+    for name in ("documents", "conversations", "events"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    query = base.QUERIES[key]
+    one, many = query(spark, SMALL), query(spark, str(tmp_path))
+    assert one.count() > 0
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))

@@ -20,6 +20,15 @@ def read_folder(spark: SparkSession, path: str, schema: str, files_per_batch: in
     )
 
 
+def read_table(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
+    """The files of one table as a stream: ``path`` is a single file or the folder that holds its parts.
+
+    A stream takes a single file by a pattern only, so the last character of the path is written as one.
+    """
+    only = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(only)
+
+
 def arrivals(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000, glob: str = "*.parquet") -> DataFrame:
     """Like ``read_folder``, with ``arrived``: when the row's file was last written."""
     rows = read_folder(spark, path, schema, files_per_batch, glob)
