@@ -2,6 +2,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import checks.catalog  # noqa: F401 - registers the queries
+from checks import base
 from tests.conftest import SMALL
 from veil.functions import pseudo
 from veil.functions.patterns import REGISTRY, Pattern
@@ -248,3 +250,22 @@ def test_validators(spark):
         "k string, t string",
     )
     assert [r[0] for r in df.select(F.expr(audit.invalid("k", "t"))).collect()] == [False, True, True, True, False]
+
+
+def test_mask_document_never_broadcasts_the_texts_of_documents(spark):
+    """What is found on pages outgrows the narrow scan that its size is estimated from."""
+    plan = base.QUERIES["mask_document"](spark, SMALL)._jdf.queryExecution().toString()
+    assert "BroadcastExchange" not in plan
+
+
+def test_mask_document_with_many_pages_masks_what_any_page_holds(spark):
+    rows = [(1, p, f"page {p} names code{p % 40:03d} and code{(p + 7) % 40:03d}") for p in range(300)] + [(2, 0, "code001")]
+    pages = spark.createDataFrame(rows, "doc_id long, page_num int, text string")
+    found = [(1, k, 0, "SECRET", f"code{k:03d}", "redact") for k in range(0, 40, 2)]
+    plan = spark.createDataFrame(found, "doc_id long, page_num int, ord int, pii_type string, text string, strategy string")
+    got = {(r.doc_id, r.page_num): (r.masked_text, r.n_masked) for r in mask.mask_document(pages, plan).collect()}
+    hide = lambda k: "[REDACTED]" if k % 2 == 0 else f"code{k:03d}"
+    for p in range(300):
+        a, b = p % 40, (p + 7) % 40
+        assert got[1, p] == (f"page {p} names {hide(a)} and {hide(b)}", (a % 2 == 0) + (b % 2 == 0))
+    assert got[2, 0] == ("code001", 0) and len(got) == 301

@@ -172,29 +172,35 @@ def masking_stats(masked: DataFrame) -> DataFrame:
     )
 
 
-SALTS = 16
+SALTS = 16  # parts over which the pages of one document are dealt
+PAGES_A_PART, PAGES_A_LIST = 64, 16  # consecutive pages that share a part; whose first texts share a list
 
 
 def mask_document(pages: DataFrame, plan: DataFrame, salt: str = "") -> DataFrame:
     """Masked pages of multi-page documents: every plan text of a document is masked on all its pages.
 
-    Of plan rows with the same text the first counts, by page, then by order on the page. Pages meet the
-    texts of their document one by one and keep those they hold, so nothing but a page's own hits is
-    gathered. Pages of one document are dealt over ``SALTS`` parts of the join, and its texts are given
-    to each part, so a document with most of all pages is no single task.
+    Of plan rows with the same text the first counts, by page, then by order on the page. The texts of a
+    document travel as lists, one for every ``PAGES_A_LIST`` pages they come from, and a page keeps what it
+    holds of each. Runs of pages are dealt over at most ``SALTS`` parts of the join, and a document's lists
+    are given to the parts it has, so a document with most of all pages is no single task. Both sides are
+    sorted: texts found on pages outgrow the scan that their size would be estimated from.
     """
     given = F.col("replacement") if "replacement" in plan.columns else F.lit(None).cast("string")
     page = F.col("page_num") if "page_num" in plan.columns else F.lit(0)
     first = F.min(F.struct(page.alias("page"), "ord", "pii_type", "strategy", given.alias("replacement")))
     one = plan.where("text <> ''").groupBy("doc_id", "text").agg(first.alias("p")).select("doc_id", "text", "p.*")
     item = F.expr(plan_item("ord", "text", replacement("strategy", "pii_type", "text", "replacement", salt), "strategy"))
-    texts = one.select(
-        F.col("doc_id").alias("_doc"), F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("_part"), F.col("text").alias("_text"), item.alias("item")
+    lists = one.groupBy("doc_id", F.floor(F.coalesce("page", F.lit(0)) / PAGES_A_LIST).alias("_list")).agg(F.collect_list(item).alias("texts"))
+    run = F.floor(F.coalesce("page_num", F.lit(0)) / PAGES_A_PART)
+    dealt = pages.withColumn("_salt", F.pmod(F.xxhash64(run), F.lit(SALTS)).cast("int"))
+    parts = dealt.select("doc_id", "_salt").distinct()
+    given_to = lists.hint("merge").join(parts.hint("merge"), "doc_id").select(F.col("doc_id").alias("_doc"), F.col("_salt").alias("_part"), "texts")
+    same = (dealt.doc_id == F.col("_doc")) & (F.col("_salt") == F.col("_part"))
+    held = dealt.join(given_to.hint("merge"), same, "left").withColumn(
+        "texts", F.expr(f"filter(coalesce(texts, cast(array() AS array<{ITEM}>)), i -> contains(text, i.text))")
     )
-    dealt = pages.select("*", F.pmod(F.xxhash64("page_num"), F.lit(SALTS)).cast("int").alias("_salt"))
-    holds = (dealt.doc_id == texts._doc) & (F.col("_salt") == F.col("_part")) & F.contains(F.col("text"), F.col("_text"))
     rest = [F.first(c).alias(c) for c in pages.columns if c not in ("doc_id", "page_num")]
-    gathered = dealt.join(texts, holds, "left").groupBy("doc_id", "_salt", "page_num").agg(*rest, F.collect_list("item").alias("items"))
+    gathered = held.groupBy("doc_id", "_salt", "page_num").agg(*rest, F.flatten(F.collect_list("texts")).alias("items"))
     return expand_fold(gathered.withColumn("f", F.expr(fold("text", "items")))).drop("items", "_salt").select(
         *pages.columns, "masked_text", "n_masked", "n_failed", "n_redact", "n_mask", "n_pseudo"
     )
