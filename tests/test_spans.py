@@ -5,10 +5,15 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import checks.catalog  # noqa: F401 - registers the queries
+from checks import base
 from tests.conftest import SMALL
+from veil.functions import spans
 from veil.functions.patterns import FALLBACK, NOUNS, NUMERIC, REGISTRY, SECRET, Pattern
 from veil.functions.spans import INNER, MARK, all_spans
+from veil.operators import layout
 from veil.operators.synth import anonymize_fallback
+from veil.sources import readers
 
 
 def model(text, patterns):
@@ -80,3 +85,42 @@ def test_salts_may_hold_quotes(spark):
 
     df = spark.createDataFrame([(1, "mail a.b@example.org now")], "doc_id long, text string")
     assert "a.b@" not in mask.protect(df, REGISTRY, salt="it's \\ one").first().masked_text
+
+
+def test_narrow_rows_are_dealt_before_they_become_texts(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert base.derived(spark, SMALL, "pii_corpus").rdd.getNumPartitions() >= cores
+    long = spark.range(100_000, numPartitions=1)
+    assert readers.dealt(long, 1000).rdd.getNumPartitions() == 100
+
+
+def test_leftmost_is_what_pairwise_comparison_keeps(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = []
+    for k in range(60):
+        at = [(rnd.randrange(400), rnd.randrange(1, 9)) for _ in range(rnd.choice([0, 3, 30, 200]))]
+        rows.append((k, [(0, "x", a, a + n, "t", 0.9, "REGEX") for a, n in at]))
+    found = spark.createDataFrame(rows, f"k int, spans array<{spans.SPAN}>")
+    pairwise = spans.let(spans.by_position("spans"), "p", spans.keep_disjoint("p"))
+    both = found.select(F.expr(spans.keep_leftmost("spans")).alias("a"), F.expr(pairwise).alias("b")).collect()
+    assert all(r.a == r.b for r in both) and any(len(r.a) > 20 for r in both)
+
+
+def test_many_boxes_of_a_page_are_placed_as_by_pairwise_comparison(spark):
+    import random
+
+    rnd = random.Random(7)
+    rows = []
+    for k in range(1500):
+        x, y, w, h = rnd.randrange(500), rnd.randrange(700), rnd.randrange(1, 60), rnd.choice([4, 9, 120])
+        rows.append((1, 0, f"i{k}", float(x), float(y), float(x + w), float(y + h)))
+    kept, want = [], set()
+    for _, _, i, x0, y0, x1, y1 in sorted(rows, key=lambda r: (r[4], r[3], r[5], r[6], r[2])):
+        if all(x1 + 2 < a0 - 1 or x0 - 2 > a1 + 1 or y1 + 2 < b0 or y0 - 2 > b1 for a0, b0, a1, b1 in kept):
+            kept.append((x0, y0, x1, y1))
+            want.add(i)
+    boxes = spark.createDataFrame(rows, "doc_id long, page_num int, item_id string, bx0 double, by0 double, bx1 double, by1 double")
+    got = layout.bbox_overlap(boxes).collect()
+    assert len(got) == 1500 and {r.item_id for r in got if r.applied} == want

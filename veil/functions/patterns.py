@@ -97,11 +97,11 @@ SECRET = Pattern("SECRET", r"\btoken = \"([0-9a-f]{8,})", 0.95, ("token = ",))
 
 # --- fixed values: numeric patterns, tried in this order ---
 NUMERIC = [
-    Pattern("numerical", r"\$[\d,]+\.?\d*", any_digit=True),
-    Pattern("numerical", r"\b\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?\b", any_digit=True),
-    Pattern("numerical", r"\b\d+\.\d{1,2}\b", any_digit=True),
+    Pattern("numerical", r"\$[\d,]+\.?\d*", hints=("$",), any_digit=True),
+    Pattern("numerical", r"\b\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?\b", hints=(",",), any_digit=True),
+    Pattern("numerical", r"\b\d+\.\d{1,2}\b", hints=(".",), any_digit=True),
     Pattern("numerical", r"\b\d{2,}\b", any_digit=True),
-    Pattern("numerical", r"\b\d{1,2}(?:,\d{3})+(?:\.\d{1,2})?\b", any_digit=True),
+    Pattern("numerical", r"\b\d{1,2}(?:,\d{3})+(?:\.\d{1,2})?\b", hints=(",",), any_digit=True),
 ]
 
 # --- fixed values: proper-noun patterns, tried in this order ---
@@ -111,17 +111,17 @@ STREET = (
 )
 NOUNS = [
     Pattern("name", r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b", any_digit=True),
-    Pattern("name", r"\b[A-Z][a-z]+\s+[A-Z]\.\s*[A-Z][a-z]+\b", any_digit=True),
+    Pattern("name", r"\b[A-Z][a-z]+\s+[A-Z]\.\s*[A-Z][a-z]+\b", hints=(".",), any_digit=True),
     Pattern("name", r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\s+[A-Z][a-z]+\b", any_digit=True),
-    Pattern("name", r"\b[A-Z][a-z]+-[A-Z][a-z]+\s+[A-Z][a-z]+\b", any_digit=True),
-    Pattern("name", r"\b[A-Z]\.\s*[A-Z][a-z]+\b", any_digit=True),
-    Pattern("name", r"\b[A-Z][a-z]+\s+[A-Z]\.\s*[A-Z]\.(?=\w)", any_digit=True),
+    Pattern("name", r"\b[A-Z][a-z]+-[A-Z][a-z]+\s+[A-Z][a-z]+\b", hints=("-",), any_digit=True),
+    Pattern("name", r"\b[A-Z]\.\s*[A-Z][a-z]+\b", hints=(".",), any_digit=True),
+    Pattern("name", r"\b[A-Z][a-z]+\s+[A-Z]\.\s*[A-Z]\.(?=\w)", hints=(".",), any_digit=True),
     Pattern("address", rf"\b\d+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:{STREET})\b", any_digit=True),
-    Pattern("address", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*,\s*[A-Z]{2}\s*\d{5}(?:-\d{4})?\b", any_digit=True),
+    Pattern("address", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*,\s*[A-Z]{2}\s*\d{5}(?:-\d{4})?\b", hints=(",",), any_digit=True),
     Pattern("address", rf"\b\d{{1,5}}\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:{STREET})\b", any_digit=True),
     Pattern("address", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+[A-Z]{2}\s*\d{5}\b", any_digit=True),
-    Pattern("organization", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Inc|LLC|Corp|Corporation|Company|Co|Ltd|Limited|GmbH|AG|SA|SAS)\b", any_digit=True),
-    Pattern("organization", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Bank|Insurance|Financial|Trust|Credit|Union|Savings)\b", any_digit=True),
+    Pattern("organization", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Inc|LLC|Corp|Corporation|Company|Co|Ltd|Limited|GmbH|AG|SA|SAS)\b", hints=("Inc", "LLC", "Co", "Ltd", "Limited", "GmbH", "AG", "SA"), any_digit=True),
+    Pattern("organization", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Bank|Insurance|Financial|Trust|Credit|Union|Savings)\b", hints=("Bank", "Insurance", "Financial", "Trust", "Credit", "Union", "Savings"), any_digit=True),
 ]
 
 # --- fixed values: fallback substitutions, applied in this order ---

@@ -110,10 +110,11 @@ def hit_spans(hit: str) -> str:
     """Spans of one pattern's pieces, of which every second is a match."""
     lengths = f"transform({hit}.pieces, (p, i) -> IF(i % 2 = 1, length(p) - 2, length(p)))"
     value = f"substring_index(substring_index(p, '{INNER}', 2), '{INNER}', -1)"
+    span = f"""struct({hit}.rank AS rank, {hit}.kind AS kind, b AS start, b + length(v) AS end,
+        v AS text, {hit}.confidence AS confidence, {hit}.source AS source)"""
     begin = f"get(at, i) + length(substring_index(p, '{INNER}', 1))"
-    span = f"""struct({hit}.rank AS rank, {hit}.kind AS kind, {begin} AS start, {begin} + length({value}) AS end,
-        {value} AS text, {hit}.confidence AS confidence, {hit}.source AS source)"""
-    every = f"transform(sequence(1, size({hit}.pieces) - 1, 2), i -> {let(f'get({hit}.pieces, i)', 'p', span)})"
+    one = let(f"get({hit}.pieces, i)", "p", let(value, "v", let(begin, "b", span)))
+    every = f"transform(sequence(1, size({hit}.pieces) - 1, 2), i -> {one})"
     return let(starts(lengths), "at", every)
 
 
@@ -149,6 +150,9 @@ def keep_disjoint(spans: str) -> str:
              ELSE concat(kept, array(s)) END)"""
 
 
+SHORT = 24  # spans that are compared pairwise; longer lists are cut into clusters first
+
+
 def resolve_overlaps(spans: str) -> str:
     """``keep_disjoint`` for long lists: spans that touch form clusters, each resolved by itself.
 
@@ -163,7 +167,18 @@ def resolve_overlaps(spans: str) -> str:
     cluster = "slice(o, c + 1, get(cuts, i + 1) - c)"
     kept = f"""flatten(transform(slice(cuts, 1, size(cuts) - 1), (c, i) -> IF(get(cuts, i + 1) - c < 2, {cluster},
         {let(cluster, 'k', keep_disjoint('array_sort(k)'))})))"""
-    return let(by_position(spans), "o", f"array_sort({let(cuts, 'cuts', kept)})")
+    clustered = let(by_position("all"), "o", f"array_sort({let(cuts, 'cuts', kept)})")
+    return let(spans, "all", f"IF(size(all) <= {SHORT}, {keep_disjoint('array_sort(all)')}, {clustered})")
+
+
+def keep_leftmost(spans: str) -> str:
+    """``keep_disjoint`` of spans in reading order: only the last kept span can reach into the next one."""
+    kept = f"""aggregate(o, struct(-1 AS reach, 0 AS i, {NO_PAGES}),
+        (a, s) -> IF(s.start < a.reach,
+            struct(a.reach AS reach, a.i + 1 AS i, a.pages AS pages, a.page AS page),
+            struct(s.end AS reach, a.i + 1 AS i, {append('a.pages', 'a.page', 'a.i')})),
+        a -> flatten(concat(a.pages, array(a.page))))"""
+    return let(by_position(spans), "o", f"transform({kept}, k -> get(o, k))")
 
 
 def by_position(spans: str) -> str:

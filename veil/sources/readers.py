@@ -57,6 +57,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(wanted)) if wanted else df
 
 
+ROWS_A_TASK = 8192
+
+
+def dealt(df: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """Rows that become much larger than they are in their file, in as many tasks as their number asks for.
+
+    Files are split by their bytes, so a few columns of a large table are a single task. Deal the narrow
+    rows out before they are expanded. The number of rows comes from the files' footers.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_a_task))
+    return df.repartition(tasks)
+
+
 def read_csv_dir(
     spark: SparkSession, directory: str, schemas: dict[str, str] | None = None, multi_line: bool = False
 ) -> dict[str, DataFrame]:
