@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veil.functions import dims
 from veil.functions.patterns import NOUNS, NUMERIC
 from veil.functions.pseudo import perturb_number, replace_noun, replacement
-from veil.functions.spans import all_spans, by_position, keep_disjoint, let, resolve_overlaps, splice
+from veil.functions.spans import all_spans, keep_leftmost, let, resolve_overlaps, splice
 from veil.functions.text import SPACE, fit_replacement
 from veil.operators.detect import KEEP_NUMBER, keep_noun
 
@@ -155,9 +155,8 @@ def anonymize_blocks(blocks: DataFrame, salt: str = "") -> DataFrame:
     numbers = f"filter({all_spans('text', NUMERIC)}, s -> {KEEP_NUMBER})"
     nouns = f"filter({all_spans('text', NOUNS)}, s -> {keep_noun()})"
     found = f"concat({let(numbers, 'a', resolve_overlaps('a'))}, {let(nouns, 'b', resolve_overlaps('b'))})"
-    reading = let(found, "found", by_position("found"))
     repl = f"IF(s.kind = 'numerical', {perturb_number('s.text', salt)}, {replace_noun('s.kind', 's.text', salt)})"
-    kept = blocks.withColumn("items", F.expr(let(reading, "ordered", keep_disjoint("ordered"))))
+    kept = blocks.withColumn("items", F.expr(keep_leftmost(found)))
     return kept.withColumn("anonymized", F.expr(splice("text", "items", repl))).withColumn(
         "n_items", F.size("items")
     ).drop("items")
