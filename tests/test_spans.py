@@ -124,3 +124,19 @@ def test_many_boxes_of_a_page_are_placed_as_by_pairwise_comparison(spark):
     boxes = spark.createDataFrame(rows, "doc_id long, page_num int, item_id string, bx0 double, by0 double, bx1 double, by1 double")
     got = layout.bbox_overlap(boxes).collect()
     assert len(got) == 1500 and {r.item_id for r in got if r.applied} == want
+
+
+@pytest.mark.parametrize("patterns", [NUMERIC, NOUNS], ids=["numeric", "nouns"])
+def test_every_match_contains_what_its_pattern_needs(spark, patterns):
+    """Most lines hold no number or noun: a plain test spares them the regex and loses no match."""
+    assert all(p.needs or "$" in p.hints for p in patterns)
+    texts = ["$1,234.50 or 12,345.6 and $,", "999,123.45,678 1,950", "٣.١٤ and ٢٠", "Al B. Mehta", "J.Doe", "Al C. D.x", "Ann  Lee", "Jo Ann Smith",
+             "May-Ann Smith", "12  Oak Street", "Old Town, IL12345-6789", "Old Town IL 12345", "Acme Co", "Foo Bar LLC", "First Trust", "no match"]
+    got = found(spark, texts, patterns)
+    assert all(got[i] == model(text, patterns) for i, text in enumerate(texts)) and sum(map(len, got.values())) > 12
+
+
+def test_places_of_few_and_of_many_matches(spark):
+    texts = ["é12 34 \U0001f600 56, 78.90 x" * n for n in (1, 5, 80)]
+    got = found(spark, texts, NUMERIC)
+    assert all(got[i] == model(text, NUMERIC) for i, text in enumerate(texts)) and len(got[2]) > 200

@@ -21,6 +21,7 @@ class Pattern:
     regex: str
     confidence: float = 0.9
     hints: tuple = ()  # literals, one of which every match contains; checked before the regex runs
+    needs: str = ""  # a plain regex that every match contains; run once for all patterns that share it
     digits: bool = False  # every match contains two digits in a row
     any_digit: bool = False  # \\d covers every script's digits, not only 0-9
     source: str = "REGEX"
@@ -96,12 +97,13 @@ REGISTRY = [
 SECRET = Pattern("SECRET", r"\btoken = \"([0-9a-f]{8,})", 0.95, ("token = ",))
 
 # --- fixed values: numeric patterns, tried in this order ---
+THOUSANDS = r"\d,\d\d\d"
 NUMERIC = [
     Pattern("numerical", r"\$[\d,]+\.?\d*", hints=("$",), any_digit=True),
-    Pattern("numerical", r"\b\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?\b", hints=(",",), any_digit=True),
-    Pattern("numerical", r"\b\d+\.\d{1,2}\b", hints=(".",), any_digit=True),
-    Pattern("numerical", r"\b\d{2,}\b", any_digit=True),
-    Pattern("numerical", r"\b\d{1,2}(?:,\d{3})+(?:\.\d{1,2})?\b", hints=(",",), any_digit=True),
+    Pattern("numerical", r"\b\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?\b", hints=(",",), needs=THOUSANDS, any_digit=True),
+    Pattern("numerical", r"\b\d+\.\d{1,2}\b", hints=(".",), needs=r"\d\.\d", any_digit=True),
+    Pattern("numerical", r"\b\d{2,}\b", needs=r"\d\d", any_digit=True),
+    Pattern("numerical", r"\b\d{1,2}(?:,\d{3})+(?:\.\d{1,2})?\b", hints=(",",), needs=THOUSANDS, any_digit=True),
 ]
 
 # --- fixed values: proper-noun patterns, tried in this order ---
@@ -109,19 +111,21 @@ STREET = (
     "Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Dr|Lane|Ln|Way|Place|Pl|Court|Ct|Circle|"
     "Cir|Square|Sq|Park|Pkwy|Highway|Hwy|Freeway|Fwy"
 )
+CAPITALS, INITIAL = r"[A-Z][a-z]+\s+[A-Z]", r"[A-Z]\.\s*[A-Z]"
+HOUSE, ZIP = r"\d\s+[A-Z]", r"[A-Z][A-Z]\s*\d{5}"
 NOUNS = [
-    Pattern("name", r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b", any_digit=True),
-    Pattern("name", r"\b[A-Z][a-z]+\s+[A-Z]\.\s*[A-Z][a-z]+\b", hints=(".",), any_digit=True),
-    Pattern("name", r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\s+[A-Z][a-z]+\b", any_digit=True),
-    Pattern("name", r"\b[A-Z][a-z]+-[A-Z][a-z]+\s+[A-Z][a-z]+\b", hints=("-",), any_digit=True),
-    Pattern("name", r"\b[A-Z]\.\s*[A-Z][a-z]+\b", hints=(".",), any_digit=True),
-    Pattern("name", r"\b[A-Z][a-z]+\s+[A-Z]\.\s*[A-Z]\.(?=\w)", hints=(".",), any_digit=True),
-    Pattern("address", rf"\b\d+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:{STREET})\b", any_digit=True),
-    Pattern("address", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*,\s*[A-Z]{2}\s*\d{5}(?:-\d{4})?\b", hints=(",",), any_digit=True),
-    Pattern("address", rf"\b\d{{1,5}}\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:{STREET})\b", any_digit=True),
-    Pattern("address", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+[A-Z]{2}\s*\d{5}\b", any_digit=True),
-    Pattern("organization", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Inc|LLC|Corp|Corporation|Company|Co|Ltd|Limited|GmbH|AG|SA|SAS)\b", hints=("Inc", "LLC", "Co", "Ltd", "Limited", "GmbH", "AG", "SA"), any_digit=True),
-    Pattern("organization", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Bank|Insurance|Financial|Trust|Credit|Union|Savings)\b", hints=("Bank", "Insurance", "Financial", "Trust", "Credit", "Union", "Savings"), any_digit=True),
+    Pattern("name", r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b", needs=CAPITALS, any_digit=True),
+    Pattern("name", r"\b[A-Z][a-z]+\s+[A-Z]\.\s*[A-Z][a-z]+\b", hints=(".",), needs=INITIAL, any_digit=True),
+    Pattern("name", r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\s+[A-Z][a-z]+\b", needs=CAPITALS, any_digit=True),
+    Pattern("name", r"\b[A-Z][a-z]+-[A-Z][a-z]+\s+[A-Z][a-z]+\b", hints=("-",), needs=r"[a-z]-[A-Z]", any_digit=True),
+    Pattern("name", r"\b[A-Z]\.\s*[A-Z][a-z]+\b", hints=(".",), needs=INITIAL, any_digit=True),
+    Pattern("name", r"\b[A-Z][a-z]+\s+[A-Z]\.\s*[A-Z]\.(?=\w)", hints=(".",), needs=INITIAL, any_digit=True),
+    Pattern("address", rf"\b\d+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:{STREET})\b", needs=HOUSE, any_digit=True),
+    Pattern("address", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*,\s*[A-Z]{2}\s*\d{5}(?:-\d{4})?\b", hints=(",",), needs=ZIP, any_digit=True),
+    Pattern("address", rf"\b\d{{1,5}}\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:{STREET})\b", needs=HOUSE, any_digit=True),
+    Pattern("address", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+[A-Z]{2}\s*\d{5}\b", needs=ZIP, any_digit=True),
+    Pattern("organization", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Inc|LLC|Corp|Corporation|Company|Co|Ltd|Limited|GmbH|AG|SA|SAS)\b", hints=("Inc", "LLC", "Co", "Ltd", "Limited", "GmbH", "AG", "SA"), needs=CAPITALS, any_digit=True),
+    Pattern("organization", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Bank|Insurance|Financial|Trust|Credit|Union|Savings)\b", hints=("Bank", "Insurance", "Financial", "Trust", "Credit", "Union", "Savings"), needs=CAPITALS, any_digit=True),
 ]
 
 # --- fixed values: fallback substitutions, applied in this order ---

@@ -87,13 +87,14 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def marked_pieces(text: str, pattern: Pattern, rank: int) -> str:
+def marked_pieces(text: str, pattern: Pattern, rank: int, inner: bool = True) -> str:
     """One regex pass: marks are set around the matches, then gap, match, gap, ... are split apart.
 
-    A match is marked as what stands before the value, the value, and what stands after it.
+    A match is marked as what stands before the value, the value, and what stands after it; without
+    ``inner`` marks it is the value.
     """
     regex = java_regex(pattern.regex, pattern.any_digit)
-    marked = f"{MARK}{INNER}$0{INNER}{MARK}"
+    marked = f"{MARK}{INNER}$0{INNER}{MARK}" if inner else f"{MARK}$0{MARK}"
     if pattern.group:
         before, value, after = split_group(regex)
         more = len(re.findall(r"(?<!\\)\((?!\?)", value))
@@ -106,8 +107,19 @@ def marked_pieces(text: str, pattern: Pattern, rank: int) -> str:
     return hit
 
 
-def hit_spans(hit: str) -> str:
+FEW = 48  # pieces whose places are taken from the pieces before them; longer lists are folded
+
+
+def hit_spans(hit: str, inner: bool = True) -> str:
     """Spans of one pattern's pieces, of which every second is a match."""
+    if not inner:
+        span = f"""struct({hit}.rank AS rank, {hit}.kind AS kind, b AS start, b + length(p) AS end,
+            p AS text, {hit}.confidence AS confidence, {hit}.source AS source)"""
+        every = f"transform(sequence(1, size({hit}.pieces) - 1, 2), i -> {{}})"
+        one = let(f"length(array_join(slice({hit}.pieces, 1, i), ''))", "b", let(f"get({hit}.pieces, i)", "p", span))
+        many = let(f"get({hit}.pieces, i)", "p", let("get(at, i)", "b", span))
+        at = starts(f"transform({hit}.pieces, p -> length(p))")
+        return f"IF(size({hit}.pieces) <= {FEW}, {every.format(one)}, {let(at, 'at', every.format(many))})"
     lengths = f"transform({hit}.pieces, (p, i) -> IF(i % 2 = 1, length(p) - 2, length(p)))"
     value = f"substring_index(substring_index(p, '{INNER}', 2), '{INNER}', -1)"
     span = f"""struct({hit}.rank AS rank, {hit}.kind AS kind, b AS start, b + length(v) AS end,
@@ -124,9 +136,15 @@ def all_spans(text: str, patterns: list[Pattern]) -> str:
     Patterns that need digits share one cheap test, so texts without digits skip them all. A text
     that holds a mark itself is scanned with a neutral stand-in of the same length.
     """
-    ranked = list(enumerate(patterns))
-    plain = [marked_pieces("t", p, i) for i, p in ranked if not p.digits]
-    digit = [marked_pieces("t", p, i) for i, p in ranked if p.digits]
+    inner = any(p.group for p in patterns)
+    tests = list(dict.fromkeys(java_regex(p.needs, p.any_digit) for p in patterns if p.needs))
+
+    def pieces(rank: int, p: Pattern) -> str:
+        hit = marked_pieces("t", p, rank, inner)
+        return f"IF(get(needed, {tests.index(java_regex(p.needs, p.any_digit))}), {hit}, NULL)" if p.needs else hit
+
+    plain = [pieces(i, p) for i, p in enumerate(patterns) if not p.digits]
+    digit = [pieces(i, p) for i, p in enumerate(patterns) if p.digits]
     none = f"cast(array() AS array<{HIT}>)"
     groups = []
     if plain:
@@ -134,7 +152,9 @@ def all_spans(text: str, patterns: list[Pattern]) -> str:
     if digit:
         groups.append(f"IF(rlike(t, '[0-9][0-9]'), array({', '.join(digit)}), {none})")
     hits = f"array_sort(filter(concat({', '.join(groups)}), h -> size(h.pieces) > 1))"
-    found = f"flatten(transform({hits}, h -> {hit_spans('h')}))"
+    found = f"flatten(transform({hits}, h -> {hit_spans('h', inner)}))"
+    if tests:
+        found = let(f"array({', '.join(f'rlike(t, {literal(x)})' for x in tests)})", "needed", found)
     dirty = f"contains({text}, '{MARK}') OR contains({text}, '{INNER}')"
     clean = f"IF({dirty}, translate({text}, '{MARK}{INNER}', '{SPARE}{SPARE}'), {text})"
     restored = f"""transform(spans, s -> IF(contains(s.text, '{SPARE}'),
@@ -168,7 +188,8 @@ def resolve_overlaps(spans: str) -> str:
     kept = f"""flatten(transform(slice(cuts, 1, size(cuts) - 1), (c, i) -> IF(get(cuts, i + 1) - c < 2, {cluster},
         {let(cluster, 'k', keep_disjoint('array_sort(k)'))})))"""
     clustered = let(by_position("all"), "o", f"array_sort({let(cuts, 'cuts', kept)})")
-    return let(spans, "all", f"IF(size(all) <= {SHORT}, {keep_disjoint('array_sort(all)')}, {clustered})")
+    short = f"IF(size(all) < 2, all, IF(size(all) <= {SHORT}, {keep_disjoint('array_sort(all)')}, {clustered}))"
+    return let(spans, "all", short)
 
 
 def keep_leftmost(spans: str) -> str:

@@ -213,12 +213,14 @@ def detect_items(blocks: DataFrame, patterns: list[Pattern], keep: str) -> DataF
 
 
 # A number is left alone when it is a single digit, a likely year or a likely page number.
-KEEP_NUMBER = """NOT (
-    length(translate(s.text, '$,.', '')) = 1
-    OR (length(translate(s.text, '$,.', '')) = 4
-        AND coalesce(try_cast(translate(s.text, '$,.', '') AS INT) BETWEEN 1900 AND 2100, false))
-    OR (length(translate(s.text, '$,.', '')) = 2
-        AND coalesce(try_cast(translate(s.text, '$,.', '') AS INT) <= 50, false)))"""
+KEEP_NUMBER = let(
+    "replace(replace(replace(s.text, '$'), ','), '.')",
+    "bare",
+    """NOT (
+    length(bare) = 1
+    OR (length(bare) = 4 AND coalesce(try_cast(bare AS INT) BETWEEN 1900 AND 2100, false))
+    OR (length(bare) = 2 AND coalesce(try_cast(bare AS INT) <= 50, false)))""",
+)
 
 
 def keep_noun() -> str:
