@@ -88,6 +88,17 @@ def test_bpe_very_long_pretoken(library):
     assert np.frombuffer(bpe.encoder(RANKS, PATTERN).encode(text), np.int32).tolist() == library.encode_ordinary(text)
 
 
+def test_bpe_new_pretokens_share_a_queue(library):
+    rng = random.Random(8)
+    own = bpe.Encoder(RANKS, PATTERN)
+    texts = ["".join(rng.choices("aaabé ü0'", k=rng.randrange(60))) for _ in range(800)] + [None, "", "a" * 63, "ab" * 40] * 2
+    want = [library.encode_ordinary(t or "") for t in texts]
+    assert [np.frombuffer(f, np.int32).tolist() for f in own.encode_many(texts)] == want
+    pieces = sorted({t.encode() for t in texts if t} - set(own.ranks))
+    assert [np.frombuffer(f, np.int32).tolist() for f in own.ids_of_many(pieces)] == [own.ids(p) for p in pieces]
+    assert not own.queue.top and not own.queue.buckets and all(len(t) <= bpe.CACHED_CHARS for t in own)
+
+
 def test_rank_queue_pops_in_order():
     rng, queue, waiting = random.Random(4), bpe.RankQueue(50_256), []
     for _ in range(3000):

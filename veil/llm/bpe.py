@@ -5,6 +5,10 @@ in the bucket of that rank; the bitmap finds the lowest rank that has a bucket b
 steps. A merge changes two pairs at most, which get new entries; their old entries are stale and skipped.
 So a pre-token costs about n log n, however long it is.
 
+Short pre-tokens of a batch that were not seen before share one list and one queue: a bucket then holds the
+places of many pre-tokens, of each of which the leftmost is merged, all at once. Pre-tokens do not touch, so
+each still sees its own merges by rank, then from the left.
+
 Defined cases: null and empty texts have no ids; repeated rows give one row each; ids decode to the exact
 bytes of the text.
 """
@@ -25,6 +29,8 @@ from veil.llm.common import mapped
 
 CACHED_TOKENS = 300_000
 CACHED_CHARS = 64
+TOGETHER = 1 << 16  # short pre-tokens in one queue
+BATCH_BYTES = 1 << 21
 
 
 BITS = [1 << k for k in range(256)]
@@ -64,6 +70,45 @@ class RankQueue:
         return rank, bucket[0]
 
 
+    def add(self, rank: int, positions: list[int]) -> None:
+        """``push`` for buckets that are taken whole: their order does not matter."""
+        bucket = self.buckets.get(rank)
+        if bucket is not None:
+            bucket += positions
+            return
+        self.buckets[rank] = positions
+        self.low[rank >> 8] |= BITS[rank & 255]
+        self.top |= BITS[rank >> 8]
+
+    def add_all(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        """``add`` of every position whose rank is not -1."""
+        real = ranks >= 0
+        ranks, positions = ranks[real], positions[real]
+        if not len(ranks):
+            return
+        order = np.argsort(ranks)
+        ranks, places = ranks[order], positions[order].tolist()
+        starts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        a = 0
+        for rank, b in zip(ranks[np.append(0, starts)].tolist(), [*starts.tolist(), len(places)]):
+            self.add(rank, places[a:b])
+            a = b
+
+    def take(self) -> tuple[int, list[int]]:
+        """The lowest rank that waits, and all its positions."""
+        high = (self.top & -self.top).bit_length() - 1
+        word = self.low[high]
+        lowest = word & -word
+        rank = (high << 8) + lowest.bit_length() - 1
+        self.low[high] = word = word ^ lowest
+        if not word:
+            self.top ^= BITS[high]
+        return rank, self.buckets.pop(rank)
+
+
+FEW = 12  # merges of one rank that are made one by one
+
+
 class Encoder(dict):
     """Ids of pre-tokens, as bytes of 32-bit numbers; those seen before are kept within a bound."""
 
@@ -73,6 +118,88 @@ class Encoder(dict):
         self.words = {rank: token for token, rank in self.ranks.items()}
         self.queue = RankQueue(max(self.words) + 1)
         self.split = regex.compile(pattern).findall
+        # every pair of tokens that together are a token: both ids in one number, sorted, and the rank
+        get = self.ranks.get
+        pairs = sorted(
+            (a << 32 | b, rank)
+            for token, rank in self.ranks.items()
+            for k in range(1, len(token))
+            if (a := get(token[:k])) is not None and (b := get(token[k:])) is not None
+        )
+        pairs.append((1 << 62, -1))  # above all keys
+        self.pair_keys, self.pair_ranks = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        self.byte_ids = np.array([get(bytes([b]), -1) for b in range(256)], np.int64)
+        if (self.byte_ids < 0).any():
+            raise ValueError("a byte is no token")
+
+    def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of tokens, -1 where a pair is no token or one of both is missing (-1)."""
+        keys = a << 32 | b
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
+
+    def ids_of_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of short pre-tokens that are no tokens themselves, merged in one queue."""
+        sizes = np.array([len(p) for p in pieces])
+        first = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        n = len(data)  # also the place that stands for none
+        owner = np.append(np.repeat(np.arange(len(pieces)), sizes), -1)
+        token = np.append(self.byte_ids[data], -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[first + sizes - 1] = after[n] = before[first] = before[n] = n
+        waiting = self.joined(token, token[after])
+        queue, ranks, words = self.queue, self.ranks, self.words
+        queue.add_all(waiting, np.arange(n + 1))
+        owners, tokens, afters, befores, waits = map(memoryview, (owner, token, after, before, waiting))
+        while queue.top:
+            rank, places = queue.take()
+            if len(places) <= FEW:
+                seen = -1
+                for at in sorted(places):
+                    if waits[at] != rank:
+                        continue
+                    if owners[at] == seen:
+                        queue.add(rank, [at])
+                        continue
+                    seen, gone, left = owners[at], afters[at], befores[at]
+                    end = afters[gone]
+                    waits[gone] = tokens[gone] = -1
+                    tokens[at], afters[at] = rank, end
+                    waits[at] = -1
+                    if end < n:
+                        befores[end] = at
+                        if (more := ranks.get(words[rank] + words[tokens[end]])) is not None:
+                            waits[at] = more
+                            queue.add(more, [at])
+                    if left < n:
+                        waits[left] = -1
+                        if (more := ranks.get(words[tokens[left]] + words[rank])) is not None:
+                            waits[left] = more
+                            queue.add(more, [left])
+                continue
+            at = np.array(places)
+            at = at[waiting[at] == rank]
+            at.sort()
+            if not len(at):
+                continue
+            own = owner[at]
+            if not (leftmost := np.append(True, own[1:] != own[:-1])).all():
+                queue.add(rank, at[~leftmost].tolist())
+                at = at[leftmost]
+            gone, left = after[at], before[at]
+            end = after[gone]
+            waiting[gone] = token[gone] = -1
+            token[at], after[at], before[end] = rank, end, at
+            before[n] = n
+            waiting[at] = self.joined(token[at], token[end])
+            waiting[left] = self.joined(token[left], token[at])
+            places = np.concatenate([at, left])
+            queue.add_all(waiting[places], places)
+        left = token[:n] >= 0
+        flat = token[:n][left].astype(np.int32).tobytes()
+        cuts = (4 * np.append(0, np.cumsum(np.add.reduceat(left, first, dtype=np.int64)))).tolist()
+        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
     def ids(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -119,16 +246,32 @@ class Encoder(dict):
             at = end
         return out
 
-    def __missing__(self, token: str) -> bytes:
-        found = np.asarray(self.ids(token.encode()), np.int32).tobytes()
-        if len(token) <= CACHED_CHARS:
-            if len(self) >= CACHED_TOKENS:
-                self.clear()
-            self[token] = found
-        return found
-
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.split(text)))
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of every text; pre-tokens that are not known yet are encoded together."""
+        split = [self.split(t) if t else [] for t in texts]
+        wanted = set().union(*split)
+        new = wanted.difference(self)
+        if len(self) + len(new) > CACHED_TOKENS:
+            self.clear()
+            new = wanted
+        many = []
+        for token in new:
+            piece = token.encode()
+            if piece in self.ranks or len(piece) > CACHED_CHARS:
+                self[token] = np.asarray(self.ids(piece), np.int32).tobytes()
+            else:
+                many.append((token, piece))
+        for at in range(0, len(many), TOGETHER):
+            part = many[at : at + TOGETHER]
+            self.update(zip([t for t, _ in part], self.ids_of_many([p for _, p in part])))
+        out = [b"".join(map(self.__getitem__, tokens)) for tokens in split]
+        for token in new:
+            if len(token) > CACHED_CHARS:
+                del self[token]
+        return out
 
 
 @functools.lru_cache(2)
@@ -141,14 +284,14 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        found = [own.encode(t) if t else b"" for t in batch.column("text").to_pylist()]
+        found = own.encode_many(batch.column("text").to_pylist())
         offsets = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
         values = pa.array(np.frombuffer(b"".join(found), np.int32))
         lists = pa.ListArray.from_arrays(pa.array(offsets), values)
         yield pa.record_batch([batch.column("doc_id"), lists], ["doc_id", "ids"])
 
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids array<int>"
-    return mapped(docs, {"doc_id": doc_id, "text": text}, schema, work)
+    return mapped(docs, {"doc_id": doc_id, "text": text}, schema, work, BATCH_BYTES)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -79,14 +79,15 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mapped(
-    df: DataFrame, columns: dict[str, str], schema: str, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]
-) -> DataFrame:
+    df: DataFrame, columns: dict[str, str], schema: str, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
+    limit: int = SLICE_BYTES,
+) -> DataFrame:
     """``work`` over slices of the columns, renamed by ``columns`` (own name to the table's); nothing else is read."""
     text = "text"
 
     def run(batches):
         for batch in batches:
-            for at, end in slices(batch, text):
+            for at, end in slices(batch, text, limit):
                 yield from work(batch.slice(at, end - at))
 
     picked = df.select(*[df[theirs].cast("string" if own == text else df.schema[theirs].dataType).alias(own)
