@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veil.llm import bpe, leaks, minhash, quality, secrets
-from veil.llm.common import keep, ship
+from veil.llm.common import keep, passing, ship
 
 SHINGLE_WORDS, PERCENT = 5, 80
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -28,16 +28,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least id."""
     ship(spark)
-    decided = minhash.near_duplicates(docs, SHINGLE_WORDS, PERCENT)
-    kept = keep(decided.where("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept-ids")
+    with passing(spark):
+        decided = minhash.near_duplicates(docs, SHINGLE_WORDS, PERCENT)
+        kept = keep(decided.where("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept-ids", 1)
     return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark items."""
     ship(spark)
-    found = leaks.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaked = keep(found.select(F.col("doc_id").alias("leaked_id")).distinct(), "leaked-ids")
+    with passing(spark):
+        found = leaks.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+        leaked = keep(found.select(F.col("doc_id").alias("leaked_id")).distinct(), "leaked-ids", 1)
     return docs.join(leaked, docs.doc_id.eqNullSafe(leaked.leaked_id), "left_anti")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import awkward_rows, words
 from veil.llm import leaks, minhash, ngrams, repeats
+from veil.llm.common import keep, passing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -290,3 +291,15 @@ def test_word_hashes_of_any_text():
             assert seen.setdefault(w, h) == h
     assert len(set(seen.values())) == len(seen)
     assert hashlib.sha1(whole).hexdigest()
+
+
+def test_files_that_no_result_reads_are_deleted(spark):
+    import os
+
+    with passing(spark):
+        with passing(spark):
+            gone, inner, outer = (keep(spark.range(5), f"passing-{k}", k) for k in range(3))
+            assert gone.count() == 5
+        assert inner.count() == 5
+    folders = [f.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0] for f in (gone, inner, outer)]
+    assert [os.path.exists(f) for f in folders] == [False, False, True] and outer.count() == 5

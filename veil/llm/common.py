@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
 import zipfile
@@ -44,9 +46,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+PASSING: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("passing", default=())
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """Files that ``keep`` writes inside are deleted at the end; ``stays`` is the number of scopes that they outlive."""
+    paths: list[str] = []
+    token = PASSING.set((*PASSING.get(), paths))
+    try:
+        yield
+    finally:
+        PASSING.reset(token)
+        for name in paths:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def keep(df: DataFrame, name: str, stays: int = 0) -> DataFrame:
     """``df`` written to the shared folder and read back: later steps start from files whose size is known."""
     path = shared_path(df.sparkSession, name)
+    scopes = PASSING.get()
+    scopes = scopes[: max(len(scopes) - stays, 0)]
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm.common import ODD, hash_words, keep, mapped, mix, text_bytes, windows
+from veil.llm.common import ODD, hash_words, keep, mapped, mix, passing, text_bytes, windows
 
 BANDS, ROWS, BITS = 36, 5, 4
 MINIMA = BANDS * ROWS
@@ -383,16 +383,31 @@ def labelled(sigs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``n_shingles``, ``component_id`` (least id that links reach) and ``kept`` (it is that one)."""
-    rows = keep(features(docs, size, doc_id, text), "minhash-rows")
-    own = rows.where(F.col("cid").isNotNull() & F.col("doc_id").isNotNull())
-    picked = F.min_by(F.struct("bands", "sig"), F.col("doc_id"))
-    classes = keep(own.groupBy("cid").agg(F.min("doc_id").alias("rep"), picked.alias("x")).select("cid", "rep", "x.*"), "minhash-classes")
-    bands = classes.select("cid", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = keep(bands.join(shared, "key"), "minhash-members")
-    near = members.select("cid").distinct()
-    sigs = keep(classes.join(near, "cid", "left_semi").select("cid", "rep", "sig"), "minhash-signatures")
+    """Per row: ``n_shingles``, ``component_id`` (least id that links reach) and ``kept`` (it is that one).
+
+    What the result does not read is deleted.
+    """
+    with passing(docs.sparkSession):
+        rows, every = linked(docs, size, percent, doc_id, text)
+    out = rows.join(every, "cid", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def linked(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with their classes, and the ``component_id`` of every class."""
+    with passing(docs.sparkSession):  # minima are the widest rows: they go before the sets are written
+        wide = keep(features(docs, size, doc_id, text), "minhash-features")
+        own = wide.where(F.col("cid").isNotNull() & F.col("doc_id").isNotNull())
+        picked = F.min_by(F.struct("bands", "sig"), F.col("doc_id"))
+        full = keep(own.groupBy("cid").agg(F.min("doc_id").alias("rep"), picked.alias("x")).select("cid", "rep", "x.*"), "minhash-minima")
+        rows = keep(wide.select("doc_id", "n_shingles", "cid"), "minhash-rows", 2)
+        classes = keep(full.select("cid", "rep"), "minhash-classes", 1)
+        bands = full.select("cid", F.explode("bands").alias("key"))
+        shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        members = keep(bands.join(shared, "key"), "minhash-members", 1)
+        near = members.select("cid").distinct()
+        sigs = keep(full.join(near, "cid", "left_semi").select("cid", "rep", "sig"), "minhash-signatures", 1)
     sets = keep(packed_sets(docs, size, sigs, doc_id, text), "minhash-sets")
     least = percent / 100 - SLACK
 
@@ -422,7 +437,5 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, doc_id: s
     least_id = classes.select("cid", "rep").join(labels, "cid").groupBy("comp").agg(F.min("rep").alias("component_id"))
     ids = labels.join(least_id, "comp").select("cid", "component_id")
     every = keep(classes.select("cid", "rep").join(ids, "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id")),
-                 "minhash-components")
-    out = rows.select("doc_id", "n_shingles", "cid").join(every, "cid", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+                 "minhash-components", 1)
+    return rows, every
