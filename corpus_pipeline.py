@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veil.llm import bpe, leaks, minhash, quality, secrets
-from veil.llm.common import keep, passing, ship
+from veil.llm.common import keep, passing, ship, without_rows
 
 SHINGLE_WORDS, PERCENT = 5, 80
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -30,8 +30,9 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     ship(spark)
     with passing(spark):
         decided = minhash.near_duplicates(docs, SHINGLE_WORDS, PERCENT)
-        kept = keep(decided.where("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept-ids", 1)
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
+        ids = decided.groupBy(F.col("doc_id").alias("gone_id")).agg(F.bool_or("kept").alias("kept"))
+        gone = keep(ids.where("NOT kept").select("gone_id"), "gone-ids", 1)
+    return without_rows(docs, gone, "doc_id", "gone_id")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     with passing(spark):
         found = leaks.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
         leaked = keep(found.select(F.col("doc_id").alias("leaked_id")).distinct(), "leaked-ids", 1)
-    return docs.join(leaked, docs.doc_id.eqNullSafe(leaked.leaked_id), "left_anti")
+    return without_rows(docs, leaked, "doc_id", "leaked_id")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and digests of them and of what they decode to."""
     ship(spark)
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    rows = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    rows = bpe.recoded(docs, path, pattern)
     return rows.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

@@ -8,13 +8,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import awkward_rows, words
 from veil.llm import leaks, minhash, ngrams, repeats
-from veil.llm.common import keep, passing
+from veil.llm.common import keep, passing, without_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -303,3 +304,23 @@ def test_files_that_no_result_reads_are_deleted(spark):
         assert inner.count() == 5
     folders = [f.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0] for f in (gone, inner, outer)]
     assert [os.path.exists(f) for f in folders] == [False, False, True] and outer.count() == 5
+
+
+def test_stages_join_only_rows_that_may_leave(spark, awkward, tmp_path):
+    found = minhash.near_duplicates(awkward, corpus_pipeline.SHINGLE_WORDS, corpus_pipeline.PERCENT).where("kept")
+    kept = {r.doc_id for r in found.collect()}
+    out = corpus_pipeline.minhash_dedup(spark, awkward, str(tmp_path))
+    rows = [(r[0], r[1]) for r in awkward_rows()]
+    assert out.columns == awkward.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(r for r in rows if r[0] in kept)
+    spark.createDataFrame([(1, words(1, 300))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for rest in (out, corpus_pipeline.decontamination(spark, awkward, str(tmp_path))):
+        assert rest._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+@pytest.mark.parametrize("gone", [[], [3], [None], [None, 3, 3, 99], list(range(0, 100, 7))])
+def test_rows_leave_by_key(spark, gone):
+    ids = [None, None, *range(100), 3, 4]
+    df = spark.createDataFrame([(k, f"t{k}") for k in ids], "doc_id bigint, text string").repartition(3)
+    got = without_rows(df, spark.createDataFrame([(k,) for k in gone], "gone_id bigint"), "doc_id", "gone_id")
+    assert Counter(map(tuple, got.collect())) == Counter((k, f"t{k}") for k in ids if k not in gone)

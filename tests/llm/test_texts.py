@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.conftest import awkward_rows
+from tests.llm.conftest import awkward_rows, words
 from veil.llm import bpe, quality, secrets, tokens
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -257,3 +257,19 @@ def test_empty_tables(nothing):
     assert tokens.prefix_table(nothing, PIECES).count() == 0
     assert bpe.decode(bpe.encode(nothing, RANKS, PATTERN), RANKS, PATTERN).count() == 0
     assert quality.judge(nothing, []).count() == 0
+
+
+def test_ids_and_what_they_decode_to_in_one_pass(awkward, nothing):
+    apart = bpe.decode(bpe.encode(awkward, RANKS, PATTERN), RANKS, PATTERN)
+    one = bpe.recoded(awkward, RANKS, PATTERN)
+    got, expected = (Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in df.collect()) for df in (one, apart))
+    assert got == expected
+    assert bpe.recoded(nothing, RANKS, PATTERN).count() == 0
+    assert one._jdf.queryExecution().sparkPlan().toString().count("MapInArrow ") == 1
+
+
+def test_known_pre_tokens_are_shared(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_TOKENS", 50)
+    own, texts = bpe.Encoder(RANKS, PATTERN), [words(k, 60) for k in range(20)] + ["x" * 200, "", None]
+    fresh = [bpe.Encoder(RANKS, PATTERN).encode(t) for t in texts]
+    assert own.encode_many(texts) == fresh == own.encode_many(texts)

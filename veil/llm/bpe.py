@@ -30,7 +30,7 @@ from veil.llm.common import mapped
 CACHED_TOKENS = 300_000
 CACHED_CHARS = 64
 TOGETHER = 1 << 16  # short pre-tokens in one queue
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 
 
 BITS = [1 << k for k in range(256)]
@@ -250,27 +250,37 @@ class Encoder(dict):
         return self.encode_many([text])[0]
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of every text; pre-tokens that are not known yet are encoded together."""
-        split = [self.split(t) if t else [] for t in texts]
-        wanted = set().union(*split)
-        new = wanted.difference(self)
-        if len(self) + len(new) > CACHED_TOKENS:
-            self.clear()
-            new = wanted
+        """Ids of every text; pre-tokens that are not known yet are encoded together.
+
+        A text is held as the ids of its known pre-tokens, which all texts share, and not as its pre-tokens.
+        """
+        out, gaps, new = [], [], {}
+        for text in texts:
+            tokens = self.split(text) if text else []
+            ids = list(map(self.get, tokens))
+            try:
+                out.append(b"".join(ids))
+            except TypeError:  # some are not known
+                places = [k for k, known in enumerate(ids) if known is None]
+                gaps.append((len(out), ids, places, [new.setdefault(t, t) for t in map(tokens.__getitem__, places)]))
+                out.append(b"")
         many = []
         for token in new:
             piece = token.encode()
             if piece in self.ranks or len(piece) > CACHED_CHARS:
-                self[token] = np.asarray(self.ids(piece), np.int32).tobytes()
+                new[token] = np.asarray(self.ids(piece), np.int32).tobytes()
             else:
                 many.append((token, piece))
         for at in range(0, len(many), TOGETHER):
             part = many[at : at + TOGETHER]
-            self.update(zip([t for t, _ in part], self.ids_of_many([p for _, p in part])))
-        out = [b"".join(map(self.__getitem__, tokens)) for tokens in split]
-        for token in new:
-            if len(token) > CACHED_CHARS:
-                del self[token]
+            new.update(zip([t for t, _ in part], self.ids_of_many([p for _, p in part])))
+        for row, ids, places, tokens in gaps:
+            for k, token in zip(places, tokens):
+                ids[k] = new[token]
+            out[row] = b"".join(ids)
+        if len(self) + len(new) > CACHED_TOKENS:
+            self.clear()
+        self.update((t, ids) for t, ids in new.items() if len(t) <= CACHED_CHARS)
         return out
 
 
@@ -279,16 +289,17 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+def id_lists(found: list[bytes]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id`` and ``ids`` of every text."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
-        found = own.encode_many(batch.column("text").to_pylist())
-        offsets = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
-        values = pa.array(np.frombuffer(b"".join(found), np.int32))
-        lists = pa.ListArray.from_arrays(pa.array(offsets), values)
-        yield pa.record_batch([batch.column("doc_id"), lists], ["doc_id", "ids"])
+        found = encoder(path, pattern).encode_many(batch.column("text").to_pylist())
+        yield pa.record_batch([batch.column("doc_id"), id_lists(found)], ["doc_id", "ids"])
 
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids array<int>"
     return mapped(docs, {"doc_id": doc_id, "text": text}, schema, work, BATCH_BYTES)
@@ -308,3 +319,16 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     types = dict(encoded.dtypes)
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {types['doc_id']}, ids array<int>, decoded binary")
+
+
+def recoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``decode`` of ``encode`` in one pass: a task then has one Python worker with the ranks and not two."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        own = encoder(path, pattern)
+        found = own.encode_many(batch.column("text").to_pylist())
+        texts = [b"".join(map(own.words.__getitem__, np.frombuffer(f, np.int32).tolist())) for f in found]
+        yield pa.record_batch([batch.column("doc_id"), id_lists(found), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
+
+    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids array<int>, decoded binary"
+    return mapped(docs, {"doc_id": doc_id, "text": text}, schema, work, BATCH_BYTES)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -12,7 +13,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veil.session import shared_path
 
@@ -101,6 +103,14 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give free memory back at the end of a task: workers are kept, and those of an executor share its limit."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def mapped(
     df: DataFrame, columns: dict[str, str], schema: str, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
     limit: int = SLICE_BYTES,
@@ -109,15 +119,74 @@ def mapped(
     text = "text"
 
     def run(batches):
-        for batch in batches:
-            for at, end in slices(batch, text, limit):
-                yield from work(batch.slice(at, end - at))
+        try:
+            for batch in batches:
+                for at, end in slices(batch, text, limit):
+                    yield from work(batch.slice(at, end - at))
+        finally:
+            release()
 
     picked = df.select(*[df[theirs].cast("string" if own == text else df.schema[theirs].dataType).alias(own)
                          for own, theirs in columns.items()])
     return picked.mapInArrow(run, schema)
 
 
+# filters over keys -------------------------------------------------------------------------------
+
+FILTER_BITS = 26
+
+
+def filter_places(keys: np.ndarray) -> Iterator[np.ndarray]:
+    for k in range(3):
+        yield (mix(keys + np.uint64(k)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def key_filter(rows: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """Bloom filter over 64-bit keys: built where the rows are, merged by ``bit_or``, 8 MB at most."""
+
+    def places(batches):
+        for batch in batches:
+            at = np.concatenate(list(filter_places(keys(batch))))
+            words, bits = at >> 6, np.uint64(1) << (at & 63).astype(np.uint64)
+            yield pa.record_batch([pa.array(words), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+    merged = rows.mapInArrow(places, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    table = merged.toArrow()
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def maybe(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be in the filter; those that are in it always are."""
+    hit = np.ones(len(keys), bool)
+    for at in filter_places(keys):
+        hit &= (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return hit
+
+
+def suspects(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test of rows by hash: false only where ``xxhash64`` of no value in ``keys`` is the tested hash.
+
+    Few rows of a wide table pass a test by few keys, so those alone need a join, and the texts of the others no shuffle.
+    """
+    hashes = keys.select(F.xxhash64(key).alias("hash"))
+    shared = keys.sparkSession.sparkContext.broadcast(key_filter(hashes, lambda b: b.column("hash").to_numpy().view(np.uint64)))
+
+    @F.arrow_udf("boolean")
+    def may(hash_: pa.Array) -> pa.Array:
+        return pa.array(maybe(shared.value, hash_.to_numpy().view(np.uint64)))
+
+    return may
+
+
+def without_rows(df: DataFrame, gone: DataFrame, key: str, gone_key: str) -> DataFrame:
+    """``df`` without the rows whose ``key`` is in ``gone``; null is a value like any other."""
+    suspect = suspects(gone, gone_key)(F.xxhash64(df[key]))
+    left = df.where(suspect).join(gone, df[key].eqNullSafe(gone[gone_key]), "left_anti")
+    return df.where(~suspect).union(left)
+
+
 # word hashes -----------------------------------------------------------------------------------
 
 ODD = 0x9E3779B97F4A7C15

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm.common import ODD, hash_words, keep, mapped, mix, passing, text_bytes, windows
+from veil.llm.common import ODD, hash_words, keep, key_filter, mapped, maybe, mix, passing, text_bytes, windows
 
 BANDS, ROWS, BITS = 36, 5, 4
 MINIMA = BANDS * ROWS
@@ -141,9 +141,6 @@ def estimate(a: Column, b: Column) -> Column:
     return ((MINIMA - other) / F.lit(float(MINIMA)) - chance) / (1 - chance)
 
 
-BLOOM_BITS = 26
-
-
 def packed_sets(docs: DataFrame, size: int, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The full set of one row of each wanted class (``cid``, ``rep``), five bytes a shingle hash, sorted."""
     spark = docs.sparkSession
@@ -154,7 +151,7 @@ def packed_sets(docs: DataFrame, size: int, wanted: DataFrame, doc_id: str, text
         digests = set_digests(values, starts)
         cids = np.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], np.int64)
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        rows = np.flatnonzero(maybe(shared.value, cids, ids) & (np.diff(starts) > 0))
+        rows = np.flatnonzero(maybe(shared.value, class_key(cids, ids)) & (np.diff(starts) > 0))
         short = values >> np.uint64(24)
         sets = [np.sort(short[starts[r] : starts[r + 1]]).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for r in rows]
         if len(rows):
@@ -171,28 +168,8 @@ def class_key(cids: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def class_filter(wanted: DataFrame) -> np.ndarray:
-    """Bloom filter over (cid, rep): built where the rows are, merged by ``bit_or``, 8 MB at most."""
-
-    def places(batches):
-        for batch in batches:
-            keys = class_key(batch.column("cid").to_numpy(), batch.column("rep").to_numpy())
-            at = np.concatenate([mix(keys + np.uint64(k)) >> np.uint64(64 - BLOOM_BITS) for k in range(3)]).astype(np.int64)
-            words, bits = at >> 6, np.uint64(1) << (at & 63).astype(np.uint64)
-            yield pa.record_batch([pa.array(words), pa.array(bits.view(np.int64))], ["word", "bits"])
-
-    rows = wanted.select("cid", "rep").mapInArrow(places, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    out = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
-    table = rows.toArrow()
-    out[table.column("word").to_numpy()] = table.column("bits").to_numpy()
-    return out.view(np.uint64)
-
-
-def maybe(table: np.ndarray, cids: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    keys, hit = class_key(cids, ids), np.ones(len(cids), bool)
-    for k in range(3):
-        at = mix(keys + np.uint64(k)) >> np.uint64(64 - BLOOM_BITS)
-        hit &= (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-    return hit
+    keys = lambda batch: class_key(batch.column("cid").to_numpy(), batch.column("rep").to_numpy())
+    return key_filter(wanted.select("cid", "rep"), keys)
 
 
 MEMBERS_PER_TASK = 512

@@ -168,9 +168,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, doc_id: s
     named = labels.where(labels[label].isNotNull() & labels["doc_id"].isNotNull())
     drawn = named.groupBy("doc_id").agg(F.min(label).alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
-    # at most ``rows`` pairs of numbers; written, so that no filter on statistics moves below the join
+    # at most ``rows`` pairs of numbers; written, so that no filter on statistics moves below the join, and that
+    # they are counted once, by one Python worker a task
     joined = keep(texts.join(F.broadcast(drawn), "doc_id"), "labelled-texts")
-    counted = joined.select("doc_id", "good", stats("text").alias("s")).where(~base_failed(F.col("s")))
+    counted = keep(joined.select("doc_id", "good", stats("text").alias("s")), "labelled-stats").where(~base_failed(F.col("s")))
     seen = counted.select("doc_id", "good", *[c.alias(n) for n, c in features(F.col("s")).items()])
     table = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toPandas()
     bad = (table["good"].to_numpy() == 0) if len(table) else np.zeros(0, bool)

@@ -134,7 +134,7 @@ def op6(spark, sf_dir):
 @query("op7_byte_bpe")
 def op7(spark, sf_dir):
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    rows = bpe.recoded(table(spark, sf_dir, "documents"), path, pattern)
     return rows.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
