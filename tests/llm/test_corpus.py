@@ -72,6 +72,27 @@ def test_components_are_those_of_all_pairs(spark, size):
     assert all(r.kept == (r.doc_id == expected[r.doc_id]) and r.n_shingles == len(shingles(texts[r.doc_id // 3], size)) for r in got)
 
 
+@pytest.mark.parametrize("few", [0, minhash.FEW])
+def test_components_of_links(spark, monkeypatch, few):
+    monkeypatch.setattr(minhash, "FEW", few)
+    rng = random.Random(8)
+    links = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(70, 70), (9, 3)]
+    links = [p if rng.random() < 0.5 else p[::-1] for p in links]
+    rng.shuffle(links)
+    got = minhash.components(spark.createDataFrame(links, minhash.LINKS).repartition(5), "links").collect()
+    expected = {k: 0 for k in range(61)} | {k: 100 for k in range(100, 140)} | {70: 70}
+    assert sorted(map(tuple, got)) == sorted(expected.items())
+
+
+def test_few_links_are_joined_without_a_shuffle(spark, monkeypatch):
+    links = keep(spark.createDataFrame([(k, k + 1) for k in range(50)], minhash.LINKS).repartition(5), "given")
+    plans = []
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(minhash, "keep", lambda df, *rest: plans.append(planned(df)) or keep(df, *rest))
+    assert minhash.components(links, "links").select("comp").distinct().count() == 1
+    assert plans and not any("Exchange" in p for p in plans)
+
+
 def test_near_duplicates_of_awkward_rows(awkward, nothing):
     rows = [(r[0], r[1]) for r in awkward_rows()]
     expected = linked_components(rows, 2)

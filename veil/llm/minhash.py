@@ -183,8 +183,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     counts = pairs.groupBy("a").agg((F.floor(F.count("*") / MEMBERS_PER_TASK) + 1).alias("shares"))
     dealt = pairs.join(counts, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("share")
     roles = dealt.select(F.col("b").alias("cid"), F.col("a").alias("hub"), "share", F.lit(1).alias("role")).unionByName(
-        dealt.select(F.col("a").alias("cid"), F.col("a").alias("hub"), "share", F.lit(0).alias("role")).distinct()
+        counts.select(F.col("a").alias("cid"), F.col("a").alias("hub"), every, F.lit(0).alias("role"))
     )
     rows = roles.join(sets, "cid").repartition("hub", "share").sortWithinPartitions("hub", "share", "role")
 
@@ -208,8 +209,60 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("cid", "hub", "role", "set").mapInArrow(run, CONFIRMED)
 
 
+LABELS = "cid bigint, comp bigint"
+FOREST = 1 << 18  # nodes that a union of links holds before it is emitted
+FEW = 1 << 17  # nodes of forests that one task joins: 2 MB
+
+
+class Joined:
+    """Components of what was joined so far, by their least member."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+    def add(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def forests(batches) -> Iterator[pa.RecordBatch]:
+    """The nodes (cid) of a task's links with their least one (comp); after ``FOREST`` nodes a new forest begins."""
+
+    def emitted(joined):
+        nodes = list(joined.parent)
+        return pa.record_batch([pa.array(nodes, pa.int64()), pa.array([joined.root(x) for x in nodes], pa.int64())], ["cid", "comp"])
+
+    joined = Joined()
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            joined.parent.setdefault(x, x)
+            joined.parent.setdefault(y, y)
+            joined.add(x, y)
+        if len(joined.parent) >= FOREST:
+            yield emitted(joined)
+            joined = Joined()
+    if joined.parent:
+        yield emitted(joined)
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """(cid, comp) of all nodes of ``edges`` (a, b): least label of the neighbours, then the label's own label."""
+    """(cid, comp) of all nodes of ``edges`` (a, b). Tasks shrink their links to forests; few of these are joined by
+    one task, more of them in rounds."""
+    forest = keep(edges.mapInArrow(forests, LABELS), f"{name}-forest")
+    if forest.count() > FEW:
+        return spread_components(forest.toDF("a", "b"), name)
+    return keep(forest.coalesce(1).mapInArrow(forests, LABELS), f"{name}-labels")
+
+
+def spread_components(edges: DataFrame, name: str) -> DataFrame:
+    """``components`` in rounds: least label of the neighbours, then the label's own label."""
     both = keep(edges.select(F.col("a").alias("cid"), F.col("b").alias("to")).unionByName(
         edges.select(F.col("b").alias("cid"), F.col("a").alias("to"))).distinct(), f"{name}-edges")
     labels = keep(both.groupBy("cid").agg(F.least(F.col("cid"), F.min("to")).alias("comp")), f"{name}-labels")
@@ -228,10 +281,11 @@ HUB_ROUNDS = 2
 SLACK = 0.15  # below the threshold by almost five standard deviations of the estimate
 HELD, STREAMED = 512, 20_000
 LINKS = "a bigint, b bigint"
+PLACES = "array<struct<block:bigint,stream:bigint,role:int>>"
 
 
-def in_blocks(rows: DataFrame, payload: str) -> DataFrame:
-    """Rows (key, cid, comp, payload) of keys with several components, dealt into blocks.
+def in_blocks(rows: DataFrame, payloads: DataFrame, payload: str) -> DataFrame:
+    """Rows (key, cid, comp) of keys with several components, dealt into blocks with their payloads (cid, payload).
 
     In a block stand rows of the smaller components (role 0) and then rows of all (role 1); every row of a
     smaller component meets every other row in some block.
@@ -242,43 +296,25 @@ def in_blocks(rows: DataFrame, payload: str) -> DataFrame:
         "key", F.col("major.comp").alias("major"), F.ceil((F.col("n") - F.col("major.n")) / HELD).alias("blocks"),
         F.ceil(F.col("n") / STREAMED).alias("streams"),
     )
-    met = rows.join(plan, "key")
-    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
-    held = met.where(F.col("comp") != F.col("major")).select(
-        "key", F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("block"), upto("streams").alias("stream"), F.lit(0).alias("role"), "cid", "comp", payload
-    )
-    streamed = met.select(
-        "key", upto("blocks").alias("block"), F.pmod(F.xxhash64("cid", F.lit(1)), F.col("streams")).alias("stream"), F.lit(1).alias("role"), "cid", "comp", payload
-    )
+    met = rows.join(plan, "key").join(payloads.select("cid", payload), "cid")
+    upto = lambda c: F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1)
+    block, stream = F.pmod(F.xxhash64("cid"), F.col("blocks")), F.pmod(F.xxhash64("cid", F.lit(1)), F.col("streams"))
+    place = lambda b, s, role: F.struct(b.alias("block"), s.alias("stream"), F.lit(role).alias("role"))
+    held = F.when(F.col("comp") != F.col("major"), F.transform(upto("streams"), lambda s: place(block, s, 0)))
+    streamed = F.transform(upto("blocks"), lambda b: place(b, stream, 1))
+    places = F.explode(F.concat(F.coalesce(held, F.array().cast(PLACES)), streamed)).alias("at")
     order = ["key", "block", "stream"]
-    return held.unionByName(streamed).repartition(*order).sortWithinPartitions(*order, "role")
-
-
-class Joined:
-    """Components that one block has joined so far."""
-
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while (up := self.parent.get(x, x)) != x:
-            self.parent[x] = self.parent.get(up, up)
-            x = up
-        return x
-
-    def add(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.parent[max(x, y)] = min(x, y)
-        return x != y
+    dealt = met.select("key", places, "cid", "comp", payload).select("key", "at.*", "cid", "comp", payload)
+    return dealt.repartition(*order).sortWithinPartitions(*order, "role")
 
 
 def links_of(batches, payload: str, load, compare):
-    """Links (a, b) that join components. ``load`` makes an index of the held payloads of a block, ``compare``
+    """Components (a, b) that links join. ``load`` makes an index of the held payloads of a block, ``compare``
     says which of them each streamed payload matches."""
     now, held, index, joined = None, [], None, Joined()
     for batch in batches:
         marks = list(zip(*[batch.column(k).to_pylist() for k in ("key", "block", "stream", "role")]))
-        cids, comps, values = (batch.column(k) for k in ("cid", "comp", payload))
+        comps, values = batch.column("comp"), batch.column(payload)
         out, at = [], 0
         while at < len(marks):
             end = at + 1
@@ -287,18 +323,16 @@ def links_of(batches, payload: str, load, compare):
             group, role = marks[at][:3], marks[at][3]
             if group != now:
                 now, held, index, joined = group, [], None, Joined()
-            part = (cids.slice(at, end - at).to_numpy(), comps.slice(at, end - at).to_numpy(), values.slice(at, end - at))
+            part = (comps.slice(at, end - at).to_numpy(), values.slice(at, end - at))
             if role == 0:
                 held.append(part)
             elif held:
                 if index is None:
-                    own, comp = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-                    index = (own, comp, load(pa.concat_arrays([h[2] for h in held])))
-                own, comp, data = index
-                for row, matches in compare(data, part[2]):
-                    for m in matches[comp[matches] != part[1][row]].tolist():
-                        if joined.add(int(comp[m]), int(part[1][row])):
-                            out.append((int(part[0][row]), int(own[m])))
+                    index = (np.concatenate([h[0] for h in held]), load(pa.concat_arrays([h[1] for h in held])))
+                comp, data = index
+                for row, matches in compare(data, part[1]):
+                    own = int(part[0][row])
+                    out += [(own, m) for m in comp[matches].tolist() if m != own and joined.add(m, own)]
             at = end
         yield pa.record_batch([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -353,10 +387,11 @@ def overlapping(percent: int):
     return compare
 
 
-def labelled(sigs: DataFrame, edges: DataFrame) -> DataFrame:
-    """The component of every class that has candidates, by the links found so far."""
-    found = components(edges, "minhash")
-    return keep(sigs.select("cid").join(found, "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp")), "minhash-comps")
+def labelled(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """``rows`` with the component of their class, by the links found so far: its own where none was."""
+    if found is None:
+        return rows.withColumn("comp", F.col("cid"))
+    return rows.join(found, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -388,31 +423,26 @@ def linked(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
     sets = keep(packed_sets(docs, size, sigs, doc_id, text), "minhash-sets")
     least = percent / 100 - SLACK
 
-    labels, edges = sigs.select("cid", F.col("cid").alias("comp")), None
+    found = None  # components of the classes that have links
+    joined = lambda new: components(new if found is None else new.unionByName(found.toDF("a", "b")), "minhash")
     for number in range(HUB_ROUNDS):
-        where = members.join(labels, "cid")
+        where = labelled(members, found)
         hubs = where.groupBy("key").agg(
             F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct("cid", "comp"), F.xxhash64("cid", F.lit(number))).alias("hub")
         ).where("low < high")
         met = where.join(hubs, "key").where(F.col("comp") != F.col("hub.comp"))
-        pairs = met.select(F.col("hub.cid").alias("a"), F.col("cid").alias("b")).distinct()
         left, right = (sigs.select(F.col("cid").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-        pairs = pairs.join(left, "a").join(right, "b").where(estimate(F.col("sig_a"), F.col("sig_b")) >= least).select("a", "b")
-        found = keep(confirm(keep(pairs, "minhash-pairs"), sets, percent).where("linked").select("a", "b"), "minhash-links")
-        edges = found if edges is None else edges.unionByName(found)
-        labels = labelled(sigs, edges)
+        pairs = met.select(F.col("hub.cid").alias("a"), F.col("cid").alias("b")).repartition("b").distinct()  # a class has up to 36 hubs
+        pairs = pairs.join(right, "b").join(left, "a").where(estimate(F.col("sig_a"), F.col("sig_b")) >= least).select("a", "b")
+        found = joined(confirm(keep(pairs, "minhash-pairs"), sets, percent).where("linked").select("a", "b"))
 
     # smaller components of a bucket against all its members: first what could link, then what does
-    where = members.join(labels, "cid").join(sigs.select("cid", "sig"), "cid")
-    near = in_blocks(where, "sig").mapInArrow(lambda b: links_of(b, "sig", signature_matrix, alike(least)), LINKS)
-    families = components(near.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")),
-                          "minhash-near")
-    family = families.select(F.col("cid").alias("comp"), F.col("comp").alias("key"))
-    full = labels.join(family, "comp").join(sets, "cid")
-    last = in_blocks(full, "set").mapInArrow(lambda b: links_of(b, "set", inverted, overlapping(percent)), LINKS)
-    labels = labelled(sigs, edges.unionByName(keep(last, "minhash-links")))
-    least_id = classes.select("cid", "rep").join(labels, "cid").groupBy("comp").agg(F.min("rep").alias("component_id"))
-    ids = labels.join(least_id, "comp").select("cid", "component_id")
-    every = keep(classes.select("cid", "rep").join(ids, "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id")),
+    near = in_blocks(labelled(members, found), sigs, "sig").mapInArrow(lambda b: links_of(b, "sig", signature_matrix, alike(least)), LINKS)
+    family = components(near, "minhash-near").select(F.col("cid").alias("comp"), F.col("comp").alias("key"))
+    full = keep(labelled(sigs.select("cid"), found).join(family, "comp").select("key", "cid", "comp"), "minhash-families")
+    found = joined(in_blocks(full, sets, "set").mapInArrow(lambda b: links_of(b, "set", inverted, overlapping(percent)), LINKS))
+    ids = classes.select("cid", "rep").join(found, "cid", "left")
+    least_id = ids.where("comp IS NOT NULL").groupBy("comp").agg(F.min("rep").alias("component_id"))
+    every = keep(ids.join(least_id, "comp", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id")),
                  "minhash-components", 1)
     return rows, every
