@@ -164,6 +164,23 @@ def test_assembly(spark):
     assert got == {1: "a\n\nb \n\n\nc", 2: synth.EMPTY_RESULT}
 
 
+def test_trimmed_are_all_spaces_and_nothing_else(spark):
+    assert len(set(text.SPACE_CHARS)) == 29
+    other = ["\x00", "\x08", "\x0e", "\x1b", "!", "\x84", "\x86", "\u180e", "\u200b", "\u2060", "\ufeff", "'", "\\"]
+    rows = [(k, 0, f"{c}{c} a{c}b {c}\r\n") for k, c in enumerate([*text.SPACE_CHARS, *other])]
+    df = spark.createDataFrame(rows, "doc_id long, chunk_idx int, synthetic string")
+    wanted = df.select("doc_id", text.strip(F.col("synthetic")).alias("content"))
+    assert sorted(synth.assemble(df, ["doc_id"]).collect()) == sorted(wanted.collect())
+
+
+def test_synthesis_runs_no_regex_to_trim_and_gives_nothing_back(spark):
+    df = spark.createDataFrame([(1, "see a.b@c.org or x@y, a_b.c%d")], "id long, text string")
+    out = synth.synthesize(df)
+    assert out.first().content == "see example@email.com or x@y, a_b.c%d"
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.SPACE + "+$" not in plan and "]++@" in plan
+
+
 def test_rewriter_failures_fall_back(spark):
     df = spark.createDataFrame([(1, "Ann Lee"), (2, "x")], "id long, chunk string")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veil.functions.patterns import FALLBACK, java_regex
 from veil.functions.spans import let, literal
-from veil.functions.text import SPACE, strip
+from veil.functions.text import SPACE_CHARS, strip
 from veil.operators.chunk import stride_chunks
 
 # --- fixed value: what an empty result says ---
@@ -24,7 +24,8 @@ def fallback_sql(text: str) -> str:
     """The six substitutions in order, as SQL text over a column or lambda variable."""
     for regex, constant in FALLBACK:
         plain = constant.replace("$", "\\$")
-        text = f"regexp_replace({text}, {literal(java_regex(regex, any_digit=True))}, {literal(plain)})"
+        java = java_regex(regex, any_digit=True).replace("]+@", "]++@")  # no run before an @ holds one: nothing to go back for
+        text = f"regexp_replace({text}, {literal(java)}, {literal(plain)})"
     return text
 
 
@@ -66,10 +67,9 @@ def synth_rewrite(chunks: DataFrame) -> DataFrame:
 
 def assemble_sql(chunks: str) -> str:
     """Join non-blank trimmed chunks by a blank line; at most three newlines in a row."""
-    edge = f"r'^{SPACE}+|{SPACE}+$'"
-    joined = f"""array_join(filter(transform({chunks}, c -> regexp_replace(c, {edge}, '')), c -> c <> ''), '\\n\\n')"""
-    tidy = f"regexp_replace(regexp_replace({joined}, r'\\n{{4,}}', '\\n\\n\\n'), {edge}, '')"
-    return let(tidy, "t", f"IF(t = '', '{EMPTY_RESULT}', t)")
+    joined = f"""array_join(filter(transform({chunks}, c -> btrim(c, '{SPACE_CHARS}')), c -> c <> ''), '\\n\\n')"""
+    few = let(joined, "j", "IF(contains(j, '\\n\\n\\n\\n'), regexp_replace(j, r'\\n{4,}', '\\n\\n\\n'), j)")
+    return let(f"btrim({few}, '{SPACE_CHARS}')", "t", f"IF(t = '', '{EMPTY_RESULT}', t)")
 
 
 def assemble(chunks: DataFrame, group: list[str]) -> DataFrame:
