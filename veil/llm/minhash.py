@@ -441,8 +441,7 @@ def linked(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
     family = components(near, "minhash-near").select(F.col("cid").alias("comp"), F.col("comp").alias("key"))
     full = keep(labelled(sigs.select("cid"), found).join(family, "comp").select("key", "cid", "comp"), "minhash-families")
     found = joined(in_blocks(full, sets, "set").mapInArrow(lambda b: links_of(b, "set", inverted, overlapping(percent)), LINKS))
-    ids = classes.select("cid", "rep").join(found, "cid", "left")
-    least_id = ids.where("comp IS NOT NULL").groupBy("comp").agg(F.min("rep").alias("component_id"))
-    every = keep(ids.join(least_id, "comp", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id")),
-                 "minhash-components", 1)
+    ids = labelled(classes.select("cid", "rep"), found)
+    least_id = ids.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    every = keep(ids.join(least_id, "comp").select("cid", "component_id"), "minhash-components", 1)
     return rows, every
