@@ -274,7 +274,7 @@ def stream_mask(spark, sf):
     """Documents arriving in a folder, masked once; equals the batch result."""
     stream = streams.read_table(spark, f"{sf}/documents.parquet", streams.DOCUMENT_SCHEMA)
     out, mark = shared_path(spark, "masked"), shared_path(spark, "offsets")
-    streams.run_available(streams.mask_stream(stream, CUSTOM), out, mark).awaitTermination()
+    streams.run_available(streams.mask_stream(readers.documents(stream), CUSTOM), out, mark).awaitTermination()
     back = spark.read.parquet(out)
     return back.select("doc_id", F.sha2("masked_text", 256).alias("masked_sha"), "n_masked")
 

@@ -4,10 +4,12 @@ import datetime as dt
 import os
 import shutil
 
+import duckdb
 import pytest
 
 import checks.catalog  # noqa: F401 - registers the queries
 from checks import base
+from checks.compare import compare
 from tests.conftest import SMALL
 from veil.functions.patterns import REGISTRY
 from veil.streaming import streams
@@ -66,3 +68,14 @@ def test_tables_of_one_file_and_of_many_give_the_same(spark, tmp_path, key):
     one, many = query(spark, SMALL), query(spark, str(tmp_path))
     assert one.count() > 0
     assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+
+
+def test_masked_stream_of_null_and_blank_texts_equals_its_sql(spark, tmp_path):
+    texts = ["mail a@example.com", "plain", "[REDACTED]", None, "", " \n\t", "\x0b\x1c\x85", "\u00a0\u2028\u3000", " \u200b "]
+    for i in range(3):  # a file of blank texts only, too
+        deliver(spark, [(k, t, "en", "s", None) for k, t in enumerate(texts) if k // 3 == i], DOCS, tmp_path / "documents.parquet", f"part-{i}")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    message, same = compare(spark, con, str(tmp_path), "stream_mask", base.QUERIES["stream_mask"], base.SQL["stream_mask"])
+    assert same, message
+    assert sorted(r.doc_id for r in base.QUERIES["stream_mask"](spark, str(tmp_path)).collect()) == [0, 1, 2, 8]
