@@ -93,6 +93,21 @@ def test_few_links_are_joined_without_a_shuffle(spark, monkeypatch):
     assert plans and not any("Exchange" in p for p in plans)
 
 
+def test_a_task_of_near_dedup_has_one_python_worker(awkward, monkeypatch):
+    plans = []
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(minhash, "keep", lambda df, *rest: plans.append(planned(df)) or keep(df, *rest))
+    minhash.near_duplicates(awkward).collect()
+    steps = [part.count("MapInArrow") for plan in plans for part in re.split("Exchange|Scan", plan)]
+    assert max(steps) == 1
+
+
+def test_leaks_read_no_rows_of_python_lists(spark, awkward):
+    found = leaks.leaks(awkward, spark.createDataFrame([(7, words(1, 300)), (None, words(3, 80))], "item_id bigint, text string"))
+    assert {r.item_id for r in found.collect()} == {7, None}
+    assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_duplicates_of_awkward_rows(awkward, nothing):
     rows = [(r[0], r[1]) for r in awkward_rows()]
     expected = linked_components(rows, 2)

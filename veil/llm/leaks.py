@@ -18,6 +18,7 @@ alike; repeated rows give equal rows once; a null id is reported as null.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -339,8 +340,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     """Pairs (``doc_id``, ``item_id``) with the share of the item's words that the document holds in order."""
     spark = docs.sparkSession
     named = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text"))
-    types = f"doc_id bigint, item_id {benchmark.schema[item_id].dataType.simpleString()}, share double"
-    found = spark.createDataFrame([], types)
+    kind = benchmark.schema[item_id].dataType.simpleString()
+    found = []
     for items in blocks(benchmark, item_id, item_text):
         own = spark.sparkContext.broadcast(items)
         rows = keep(places(named, own, "doc_id", "text"), "leak-places")
@@ -348,6 +349,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
         judge = spark.sparkContext.broadcast(Judge(items, weight, basis(rows, items, weight)))
         pairs = rows.mapInArrow(lambda b, judge=judge: judge.value.run(b), "doc_id bigint, item bigint, share double")
         best = pairs.groupBy("doc_id", "item").agg(F.max("share").alias("share"))
-        names = spark.createDataFrame(list(enumerate(items.ids)), f"item bigint, item_id {types.split()[3].rstrip(',')}")
-        found = found.unionByName(best.join(F.broadcast(names), "item").select("doc_id", "item_id", "share"))
-    return found
+        # an Arrow table: rows of a Python list would start workers of another kind on every executor
+        names = spark.createDataFrame(pa.table({"item": range(len(items.ids)), "item_id": items.ids}), f"item bigint, item_id {kind}")
+        found.append(best.join(F.broadcast(names), "item").select("doc_id", "item_id", "share"))
+    return functools.reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], f"doc_id bigint, item_id {kind}, share double")

@@ -173,11 +173,10 @@ def class_filter(wanted: DataFrame) -> np.ndarray:
 
 
 MEMBERS_PER_TASK = 512
-CONFIRMED = "a bigint, b bigint, linked boolean"
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with whether 100 * intersection >= percent * union of their full sets.
+    """Forests of the pairs (a, b) with 100 * intersection >= percent * union of their full sets.
 
     Partners of ``a`` stream past its set; partners of a frequent ``a`` are dealt to several tasks.
     """
@@ -202,11 +201,11 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     raise ValueError("a pair without the set of its hub")
                 places = np.searchsorted(mine, values)
                 both = int((mine[np.minimum(places, len(mine) - 1)] == values).sum())
-                out.append((own, cid, 100 * both >= percent * (len(mine) + len(values) - both)))
-            yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))],
-                                  ["a", "b", "linked"])
+                if 100 * both >= percent * (len(mine) + len(values) - both):
+                    out.append((own, cid))
+            yield pa.record_batch([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.select("cid", "hub", "role", "set").mapInArrow(run, CONFIRMED)
+    return rows.select("cid", "hub", "role", "set").mapInArrow(lambda b: forests(run(b)), LABELS)
 
 
 LABELS = "cid bigint, comp bigint"
@@ -253,9 +252,16 @@ def forests(batches) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """(cid, comp) of all nodes of ``edges`` (a, b). Tasks shrink their links to forests; few of these are joined by
-    one task, more of them in rounds."""
-    forest = keep(edges.mapInArrow(forests, LABELS), f"{name}-forest")
+    """(cid, comp) of all nodes of ``edges`` (a, b). Tasks shrink their links to forests."""
+    return of_forests(edges.mapInArrow(forests, LABELS), name)
+
+
+def of_forests(shrunk: DataFrame, name: str) -> DataFrame:
+    """``components`` of forests: few of these are joined by one task, more of them in rounds.
+
+    What makes links shrinks them itself: two Python steps in a row would be two workers a task.
+    """
+    forest = keep(shrunk, f"{name}-forest")
     if forest.count() > FEW:
         return spread_components(forest.toDF("a", "b"), name)
     return keep(forest.coalesce(1).mapInArrow(forests, LABELS), f"{name}-labels")
@@ -424,7 +430,7 @@ def linked(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
     least = percent / 100 - SLACK
 
     found = None  # components of the classes that have links
-    joined = lambda new: components(new if found is None else new.unionByName(found.toDF("a", "b")), "minhash")
+    joined = lambda new: of_forests(new if found is None else new.unionByName(found), "minhash")
     for number in range(HUB_ROUNDS):
         where = labelled(members, found)
         hubs = where.groupBy("key").agg(
@@ -434,13 +440,13 @@ def linked(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
         left, right = (sigs.select(F.col("cid").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
         pairs = met.select(F.col("hub.cid").alias("a"), F.col("cid").alias("b")).repartition("b").distinct()  # a class has up to 36 hubs
         pairs = pairs.join(right, "b").join(left, "a").where(estimate(F.col("sig_a"), F.col("sig_b")) >= least).select("a", "b")
-        found = joined(confirm(keep(pairs, "minhash-pairs"), sets, percent).where("linked").select("a", "b"))
+        found = joined(confirm(keep(pairs, "minhash-pairs"), sets, percent))
 
     # smaller components of a bucket against all its members: first what could link, then what does
-    near = in_blocks(labelled(members, found), sigs, "sig").mapInArrow(lambda b: links_of(b, "sig", signature_matrix, alike(least)), LINKS)
-    family = components(near, "minhash-near").select(F.col("cid").alias("comp"), F.col("comp").alias("key"))
+    near = in_blocks(labelled(members, found), sigs, "sig").mapInArrow(lambda b: forests(links_of(b, "sig", signature_matrix, alike(least))), LABELS)
+    family = of_forests(near, "minhash-near").select(F.col("cid").alias("comp"), F.col("comp").alias("key"))
     full = keep(labelled(sigs.select("cid"), found).join(family, "comp").select("key", "cid", "comp"), "minhash-families")
-    found = joined(in_blocks(full, sets, "set").mapInArrow(lambda b: links_of(b, "set", inverted, overlapping(percent)), LINKS))
+    found = joined(in_blocks(full, sets, "set").mapInArrow(lambda b: forests(links_of(b, "set", inverted, overlapping(percent))), LABELS))
     ids = labelled(classes.select("cid", "rep"), found)
     least_id = ids.groupBy("comp").agg(F.min("rep").alias("component_id"))
     every = keep(ids.join(least_id, "comp").select("cid", "component_id"), "minhash-components", 1)
